@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .byte_bpe import op4_byte_bpe
+from .media import op3_media
+from .mixing import op9_mixing
+from .quality_rules import op8_quality_rules
+from .sharding import op6_sharding
 from .token_ids import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_sharding": op6_sharding,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
