@@ -6,17 +6,23 @@ from . import mixing
 from .byte_bpe import op4_byte_bpe
 from .media import op3_media
 from .mixing import op9_mixing
+from .ngram_join import op5_ngram_join
+from .quality_ranking import op10_quality_ranking
 from .quality_rules import op8_quality_rules
 from .sharding import op6_sharding
 from .token_ids import op1_token_ids
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_toxicity": op2_toxicity,
     "op3_media": op3_media,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_ngram_join": op5_ngram_join,
     "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_quality_ranking": op10_quality_ranking,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
