@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing
 from .byte_bpe import op4_byte_bpe
+from .html_extract import op7_html_extract
 from .media import op3_media
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_sharding": op6_sharding,
+    "op7_html_extract": op7_html_extract,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_ranking": op10_quality_ranking,

@@ -19,6 +19,7 @@ own (equal doc_ids in any order of equal rows); an empty table gives no rows; ex
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,10 @@ MAX_BITS = 18
 STEP = 128
 #: Ids in a block, about (a block ends with a document), and in a shard.
 BLOCK_IDS, SHARD_IDS = 1 << 19, 1 << 25
-#: One run of Latin letters that normalizing leaves one run of letters, and at most one '.' or ',' after it.
-PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+#: One run of Latin letters, that normalizing leaves one run of letters, and marks after it: pre-tokens of their own.
+PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: Words a worker keeps the ids of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
 
 def _words(text: str) -> list[str]:
@@ -54,7 +55,7 @@ class WordEncoder:
     """ids of whole texts by the tokenizers library, which sees each distinct white-space word once per cache fill.
 
     Exact for a tokenizer whose pre-tokens never span white space: its normalizer works on code points (NFC composes nothing
-    with a space) and its pattern drops white space. A word that ends in one '.' or ',' after a letter is two pre-tokens.
+    with a space) and its pattern drops white space, takes a run of letters as one pre-token and a run of marks as another.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -65,7 +66,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.vocab_size = self.tokenizer.get_vocab_size()
+        spec = json.loads(tokenizer_json)
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        self.plain_tokenizer = self.tokenizer
+        if steps and {x["type"] for x in steps} <= {"NFC", "Lowercase", "Replace"}:  # none of them changes lower-case PLAIN runs
+            self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -73,52 +78,75 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint16 if len(self.ends) <= 65536 else np.uint32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        """Words of the PLAIN form go to the library many at once, since it is known how many word ends each has."""
-        plain, rest = [w for w in words if PLAIN(w)], [w for w in words if not PLAIN(w)]
-        parts = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        got = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts] + rest, add_special_tokens=False)
-        ids, lengths = [], []
-        for part, e in zip(parts, got):
-            flat = np.array(e.ids, self.flat.dtype)
-            pieces = np.cumsum(np.fromiter((2 if w[-1] in ".," else 1 for w in part), np.int64, len(part)))
-            ids.append(flat)
-            lengths.append(np.diff(np.flatnonzero(self.ends[flat])[pieces - 1] + 1, prepend=0))
-        for e in got[len(parts) :]:
-            ids.append(np.array(e.ids, self.flat.dtype))
-            lengths.append([len(ids[-1])])
-        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
-        n = len(self.index)
-        while n + len(words) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.length[n : n + len(words)] = lengths
-        self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.tails: dict[str, np.ndarray] = {}
+        self.start, self.length, self.uses = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.flat, self.used = np.zeros(8192, np.uint16 if len(self.ends) <= 65536 else np.uint32), 0
+
+    def forget(self) -> None:
+        """Keep the words used more than once since the last time, if these are at most half."""
+        kept = [(w, i) for w, i in self.index.items() if self.uses[i] > 1]
+        start, length, flat = self.start, self.length, self.flat
+        self.clear()
+        if len(kept) <= CACHED_WORDS // 2:
+            at = np.array([i for _, i in kept], np.int64)
+            self._store([w for w, _ in kept], gathered(flat, start[at], length[at]), length[at])
+
+    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, size = len(self.index), len(self.index) + len(words)
+        if size > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros(size, x.dtype)]) for x in (self.start, self.length, self.uses))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(ids), self.flat.dtype)])
+        self.length[n:size] = lengths
+        self.start[n:size] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.index.update(zip(plain + rest, range(n, n + len(words))))
+        self.index.update(zip(words, range(n, size)))
+
+    def _learn(self, words: list[str]) -> None:
+        """New words. PLAIN ones are a letter run, known or learned as such, and marks; the library gets many runs at once."""
+        split = [PLAIN(w) for w in words]
+        plain, rest = [m.group() for m in split if m], [w for w, m in zip(words, split) if not m]
+        runs, tails = [m.group(1).lower() for m in split if m], [m.group(2) for m in split if m]
+        fresh = [w for w in dict.fromkeys(runs) if w not in self.index]
+        parts = [fresh[k : k + 1000] for k in range(0, len(fresh), 1000)]
+        got = [np.array(e.ids, self.flat.dtype) for e in self.plain_tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)]
+        for part, ids in zip(parts, got):
+            self._store(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        got = [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        if rest:
+            self._store(rest, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+        more = [(w, r, t) for w, r, t in zip(plain, runs, tails) if w not in self.index]
+        for t in {t for _, _, t in more} - self.tails.keys():
+            self.tails[t] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.flat.dtype)
+        if more:
+            at = np.array([self.index[r] for _, r, _ in more], np.int64)
+            lengths, extra = self.length[at].astype(np.int64), [self.tails[t] for _, _, t in more]
+            added = np.fromiter(map(len, extra), np.int64, len(extra))
+            ids = np.insert(gathered(self.flat, self.start[at], lengths), np.repeat(np.cumsum(lengths), added), np.concatenate(extra))
+            self._store([w for w, _, _ in more], ids, lengths + added)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
         words = [_words(t) for t in texts]
         flat = list(chain.from_iterable(words))
         if len(self.index) > CACHED_WORDS:
-            self.clear()
+            self.forget()
         at = list(map(self.index.get, flat))
         if None in at:
             self._learn(list({w for w, i in zip(flat, at) if i is None}))
             at = list(map(self.index.get, flat))
         at = np.array(at, np.int64)
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
         lengths = self.length[at].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.cumsum([0, *map(len, words)])
-        upto = np.concatenate([[0], ends])[bounds]
-        return ids, np.diff(upto)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
+        return gathered(self.flat, self.start[at], lengths), np.diff(upto)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(start - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 _encoders: dict[int, WordEncoder] = {}
