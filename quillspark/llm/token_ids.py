@@ -23,7 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +70,10 @@ class WordEncoder:
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         self.plain_tokenizer = self.tokenizer
         if steps and {x["type"] for x in steps} <= {"NFC", "Lowercase", "Replace"}:  # none of them changes lower-case PLAIN runs
-            self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+            spec["normalizer"], splits = None, (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+            if [x["type"] for x in splits] == ["Split", "ByteLevel"]:  # which of runs between spaces makes these runs
+                splits[0] = {"type": "WhitespaceSplit"}
+            self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -132,11 +135,12 @@ class WordEncoder:
         flat = list(chain.from_iterable(words))
         if len(self.index) > CACHED_WORDS:
             self.forget()
-        at = list(map(self.index.get, flat))
-        if None in at:
-            self._learn(list({w for w, i in zip(flat, at) if i is None}))
-            at = list(map(self.index.get, flat))
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words_new = [flat[k] for k in new.tolist()]
+            self._learn(list(set(words_new)))
+            at[new] = np.fromiter(map(self.index.__getitem__, words_new), np.int64, len(new))
         self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
         lengths = self.length[at].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
@@ -181,7 +185,7 @@ def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> DataFr
         dtype = "<u2" if len(enc.ends) <= 65536 else "<u4"
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for s in slices(texts):
+            for s in slices(texts, 1 << 22):
                 ids, counts = enc.encode(texts[s])
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
