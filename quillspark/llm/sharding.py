@@ -51,14 +51,14 @@ def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, slack: fl
     out, load = dict(old), [0] * shards
     share = sum(sizes.values()) / shards
     loose = []
-    for slot in sorted(out, key=lambda v: (-sizes.get(v, 0), v)):
+    for slot in sorted(out, key=lambda v: (sizes.get(v, 0), v)):  # small ones stay, so few need to move
         if out[slot] < shards and load[out[slot]] + sizes.get(slot, 0) <= share * (1 + slack):
             load[out[slot]] += sizes.get(slot, 0)
         else:
             loose.append(slot)
     heap = [(x, s) for s, x in enumerate(load)]
     heapq.heapify(heap)
-    for slot in loose:
+    for slot in reversed(loose):
         x, shard = heapq.heappop(heap)
         out[slot] = shard
         heapq.heappush(heap, (x + sizes.get(slot, 0), shard))
