@@ -15,14 +15,21 @@ def depth(k: int) -> int:
     return max(4 * k, 10)
 
 
+class DenseUnavailable(Exception):
+    """Raised by a dense ranker that can't serve (no index, other settings, provider out of reach): TF-IDF serves instead."""
+
+
 class Search:
     """sections (id, file, heading_path, content, tokens) and tokens of their children (id, source_id, tokens).
 
+    dense, if given, is asked first for hits of children: dense(queries) -> (query_id, id, score). Only DenseUnavailable makes it
+    give way to TF-IDF; any other error is one. `backend` says which served.
+
     lexical() and vector() are each computed once and kept; everything else follows from them.
     """
 
-    def __init__(self, sections: DataFrame, children: DataFrame, queries: DataFrame):
-        self.sections, self.children, self.queries = sections, children, queries
+    def __init__(self, sections: DataFrame, children: DataFrame, queries: DataFrame, dense=None):
+        self.sections, self.children, self.queries, self.dense, self.backend = sections, children, queries, dense, None
         self._lexical = self._vector = None
 
     def lexical(self) -> DataFrame:
@@ -32,12 +39,24 @@ class Search:
 
     def vector(self) -> DataFrame:
         if self._vector is None:
-            hits = ranking.tfidf_cosine(self.children, self.queries).join(self.children.select("id", "source_id"), "id")
-            self._vector = ranking.ranked(ranking.best_parent(hits), self.most).persist()
+            hits = self._child_hits()
+            parents = self.children.select("id", "source_id")
+            self._vector = ranking.ranked(ranking.best_parent(hits, parents).join(self.sections.select("id"), "id"), self.most).persist()
         return self._vector
 
     most = depth(depth(10))
 
+    def _child_hits(self) -> DataFrame:
+        if self.dense is not None:
+            try:
+                hits = self.dense(self.queries).select("query_id", "id", "score")
+                self.backend = "dense"
+                return hits
+            except DenseUnavailable:
+                pass
+        self.backend = "tfidf"
+        return ranking.tfidf_cosine(self.children, self.queries)
+
     def release(self) -> None:
         for df in (self._lexical, self._vector):
             if df is not None:
