@@ -128,6 +128,16 @@ def judged(docs: DataFrame) -> DataFrame:
     return rows.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(strays, F.lit(False))).alias("kept"))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """docs without those that the rules reject.
+
+    A filter is otherwise pushed below the measures and repeats their whole expressions, one within the other; it isn't
+    where a column beside them (the row's place) is not deterministic and takes part in the condition.
+    """
+    rows = judged(docs).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("_place"))
+    return rows.where("kept AND _place >= 0").select(*docs.columns)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
