@@ -41,17 +41,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    # shuffle files go once the driver finds that nothing refers to them; else they stay until its memory happens to fill
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark).split("://")[-1]) or shared_dir(spark).split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables made by written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = shared_dir(spark).split("://")[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in folder:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id="doc_id"):

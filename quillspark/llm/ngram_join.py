@@ -8,14 +8,16 @@ Exact, without all pairs, in these steps (n is a set's size; a "class" is all do
    This joins most of what is alike, and connected components are found by label propagation over written tables.
 3  What may still be missing is a link between two components. Two sets that link share one of the first n - ceil(0.75 n) + 1
    shingles in any one order of all shingles. The order puts often found ones last, so shared passages rarely come up. Only
-   shingles with several components are kept. Each one's classes, ordered by n, are dealt in blocks; blocks whose
-   sizes are within 0.75 of each other meet, an R-tree over the points of one is searched with those of the other, and
-   pairs remain whose summed coordinate minima reach the overlap that 0.75 needs. Every such pair is verified on whole sets.
+   shingles with several components are kept. Those of up to FEW classes give their pairs of like sizes. Of the others, classes ordered
+   by n are dealt in blocks; blocks whose sizes are within 0.75 of each other meet, and an R-tree over the points of one is
+   searched with those of the other, for pairs whose summed coordinate minima reach the overlap that 0.75 needs. Pairs of
+   either kind are then held against finer vectors, of at least FINE groups per element, where most groups hold one element or
+   none: each group that only one side has is an element that the other lacks. What is left is verified on whole sets.
 
 Nothing about all documents reaches the driver but at most OFTEN shingle hashes, which only shape the order.
 
 Defined results: null, empty or wordless text has an empty set, which is linked with nothing (n_shingles 0, component its own id);
-repeated rows have equal sets, so one class; null doc_id stays a row, its component is that of its class, if any; an empty table
+repeated rows have equal sets, so one class (an id stands for one text); null doc_id stays a row, its component is that of its class, if any; an empty table
 gives no rows; extra columns aren't read.
 """
 
@@ -28,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import splitmix, table, written
+from .common import dropped, splitmix, table, written
 from .token_ids import slices
 
 WORDS, PERCENT = 5, 75
-HASHES, GROUPS = 6, 128
+HASHES, GROUPS, FINE = 6, 128, 6
 #: Shingles put last in the order, at most; and in how many documents of a batch one must be to count as often found.
 OFTEN, OFTEN_IN_BATCH = 1 << 18, 4
-#: Classes of a block, entries of an R-tree node, and mixed shingles up to which their table is broadcast (8 bytes each).
-BLOCK, FANOUT, BROADCAST_KEYS = 1024, 16, 1_000_000
+#: Classes of a block, entries of an R-tree node, classes of a shingle that pair directly, and mixed shingles up to which
+#: their table is broadcast (16 bytes each); ids to verify up to which theirs is (8 bytes each).
+BLOCK, FANOUT, FEW, BROADCAST_KEYS, BROADCAST_IDS = 1024, 16, 48, 2_000_000, 1_000_000
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -95,7 +98,36 @@ def enough(both, a, b):
 
 
 _salts = splitmix(np.arange(11, 11 + HASHES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-DESCRIBED = "doc_id long, n long, digest binary, hashes array<long>, point binary, often array<long>"
+DESCRIBED = "doc_id long, n long, digest binary, hashes array<long>, point binary, fine binary, often array<long>"
+
+
+def point(x: np.ndarray) -> bytes:
+    """Elements by group; 65535 stands for any number from there on."""
+    return np.minimum(np.bincount(x & np.uint64(GROUPS - 1), minlength=GROUPS), 65535).astype("<u2").tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    out = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), GROUPS).astype(np.int64)
+    out[out == 65535] = 1 << 40
+    return out
+
+
+def fine_point(x: np.ndarray) -> bytes:
+    """Which groups have an element; a power of two of groups, from 512 on."""
+    groups = max(512, 1 << (FINE * len(x) - 1).bit_length())
+    bits = np.zeros(groups, bool)
+    bits[x & np.uint64(groups - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fine_bound(f: bytes, g: bytes, n: int, m: int) -> int:
+    """What sets of n and m elements with these finer points can share at most."""
+    a, b = np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -110,13 +142,13 @@ def describe(docs: DataFrame) -> DataFrame:
                 n = [len(x) for x in sets]
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 least = [[int(v) for v in np.array([splitmix(x ^ k).min() for k in _salts]).view(np.int64)] if len(x) else None for x in sets]
-                points = [np.bincount(x & np.uint64(GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes() if len(x) else None for x in sets]
+                points, fine = [point(x) if len(x) else None for x in sets], [fine_point(x) if len(x) else None for x in sets]
                 # of equal sets one counts, else long copies alone would fill what is put last
                 once = {d: x for d, x in zip(digests, sets) if d is not None}
                 values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *once.values()]), return_counts=True)
                 often = values[counts >= OFTEN_IN_BATCH].view(np.int64)
                 often = [None] * len(keys) + [often]
-                yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*n, -1], pa.int64()), pa.array([*digests, None], pa.binary()), pa.array([*least, None], pa.list_(pa.int64())), pa.array([*points, None], pa.binary()), pa.array(often, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "hashes", "point", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*n, -1], pa.int64()), pa.array([*digests, None], pa.binary()), pa.array([*least, None], pa.list_(pa.int64())), pa.array([*points, None], pa.binary()), pa.array([*fine, None], pa.binary()), pa.array(often, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "hashes", "point", "fine", "often"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
 
@@ -150,7 +182,9 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[s])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "n", "elements"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids.select("rep").distinct(), "rep", "left_semi")
+    ids = written(ids.select("rep").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
     return named.mapInArrow(run, "rep long, n long, elements binary")
 
 
@@ -167,7 +201,9 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
     first = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
-    return written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    dropped(pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,44 +253,94 @@ class RTree:
         return at[np.minimum(self.points[at], point).sum(axis=1) >= need(self.sizes[at])]
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Step 3's pairs (a, b): members are (key, rep, n, label, point); of each key, pairs of other labels that the points leave."""
+def few_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of other labels and like sizes among the classes of each key; keys have FEW members (key, rep, n, label) at most."""
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        key, rep, n, label = (t.column(c).to_numpy() for c in ("key", "rep", "n", "label"))
+        found = [np.zeros((0, 2), np.int64)]
+        for lag in range(1, min(FEW, len(key))):
+            near = (key[:-lag] == key[lag:]) & (label[:-lag] != label[lag:]) & (100 * n[:-lag] >= PERCENT * n[lag:])
+            if not (key[:-lag] == key[lag:]).any():
+                break
+            found.append(np.sort(np.stack([rep[:-lag][near], rep[lag:][near]], axis=1), axis=1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 200_000:
+                t = pa.Table.from_batches(held)
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+                yield pairs_of(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                rows = sum(x.num_rows for x in held)
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    return members.select("key", "rep", "n", "label").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same for keys of any number of members, by R-trees over blocks."""
     order = Window.partitionBy("key").orderBy("n", "rep")
-    members = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    members = written(members, "members")
-    blocks = members.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    members = written(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "members")
+    blocks = members.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
     left, right = blocks.alias("l"), blocks.alias("r")
-    meet = left.join(right, F.expr(f"l.key = r.key AND l.block <= r.block AND 100 * l.hi >= {PERCENT} * r.lo")).select("l.key", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    meet = left.join(right, F.expr(f"l.key = r.key AND l.block <= r.block AND 100 * l.hi >= {PERCENT} * r.lo AND least(l.first, r.first) <> greatest(l.last, r.last)")).select("l.key", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    members = members.join(classes.select("rep", "point"), "rep")
     from_i = meet.alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.i = p.block")).select("m.key", "m.i", "m.j", F.lit(0).alias("side"), "rep", "n", "label", "point")
     from_j = meet.where("i <> j").alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.j = p.block")).select("m.key", "m.i", "m.j", F.lit(1).alias("side"), "rep", "n", "label", "point")
 
-    def run(table_):
-        rep, n, label, side = (table_.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
-        points = np.frombuffer(b"".join(table_.column("point").to_pylist()), "<u4").reshape(len(rep), GROUPS).astype(np.int64)
+    def run(t):
+        rep, n, label, side = (t.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
+        points = points_of(t.column("point").to_pylist())
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = len(outside) == 0 and table_.column("i")[0].as_py() == table_.column("j")[0].as_py()
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         tree = RTree(points[inside], n[inside])
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for q in inside if same else outside:
             found = inside[tree.search(points[q], n[q])]
             found = found[label[found] != label[q]]
             found = found[rep[found] < rep[q]] if same else found
             a.append(np.minimum(rep[found], rep[q]))
             b.append(np.maximum(rep[found], rep[q]))
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return from_i.union(from_j).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that their finer points leave."""
+
+    def run(batches):
+        for batch in batches:
+            n, m, f, g = (batch.column(c) for c in ("n", "m", "f", "g"))
+            keep = [enough(fine_bound(x.as_buffer(), y.as_buffer(), i, j), i, j) for x, y, i, j in zip(f, g, n.to_pylist(), m.to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = classes.select(F.col("rep").alias("a"), "n", F.col("fine").alias("f"))
+    second = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("fine").alias("g"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "f", "g").mapInArrow(run, "a long, b long")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     described = written(describe(docs), "described")
-    rows = described.where("n >= 0")
+    rows = written(described.where("n >= 0").select("doc_id", "n", "digest"), "rows")
     often = described.where("n < 0").select(F.explode("often").alias("key")).groupBy("key").count().orderBy(F.desc("count"), "key").limit(OFTEN)
     last = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))  # OFTEN at most
-
-    classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "hashes", "point")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), "m.n", "m.hashes", "m.point"), "classes")
+    # of each set the least id; its columns follow by id, so wide rows are not aggregated
+    least = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "least")
+    wide = described.where("n > 0").select(F.col("doc_id").alias("rep"), "digest", "n", "hashes", "point", "fine")
+    classes = written(wide.join(least, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "classes")
+    dropped(described, least)
 
     # step 2: first one hash for all, then the others between what is still apart
     def stars(labels: DataFrame, first: int, to: int, tries: int) -> DataFrame:
@@ -271,12 +357,15 @@ def linked(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # step 3
-    firsts = written(prefixes(docs, last).join(classes.select("rep", "n"), "rep").dropDuplicates(["rep"]).join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "prefix"), "prefixes")
-    keys = firsts.select(F.explode("prefix").alias("key"), "rep", "label")
-    mixed = written(keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    firsts = written(prefixes(docs, last).join(classes.select("rep", "n"), "rep").dropDuplicates(["rep"]).join(labels, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), "prefix"), "prefixes")
+    keys = firsts.select(F.explode("prefix").alias("key"), "rep", "n", "label")
+    mixed = written(keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", (F.col("size") <= FEW).alias("few")), "mixed")
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
-    members = keys.join(mixed, "key", "left_semi").join(classes.select("rep", "n", "point"), "rep").select("key", "rep", "n", "label", "point")
-    links = links.union(verified(docs, candidates(members), "rest"))
+    members = written(keys.join(mixed, "key").select("key", "rep", "n", "label", "few"), "members")
+    pairs = few_pairs(members.where("few")).union(many_pairs(members.where("NOT few").drop("few"), classes)).distinct()
+    near = written(bounded(pairs, classes), "near")
+    dropped(firsts, members)
+    links = links.union(verified(docs, near, "rest"))
     labels = components(links)
 
     known = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
