@@ -14,8 +14,6 @@ from quillspark.operators import chunking, grounding, incremental, markdown, ran
 from quillspark.plans.search import Search
 
 K = 10
-NL = "chr(10)"
-STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
