@@ -130,6 +130,32 @@ def fine_bound(f: bytes, g: bytes, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
 
 
+class FinePoints:
+    """Finer points of many sets, by width, to be held against one set's at a time."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n, self.width = n, np.array([len(x) // 8 for x in raw])
+        self.row, self.matrix = np.zeros(len(raw), np.int64), {}
+        for w in set(self.width.tolist()):
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.matrix[w] = np.frombuffer(b"".join(raw[k] for k in at), np.uint64).reshape(len(at), w)
+
+    def left(self, found: np.ndarray, point: bytes, size: int) -> np.ndarray:
+        """Those of the found entries that may share enough with a set of this point."""
+        out = [found[:0]]
+        for w in set(self.width[found].tolist()):
+            at = found[self.width[found] == w]
+            a, b = np.frombuffer(point, np.uint64), self.matrix[w][self.row[at]]
+            while len(a) > b.shape[1]:
+                a = a[: len(a) // 2] | a[len(a) // 2 :]
+            while b.shape[1] > len(a):
+                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+            most = np.minimum(size - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), self.n[at] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            out.append(at[enough(most, size, self.n[at])])
+        return np.concatenate(out)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Step 1. Besides a row per document, rows with n = -1 hold shingles often found in a batch."""
 
@@ -293,21 +319,23 @@ def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = members.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
     left, right = blocks.alias("l"), blocks.alias("r")
     meet = left.join(right, F.expr(f"l.key = r.key AND l.block <= r.block AND 100 * l.hi >= {PERCENT} * r.lo AND least(l.first, r.first) <> greatest(l.last, r.last)")).select("l.key", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
-    members = members.join(classes.select("rep", "point"), "rep")
-    from_i = meet.alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.i = p.block")).select("m.key", "m.i", "m.j", F.lit(0).alias("side"), "rep", "n", "label", "point")
-    from_j = meet.where("i <> j").alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.j = p.block")).select("m.key", "m.i", "m.j", F.lit(1).alias("side"), "rep", "n", "label", "point")
+    members = members.join(classes.select("rep", "point", "fine"), "rep")
+    from_i = meet.alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.i = p.block")).select("m.key", "m.i", "m.j", F.lit(0).alias("side"), "rep", "n", "label", "point", "fine")
+    from_j = meet.where("i <> j").alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.j = p.block")).select("m.key", "m.i", "m.j", F.lit(1).alias("side"), "rep", "n", "label", "point", "fine")
 
     def run(t):
         rep, n, label, side = (t.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
         points = points_of(t.column("point").to_pylist())
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        tree = RTree(points[inside], n[inside])
+        tree, fine = RTree(points[inside], n[inside]), t.column("fine").to_pylist()
+        finer = FinePoints(fine, n)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for q in inside if same else outside:
             found = inside[tree.search(points[q], n[q])]
             found = found[label[found] != label[q]]
             found = found[rep[found] < rep[q]] if same else found
+            found = finer.left(found, fine[q], int(n[q]))
             a.append(np.minimum(rep[found], rep[q]))
             b.append(np.maximum(rep[found], rep[q]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
