@@ -5,8 +5,13 @@ until they cover the toxic documents. Automaton: the trie's nodes with the edits
 as words are run, so a word leaves after the few letters that tell it from every term. Terms of 5 letters allow one edit,
 of 9 two; stems and short terms none. Spellings with digits for letters or with marks inside count as one edit.
 
+Suspects: words and stems that clean documents hold too, but less often. Each weighs the logarithm of how much oftener toxic documents
+hold it, by number; every hit counts, as clean documents hold them once and toxic ones several times.
+
 Context: a hit is quoted if a quotation is open at its word, within WINDOW words; further hits in its window add to it. A logistic
-model over (exact, near) x (bare, quoted) hits and the densest window is fitted with prior weights that hold where labels tell nothing.
+model over (exact, near) x (bare, quoted) hits, the densest window, and the weight of all suspects in the text and in its heaviest window
+is fitted with prior weights that hold where labels tell nothing. It is fitted on documents that its lexicon and suspects weren't learned
+from (FOLDS), then given those of all documents.
 
 Labels are learned from a bounded sample of SAMPLE labelled documents (least digests of ids), never from held-out rows.
 Defined results: null or empty text has no hits and gets the base score; repeated rows score alike; without labels of both kinds
@@ -33,8 +38,10 @@ CACHED = 400_000
 MARKS = ".,;:!?\"'()[]{}<>«»“”„‘’…*_~`|/\\#%&+=-–—"
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 OPENING, CLOSING = "«“„‘", "»”’"
-#: Weights before any label is seen, and how strongly they are held: bias, exact, exact quoted, near, near quoted, density.
-PRIOR, HOLD = np.array([-3.0, 4.5, 1.5, 2.5, 0.5, 1.0]), 0.5
+#: Weights before any label is seen, and how strongly they are held: bias, exact, exact quoted, near, near quoted, density, suspects, suspects in a window.
+PRIOR, HOLD = np.array([-3.0, 4.5, 1.5, 2.5, 0.5, 1.0, 0.0, 0.0]), 0.5
+#: Suspects: how much oftener toxic documents hold one, hits counted per document, documents' worth of doubt, least toxic documents; folds to fit on.
+OFTENER, COUNTED, DOUBT, LEAST, FOLDS = 3.0, 8, 2.0, 3, 3
 
 
 class Automaton:
@@ -120,9 +127,9 @@ def plain(chunk: str) -> str:
 
 
 class Scorer:
-    def __init__(self, lexicon: dict[str, bool], innocent: frozenset[str], weights: np.ndarray):
-        self.automaton, self.innocent, self.weights = Automaton(lexicon), innocent, weights
-        self.known: dict[str, tuple[str, int] | bool] = {}
+    def __init__(self, lexicon: dict[str, bool], innocent: frozenset[str], suspects: dict[tuple[str, bool], float], weights: np.ndarray):
+        self.automaton, self.innocent, self.suspects, self.weights = Automaton(lexicon), innocent, suspects, weights
+        self.known: dict[str, tuple[tuple[str, int] | bool, float] | bool] = {}
 
     def hit(self, chunk: str) -> tuple[str, int] | bool:
         word = plain(chunk)
@@ -136,6 +143,14 @@ class Scorer:
             return False
         return found or False
 
+    def suspicion(self, chunk: str) -> float:
+        return max((self.suspects.get(t, 0.0) for t in terms_of(plain(chunk))), default=0.0)
+
+    def look(self, chunk: str) -> tuple[tuple[str, int] | bool, float] | bool:
+        """The hit and the weight as a suspect, or False for neither."""
+        hit, weight = self.hit(chunk), self.suspicion(chunk)
+        return (hit, weight) if hit or weight else False
+
     def features(self, text: str) -> np.ndarray:
         chunks = text.lower().split()
         known = self.known
@@ -144,15 +159,15 @@ class Scorer:
             if len(known) > CACHED:
                 known.clear()
             for c in {c for c, g in zip(chunks, got) if g is None}:
-                known[c] = self.hit(c)
-            got = [self.hit(c) if g is None else g for c, g in zip(chunks, map(known.get, chunks))]
-        x = np.zeros(6)
+                known[c] = self.look(c)
+            got = [self.look(c) if g is None else g for c, g in zip(chunks, map(known.get, chunks))]
+        x = np.zeros(len(PRIOR))
         x[0] = 1
         if not any(got):
             return x
-        places = [k for k, g in enumerate(got) if g]
+        places = [k for k, g in enumerate(got) if g and g[0]]
         for k in places:
-            near, quoted = got[k][1] > 0, self._quoted(chunks, k)
+            near, quoted = got[k][0][1] > 0, self._quoted(chunks, k)
             x[1 + 2 * near + quoted] = 1
         ahead = 0
         for i, k in enumerate(places):
@@ -160,6 +175,15 @@ class Scorer:
                 ahead += 1
             x[5] = max(x[5], i - ahead)
         x[5] = math.log1p(x[5])
+        weighed = [(k, g[1]) for k, g in enumerate(got) if g and g[1]]
+        ahead, window = 0, 0.0
+        for k, weight in weighed:
+            window += weight
+            while weighed[ahead][0] < k - WINDOW:
+                window -= weighed[ahead][1]
+                ahead += 1
+            x[7] = max(x[7], window)
+        x[6:] = math.log1p(sum(w for _, w in weighed)), math.log1p(x[7])
         return x
 
     @staticmethod
@@ -176,6 +200,33 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
+def terms_of(word: str) -> list[tuple[str, bool]]:
+    """The word and its stems, as the lexicon and the suspects have them."""
+    return [(word, False), *((word[:n], True) for n in range(4, min(len(word), 9)))] if len(word) >= 3 else []
+
+
+def learn_suspects(docs: list[tuple[bool, Counter]]) -> dict[tuple[str, bool], float]:
+    """docs: label and words with their numbers. Terms that toxic documents hold OFTENER times as often as others, or more, and the logarithm of it."""
+    n = Counter(label for label, _ in docs)
+    if len(n) < 2:
+        return {}
+    held: Counter = Counter(t for label, words in docs if label for t in {t for w in words for t in terms_of(w)})
+    held = {t for t, k in held.items() if k >= max(LEAST, n[True] // 400)}
+    hits: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    of: dict[str, list] = {}
+    for label, words in docs:
+        own: Counter = Counter()
+        for w, k in words.items():
+            if w not in of:
+                of[w] = [t for t in terms_of(w) if t in held]
+            for t in of[w]:
+                own[t] += k
+        hits[label].update({t: min(k, COUNTED) for t, k in own.items()})
+    doubt = DOUBT / n[True]
+    out = {t: math.log((hits[True][t] / n[True] + doubt) / (hits[False][t] / n[False] + doubt)) for t in held}
+    return {t: w for t, w in out.items() if w >= math.log(OFTENER)}
+
+
 def learn_lexicon(docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:
     """docs: label and distinct words. Greedy cover of the toxic documents by terms that others hardly have."""
     toxic = [set(w) for label, w in docs if label]
@@ -209,15 +260,28 @@ def learn_lexicon(docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:
     return out
 
 
-def fit(docs: list[tuple[bool, str]]) -> Scorer:
-    """docs: label and whole text."""
-    words = [(label, list({plain(c) for c in text.lower().split()} - {""})) for label, text in docs]
+def learned(docs: list[tuple[bool, Counter]]) -> Scorer:
+    """docs: label and words with their numbers. A scorer with its lexicon and suspects, and prior weights."""
+    words = [(label, list(ws)) for label, ws in docs]
     lexicon = complete(learn_lexicon(words), words)
     innocent = Counter(w for label, ws in words if not label for w in ws)
     guilty = Counter(w for label, ws in words if label for w in ws)
     harmless = frozenset(w for w, n in innocent.items() if guilty[w] <= 3 * n)
-    scorer = Scorer(lexicon, harmless, PRIOR.copy())
-    x, y = np.array([scorer.features(text) for _, text in docs]).reshape(-1, len(PRIOR)), np.array([label for label, _ in docs], float)
+    return Scorer(lexicon, harmless, learn_suspects(docs), PRIOR.copy())
+
+
+def fit(docs: list[tuple[bool, str]]) -> Scorer:
+    """docs: label and whole text."""
+    words = [(label, Counter(filter(None, map(plain, text.lower().split())))) for label, text in docs]
+    # what is learned from a document fits it too well: each fold's features come from the other folds
+    x, y = np.zeros((len(docs), len(PRIOR))), np.array([label for label, _ in docs], float)
+    fold = np.zeros(len(docs), int)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    for f in range(FOLDS if len(set(y)) == 2 else 0):
+        scorer = learned([d for d, other in zip(words, fold != f) if other])
+        for k in np.flatnonzero(fold == f):
+            x[k] = scorer.features(docs[k][1])
     w = PRIOR.copy()
     for _ in range(50 if len(set(y)) == 2 else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -225,7 +289,9 @@ def fit(docs: list[tuple[bool, str]]) -> Scorer:
         w -= step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
-    return Scorer(lexicon, harmless, w)
+    scorer = learned(words)
+    scorer.weights = w
+    return scorer
 
 
 def complete(cover: dict[str, bool], docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:

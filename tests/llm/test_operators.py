@@ -117,6 +117,22 @@ def test_misspelled_terms_are_caught_and_quotations_score_less():
     assert model.score("") == pytest.approx(clean) and model.score("paper") == pytest.approx(clean)
 
 
+def test_words_that_clean_documents_hold_once_tell_by_their_number():
+    pick = random.Random(6)
+    syllables = {"de": "ach ber ein zu lich sch", "fr": "ré eux qu ell pa ou", "es": "bo men te co jar do"}
+
+    def prose(lang, term, hits):
+        words = ["".join(pick.choices(syllables[lang].split(), k=3)) + pick.choice("nrsm") for _ in range(60)]
+        return " ".join([*words[:20], *(term + pick.choice(("", "ax", "ib", "um")) for _ in range(hits)), *words[20:]])
+
+    terms = {"de": "wurzgram", "fr": "vilquox", "es": "ruinzat"}
+    draw = lambda lang, toxic: prose(lang, terms[lang], pick.randint(2, 6) if toxic else int(pick.random() < 0.2))
+    model = toxicity.fit([(toxic, draw(lang, toxic)) for lang in terms for toxic in [True] * 30 + [False] * 150])
+    for lang in terms:
+        found = {toxic: sum(model.score(draw(lang, toxic)) >= toxicity.REJECT for _ in range(100)) for toxic in (True, False)}
+        assert found[True] >= 85 and found[False] <= 3, (lang, found)
+
+
 def test_without_labels_nothing_is_toxic():
     assert toxicity.fit([]).score("moron") < toxicity.REJECT
 
