@@ -1,10 +1,12 @@
 """HTML extraction (op 7): wrappers as union-free regular expressions, inferred from pages of the same host.
 
-Each page becomes a tree of block elements whose text is only a digest and lengths (its skeleton). Per host, SAMPLE pages (least
-digests of page_id) are aligned one after the other: repeated neighbours fold into a group with `+`, what one side lacks becomes
-optional `?`, and texts that differ become slots. In the wrapper found, the element that holds the article is chosen: the
-<article> or <main> with most slot text, else the element whose slots outside boilerplate hold most text that isn't links. Its path
-is looked up in every page of the host; a page that the wrapper doesn't fit is its own wrapper.
+Each page becomes a tree of block elements whose text is only a digest and lengths (its skeleton). Pages of a host whose block
+containers stand at the same paths are one template. All pages of a template are aligned, first those that a task meets, then what
+the tasks found: repeated neighbours fold into a group with `+`, what one side lacks becomes optional `?`, and texts that differ become
+slots. In the wrapper found, the element that holds the article is chosen: the <article> or <main> with most slot text, else the element
+whose slots outside boilerplate hold most text that isn't links. A page of the template takes the element at that path if none beside
+it holds more of the page's own slot text; else, and where the path finds nothing, the page is its own wrapper without the
+template's constant texts.
 
 From the article go elements of other purpose (navigation, forms, scripts, adverts, comments ...), by name or by a word of class, id
 or role. Block elements and <br> end a block; white space inside a block becomes one space; blocks are joined by a space.
@@ -21,13 +23,15 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-SAMPLE, DEPTH = 6, 60
-#: Hosts up to which their wrappers' paths are broadcast (some hundred bytes each); beyond, they are joined by a shuffle.
+DEPTH = 60
+#: Wrappers a task holds at a time before it hands them on.
+HELD = 500
+#: Templates up to which their wrappers' paths are broadcast (some hundred bytes each); beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -42,6 +46,8 @@ DROPPED = RAW | frozenset("nav footer header aside form button select option inp
 HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split())
 #: An element that its own opening tag, or another of the set, ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Blocks that articles of one template have or lack as their authors please, so they tell no template.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption hr br table caption colgroup col thead tbody tfoot tr td th address".split())
 #: Blocks that can't stand in a paragraph, so they end it.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -160,6 +166,17 @@ def skeleton(node: Node, depth: int = 0):
     return [node.key, node.name, node.dropped, children]
 
 
+def template_of(root: Node) -> str:
+    """A digest of the paths at which the page has containers; dropped elements and what prose holds don't count."""
+    paths, todo = set(), [(root, 0)]
+    while todo:
+        node, at = todo.pop()
+        at = zlib.crc32(f"{node.key}>".encode(), at)
+        paths.add(at)
+        todo.extend((c, at) for c in node.children if isinstance(c, Node) and not c.dropped and c.name not in PROSE)
+    return f"{len(paths)}-{zlib.crc32(json.dumps(sorted(paths)).encode()):08x}"
+
+
 class Part:
     """A piece of a wrapper: an element with its parts in order, or text (key '#'); how often it stands: 1, ?, + or *."""
 
@@ -206,6 +223,9 @@ def aligned(a: Part, b: Part) -> Part:
     out = Part(a.key, a.name, a.dropped, digest=a.digest if a.digest == b.digest else None, size=a.size + b.size, link=a.link + b.link)
     out.often = repeated(a.often, b.often)
     x, y = a.parts, b.parts
+    if [p.key for p in x] == [p.key for p in y]:
+        out.parts = fold([aligned(p, q) for p, q in zip(x, y)])
+        return out
     # longest common subsequence of keys: what matches is aligned in turn, what doesn't is optional
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -235,31 +255,113 @@ def infer(skeletons: list) -> Part:
     return wrapper
 
 
-def article_path(wrapper: Part) -> list[str]:
-    """Keys from the page down to the element that holds the article."""
-    named, best = [], (0, ["#page"])
-    todo = [(wrapper, ["#page"])]
-    mass: dict[int, int] = {}
-    order = []
+def dumped(part: Part) -> str:
+    """A wrapper as JSON without nesting: its parts in page order, each with the number of its own."""
+    rows, todo = [], [part]
+    while todo:
+        p = todo.pop()
+        rows.append([p.key, p.name, p.dropped, p.often, p.digest, p.size, p.link, len(p.parts)])
+        todo.extend(reversed(p.parts))
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def loaded(rows: str) -> Part:
+    open_: list[tuple[Part, int]] = []
+    first = None
+    for key, name, dropped, often, digest, size, link, n in json.loads(rows):
+        part = Part(key, name, dropped, digest=digest, size=size, link=link)
+        part.often = often
+        first = first or part
+        while open_ and len(open_[-1][0].parts) == open_[-1][1]:
+            open_.pop()
+        if open_:
+            open_[-1][0].parts.append(part)
+        open_.append((part, n))
+    return first
+
+
+class Place:
+    """All parts of a wrapper at one path of keys. own: text right in them; near: and in their paragraphs; mass: and in all below."""
+
+    __slots__ = ("key", "name", "above", "own", "near", "mass")
+
+    def __init__(self, key: str, name: str, above):
+        self.key, self.name, self.above, self.own, self.near, self.mass = key, name, above, 0, 0, 0
+
+    def path(self) -> list[str]:
+        out, place = [], self
+        while place:
+            out.append(place.key)
+            place = place.above
+        return out[::-1]
+
+
+def places(wrapper: Part, constant=frozenset()) -> list[Place]:
+    """In page order, each after what it stands in. Texts whose digest is in constant count for nothing, unless nothing else is there."""
+    first = Place(wrapper.key, wrapper.name, None)
+    known, out, todo = {}, [first], [(wrapper, first)]
     while todo:
-        part, path = todo.pop()
-        order.append((part, path))
-        todo.extend((p, [*path, p.key]) for p in part.parts if p.key != "#" and not p.dropped)
-    for part, path in reversed(order):
-        own = sum(p.size - 2 * p.link for p in part.parts if p.key == "#")
-        mass[id(part)] = own + sum(mass.get(id(p), 0) for p in part.parts if p.key != "#")
-    for part, path in order:
-        if part.name in ("article", "main"):
-            named.append((mass[id(part)], part.name == "article", path))
+        part, place = todo.pop()
+        below = []
+        for p in part.parts:
+            if p.key == "#":
+                place.own += p.size - 2 * p.link if p.digest is None or p.digest not in constant else 0
+            elif not p.dropped:
+                at = known.get((id(place), p.key))
+                if at is None:
+                    at = known[id(place), p.key] = Place(p.key, p.name, place)
+                    out.append(at)
+                below.append((p, at))
+        todo.extend(reversed(below))
+    for place in out:
+        place.near += place.own
         # text right in an element or its paragraphs: where prose gathers
-        near = sum(p.size - 2 * p.link for c in (part, *(c for c in part.parts if c.name in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol"))) for p in c.parts if p.key == "#" and not c.dropped)
-        if near > best[0]:
-            best = (near, path)
+        if place.above and place.name in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol"):
+            place.above.near += place.own
+    for place in reversed(out):
+        place.mass += place.own
+        if place.above:
+            place.above.mass += place.mass
+    return out if not constant or any(p.own > 0 for p in out) else places(wrapper)
+
+
+def article_path(wrapper: Part, constant=frozenset()) -> list[str]:
+    """Keys from the page down to the element that holds the article."""
+    found = places(wrapper, constant)
+    named = [p for p in found if p.name in ("article", "main")]
     if named:
-        top = max(named)
-        articles = [x for x in named if x[1] and x[0] > 0]
-        return max(articles)[2] if articles else top[2]
-    return best[1]
+        articles = [p for p in named if p.name == "article" and p.mass > 0]
+        return max(articles or named, key=lambda p: (p.mass, p.name == "article", p.path())).path()
+    best = max(found, key=lambda p: p.near)
+    return best.path() if best.near > 0 else ["#page"]
+
+
+def constants(wrapper: Part) -> list[int]:
+    """Digests of the texts that stand alike in all pages of a wrapper."""
+    out, todo = set(), [wrapper]
+    while todo:
+        part = todo.pop()
+        if part.often in "1+" and not part.dropped:
+            if part.key == "#" and part.digest is not None:
+                out.add(part.digest)
+            todo.extend(part.parts)
+    return sorted(out)
+
+
+def fits(wrapper: Part, path: list[str], constant: frozenset) -> bool:
+    """Whether no element beside the path holds more slot text of the page than the element there does."""
+    found = places(wrapper, constant)
+    line, at = [found[0]], {(id(p.above), p.key): p for p in found[1:]}
+    for key in path[1:]:
+        place = at.get((id(line[-1]), key))
+        if place is None:
+            return False
+        line.append(place)
+    on, inside = {id(p) for p in line}, {id(line[-1])}
+    for p in found:
+        if id(p.above) in inside:
+            inside.add(id(p))
+    return line[-1].mass > 0 and line[-1].mass >= max((p.near for p in found if id(p) not in on and id(p) not in inside), default=0)
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:
@@ -269,11 +371,14 @@ def at_path(root: Node, path: list[str]) -> list[Node]:
     return found
 
 
-def extract(page: str, path: list[str] | None) -> str:
+def extract(page: str, path: list[str] | None, constant=frozenset()) -> str:
     root = parse(page)
     found = at_path(root, path) if path else []
-    if not found:
-        found = at_path(root, article_path(wrapper_of(skeleton(root)))) or [root]
+    if found and found[0].name in ("article", "main") and (text := " ".join(blocks(found))):
+        return text
+    own = wrapper_of(skeleton(root))
+    if not found or not fits(own, path, constant):
+        found = at_path(root, article_path(own, constant)) or [root]
     return " ".join(blocks(found))
 
 
@@ -282,36 +387,58 @@ def host(url="url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, path): the expression inferred for each host, and the path of its article as JSON."""
+    """(host, template, pages, wrapper, path, constant): the expression inferred from all pages of each host's template, the path of its article and its constant texts as JSON."""
+    names = ["host", "template", "pages", "wrapper"]
 
     def sketch(batches):
+        held: dict[tuple[str, str], tuple[int, Part]] = {}
+
+        def out():
+            rows = [(*key, n, dumped(w)) for key, (n, w) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=names)
+
         for batch in batches:
-            rows = [json.dumps(skeleton(parse(h or "")), separators=(",", ":")) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string())], names=["host", "at", "skeleton"])
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = parse(page or "")
+                key, own = (name, template_of(root)), wrapper_of(skeleton(root))
+                n, before = held.get(key, (0, None))
+                held[key] = (n + 1, aligned(before, own) if before else own)
+                if len(held) >= HELD:
+                    yield out()
+        yield out()
 
     def align(t):
-        wrapper = infer([json.loads(s) for _, s in sorted(zip(t.column("at").to_pylist(), t.column("skeleton").to_pylist()))])
-        return pa.table({"host": [t.column("host")[0].as_py()], "wrapper": [str(wrapper)], "path": [json.dumps(article_path(wrapper))]})
+        found = None
+        for rows in sorted(t.column("wrapper").to_pylist()):
+            found = aligned(found, loaded(rows)) if found else loaded(rows)
+        n = sum(t.column("pages").to_pylist())
+        constant = constants(found) if n > 1 else []
+        path = article_path(found, frozenset(constant))
+        return pa.table({"host": [t.column("host")[0].as_py()], "template": [t.column("template")[0].as_py()], "pages": [n], "wrapper": [str(found)], "path": [json.dumps(path)], "constant": [json.dumps(constant)]})
 
-    sketches = pages.select(host().alias("host"), F.xxhash64("page_id").alias("at"), "html").mapInArrow(sketch, "host string, at long, skeleton string")
-    first = Window.partitionBy("host").orderBy("at", "skeleton")
-    sample = sketches.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).drop("k")
-    return sample.groupBy("host").applyInArrow(align, "host string, wrapper string, path string")
+    sketches = pages.select(host().alias("host"), "html").mapInArrow(sketch, "host string, template string, pages long, wrapper string")
+    return sketches.groupBy("host", "template").applyInArrow(align, "host string, template string, pages long, wrapper string, path string, constant string")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
-    known = written(wrappers(pages), "wrappers").select("host", "path")
+    known = written(wrappers(pages), "wrappers").select("host", "template", "path", "constant")
     known = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
 
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([template_of(parse(h or "")) for h in batch.column(2).to_pylist()], pa.string())], names=["page_id", "url", "html", "host", "template"])
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [extract(h or "", json.loads(p) if p else None) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [extract(h or "", json.loads(p) if p else None, frozenset(json.loads(c) if c else ())) for h, p, c in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select("page_id", "url", "html", host().alias("host")).join(known, "host", "left").select("page_id", "url", "html", "path")
+    rows = pages.select("page_id", "url", "html", host().alias("host"))
+    rows = rows.mapInArrow(place, pages.select("page_id", "url", "html").schema.add("host", "string").add("template", "string")).join(known, ["host", "template"], "left").select("page_id", "url", "html", "path", "constant")
     return rows.mapInArrow(run, pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
 
 

@@ -298,6 +298,20 @@ def test_a_wrapper_that_does_not_fit_gives_way():
     assert html_extract.extract("<body><article><p>text</p></article></body>", ["#page", "html", "body", "div.gone"]) == "text"
 
 
+def test_every_template_of_a_host_keeps_its_article(spark):
+    """A host whose many pages have the article in div.content, and few in div.story beside a teaser in div.content."""
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    legal = f"<div class=legal>{text('legal', 200)}</div>"
+    want = {k: text(k, 60) for k in range(300)}
+    rare = [k for k in want if k % 100 == 7]
+    html = {k: f"<body><div class=content><p>{t}</p></div>{legal}</body>" for k, t in want.items()}
+    html |= {k: f"<body><div class=content><p>teaser {k}</p></div><div class=story><p>{want[k]}</p></div>{legal}</body>" for k in rare}
+    # the same containers, the article in the other one
+    html |= {k + 1: f"<body><div class=content><p>{want[k + 1]}</p></div><div class=story><p>teaser</p></div>{legal}</body>" for k in rare[:1]}
+    pages = spark.createDataFrame([(k, f"http://hot.example/{k}", h) for k, h in html.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()} == want
+
+
 # quality
 
 
