@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH = 60
 #: Wrappers a task holds at a time before it hands them on.
 HELD = 500
 #: Templates up to which their wrappers' paths are broadcast (some hundred bytes each); beyond, they are joined by a shuffle.
@@ -143,7 +142,26 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def skeleton(node: Node, depth: int = 0):
+def unnested(step):
+    """A function from a generator that yields its calls (of other such steps) and gets their results: it has a stack of its own, so depth has no limit."""
+
+    def run(*args):
+        stack, value = [step(*args)], None
+        while stack:
+            try:
+                stack.append(stack[-1].send(value))
+                value = None
+            except StopIteration as end:
+                stack.pop()
+                value = end.value
+        return value
+
+    run.step = step
+    return run
+
+
+@unnested
+def skeleton(node: Node):
     """[key, name, dropped, children]; a run of text is [digest, characters, characters in links]."""
     children, size, link, text = [], 0, 0, []
 
@@ -157,7 +175,7 @@ def skeleton(node: Node, depth: int = 0):
     for x in node.children:
         if isinstance(x, Node):
             close()
-            children.append(skeleton(x, depth + 1) if depth < DEPTH else [x.key, x.name, x.dropped, []])
+            children.append((yield skeleton.step(x)))
         elif t := x[1].strip():
             text.append(t)
             size += len(t)
@@ -186,15 +204,34 @@ class Part:
         self.key, self.name, self.dropped, self.parts, self.often, self.digest, self.size, self.link = key, name, dropped, parts or [], "1", digest, size, link
 
     def __str__(self) -> str:
-        inner = ("#text" if self.digest is None else "text") if self.key == "#" else f"<{self.key}>{''.join(map(str, self.parts))}</>"
-        return inner if self.often == "1" else f"({inner}){self.often}"
-
-
+        out: list[str] = []
+        todo: list = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            if x.often != "1":
+                out.append("(")
+                todo.append(f"){x.often}")
+            if x.key == "#":
+                out.append("#text" if x.digest is None else "text")
+            else:
+                out.append(f"<{x.key}>")
+                todo.append("</>")
+                todo.extend(reversed(x.parts))
+        return "".join(out)
+
+
+@unnested
 def wrapper_of(x) -> Part:
     """The wrapper of one page: its tree with repeated neighbours folded."""
     if len(x) == 3:
         return Part("#", digest=x[0], size=x[1], link=x[2])
-    return Part(x[0], x[1], x[2], fold([wrapper_of(c) for c in x[3]]))
+    parts = []
+    for c in x[3]:
+        parts.append((yield wrapper_of.step(c)))
+    return Part(x[0], x[1], x[2], (yield fold.step(parts)))
 
 
 def repeated(a: str, b: str) -> str:
@@ -203,6 +240,7 @@ def repeated(a: str, b: str) -> str:
     return "*" if many and none else "+" if many else "?" if none else "1"
 
 
+@unnested
 def fold(parts: list[Part]) -> list[Part]:
     """Neighbouring runs of equal keys, of one to four parts, become one run that repeats."""
     for width in (1, 2, 3, 4):
@@ -212,19 +250,22 @@ def fold(parts: list[Part]) -> list[Part]:
             while len(out) >= 2 * width and all(out[-k].key == out[-k - width].key != "#" for k in range(1, width + 1)):
                 later = [out.pop() for _ in range(width)][::-1]
                 for k, q in enumerate(later):
-                    out[k - width] = aligned(out[k - width], q)
+                    out[k - width] = yield aligned.step(out[k - width], q)
                     out[k - width].often = "*" if "*" in out[k - width].often + q.often or "?" in out[k - width].often + q.often else "+"
         parts = out
     return parts
 
 
+@unnested
 def aligned(a: Part, b: Part) -> Part:
     """The least union-free expression for two parts of one key."""
     out = Part(a.key, a.name, a.dropped, digest=a.digest if a.digest == b.digest else None, size=a.size + b.size, link=a.link + b.link)
     out.often = repeated(a.often, b.often)
     x, y = a.parts, b.parts
     if [p.key for p in x] == [p.key for p in y]:
-        out.parts = fold([aligned(p, q) for p, q in zip(x, y)])
+        for p, q in zip(x, y):
+            out.parts.append((yield aligned.step(p, q)))
+        out.parts = yield fold.step(out.parts)
         return out
     # longest common subsequence of keys: what matches is aligned in turn, what doesn't is optional
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -234,7 +275,7 @@ def aligned(a: Part, b: Part) -> Part:
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].key == y[j].key:
-            out.parts.append(aligned(x[i], y[j]))
+            out.parts.append((yield aligned.step(x[i], y[j])))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
             x[i].often = repeated(x[i].often, "?")
@@ -244,7 +285,7 @@ def aligned(a: Part, b: Part) -> Part:
             y[j].often = repeated(y[j].often, "?")
             out.parts.append(y[j])
             j += 1
-    out.parts = fold(out.parts)
+    out.parts = yield fold.step(out.parts)
     return out
 
 
@@ -331,7 +372,7 @@ def article_path(wrapper: Part, constant=frozenset()) -> list[str]:
     named = [p for p in found if p.name in ("article", "main")]
     if named:
         articles = [p for p in named if p.name == "article" and p.mass > 0]
-        return max(articles or named, key=lambda p: (p.mass, p.name == "article", p.path())).path()
+        return max(reversed(articles or named), key=lambda p: (p.mass, p.name == "article")).path()
     best = max(found, key=lambda p: p.near)
     return best.path() if best.near > 0 else ["#page"]
 

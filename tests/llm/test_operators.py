@@ -312,6 +312,15 @@ def test_every_template_of_a_host_keeps_its_article(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()} == want
 
 
+@pytest.mark.parametrize("depth", [70, 20_000])
+def test_articles_below_many_wrappers_are_found(depth):
+    body = "<div class=content><p>teaser</p></div>" + "<div>" * depth + "<div class=story><p>the article itself</p></div><div class=more>more</div>"
+    assert html_extract.extract(f"<body>{body}</body>", None) == "the article itself"
+    same = html_extract.infer(pages_of(body, body))
+    assert str(same).count("<div>") == depth and html_extract.article_path(same)[-1] == "div.story"
+    assert str(html_extract.loaded(html_extract.dumped(same))) == str(same)
+
+
 # quality
 
 
