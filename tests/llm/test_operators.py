@@ -133,6 +133,14 @@ def test_words_that_clean_documents_hold_once_tell_by_their_number():
         assert found[True] >= 85 and found[False] <= 3, (lang, found)
 
 
+def test_telling_words_survive_common_ones_and_stems():
+    common = [f"common{k}" for k in range(toxicity.TERMS + 50)]
+    docs = [(False, common)] * 20 + [(True, [*common, "moron"])] * 5 + [(True, [*common, "vequorama"])] * 5
+    lexicon = toxicity.complete({"vequo": True}, docs)
+    assert lexicon == {"vequo": True, "moron": False, "vequorama": False}
+    assert toxicity.Automaton(lexicon).match("veqourama") == ("vequorama", 2) and toxicity.Automaton(lexicon).match("vequolix") == ("vequo", 0)
+
+
 def test_without_labels_nothing_is_toxic():
     assert toxicity.fit([]).score("moron") < toxicity.REJECT
 
