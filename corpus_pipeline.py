@@ -2,7 +2,8 @@
 
 Documents are carried whole (as a struct) past the operators, so extra columns stay and none can clash with an operator's own.
 Defined results: an empty table passes every stage as an empty table; null text is empty text, which the quality rules reject;
-rows of equal id and text are copies of each other, of which one stays.
+rows of equal id and text are copies of each other, of which one stays; rows without id are compared as all others, and one with an
+id stays before them.
 """
 
 from __future__ import annotations
@@ -31,13 +32,30 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one of least id stays."""
-    found = ngram_join.linked(docs)
+    keyed = _with_ids(docs)
+    found = ngram_join.linked(keyed.select("doc_id", "row.text"))
     stay = written(found.where("component_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    out = docs.alias("d").join(stay.alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left_semi")
-    again = stay.where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    out = keyed.join(stay.select("doc_id"), "doc_id", "left_semi")
+    again = stay.where("n > 1").select("doc_id")
     if again.isEmpty():
-        return out
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+        return out.select("row.*")
+    once = out.join(again, "doc_id", "left_semi").select("row", "doc_id", F.coalesce("row.text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "text"])
+    return out.join(again, "doc_id", "left_anti").select("row.*").unionByName(once.select("row.*"))
+
+
+def _with_ids(docs: DataFrame) -> DataFrame:
+    """(row, doc_id): rows without id get one above all others (below, where there is no room), equal texts the same one."""
+    rows = _whole(docs, "doc_id")
+    digest = F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)
+    without = rows.where("doc_id IS NULL").select("row", digest.alias("digest"))
+    digests = written(without.select("digest").distinct(), "without_id")
+    n = digests.count()
+    if n == 0:
+        return rows
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    first = 0 if most is None else most + 1 if most + n < 1 << 63 else least - n
+    numbered = digests.rdd.zipWithIndex().map(lambda x: (x[0]["digest"], first + x[1])).toDF("digest string, doc_id long")
+    return rows.where("doc_id IS NOT NULL").unionByName(without.join(numbered, "digest").select("row", "doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_copies_with_one_id(spark, odd):
     assert collected(corpus_pipeline.drop_near_copies(spark, docs, odd)) == [(1, "a b c d e f g"), (None, "q r s")]
 
 
+
+
+def test_copies_without_an_id(spark, odd):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(7, one), (None, one), (None, one + " more"), (None, two), (None, two), (None, "more " + two), (None, three), (9, three + " end"), (None, "x y"), (None, "x y"), (None, None), (None, None)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), odd).collect()
+    assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [7, 9]
+    texts = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(texts) == 3 and None in texts and "x y" in texts and any(t in (two, "more " + two) for t in texts)
