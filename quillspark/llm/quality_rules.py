@@ -8,11 +8,11 @@ A document's histograms of character classes and of its language's commonest sho
 
 and, before that, by the base rules: fewer than 20 words, or over 30 % of the words in 8-word windows found twice or more.
 
-References: one per language with at least MIN_REFERENCE words; only the LANGUAGES largest are kept apart, and all others share
-the pooled reference, so what is broadcast has a bound.
+References: one per language with at least MIN_REFERENCE words, however many; up to BROADCAST_LANGUAGES are broadcast, more are joined
+by a shuffle. Documents of smaller languages have distances 0, so only the base rules judge them.
 
 Repeated windows are found within each row: the hashes of a document's windows are sorted, and equal neighbours mark their places.
-Nothing but the references' counts is shuffled.
+Nothing but the references' counts is shuffled, up to that bound.
 
 Defined results: a null text has no words, so fails the base rules; a null language is a language of its own; repeated rows are
 judged alike; an empty table gives no rows; extra columns are handed on by judged() and otherwise not read.
@@ -23,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, table
+from .common import WORD_SPLIT, table, written
 
 MIN_WORDS_BASE, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 100, 50, 0.30, 0.22, 0.6
-#: Commonest words per language, their greatest length, and which languages have a reference of their own.
-COMMON, COMMON_LENGTH, MIN_REFERENCE, LANGUAGES = 12, 4, 2000, 200
+#: Commonest words per language, their greatest length, least words of a language with a reference, references broadcast at most.
+COMMON, COMMON_LENGTH, MIN_REFERENCE, BROADCAST_LANGUAGES = 12, 4, 2000, 10_000
 #: Character classes, taken out of the text one after the other; what is left is a class too.
 CLASSES = {"lower": "[a-z]+", "space": WORD_SPLIT, "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>]+", "punct": r"[!-/:-@\[-`{-~]+"}
 
@@ -72,22 +72,16 @@ def repeated_words(hashes):
     return F.transform(F.transform(F.array(F.sort_array(placed)), starts), covered)[0]
 
 
-def references(rows: DataFrame) -> tuple[DataFrame, DataFrame, list]:
-    """Sums of chars and of short words, one group per language kept apart and one (own = false) for all others; and the former languages."""
+def references(rows: DataFrame) -> DataFrame:
+    """(ref, all, ref_chars, best) per language with enough words: sums of words and chars, and its commonest short words."""
     short = F.transform(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), lambda w: F.lower(w))
-    counts = rows.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = rows.groupBy("lang").agg(F.sum("n_words").alias("all"), *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    big = [r["lang"] for r in totals.where(F.col("all") >= MIN_REFERENCE).orderBy(F.desc("all"), "lang").select("lang").limit(LANGUAGES).collect()]
-    own = F.coalesce(F.col("lang").isin([x for x in big if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in big))
-    key = [own.alias("own"), F.when(own, F.col("lang")).alias("ref")]
-    totals = totals.groupBy(*key).agg(F.sum("all").alias("all"), F.array(*[F.sum(f"c{i}") for i in range(len(CLASSES) + 1)]).alias("ref_chars"))
-    return totals, counts.groupBy(*key, "word").agg(F.sum("n").alias("n")), big
-
-
-def _top(common: DataFrame) -> DataFrame:
-    order = Window.partitionBy("own", "ref").orderBy(F.desc("n"), "word")
-    best = common.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
-    return best.groupBy("own", "ref").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("best"))
+    counts = rows.select(F.col("lang").alias("ref"), F.explode(short).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("n"))
+    sums = [F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 1)]
+    totals = rows.groupBy(F.col("lang").alias("ref")).agg(F.sum("n_words").alias("all"), F.array(*sums).alias("ref_chars")).where(F.col("all") >= MIN_REFERENCE)
+    order = Window.partitionBy("ref").orderBy(F.desc("n"), "word")
+    best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
+    best = best.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("best"))
+    return totals.alias("t").join(best.alias("b"), F.expr("t.ref <=> b.ref"), "left").select("t.ref", "t.all", "ref_chars", "best")
 
 
 def js_distance(p, q):
@@ -105,23 +99,21 @@ def js_distance(p, q):
 def judged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang and any others) with the measures, char_distance, word_distance, base_failed and kept."""
     rows = measured(docs)
-    totals, common, big = references(measured(docs.select("text", "lang")).select("lang", "words", "chars", "n_words"))
-    refs = totals.alias("t").join(_top(common).alias("b"), F.expr("t.own = b.own AND t.ref <=> b.ref"), "left").select("t.own", "t.ref", "t.all", "ref_chars", "best")
+    refs = references(measured(docs.select("text", "lang")).select("lang", "words", "chars", "n_words"))
     words = F.transform("best", lambda b: b["word"])
     counts = F.transform("best", lambda b: b["n"].cast("double"))
     rest = F.col("all").cast("double") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    refs = refs.select("own", "ref", F.transform("ref_chars", lambda x: x.cast("double")).alias("ref_chars"), F.coalesce(words, F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat(counts, F.array(rest)), F.array(F.col("all").cast("double"))).alias("ref_words"))
-    own = F.coalesce(F.col("lang").isin([x for x in big if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in big))
-    rows = rows.withColumn("_own", own).withColumn("_ref", F.when(own, F.col("lang")))
-    # LANGUAGES + 1 rows at most
-    rows = rows.alias("r").join(F.broadcast(refs).alias("f"), F.expr("r._own = f.own AND r._ref <=> f.ref"), "left").select("r.*", "f.ref_chars", "f.common", "f.ref_words")
+    refs = refs.select("ref", F.transform("ref_chars", lambda x: x.cast("double")).alias("ref_chars"), F.coalesce(words, F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat(counts, F.array(rest)), F.array(F.col("all").cast("double"))).alias("ref_words"))
+    refs = written(refs, "references")
+    refs = F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs
+    rows = rows.alias("r").join(refs.alias("f"), F.expr("r.lang <=> f.ref"), "left").select("r.*", "f.ref_chars", "f.common", "f.ref_words")
     # each word stands between two spaces of its own; taking one out shortens the text by its length and 2
     short = F.array_join(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), "  ")
     rows = rows.withColumn("_short", F.concat(F.lit(" "), F.lower(short), F.lit(" ")))
     found = F.transform("common", lambda w: ((F.length("_short") - F.length(F.replace(F.col("_short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("double"))
     rows = rows.withColumn("_found", found)
     rows = rows.withColumn("_hist", F.concat("_found", F.array(F.col("n_words").cast("double") - F.aggregate("_found", F.lit(0.0), lambda a, x: a + x))))
-    rows = rows.withColumn("char_distance", js_distance(F.transform("chars", lambda x: x.cast("double")), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("_hist"), F.col("ref_words")))
+    rows = rows.withColumn("char_distance", F.coalesce(js_distance(F.transform("chars", lambda x: x.cast("double")), F.col("ref_chars")), F.lit(0.0))).withColumn("word_distance", F.coalesce(js_distance(F.col("_hist"), F.col("ref_words")), F.lit(0.0)))
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     base_failed = (F.col("n_words") < MIN_WORDS_BASE) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     strays = ((n_chars >= MIN_CHARS) & (F.col("char_distance") > CHAR_LIMIT)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > F.lit(WORD_LIMIT) + F.lit(WORD_NOISE) / F.sqrt("n_words")))

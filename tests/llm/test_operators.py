@@ -351,6 +351,18 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert all(got[k] for k in range(60)) and not any(got[k] for k in range(100, 105))
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_each_language_has_its_own_reference_and_small_ones_none(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", broadcast, raising=False)
+    pick = random.Random(7)
+    prose = lambda *words: " ".join(pick.sample(words * 10, k=10 * len(words)))
+    rows = [(k, prose("the", "of", "and", "house", "river", "stone"), "en") for k in range(60)]
+    rows += [(1000 + g, prose("και", "το", "να", "σπίτι", "ποτάμι", "πέτρα"), "el") for g in range(4)]  # 240 words in all
+    many = [(2000 + 40 * n + k, prose(f"q{n}", f"z{n}", "мост", "вода", "поле", "дерево"), f"l{n}") for n in range(205) for k in range(40)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows + many, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows + many) and [k for k, kept in got.items() if not kept] == []
+
+
 def test_ranking_prefers_what_labels_prefer():
     pick = random.Random(10)
     prose = lambda: " ".join(pick.choice(["tree", "house", "river", "stone", "cloud"]) + str(pick.randint(0, 99)) for _ in range(40))
