@@ -139,14 +139,30 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, batch: int = 4096
     """Exact inner products of vectors (id, vector) with queries (query_id, vector), the best k per query.
 
     Each Arrow batch is one matrix product with the query matrix; a batch hands on at most k rows per query, so what is
-    shuffled doesn't grow with queries times vectors. The query matrix is bounded by BROADCAST_ROWS rows.
+    shuffled doesn't grow with queries times vectors. More than BROADCAST_ROWS queries go on in blocks by a hash of query_id,
+    each written before the next is read, so the driver holds one block's matrix.
     """
+    queries = queries.select("query_id", "vector")
+    rows = queries.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        return ranked(_best(vectors, rows, k, batch), k)
+    blocks = -(-2 * queries.count() // BROADCAST_ROWS)  # about half the bound each
+    block, found = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(blocks)), None
+    for at in range(blocks):
+        rows = queries.where(block == at).collect()
+        if not rows:
+            continue
+        best = ranked(_best(vectors, rows, k, batch), k)
+        best = best.checkpoint() if best.sparkSession.sparkContext.getCheckpointDir() else best.localCheckpoint()
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _best(vectors: DataFrame, rows: list, k: int, batch: int) -> DataFrame:
+    """(query_id, id, score): of each batch of vectors the best k per query of rows."""
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "vector").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"at most {BROADCAST_ROWS} queries at a time")
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
 
@@ -165,7 +181,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, batch: int = 4096
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + batch], order.shape[1])), pa.array(key[order.ravel()]), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
     best = vectors.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id long, id long, score double")
-    return ranked(best.where("score > 0 AND NOT isnan(score)"), k)
+    return best.where("score > 0 AND NOT isnan(score)")
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
