@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether an execution's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but these white-space characters (fixed by the query contracts).
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests, one machine) a folder is made and set, since there is one file system.
+    Where it is unset on one machine (tests) a folder is made and set, since there is one file system; on a cluster that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -39,10 +43,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    # shuffle files go once the driver finds that nothing refers to them; else they stay until its memory happens to fill
-    spark.sparkContext._jvm.System.gc()
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the shuffles go with the job that made them; else they stay until the driver's memory happens to fill
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +63,33 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """make(), once per worker process and key. What another operator left in the process goes first, so memos don't add up."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def held_out(doc_id="doc_id"):
     """Rows whose label is never learned from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

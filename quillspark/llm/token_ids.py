@@ -23,14 +23,15 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, new_path, table, written
+from .common import dropped, held, new_path, table, written
+from .units import Memo, bytes_of, gathered, pieces, slices, strings
 
 #: Longest code in bits; the decoding table has 2**MAX_BITS entries.
 MAX_BITS = 18
@@ -38,24 +39,27 @@ MAX_BITS = 18
 STEP = 128
 #: Ids in a block, about (a block ends with a document), and in a shard.
 BLOCK_IDS, SHARD_IDS = 1 << 19, 1 << 25
-#: One run of Latin letters, that normalizing leaves one run of letters, and marks after it: pre-tokens of their own.
-PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
-#: Words a worker keeps the ids of.
-CACHED_WORDS = 700_000
-
-
-def _words(text: str) -> list[str]:
-    """Split at white space; U+001C to U+001F are white space to str.split() but not to the tokenizer."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in re.split(r"[ \t\n\r]+", text) if w]
-    return text.split()
+#: Bytes of a worker's memo of units, and of texts that are encoded at a time.
+MEMO_BYTES, SLICE = 48 << 20, 1 << 23
+#: Classes of bytes: white space, letters (A-Z, a-z), marks; all others are odd, the apostrophe too, as contractions begin with it.
+SPACE, LETTER, MARK, ODD = range(4)
+_class = np.full(256, ODD, np.uint8)
+_class[[9, 10, 11, 12, 13, 32]] = SPACE
+_class[[*range(65, 91), *range(97, 123)]] = LETTER
+_class[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
+#: A run of lower-case Latin letters or of marks.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+").fullmatch
 
 
 class WordEncoder:
-    """ids of whole texts by the tokenizers library, which sees each distinct white-space word once per cache fill.
+    """ids of whole texts by the tokenizers library, which sees each distinct unit once per memo fill.
 
     Exact for a tokenizer whose pre-tokens never span white space: its normalizer works on code points (NFC composes nothing
-    with a space) and its pattern drops white space, takes a run of letters as one pre-token and a run of marks as another.
+    with a space) and its pattern drops white space. A unit is a word between white space. Where the tokenizer lowers case and takes a
+    run of letters as one pre-token and a run of marks as another, words of Latin letters and marks alone are cut into such runs, in
+    lower case. Words that could hold a special token (which the library looks for in the text as it stands) are never cut.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -65,134 +69,96 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(tokenizer_json)
-        steps = (spec["normalizer"] or {}).get("normalizers", [])
-        self.plain_tokenizer = self.tokenizer
-        if steps and {x["type"] for x in steps} <= {"NFC", "Lowercase", "Replace"}:  # none of them changes lower-case PLAIN runs
-            spec["normalizer"], splits = None, (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-            if [x["type"] for x in splits] == ["Split", "ByteLevel"]:  # which of runs between spaces makes these runs
-                splits[0] = {"type": "WhitespaceSplit"}
-            self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec))
+        steps = {x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])}
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         vocab = self.tokenizer.get_vocab()
+        special = [x["content"] for x in spec.get("added_tokens", [])]
+        # a word that holds a special token has its first two characters, which no run of letters or marks may then span
+        self.marked = [x[:2].encode() for x in special]
+        self.cut = "Lowercase" in steps and steps <= {"NFC", "Lowercase", "Replace"} and [x["type"] for x in splits] == ["Split", "ByteLevel"] and all(len(x) > 2 and not x[:2].isalnum() for x in special)
+        if self.cut:
+            spec["normalizer"], splits[0] = None, {"type": "WhitespaceSplit"}
+            self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.tails: dict[str, np.ndarray] = {}
-        self.start, self.length, self.uses = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
-        self.flat, self.used = np.zeros(8192, np.uint16 if len(self.ends) <= 65536 else np.uint32), 0
-
-    def forget(self) -> None:
-        """Keep the words used more than once since the last time, if these are at most half."""
-        kept = [(w, i) for w, i in self.index.items() if self.uses[i] > 1]
-        start, length, flat = self.start, self.length, self.flat
-        self.clear()
-        if len(kept) <= CACHED_WORDS // 2:
-            at = np.array([i for _, i in kept], np.int64)
-            self._store([w for w, _ in kept], gathered(flat, start[at], length[at]), length[at])
-
-    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, size = len(self.index), len(self.index) + len(words)
-        if size > len(self.start):
-            self.start, self.length, self.uses = (np.concatenate([x, np.zeros(size, x.dtype)]) for x in (self.start, self.length, self.uses))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(self.used + len(ids), self.flat.dtype)])
-        self.length[n:size] = lengths
-        self.start[n:size] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index.update(zip(words, range(n, size)))
-
-    def _learn(self, words: list[str]) -> None:
-        """New words. PLAIN ones are a letter run, known or learned as such, and marks; the library gets many runs at once."""
-        split = [PLAIN(w) for w in words]
-        plain, rest = [m.group() for m in split if m], [w for w, m in zip(words, split) if not m]
-        runs, tails = [m.group(1).lower() for m in split if m], [m.group(2) for m in split if m]
-        fresh = [w for w in dict.fromkeys(runs) if w not in self.index]
-        parts = [fresh[k : k + 1000] for k in range(0, len(fresh), 1000)]
-        got = [np.array(e.ids, self.flat.dtype) for e in self.plain_tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)]
-        for part, ids in zip(parts, got):
-            self._store(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-        got = [np.array(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        if rest:
-            self._store(rest, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
-        more = [(w, r, t) for w, r, t in zip(plain, runs, tails) if w not in self.index]
-        for t in {t for _, _, t in more} - self.tails.keys():
-            self.tails[t] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.flat.dtype)
-        if more:
-            at = np.array([self.index[r] for _, r, _ in more], np.int64)
-            lengths, extra = self.length[at].astype(np.int64), [self.tails[t] for _, _, t in more]
-            added = np.fromiter(map(len, extra), np.int64, len(extra))
-            ids = np.insert(gathered(self.flat, self.start[at], lengths), np.repeat(np.cumsum(lengths), added), np.concatenate(extra))
-            self._store([w for w, _, _ in more], ids, lengths + added)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.memo = Memo(MEMO_BYTES, np.uint16 if len(self.ends) <= 65536 else np.uint32)
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts in order, and how many each text has."""
+        raw, at = bytes_of(pc.binary_join_element_wise(texts, "", " "))
+        kind = _class[raw]
+        plain = _lower[raw]
+        lead = np.flatnonzero(raw == 0xC3)  # À to ÿ but × and ÷
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        upper = lead[raw[lead + 1] < 0x9F] + 1
+        plain[upper] += 0x20
+        for a, b in self.marked:
+            kind[:-1][(raw[:-1] == a) & (raw[1:] == b)] = ODD
+        changes = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        starts = np.concatenate([[0], changes]) if len(kind) else changes
+        ends = np.append(changes, len(kind))[: len(starts)]
+        some = kind[starts] != SPACE
+        starts, ends = starts[some], ends[some]
+        # words: runs that touch belong to one
+        first = np.ones(len(starts), bool)
+        first[1:] = starts[1:] > ends[:-1]
+        word = np.cumsum(first) - 1
+        odd = np.full(int(word[-1]) + 1 if len(word) else 0, not self.cut)
+        odd[word[kind[starts] == ODD]] = True
+        inside = ~(odd[word] & ~first)
+        lengths = ends - starts
+        sizes = np.bincount(word, lengths, len(odd)).astype(np.int64)
+        white = kind == SPACE
+        data = np.where(np.repeat(odd, sizes), raw[~white], plain[~white])
+        lengths = np.where(odd[word], sizes[word], lengths)[inside]
+        return strings(data, lengths), np.diff(np.searchsorted(starts[inside], at))
+
+    def _learn(self, units: pa.Array) -> list:
+        units = units.to_pylist()
+        is_plain = np.fromiter((self.cut and PLAIN(u) is not None for u in units), bool, len(units))
+        plain, odd = [u for u, p in zip(units, is_plain) if p], [u for u, p in zip(units, is_plain) if not p]
+        kind, lengths = self.memo.dtypes[0], np.zeros(len(units), np.int64)
+        parts = [" ".join(plain[k : k + 1000]) for k in range(0, len(plain), 1000)]
+        got = [np.array(e.ids, kind) for e in self.plain_tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
+        own = np.concatenate([np.zeros(0, kind), *got])
+        lengths[is_plain] = np.diff(np.flatnonzero(self.ends[own]) + 1, prepend=0)
+        got = [np.array(e.ids, kind) for k in range(0, len(odd), 1000) for e in self.tokenizer.encode_batch_fast(odd[k : k + 1000], add_special_tokens=False)]
+        lengths[~is_plain] = np.fromiter(map(len, got), np.int64, len(got))
+        both, order = np.concatenate([own, *got]), np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        begin = np.zeros(len(units), np.int64)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        return [(gathered(both, begin, lengths), lengths)]
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
-        words = [_words(t) for t in texts]
-        flat = list(chain.from_iterable(words))
-        if len(self.index) > CACHED_WORDS:
-            self.forget()
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            words_new = [flat[k] for k in new.tolist()]
-            self._learn(list(set(words_new)))
-            at[new] = np.fromiter(map(self.index.__getitem__, words_new), np.int64, len(new))
-        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index)).astype(np.int32)
-        lengths = self.length[at].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])]
-        return gathered(self.flat, self.start[at], lengths), np.diff(upto)
-
-
-def gathered(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of flat that begin at start, one after the other."""
-    ends = np.cumsum(lengths)
-    return flat[np.repeat(start - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
-_encoders: dict[int, WordEncoder] = {}
-
-
-def encoder(tokenizer_json: str) -> WordEncoder:
-    """One per worker process, kept over tasks."""
-    key = hash(tokenizer_json)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(tokenizer_json)
-    return _encoders[key]
-
-
-def slices(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
-    """Runs of texts of about so many characters."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts, owner = pieces(texts, SLICE)
+        found, total = [np.zeros(0, self.memo.dtypes[0])], np.zeros(len(texts), np.int64)
+        for at, some in slices(parts, SLICE):
+            units, counts = self._units(some)
+            ids, lengths = self.memo.runs[0].of(self.memo.find(units, self._learn))
+            found.append(ids)
+            np.add.at(total, owner[at : at + len(some)], np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]))
+        return np.concatenate(found), total
 
 
 def tokenise(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> DataFrame:
     """(doc_id, n, ids): ids as little-endian unsigned 16-bit numbers where the vocabulary allows, else 32-bit."""
 
     def run(batches):
-        enc = encoder(tokenizer_json)
+        enc = held(("words", tokenizer_json), lambda: WordEncoder(tokenizer_json))
         dtype = "<u2" if len(enc.ends) <= 65536 else "<u4"
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for s in slices(texts, 1 << 22):
-                ids, counts = enc.encode(texts[s])
+            for at, texts in slices(batch.column(1), SLICE):
+                ids, counts = enc.encode(texts)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
                 raw = np.ascontiguousarray(ids, dtype).tobytes()
                 cuts = np.concatenate([[0], np.cumsum(counts)]) * int(dtype[-1])
-                yield pa.RecordBatch.from_arrays([keys[s.start : s.stop], pa.array(counts, pa.int64()), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
