@@ -4,9 +4,11 @@ From labelled documents come preference pairs (a good one over a bad one); weigh
 their features, so a document's score is what a Bradley-Terry model calls its strength. The threshold is a quantile of the sample's
 scores: as many lie below as the labels call bad. Scores are given as 1 / (1 + exp(threshold - strength)), so 0.5 is the threshold.
 
-Labels are learned from a bounded sample of SAMPLE labelled documents (least digests of ids) and PAIRS pairs, never from held-out rows.
-Defined results: null or empty text has all-zero shares and is scored like any other; repeated rows score alike; without labels of both
-kinds every score is 0.5; an empty table gives no rows; extra columns aren't read.
+Labels are learned from a bounded sample of SAMPLE labelled documents (as op 2 takes it), never from held-out rows. Each document of
+the more frequent kind is in EACH pairs, so no document is left out and the number of pairs follows the sample.
+Defined results: null or empty text has all-zero shares and is scored like any other; a very long text is scored whole; a score of just
+the threshold is 0.5 and accepted; repeated rows score alike; without labels of both kinds every score is 0.5; an empty table gives
+no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .toxicity import labelled, score_texts
 
-SAMPLE, PAIRS, RIDGE, SEED, ACCEPT = 6000, 40_000, 0.3, 7, 0.5
+SAMPLE, EACH, RIDGE, SEED, ACCEPT = 6000, 12, 0.3, 7, 0.5
 #: Byte classes whose shares are features.
 BYTES = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32), "symbol": b"#*$%&|<>", "mark": b"!?", "comma": b".,;:", "other": range(128, 256)}
 _classes = np.full(256, len(BYTES))
@@ -64,8 +66,9 @@ def fit(docs: list[tuple[bool, str]]) -> Ranker:
     good, bad = np.flatnonzero(y), np.flatnonzero(~y)
     if not len(good) or not len(bad):
         return model
-    pick = np.random.default_rng(SEED)
-    a, b = pick.choice(good, PAIRS), pick.choice(bad, PAIRS)
+    # shuffled copies of both kinds side by side: every document has its share of pairs, each with others
+    pick, n = np.random.default_rng(SEED), EACH * max(len(good), len(bad))
+    a, b = (np.concatenate([pick.permutation(x) for _ in range(-(-n // len(x)))])[:n] for x in (good, bad))
     z = model.design(x)
     d, w = z[a] - z[b], model.weights
     for _ in range(30):

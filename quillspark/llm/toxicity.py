@@ -13,9 +13,11 @@ model over (exact, near) x (bare, quoted) hits, the densest window, and the weig
 is fitted with prior weights that hold where labels tell nothing. It is fitted on documents that its lexicon and suspects weren't learned
 from (FOLDS), then given those of all documents.
 
-Labels are learned from a bounded sample of SAMPLE labelled documents (least digests of ids), never from held-out rows.
-Defined results: null or empty text has no hits and gets the base score; repeated rows score alike; without labels of both kinds
-the lexicon is empty; an empty table gives no rows; extra columns aren't read.
+Labels are learned from a bounded sample, never from held-out rows: SAMPLE labelled documents in order of their ids' digests, less
+those that would take the sample beyond SAMPLE_BYTES of text. Nothing else is bounded; the lexicon holds what the sample gives.
+Defined results: null or empty text has no hits and gets the base score; a very long text is scored whole, its words one after the
+other; of an id with several texts the least is learned from; terms that tell alike are chosen by length, then code points; repeated
+rows score alike; without labels of both kinds the lexicon is empty; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
-from .token_ids import slices
+from .common import held, held_out, table
+from .units import slices
 
-#: Labelled documents to learn from, terms at most, words on each side of a hit, least score to reject, cost of a false alarm in the lexicon's choice.
-SAMPLE, TERMS, WINDOW, REJECT, FALSE = 6000, 300, 8, 0.7, 20
-#: Words a worker remembers the hits of.
-CACHED = 400_000
+#: Labelled documents to learn from and bytes of their texts, at most; words on each side of a hit, least score to reject, cost of a false alarm in the lexicon's choice.
+SAMPLE, SAMPLE_BYTES, WINDOW, REJECT, FALSE = 6000, 64 << 20, 8, 0.7, 20
+#: Words a worker remembers the hits of, beyond which it starts anew.
+CACHED = 200_000
 MARKS = ".,;:!?\"'()[]{}<>«»“”„‘’…*_~`|/\\#%&+=-–—"
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 OPENING, CLOSING = "«“„‘", "»”’"
@@ -250,7 +252,7 @@ def learn_lexicon(docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:
     rate = len(clean) / len(toxic)
     holds = {t: ks for t, ks in holds.items() if len(ks) * rate >= 25 * (others[t] + 0.5)}
     out: dict[str, bool] = {}
-    while holds and len(out) < TERMS:
+    while holds:
         # what it would wrongly reject weighs as much as FALSE of what it finds
         term, ks = max(holds.items(), key=lambda x: (len(x[1]) - FALSE * others[x[0]], not x[0][1], len(x[0][0]), x[0][0]))
         if len(ks) - FALSE * others[term] < least:
@@ -300,19 +302,25 @@ def complete(cover: dict[str, bool], docs: list[tuple[bool, list[str]]]) -> dict
     clean = {w for label, ws in docs if not label for w in ws}
     n = sum(label for label, _ in docs)
     more = [w for w, k in toxic.items() if k >= max(4, 0.02 * n) and w not in clean and len(w) >= 4 and w not in cover]
-    more.sort(key=lambda w: (-toxic[w], w))
-    return cover | dict.fromkeys(more[: TERMS - len(cover)], False)
+    return cover | dict.fromkeys(sorted(more), False)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> list[tuple[bool, str]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bool, str]]:
     """Whole texts of a bounded sample of labelled documents that aren't held out; the least digests of ids, so reruns agree."""
     ids = labels.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    ids = ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]).collect()  # sample rows
-    return [(bool(r["label"]), r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
-
-
-_scorers: dict[str, object] = {}
+    sizes = docs.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    first = ids.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # sample rows, without texts
+    taken, total = [], 0
+    for r in first:
+        if total + r["size"] <= most_bytes:
+            taken.append((r["doc_id"], bool(r["label"])))
+            total += r["size"]
+    if not taken:
+        return []
+    of = docs.sparkSession.createDataFrame([(i,) for i, _ in taken], "doc_id long")
+    rows = docs.join(F.broadcast(of), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()  # most_bytes at most
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    return [(label, texts[i]) for i, label in sorted(taken)]
 
 
 def score_texts(docs: DataFrame, model, keep: list[str]) -> DataFrame:
@@ -322,14 +330,11 @@ def score_texts(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     key, schema = uuid.uuid4().hex, docs.select(*keep).schema.add("score", "double")
 
     def run(batches):
-        if key not in _scorers:  # one per worker process, so its memo is kept over tasks
-            _scorers.clear()
-            _scorers[key] = model
-        mine = _scorers[key]
+        mine = held(("scorer", key), lambda: model)  # one per worker process, so its memo is kept over tasks
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for s in slices(texts, 1 << 22):
-                yield pa.RecordBatch.from_arrays([*(c[s.start : s.stop] for c in batch.columns[:-1]), pa.array([mine.score(t) for t in texts[s]], pa.float64())], names=schema.fieldNames())
+            for at, texts in slices(batch.column(batch.num_columns - 1)):
+                scores = pa.array([mine.score(t) for t in texts.to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), scores], names=schema.fieldNames())
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -338,5 +343,3 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(labelled(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic"))
     return score_texts(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
-
-
