@@ -1,22 +1,30 @@
 """HTML extraction (op 7): wrappers as union-free regular expressions, inferred from pages of the same host.
 
-Each page becomes a tree of block elements whose text is only a digest and lengths (its skeleton). Pages of a host whose block
-containers stand at the same paths are one template. All pages of a template are aligned, first those that a task meets, then what
-the tasks found: repeated neighbours fold into a group with `+`, what one side lacks becomes optional `?`, and texts that differ become
-slots. In the wrapper found, the element that holds the article is chosen: the <article> or <main> with most slot text, else the element
-whose slots outside boilerplate hold most text that isn't links. A page of the template takes the element at that path if none beside
-it holds more of the page's own slot text; else, and where the path finds nothing, the page is its own wrapper without the
-template's constant texts.
-
-From the article go elements of other purpose (navigation, forms, scripts, adverts, comments ...), by name or by a word of class, id
-or role. Block elements and <br> end a block; white space inside a block becomes one space; blocks are joined by a space.
-
-Defined results: null or empty html gives an empty text; null url is a host of its own; a page without tags is all text; repeated
-rows give equal rows; an empty table gives no rows; extra columns aren't read.
+A page is a stream of tokens: opening tags of blocks, runs of text (a digest and lengths), closing tags. Pages of a host whose block
+containers stand at the same paths are one template. The streams of all pages of a template are aligned, first those that a task meets,
+then what the tasks found: what stands in step is aligned in turn, texts that differ become slots, what one stream lacks becomes
+optional `?`, and a stretch between a tag and its closing that follows one of its like folds into a group `+`.
+
+The wrapper decides what is text. Only slots count (and, where a template has no slot, all text); text in links counts against. From the
+page down, an element is entered while it holds SHARE of the slot text; where that ends is the article's place. Pages take the element
+at that place, but one that holds less there than in another element, and there a QUARTER of what the template's pages have
+on average, is decided by itself, without the template's constant texts. Blocks of the article whose text stands alike in
+all of CONSTANT pages or more are the template's and go.
+
+Names only help where slots can't tell: <article> and <main> count double (and their constant texts count), elements named for another
+purpose half. Inside the article's place elements that HTML itself has for another purpose go (navigation, forms, asides, headers,
+footers), and of those named so by a word of class, id or role the ones that hold less than MAJOR of the place's slots.
+
+Block elements and <br> end a block; white space inside a block becomes one space; blocks are joined by a space.
+
+Defined results: null or empty html gives an empty text; null url is a host of its own; a page without tags is all text; very long and
+very deep pages are handled whole, with stacks of their own and memory in proportion to the page; of places with as much slot text the
+first in the page is taken; repeated rows give equal rows; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -28,10 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Wrappers a task holds at a time before it hands them on.
-HELD = 500
-#: Templates up to which their wrappers' paths are broadcast (some hundred bytes each); beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+#: Parts of wrappers a task holds at a time before it hands them on; into how many parts a template's wrappers are dealt before the last ones meet.
+HELD, SALTS = 100_000, 64
+#: Share of slot text with which an element is entered; share of a template's usual text that moves a page's place; share with which a
+#: named element stays; pages from which a constant block is the template's; unlike stretches up to which the longest alignment is sought.
+SHARE, QUARTER, MAJOR, CONSTANT, SHORT = 0.6, 0.25, 0.67, 3, 64
+#: Templates, and bytes of what is known of them, up to which these are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 64 << 20
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -39,9 +50,9 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that aren't article text, wherever they stand; header and footer stand for the page's own, or a section's.
-DROPPED = RAW | frozenset("nav footer header aside form button select option input head svg canvas iframe object audio video menu dialog".split())
-#: Words of class, id or role that tell such an element.
+#: Elements that HTML has for another purpose than text; header and footer stand for the page's own, or a section's.
+OTHER = RAW | frozenset("nav footer header aside form button select option input head svg canvas iframe object audio video menu dialog".split())
+#: Words of class, id or role that hint at such an element.
 HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split())
 #: An element that its own opening tag, or another of the set, ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,23 +62,29 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure f
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: What an element's names say: nothing, a hint at another purpose, or that HTML has it for another purpose.
+NOTHING, HINT, PURPOSE = range(3)
+
+
 class Node:
-    __slots__ = ("key", "name", "dropped", "children")
+    __slots__ = ("key", "name", "says", "children")
 
-    def __init__(self, key: str, name: str, dropped: bool):
-        self.key, self.name, self.dropped, self.children = key, name, dropped, []
+    def __init__(self, key: str, name: str, says: int):
+        self.key, self.name, self.says, self.children = key, name, says, []
 
 
 def _node(name: str, attributes: str) -> Node:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     words = [w for v in found.values() for w in re.split(r"[^a-z0-9]+", v.lower()) if w]
-    key = name + "".join(f".{w}" for w in found.get("class", "").split())
-    return Node(key, name, name in DROPPED or (name not in ("html", "body", "main", "article") and not HINTS.isdisjoint(words)))
+    # long numbers in classes are those of pages or posts
+    key = name + "".join(f".{re.sub('[0-9]{3,}', '0', w)}" for w in found.get("class", "").split())
+    hints = name not in ("html", "body", "main", "article") and not HINTS.isdisjoint(words)
+    return Node(key, name, PURPOSE if name in OTHER else HINT if hints else NOTHING)
 
 
 def parse(page: str) -> Node:
     """A lenient tree. Inline elements aren't nodes: links are marked by ("a", ...) strings, others leave only their text."""
-    root = Node("#page", "#page", False)
+    root = Node("#page", "#page", NOTHING)
     open_ = [root]
     links = 0
     at, end = 0, len(page)
@@ -100,7 +117,7 @@ def parse(page: str) -> Node:
         if name in INLINE:
             links += name == "a"
             node = _node(name, m.group(3)) if "=" in m.group(3) else None
-            if node is not None and node.dropped:  # an inline advert or the like: its element is skipped whole
+            if node is not None and node.says:  # an inline advert or the like: its element is skipped whole
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = close.end() if close else at
                 links -= name == "a"
@@ -116,8 +133,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """Text of blocks in page order, without dropped elements."""
+def blocks(nodes: list[Node], goes=lambda node: False) -> list[str]:
+    """Text of blocks in page order, without elements that go."""
     out, run = [], []
 
     def flush():
@@ -133,7 +150,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             flush()
         elif isinstance(x, Node):
             flush()
-            if not x.dropped:
+            if not goes(x):
                 todo.append(None)
                 todo.extend(reversed(x.children))
         else:
@@ -160,48 +177,56 @@ def unnested(step):
     return run
 
 
-@unnested
-def skeleton(node: Node):
-    """[key, name, dropped, children]; a run of text is [digest, characters, characters in links]."""
-    children, size, link, text = [], 0, 0, []
+def template_of(root: Node) -> str:
+    """A digest of the paths at which the page has containers; elements of other purpose and what prose holds don't count."""
+    paths, todo = set(), [(root, 0)]
+    while todo:
+        node, at = todo.pop()
+        at = zlib.crc32(f"{node.key}>".encode(), at)
+        paths.add(at)
+        todo.extend((c, at) for c in node.children if isinstance(c, Node) and not c.says and c.name not in PROSE)
+    return f"{len(paths)}-{zlib.crc32(json.dumps(sorted(paths)).encode()):08x}"
+
+
+def stream(root: Node) -> list[tuple]:
+    """The page's tokens: (key, name, says) opens an element, None closes the last one, (digest, characters, characters in links, "#") is a run of text."""
+    out: list = []
+    size = link = digest = 0
 
     def close():
-        nonlocal size, link
+        nonlocal size, link, digest
         if size:
-            children.append([zlib.crc32(" ".join(text).encode()), size, link])
-        size = link = 0
-        text.clear()
+            out.append((digest, size, link, "#"))
+        size = link = digest = 0
 
-    for x in node.children:
-        if isinstance(x, Node):
+    todo: list = [root]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            close()
+            out.append(None)
+        elif isinstance(x, Node):
             close()
-            children.append((yield skeleton.step(x)))
+            out.append((x.key, x.name, x.says))
+            todo.append(None)
+            todo.extend(reversed(x.children))
         elif t := x[1].strip():
-            text.append(t)
+            digest = zlib.crc32(t.encode(), digest)
             size += len(t)
             link += len(t) if x[0] else 0
-    close()
-    return [node.key, node.name, node.dropped, children]
-
-
-def template_of(root: Node) -> str:
-    """A digest of the paths at which the page has containers; dropped elements and what prose holds don't count."""
-    paths, todo = set(), [(root, 0)]
-    while todo:
-        node, at = todo.pop()
-        at = zlib.crc32(f"{node.key}>".encode(), at)
-        paths.add(at)
-        todo.extend((c, at) for c in node.children if isinstance(c, Node) and not c.dropped and c.name not in PROSE)
-    return f"{len(paths)}-{zlib.crc32(json.dumps(sorted(paths)).encode()):08x}"
+    return out
 
 
 class Part:
-    """A piece of a wrapper: an element with its parts in order, or text (key '#'); how often it stands: 1, ?, + or *."""
+    """A piece of a wrapper: an element with its parts in order, or text (key '#'); how often it stands: 1, ?, + or *.
 
-    __slots__ = ("key", "name", "dropped", "parts", "often", "digest", "size", "link")
+    digest: of the text that stands here alike in all pages; None for a slot.
+    """
 
-    def __init__(self, key, name="", dropped=False, parts=None, digest=None, size=0, link=0):
-        self.key, self.name, self.dropped, self.parts, self.often, self.digest, self.size, self.link = key, name, dropped, parts or [], "1", digest, size, link
+    __slots__ = ("key", "name", "says", "parts", "often", "digest", "size", "link")
+
+    def __init__(self, key, name="", says=NOTHING, parts=None, digest=None, size=0, link=0):
+        self.key, self.name, self.says, self.parts, self.often, self.digest, self.size, self.link = key, name, says, parts or [], "1", digest, size, link
 
     def __str__(self) -> str:
         out: list[str] = []
@@ -223,15 +248,19 @@ class Part:
         return "".join(out)
 
 
-@unnested
-def wrapper_of(x) -> Part:
-    """The wrapper of one page: its tree with repeated neighbours folded."""
-    if len(x) == 3:
-        return Part("#", digest=x[0], size=x[1], link=x[2])
-    parts = []
-    for c in x[3]:
-        parts.append((yield wrapper_of.step(c)))
-    return Part(x[0], x[1], x[2], (yield fold.step(parts)))
+def wrapper_of(tokens: list[tuple]) -> Part:
+    """The wrapper of one page: its stream with repeated stretches folded, each as its closing tag comes."""
+    open_ = [Part("")]
+    for x in tokens:
+        if x is None:
+            done = open_.pop()
+            done.parts = fold(done.parts)
+            open_[-1].parts.append(done)
+        elif len(x) == 3:
+            open_.append(Part(*x))
+        else:
+            open_[-1].parts.append(Part("#", digest=x[0], size=x[1], link=x[2]))
+    return open_[0].parts[0]
 
 
 def repeated(a: str, b: str) -> str:
@@ -241,57 +270,122 @@ def repeated(a: str, b: str) -> str:
 
 
 @unnested
-def fold(parts: list[Part]) -> list[Part]:
+def folded(parts: list[Part]):
     """Neighbouring runs of equal keys, of one to four parts, become one run that repeats."""
     for width in (1, 2, 3, 4):
+        if len(parts) < 2 * width:
+            break
         out: list[Part] = []
         for p in parts:
             out.append(p)
             while len(out) >= 2 * width and all(out[-k].key == out[-k - width].key != "#" for k in range(1, width + 1)):
                 later = [out.pop() for _ in range(width)][::-1]
                 for k, q in enumerate(later):
-                    out[k - width] = yield aligned.step(out[k - width], q)
+                    out[k - width] = yield joined.step(out[k - width], q, False)
                     out[k - width].often = "*" if "*" in out[k - width].often + q.often or "?" in out[k - width].often + q.often else "+"
         parts = out
     return parts
 
 
+def fold(parts: list[Part]) -> list[Part]:
+    return parts if len(parts) < 2 else folded(parts)
+
+
+def in_step(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of x and y that are aligned, ascending: what begins and ends alike, keys that stand once in both (the longest ascending run of them),
+    and so on between these; short stretches without such keys by their longest common subsequence. Memory is linear, time n log n."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        where: dict[str, list[int]] = {}
+        for j in range(c, d):
+            where.setdefault(y[j], []).append(j)
+        own: dict[str, int] = {}
+        for i in range(a, b):
+            own[x[i]] = own.get(x[i], 0) + 1
+        once = [(i, where[x[i]][0]) for i in range(a, b) if own[x[i]] == 1 and len(where.get(x[i], ())) == 1]
+        tops, back, ends = [], {}, []  # the longest ascending run, by patience
+        for i, j in once:
+            k = bisect.bisect_left(tops, j)
+            tops[k:k + 1], ends[k:k + 1] = [j], [i]
+            back[i] = (j, ends[k - 1] if k else None)
+        i, run = (ends[-1] if ends else None), []
+        while i is not None:
+            run.append((i, back[i][0]))
+            i = back[i][1]
+        if run:
+            i, j = a, c
+            for p, q in reversed(run):
+                out.append((p, q))
+                todo.append((i, p, j, q))
+                i, j = p + 1, q + 1
+            todo.append((i, b, j, d))
+        elif b - a <= SHORT and d - c <= SHORT:
+            best = [[0] * (d - c + 1) for _ in range(b - a + 1)]
+            for i in range(b - a - 1, -1, -1):
+                for j in range(d - c - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if x[a + i] == y[c + j] else max(best[i + 1][j], best[i][j + 1])
+            i = j = 0
+            while i < b - a and j < d - c:
+                if x[a + i] == y[c + j]:
+                    out.append((a + i, c + j))
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+        else:  # each takes the first of its key that is still ahead
+            j = c
+            for i in range(a, b):
+                places = where.get(x[i], ())
+                k = bisect.bisect_left(places, j)
+                if k < len(places):
+                    out.append((i, places[k]))
+                    j = places[k] + 1
+    return sorted(out)
+
+
 @unnested
-def aligned(a: Part, b: Part) -> Part:
-    """The least union-free expression for two parts of one key."""
-    out = Part(a.key, a.name, a.dropped, digest=a.digest if a.digest == b.digest else None, size=a.size + b.size, link=a.link + b.link)
+def joined(a: Part, b: Part, pages: bool):
+    """The least union-free expression for two parts of one key: of two pages (or sets of pages), or of one that follow each other."""
+    if pages:
+        digest = a.digest if a.digest == b.digest else None
+    else:
+        digest = zlib.crc32(b"%d" % b.digest, a.digest) if None not in (a.digest, b.digest) else None
+    out = Part(a.key, a.name, a.says, digest=digest, size=a.size + b.size, link=a.link + b.link)
     out.often = repeated(a.often, b.often)
     x, y = a.parts, b.parts
-    if [p.key for p in x] == [p.key for p in y]:
-        for p, q in zip(x, y):
-            out.parts.append((yield aligned.step(p, q)))
-        out.parts = yield fold.step(out.parts)
-        return out
-    # longest common subsequence of keys: what matches is aligned in turn, what doesn't is optional
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].key == y[j].key else max(best[i + 1][j], best[i][j + 1])
+    pairs = in_step([p.key for p in x], [p.key for p in y])
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].key == y[j].key:
-            out.parts.append((yield aligned.step(x[i], y[j])))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            x[i].often = repeated(x[i].often, "?")
-            out.parts.append(x[i])
-            i += 1
-        else:
-            y[j].often = repeated(y[j].often, "?")
-            out.parts.append(y[j])
-            j += 1
-    out.parts = yield fold.step(out.parts)
+    for p, q in [*pairs, (len(x), len(y))]:
+        for only in (x[i:p], y[j:q]):
+            for part in only:
+                part.often = repeated(part.often, "?")
+            out.parts += only
+        if p < len(x):
+            out.parts.append((yield joined.step(x[p], y[q], pages)))
+        i, j = p + 1, q + 1
+    if len(out.parts) > 1 and len(out.parts) > len(pairs):  # else nothing new stands side by side
+        out.parts = yield folded.step(out.parts)
     return out
 
 
-def infer(skeletons: list) -> Part:
-    wrapper = wrapper_of(skeletons[0])
-    for s in skeletons[1:]:
+def aligned(a: Part, b: Part) -> Part:
+    return joined(a, b, True)
+
+
+def infer(streams: list) -> Part:
+    wrapper = wrapper_of(streams[0])
+    for s in streams[1:]:
         wrapper = aligned(wrapper, wrapper_of(s))
     return wrapper
 
@@ -301,7 +395,7 @@ def dumped(part: Part) -> str:
     rows, todo = [], [part]
     while todo:
         p = todo.pop()
-        rows.append([p.key, p.name, p.dropped, p.often, p.digest, p.size, p.link, len(p.parts)])
+        rows.append([p.key, p.name, p.says, p.often, p.digest, p.size, p.link, len(p.parts)])
         todo.extend(reversed(p.parts))
     return json.dumps(rows, separators=(",", ":"))
 
@@ -309,8 +403,8 @@ def dumped(part: Part) -> str:
 def loaded(rows: str) -> Part:
     open_: list[tuple[Part, int]] = []
     first = None
-    for key, name, dropped, often, digest, size, link, n in json.loads(rows):
-        part = Part(key, name, dropped, digest=digest, size=size, link=link)
+    for key, name, says, often, digest, size, link, n in json.loads(rows):
+        part = Part(key, name, says, digest=digest, size=size, link=link)
         part.often = often
         first = first or part
         while open_ and len(open_[-1][0].parts) == open_[-1][1]:
@@ -322,12 +416,12 @@ def loaded(rows: str) -> Part:
 
 
 class Place:
-    """All parts of a wrapper at one path of keys. own: text right in them; near: and in their paragraphs; mass: and in all below."""
+    """All parts of a wrapper at one path of keys. own: slot text right in them and in their prose; mass: and in all below."""
 
-    __slots__ = ("key", "name", "above", "own", "near", "mass")
+    __slots__ = ("key", "name", "says", "above", "below", "own", "mass", "fixed")
 
-    def __init__(self, key: str, name: str, above):
-        self.key, self.name, self.above, self.own, self.near, self.mass = key, name, above, 0, 0, 0
+    def __init__(self, key: str, name: str, says: int, above):
+        self.key, self.name, self.says, self.above, self.below, self.own, self.mass, self.fixed = key, name, says, above, [], 0, 0, 0
 
     def path(self) -> list[str]:
         out, place = [], self
@@ -336,45 +430,52 @@ class Place:
             place = place.above
         return out[::-1]
 
+    def weight(self) -> float:
+        """Mass as names would have it; what HTML has for another purpose is no place for an article."""
+        return max(self.mass, 0) * (2 if self.name in ("article", "main") else (1, 0.5, 0)[self.says])
+
 
 def places(wrapper: Part, constant=frozenset()) -> list[Place]:
-    """In page order, each after what it stands in. Texts whose digest is in constant count for nothing, unless nothing else is there."""
-    first = Place(wrapper.key, wrapper.name, None)
-    known, out, todo = {}, [first], [(wrapper, first)]
+    """In page order, each after what it stands in. Constant texts count for nothing but in <article> and <main>, unless nothing else is there."""
+    first = Place(wrapper.key, wrapper.name, wrapper.says, None)
+    known, out, todo = {}, [first], [(wrapper, first, False)]
     while todo:
-        part, place = todo.pop()
+        part, place, named = todo.pop()
         below = []
         for p in part.parts:
             if p.key == "#":
-                place.own += p.size - 2 * p.link if p.digest is None or p.digest not in constant else 0
-            elif not p.dropped:
+                if p.digest is not None and p.digest in constant:
+                    place.fixed += p.size
+                    place.own += p.size if named else 0
+                else:
+                    place.own += p.size - 2 * p.link
+            elif p.name in PROSE:
+                below.append((p, place, named))
+            else:
                 at = known.get((id(place), p.key))
                 if at is None:
-                    at = known[id(place), p.key] = Place(p.key, p.name, place)
+                    at = known[id(place), p.key] = Place(p.key, p.name, p.says, place)
+                    place.below.append(at)
                     out.append(at)
-                below.append((p, at))
+                below.append((p, at, named or p.name in ("article", "main")))
         todo.extend(reversed(below))
-    for place in out:
-        place.near += place.own
-        # text right in an element or its paragraphs: where prose gathers
-        if place.above and place.name in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol"):
-            place.above.near += place.own
     for place in reversed(out):
         place.mass += place.own
         if place.above:
-            place.above.mass += place.mass
-    return out if not constant or any(p.own > 0 for p in out) else places(wrapper)
+            place.above.mass += max(place.mass, 0)
+            place.above.fixed += place.fixed
+    return out if not constant or any(p.own > 0 and not p.says for p in out) else places(wrapper)
 
 
 def article_path(wrapper: Part, constant=frozenset()) -> list[str]:
     """Keys from the page down to the element that holds the article."""
-    found = places(wrapper, constant)
-    named = [p for p in found if p.name in ("article", "main")]
-    if named:
-        articles = [p for p in named if p.name == "article" and p.mass > 0]
-        return max(reversed(articles or named), key=lambda p: (p.mass, p.name == "article")).path()
-    best = max(found, key=lambda p: p.near)
-    return best.path() if best.near > 0 else ["#page"]
+    place = places(wrapper, constant)[0]
+    while place.below:
+        best = max(place.below, key=Place.weight)
+        if best.weight() <= 0 or best.weight() < SHARE * (max(place.own, 0) + sum(p.weight() for p in place.below)):
+            break
+        place = best
+    return place.path()
 
 
 def constants(wrapper: Part) -> list[int]:
@@ -382,45 +483,85 @@ def constants(wrapper: Part) -> list[int]:
     out, todo = set(), [wrapper]
     while todo:
         part = todo.pop()
-        if part.often in "1+" and not part.dropped:
+        if part.often in "1+":
             if part.key == "#" and part.digest is not None:
                 out.add(part.digest)
             todo.extend(part.parts)
     return sorted(out)
 
 
-def fits(wrapper: Part, path: list[str], constant: frozenset) -> bool:
-    """Whether no element beside the path holds more slot text of the page than the element there does."""
-    found = places(wrapper, constant)
-    line, at = [found[0]], {(id(p.above), p.key): p for p in found[1:]}
+def place_at(found: list[Place], path: list[str]) -> Place | None:
+    place, at = found[0], {(id(p.above), p.key): p for p in found[1:]}
     for key in path[1:]:
-        place = at.get((id(line[-1]), key))
+        place = at.get((id(place), key))
         if place is None:
-            return False
-        line.append(place)
-    on, inside = {id(p) for p in line}, {id(line[-1])}
-    for p in found:
-        if id(p.above) in inside:
+            return None
+    return place
+
+
+def leavings(found: list[Place], path: list[str], pages: int) -> list[list[str]]:
+    """Paths of elements inside the article's place that aren't the article's: named for another purpose and minor, or the template's own."""
+    top, out = place_at(found, path), []
+    todo = list(top.below)
+    while todo:
+        p = todo.pop()
+        minor = p.mass < MAJOR * max(top.mass, 1)
+        if (p.says == HINT and minor) or (pages >= CONSTANT and p.mass <= 0 < p.fixed):
+            out.append(p.path())
+        else:
+            todo.extend(p.below)
+    return sorted(out)
+
+
+def decide(wrapper: Part, pages: int) -> dict:
+    """What a template's wrapper says: the path of the article, what it usually holds, what goes, and constant texts."""
+    constant = constants(wrapper) if pages > 1 else []
+    path, found = article_path(wrapper, frozenset(constant)), places(wrapper, frozenset(constant))
+    return {"path": path, "usual": place_at(found, path).mass / pages, "goes": leavings(found, path, pages), "constant": constant}
+
+
+def fits(own: list[Place], place: Place, usual: float) -> bool:
+    """Whether no element beside the page's place holds more of its slot text, and as much as could be an article of the template."""
+    on, p = set(), place
+    while p:
+        on.add(id(p))
+        p = p.above
+    inside = {id(place)}
+    for p in own:
+        if p.above and id(p.above) in inside:
             inside.add(id(p))
-    return line[-1].mass > 0 and line[-1].mass >= max((p.near for p in found if id(p) not in on and id(p) not in inside), default=0)
+    beside = max((p.weight() for p in own if id(p) not in on and id(p) not in inside), default=0)
+    return beside <= max(place.weight(), QUARTER * usual)
 
 
-def at_path(root: Node, path: list[str]) -> list[Node]:
-    found = [root]
-    for key in path[1:]:
-        found = [c for n in found for c in n.children if isinstance(c, Node) and c.key == key and not c.dropped]
-    return found
+def at_path(nodes: list[Node], path: list[str]) -> list[Node]:
+    """The nodes at the path below these, in page order; prose on the way isn't in paths."""
+    for key in path:
+        out, todo = [], [c for n in reversed(nodes) for c in reversed(n.children) if isinstance(c, Node)]
+        while todo:
+            n = todo.pop()
+            if n.key == key and n.name not in PROSE:
+                out.append(n)
+            elif n.name in PROSE:
+                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+        nodes = out
+    return nodes
 
 
-def extract(page: str, path: list[str] | None, constant=frozenset()) -> str:
+def extract(page: str, known: dict | None) -> str:
     root = parse(page)
-    found = at_path(root, path) if path else []
-    if found and found[0].name in ("article", "main") and (text := " ".join(blocks(found))):
-        return text
-    own = wrapper_of(skeleton(root))
-    if not found or not fits(own, path, constant):
-        found = at_path(root, article_path(own, constant)) or [root]
-    return " ".join(blocks(found))
+    wrapper, constant = wrapper_of(stream(root)), frozenset(known["constant"] if known else ())
+    own, found = places(wrapper, constant), []
+    if known and (place := place_at(own, known["path"])) and fits(own, place, known["usual"]):
+        path, goes = known["path"], known["goes"]
+        found = at_path([root], path[1:])
+    if not found:
+        path = article_path(wrapper, constant)
+        goes, found = leavings(own, path, 1), at_path([root], path[1:])
+    gone = {id(n) for g in goes for n in at_path(found, g[len(path) :])}
+    text = " ".join(blocks(found, lambda n: n.says == PURPOSE or id(n) in gone))
+    # a place of nothing else has what it has
+    return text or " ".join(blocks(found, lambda n: n.says == PURPOSE)) or " ".join(blocks([root], lambda n: n.says == PURPOSE))
 
 
 def host(url="url"):
@@ -428,58 +569,69 @@ def host(url="url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template, pages, wrapper, path, constant): the expression inferred from all pages of each host's template, the path of its article and its constant texts as JSON."""
-    names = ["host", "template", "pages", "wrapper"]
+    """(host, template, pages, wrapper, known): the expression inferred from all pages of each host's template, and what decide() makes of it, as JSON."""
+    schema = "host string, template string, pages long, wrapper string"
+
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["host", "template", "pages", "wrapper"])
 
     def sketch(batches):
         held: dict[tuple[str, str], tuple[int, Part]] = {}
-
-        def out():
-            rows = [(*key, n, dumped(w)) for key, (n, w) in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=names)
+        parts = 0
 
         for batch in batches:
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(page or "")
-                key, own = (name, template_of(root)), wrapper_of(skeleton(root))
+            for name, page in zip(batch.column(0), batch.column(1)):
+                root = parse(page.as_py() or "")
+                tokens = stream(root)
+                key, own = (name.as_py(), template_of(root)), wrapper_of(tokens)
                 n, before = held.get(key, (0, None))
                 held[key] = (n + 1, aligned(before, own) if before else own)
-                if len(held) >= HELD:
-                    yield out()
-        yield out()
+                parts += len(tokens) if before is None else 0
+                if parts >= HELD:
+                    yield table_of([(*k, n, dumped(w)) for k, (n, w) in held.items()])
+                    held.clear()
+                    parts = 0
+        yield table_of([(*k, n, dumped(w)) for k, (n, w) in held.items()])
 
     def align(t):
-        found = None
-        for rows in sorted(t.column("wrapper").to_pylist()):
-            found = aligned(found, loaded(rows)) if found else loaded(rows)
-        n = sum(t.column("pages").to_pylist())
-        constant = constants(found) if n > 1 else []
-        path = article_path(found, frozenset(constant))
-        return pa.table({"host": [t.column("host")[0].as_py()], "template": [t.column("template")[0].as_py()], "pages": [n], "wrapper": [str(found)], "path": [json.dumps(path)], "constant": [json.dumps(constant)]})
+        found, rows = None, sorted(zip(t.column("wrapper").to_pylist(), t.column("pages").to_pylist()))
+        for text, _ in rows:
+            found = aligned(found, loaded(text)) if found else loaded(text)
+        return t.column("host")[0].as_py(), t.column("template")[0].as_py(), sum(n for _, n in rows), found
+
+    def some(t):
+        *key, found = align(t)
+        return pa.Table.from_batches([table_of([(*key, dumped(found))])])
+
+    def last(t):
+        name, template, n, found = align(t)
+        return pa.table({"host": [name], "template": [template], "pages": [n], "wrapper": [str(found)], "known": [json.dumps(decide(found, n))]})
 
-    sketches = pages.select(host().alias("host"), "html").mapInArrow(sketch, "host string, template string, pages long, wrapper string")
-    return sketches.groupBy("host", "template").applyInArrow(align, "host string, template string, pages long, wrapper string, path string, constant string")
+    sketches = pages.select(host().alias("host"), "html").mapInArrow(sketch, schema)
+    # a hot host's wrappers come from every task: they meet in SALTS parts before the last ones do
+    salted = sketches.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("host", "template", "salt").applyInArrow(some, schema)
+    return salted.groupBy("host", "template").applyInArrow(last, "host string, template string, pages long, wrapper string, known string")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
-    known = written(wrappers(pages), "wrappers").select("host", "template", "path", "constant")
-    known = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
+    known = written(wrappers(pages), "wrappers").select("host", "template", "known")
+    size = known.agg(F.count("*"), F.sum(F.octet_length("known"))).first()
+    known = F.broadcast(known) if size[0] <= BROADCAST_HOSTS and (size[1] or 0) <= BROADCAST_BYTES else known
 
     def place(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([template_of(parse(h or "")) for h in batch.column(2).to_pylist()], pa.string())], names=["page_id", "url", "html", "host", "template"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([template_of(parse(h.as_py() or "")) for h in batch.column(2)], pa.string())], names=["page_id", "url", "html", "host", "template"])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [extract(h or "", json.loads(p) if p else None, frozenset(json.loads(c) if c else ())) for h, p, c in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
+                texts = [extract(h.as_py() or "", json.loads(k.as_py()) if k.as_py() else None) for h, k in zip(part.column(2), part.column(3))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select("page_id", "url", "html", host().alias("host"))
-    rows = rows.mapInArrow(place, pages.select("page_id", "url", "html").schema.add("host", "string").add("template", "string")).join(known, ["host", "template"], "left").select("page_id", "url", "html", "path", "constant")
+    rows = rows.mapInArrow(place, pages.select("page_id", "url", "html").schema.add("host", "string").add("template", "string")).join(known, ["host", "template"], "left").select("page_id", "url", "html", "known")
     return rows.mapInArrow(run, pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
 
 
