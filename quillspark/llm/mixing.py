@@ -11,7 +11,8 @@ is spread over its buckets, and none is sorted in one task.
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and share SHARE of all words; a target stops at CAP
 times its source's words and the excess is shared anew by weight until none is above (solved in closed form over one row per source).
 
-Defined results: a null or empty text has size 0 and is taken 0 times its 0 words; a null source is a source; repeated rows
+Defined results: a null or empty text has size 0, so no words are taken of it, and it has CAP copies at most like any other; a very long
+text is one document, taken whole or not; a null source is a source; of equal keys the least id and size go first; repeated rows
 are documents of their own (equal rows are interchangeable); an empty table gives no rows; extra columns are not read.
 """
 
@@ -77,7 +78,8 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, seed: str = SEED, buck
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = rows.alias("r").join(cells.alias("c"), F.expr("r.source <=> c.source AND r.bucket = c.bucket")).select("r.*", "c.before", "c.source_size", "c.target", "c.epochs", "c.rest")
     middle = F.col("before") + F.col("inside") + F.col("size") / F.lit(2.0)
-    out = out.withColumn("copies", F.col("epochs") + (middle <= F.col("rest")).cast("long"))
+    # a document without words takes nothing from the budget: it comes with the whole epochs, and with the rest if that goes beyond its place
+    out = out.withColumn("copies", F.col("epochs") + F.when(F.col("size") > 0, middle <= F.col("rest")).otherwise(middle < F.col("rest")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 

@@ -1,6 +1,6 @@
 r"""Quality rules (op 8): distribution divergence, with DataFrame functions only.
 
-A document's histograms of character classes and of its language's commonest short words are compared with those of the language
+A document's histograms of character classes and of its language's commonest words are compared with those of the language
 (summed over all documents) by the Jensen-Shannon distance (base 2, 0 to 1). A document is rejected if a distance is above
 
     CHAR_LIMIT                               for character classes, from MIN_CHARS characters on
@@ -12,10 +12,11 @@ References: one per language with at least MIN_REFERENCE words, however many; up
 by a shuffle. Documents of smaller languages have distances 0, so only the base rules judge them.
 
 Repeated windows are found within each row: the hashes of a document's windows are sorted, and equal neighbours mark their places.
-Nothing but the references' counts is shuffled, up to that bound.
+Nothing but the references' counts is shuffled, up to that bound: words are counted per language before they move.
 
-Defined results: a null text has no words, so fails the base rules; a null language is a language of its own; repeated rows are
-judged alike; an empty table gives no rows; extra columns are handed on by judged() and otherwise not read.
+Defined results: a null text has no words, so fails the base rules; a null language is a language of its own; a very long text is
+judged whole, in one row; of equally common words the first by code points count; repeated rows are judged alike; an empty
+table gives no rows; extra columns are handed on by judged() and otherwise not read.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, table, written
+from .common import WORD_SPLIT, dropped, table, written
 
 MIN_WORDS_BASE, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 100, 50, 0.30, 0.22, 0.6
-#: Commonest words per language, their greatest length, least words of a language with a reference, references broadcast at most.
-COMMON, COMMON_LENGTH, MIN_REFERENCE, BROADCAST_LANGUAGES = 12, 4, 2000, 10_000
+#: Commonest words per language (bins of the histogram; all others are one more), least words of a language with a reference, references broadcast at most.
+COMMON, MIN_REFERENCE, BROADCAST_LANGUAGES = 12, 2000, 10_000
 #: Character classes, taken out of the text one after the other; what is left is a class too.
 CLASSES = {"lower": "[a-z]+", "space": WORD_SPLIT, "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>]+", "punct": r"[!-/:-@\[-`{-~]+"}
 
@@ -37,17 +38,25 @@ def _length(c):
     return F.length(c).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with: words, chars (counts of CLASSES and the rest), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    out = docs.withColumn("_t", F.coalesce("text", F.lit("")))
-    last, counts = "_t", []
+def _words(text="text"):
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
+
+
+def _chars(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with columns that serve the counts of CLASSES and of the rest, and these counts."""
+    out, last, counts = docs.withColumn("_t", F.coalesce("text", F.lit(""))), "_t", []
     for name, pattern in CLASSES.items():
         out = out.withColumn(f"_{name}", F.regexp_replace(last, pattern, ""))
         counts.append(_length(last) - _length(f"_{name}"))
         last = f"_{name}"
-    counts.append(_length(last))
+    return out, [*counts, _length(last)]
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with: words, chars (counts of CLASSES and the rest), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    out, counts = _chars(docs)
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.select(*docs.columns, F.array(*counts).alias("chars"), F.array_remove(F.split("_t", WORD_SPLIT), "").alias("words"), lines.alias("_lines"))
+    out = out.select(*docs.columns, F.array(*counts).alias("chars"), _words("_t").alias("words"), lines.alias("_lines"))
     n = F.size("words")
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("_hashes", hashes)
@@ -72,16 +81,20 @@ def repeated_words(hashes):
     return F.transform(F.transform(F.array(F.sort_array(placed)), starts), covered)[0]
 
 
-def references(rows: DataFrame) -> DataFrame:
-    """(ref, all, ref_chars, best) per language with enough words: sums of words and chars, and its commonest short words."""
-    short = F.transform(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), lambda w: F.lower(w))
-    counts = rows.select(F.col("lang").alias("ref"), F.explode(short).alias("word")).groupBy("ref", "word").agg(F.count("*").alias("n"))
-    sums = [F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 1)]
-    totals = rows.groupBy(F.col("lang").alias("ref")).agg(F.sum("n_words").alias("all"), F.array(*sums).alias("ref_chars")).where(F.col("all") >= MIN_REFERENCE)
+def references(docs: DataFrame) -> DataFrame:
+    """(ref, all, ref_chars, best) per language of docs (text, lang) with enough words: sums of words and chars, and its commonest words."""
+    words = docs.select(F.col("lang").alias("ref"), F.explode(_words()).alias("word"))
+    counts = words.groupBy("ref", "word").agg(F.count("*").alias("n"))  # before lower-casing: as exact, and on fewer strings
+    counts = written(counts.groupBy("ref", F.lower("word").alias("word")).agg(F.sum("n").alias("n")), "word-counts")
+    all_ = counts.groupBy("ref").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_REFERENCE)
     order = Window.partitionBy("ref").orderBy(F.desc("n"), "word")
     best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= COMMON)
     best = best.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("best"))
-    return totals.alias("t").join(best.alias("b"), F.expr("t.ref <=> b.ref"), "left").select("t.ref", "t.all", "ref_chars", "best")
+    rows, chars = _chars(docs.select("text", F.col("lang").alias("ref")))
+    sums = rows.select("ref", *[c.alias(f"c{i}") for i, c in enumerate(chars)]).groupBy("ref").agg(F.array(*[F.sum(f"c{i}") for i in range(len(chars))]).alias("ref_chars"))
+    found = written(all_.alias("t").join(best.alias("b"), F.expr("t.ref <=> b.ref")).join(sums.alias("s"), F.expr("t.ref <=> s.ref")).select("t.ref", "t.all", "ref_chars", "best"), "references")
+    dropped(counts)
+    return found
 
 
 def js_distance(p, q):
@@ -99,18 +112,16 @@ def js_distance(p, q):
 def judged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang and any others) with the measures, char_distance, word_distance, base_failed and kept."""
     rows = measured(docs)
-    refs = references(measured(docs.select("text", "lang")).select("lang", "words", "chars", "n_words"))
+    refs = references(docs.select("text", "lang"))
     words = F.transform("best", lambda b: b["word"])
     counts = F.transform("best", lambda b: b["n"].cast("double"))
     rest = F.col("all").cast("double") - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     refs = refs.select("ref", F.transform("ref_chars", lambda x: x.cast("double")).alias("ref_chars"), F.coalesce(words, F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat(counts, F.array(rest)), F.array(F.col("all").cast("double"))).alias("ref_words"))
-    refs = written(refs, "references")
     refs = F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs
     rows = rows.alias("r").join(refs.alias("f"), F.expr("r.lang <=> f.ref"), "left").select("r.*", "f.ref_chars", "f.common", "f.ref_words")
-    # each word stands between two spaces of its own; taking one out shortens the text by its length and 2
-    short = F.array_join(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), "  ")
-    rows = rows.withColumn("_short", F.concat(F.lit(" "), F.lower(short), F.lit(" ")))
-    found = F.transform("common", lambda w: ((F.length("_short") - F.length(F.replace(F.col("_short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("double"))
+    # each word stands between two spaces of its own; taking one out shortens the text by its length and 2 (in bytes)
+    rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")))
+    found = F.transform("common", lambda w: ((F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double"))
     rows = rows.withColumn("_found", found)
     rows = rows.withColumn("_hist", F.concat("_found", F.array(F.col("n_words").cast("double") - F.aggregate("_found", F.lit(0.0), lambda a, x: a + x))))
     rows = rows.withColumn("char_distance", F.coalesce(js_distance(F.transform("chars", lambda x: x.cast("double")), F.col("ref_chars")), F.lit(0.0))).withColumn("word_distance", F.coalesce(js_distance(F.col("_hist"), F.col("ref_words")), F.lit(0.0)))

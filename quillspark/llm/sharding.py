@@ -1,14 +1,16 @@
 """Sharding by fixed virtual slots (op 6), with DataFrame functions only.
 
-Records hash by id into SLOTS slots; the bytes of each slot are summed; a versioned table maps slots to shards. The map is made
-largest slot first onto the lightest shard, so shards' bytes are near equal (law `bytes`); rebalance() edits it for other sizes
-or another shard count and stores the next version, moving few slots. Only the map (SLOTS rows) is ever collected or broadcast.
+Records hash by id and text into SLOTS slots; the bytes of each slot are summed; a versioned table maps slots to shards. Its first
+version deals slots out in turn, before any size is known; rebalanced() edits the latest version by the slots' bytes, or for another
+shard count, and stores the next, so that shards' bytes are near equal (law `bytes`). A version is a folder of its own, which can't be
+written twice. Only the map and the slots' sums (SLOTS rows) are ever collected or broadcast.
 
 A record's slot in the result is its place in its shard, gapless from 0: cells (virtual slot, part) are numbered apart and put one
-after the other, so no task sorts a whole shard.
+after the other, so no task sorts a whole shard. A slot of many rows has many parts, also where its rows are all equal.
 
 Defined results: size is the text's UTF-8 bytes (null: 0) plus 16; a null id hashes as a value of its own; repeated rows get
-places of their own; an empty table gives no rows; extra columns are not read. One record larger than a shard's share can't be split.
+places of their own, in any order; slots of equal bytes move in order of their number; an empty table gives no rows; extra columns
+are not read. A very long text is one record; one larger than a shard's share can't be split.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ CELL_ROWS = 100_000
 
 def sized(docs: DataFrame) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("vslot"))
+    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id", text), F.lit(SLOTS)).cast("int").alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -46,13 +48,19 @@ def assign(sizes: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
     return out
 
 
-def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.01) -> dict[int, int]:
-    """The old map with slots moved from shards that are over their share (or gone) to the lightest ones, until all are within slack."""
+def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.01, even: bool = False) -> dict[int, int]:
+    """The old map with slots moved from shards that are over their share (or gone) to the lightest ones, until all are within slack.
+
+    Small slots stay first, so few need to move. With even, large ones are settled first and each at once, so that loads come out even.
+    """
     out, load = dict(old), [0] * shards
-    share = sum(sizes.values()) / shards
+    most = sum(sizes.values()) / shards * (1 + slack)
     loose = []
-    for slot in sorted(out, key=lambda v: (sizes.get(v, 0), v)):  # small ones stay, so few need to move
-        if out[slot] < shards and load[out[slot]] + sizes.get(slot, 0) <= share * (1 + slack):
+    for slot in sorted(out, key=lambda v: (sizes.get(v, 0) * (-1 if even else 1), v)):
+        if out[slot] < shards and load[out[slot]] + sizes.get(slot, 0) <= most:
+            load[out[slot]] += sizes.get(slot, 0)
+        elif even:
+            out[slot] = load.index(min(load))
             load[out[slot]] += sizes.get(slot, 0)
         else:
             loose.append(slot)
@@ -65,33 +73,53 @@ def rebalance(old: dict[int, int], sizes: dict[int, int], shards: int, slack: fl
     return out
 
 
+MAP = "vslot int, shard int"
+
+
 def store_map(spark: SparkSession, path: str, mapping: dict[int, int], version: int) -> None:
-    """Append a version; a version is only ever written once."""
-    spark.createDataFrame([(version, v, s) for v, s in sorted(mapping.items())], "version int, vslot int, shard int").coalesce(1).write.mode("append").parquet(path)
+    """Write a version, once; an error if it is there."""
+    spark.createDataFrame(sorted(mapping.items()), MAP).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that are there in whole, ascending."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    done = [x.getName() for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.partition("=")[2]) for x in done if x.startswith("version="))
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version of the map, the latest if none is named."""
-    every = spark.read.schema("version int, vslot int, shard int").parquet(path)
-    version = every.agg(F.max("version")).first()[0] if version is None else version
-    return every.where(F.col("version") == version).select("vslot", "shard")
+    return spark.read.schema(MAP).parquet(f"{path}/version={versions(spark, path)[-1] if version is None else version}")
+
+
+def rebalanced(spark: SparkSession, path: str, sizes: dict[int, int], shards: int, slack: float = 0.01, even: bool = False) -> int:
+    """Edit the latest version by these sizes and store the next, whose number is returned."""
+    version = versions(spark, path)[-1]
+    old = {r["vslot"]: r["shard"] for r in load_map(spark, path, version).collect()}  # SLOTS rows
+    store_map(spark, path, rebalance(old, sizes, shards, slack, even), version + 1)
+    return version + 1
 
 
-def placed(rows: DataFrame, mapping: DataFrame, total: int) -> DataFrame:
-    """rows (of sized()) with their shard and their place in it."""
-    parts = max(1, -(-total // (SLOTS * CELL_ROWS)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int"))
-    mapping = F.broadcast(mapping)  # SLOTS rows
-    cells = rows.groupBy("vslot", "part").agg(F.count("*").alias("n")).join(mapping, "vslot")
+def placed(rows: DataFrame, mapping: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rows (of sized()) with their shard and their place in it. counts: rows per slot."""
+    parts = rows.sparkSession.createDataFrame([(v, -(-n // CELL_ROWS)) for v, n in counts.items()], "vslot int, parts int")
+    mapping = F.broadcast(mapping.join(F.broadcast(parts), "vslot"))  # SLOTS rows
+    rows = rows.withColumn("_task", F.spark_partition_id()).join(mapping, "vslot")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "_task"), F.col("parts")).cast("int"))
+    cells = rows.groupBy("vslot", "part", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("vslot", "part", "shard", F.coalesce(before, F.lit(0)).alias("before"))
+    cells = cells.select("vslot", "part", F.coalesce(before, F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "text_crc32")) - 1
     return rows.withColumn("number", number).join(cells, ["vslot", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(sized(table(spark, sf_dir, "documents", "doc_id", "text")), "op6-sizes")
-    sizes = slot_bytes(rows)
+    sums = slot_bytes(rows)
     path = new_path(spark, "op6-map")
-    store_map(spark, path, assign({v: b for v, (b, _) in sizes.items()}), version=1)
-    return placed(rows, load_map(spark, path), sum(n for _, n in sizes.values()))
+    store_map(spark, path, {v: v % SHARDS for v in range(SLOTS)}, version=1)
+    rebalanced(spark, path, {v: b for v, (b, _) in sums.items()}, SHARDS, slack=0.0, even=True)
+    return placed(rows, load_map(spark, path), {v: n for v, (_, n) in sums.items()})

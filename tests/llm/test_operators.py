@@ -7,7 +7,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from quillspark.llm import html_extract, media, ngram_join, quality_ranking, quality_rules, sharding, token_ids, toxicity
+from quillspark.llm import byte_bpe, html_extract, media, ngram_join, quality_ranking, quality_rules, sharding, token_ids, toxicity
 from quillspark.llm.common import new_path, table
 
 # token ids
@@ -64,7 +64,7 @@ def test_ids_come_back_from_files_and_damage_is_found(spark, sf):
 def test_encoder_forgets_and_stays_right(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(token_ids, "CACHED_WORDS", 20)
+    monkeypatch.setattr(token_ids, "MEMO_BYTES", 1 << 13)
     enc = token_ids.WordEncoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     pick = random.Random(2)
     for _ in range(60):
@@ -73,6 +73,46 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
         assert ids.tolist() == [i for t in texts for i in enc.tokenizer.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
 
 
+def test_special_tokens_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    t, enc = Tokenizer.from_str(spec), token_ids.WordEncoder(spec)
+    for text in ("hello <|endoftext|> world <|startoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <| endoftext |>", "x<|", "<|>", "don't L'ÉTÉ × a÷b"):
+        assert enc.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# byte-level BPE
+
+
+def bpe_and_own():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_long_matches_of_any_kind_are_coded_as_they_should(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 1 << 14)
+    bpe, own = bpe_and_own()
+    pick = random.Random(8)
+    letters = lambda n: "".join(pick.choices("abcdefghijklmnopqrstuvwxyzABC", k=n))
+    texts = [letters(3000), "a" * 5000, "x " + "-" * 5001, "abc" * 1500, "".join(pick.choices(["the", "ing", "tion", "re"], k=1500)), " " * 900 + "x", "".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(1500)), letters(257), letters(256), ""]
+    for some in (texts, texts[::-1]):
+        (ids, n), (raw, m) = bpe.encode(some)
+        want = [own.encode_ordinary(t) for t in some]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert raw.tobytes() == "".join(some).encode() and m.tolist() == [len(t.encode()) for t in some]
+
+
+def test_a_megabyte_of_letters_ends():
+    bpe, own = bpe_and_own()
+    text = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    assert bpe.encode([text])[0][0].tolist() == own.encode_ordinary(text)
+
+
 # toxicity
 
 
@@ -134,7 +174,7 @@ def test_words_that_clean_documents_hold_once_tell_by_their_number():
 
 
 def test_telling_words_survive_common_ones_and_stems():
-    common = [f"common{k}" for k in range(toxicity.TERMS + 50)]
+    common = [f"common{k}" for k in range(350)]
     docs = [(False, common)] * 20 + [(True, [*common, "moron"])] * 5 + [(True, [*common, "vequorama"])] * 5
     lexicon = toxicity.complete({"vequo": True}, docs)
     assert lexicon == {"vequo": True, "moron": False, "vequorama": False}
@@ -210,11 +250,11 @@ def test_rtree_loses_no_pair():
             sets.append(np.unique(x[: pick.integers(150, 201)]))
     n = np.array([len(x) for x in sets])
     tree = ngram_join.RTree(ngram_join.points_of([ngram_join.point(x) for x in sets]), n)
-    fine = [ngram_join.fine_point(x) for x in sets]
+    fine = [np.frombuffer(ngram_join.fine_point(x), np.uint64) for x in sets]
     left = 0
     for a, b in itertools.combinations(range(len(sets)), 2):
         if ngram_join.enough(len(np.intersect1d(sets[a], sets[b])), n[a], n[b]):
-            assert ngram_join.enough(ngram_join.fine_bound(fine[a], fine[b], n[a], n[b]), n[a], n[b])
+            assert ngram_join.may_link(fine[a], fine[b], n[a], n[b])
     points = ngram_join.points_of([ngram_join.point(x) for x in sets])
     for a in range(len(sets)):
         found = set(tree.search(points[a], n[a]).tolist())
@@ -225,9 +265,37 @@ def test_rtree_loses_no_pair():
 
 
 def test_fine_points_of_different_widths():
-    small, large = np.arange(90, dtype=np.uint64) * np.uint64(7919), np.arange(120, dtype=np.uint64) * np.uint64(7919)
-    f, g = ngram_join.fine_point(ngram_join.splitmix(small)), ngram_join.fine_point(ngram_join.splitmix(large))
-    assert ngram_join.fine_bound(f, g, 90, 120) >= 90 and ngram_join.enough(90, 90, 120)
+    elements = ngram_join.splitmix(np.arange(900, dtype=np.uint64) * np.uint64(7919))
+    sets = [elements[:60], elements[:70], elements[:90], elements[500:560]]
+    fine = ngram_join.FinePoints(ngram_join.pa.array([ngram_join.fine_point(x) for x in sets]))
+    assert len(set(fine.width.tolist())) > 1
+    n = np.array([len(x) for x in sets])
+    assert fine.left(np.array([0, 1, 0, 1]), np.array([1, 2, 3, 3]), n).tolist() == [True, True, False, False]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = ["", "one  two\nthree " * 50, " ", "x" * 300 + " y", "four"]
+    hashes, at = ngram_join.word_hashes(texts)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        again, there = ngram_join.word_hashes(texts)
+        assert (again == hashes).all() and (there == at).all()
+
+
+def test_no_link_is_lost_where_ids_clash_or_lack(spark):
+    from .test_queries import components
+
+    pick = random.Random(3)
+    words = [f"w{k}" for k in range(900)]
+    base = [pick.choice(words) for _ in range(100)]
+    near = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    other = " ".join(pick.choice(words) for _ in range(40))
+    # 5 has two texts that don't link but by way of a row without id, and an empty one
+    rows = [(1, near(99)), (5, near(98, 99)), (5, other), (5, ""), (None, near(0)), (None, other), (9, near(0, 1)), (12, other + " more"), (None, None), (7, " ".join(words[:30]))]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, n, c) for i, n, c in components([(i, x, None) for i, x in rows])]
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
 
 
 @pytest.mark.parametrize("few,block", [(1, 1024), (1, 2), (48, 1024)])
@@ -273,16 +341,39 @@ def test_rebalancing_moves_few_slots_and_keeps_versions(spark):
     assert set(sharding.rebalance(grown, sizes, 30).values()) == set(range(30))
     path = new_path(spark, "map")
     sharding.store_map(spark, path, first, 1)
-    sharding.store_map(spark, path, grown, 2)
+    assert sharding.rebalanced(spark, path, sizes, 41) == 2
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        sharding.store_map(spark, path, grown, 2)
     assert {r["vslot"]: r["shard"] for r in sharding.load_map(spark, path).collect()} == grown
     assert {r["vslot"]: r["shard"] for r in sharding.load_map(spark, path, 1).collect()} == first
 
 
+def test_rebalancing_evens_out_the_first_map():
+    pick = random.Random(9)
+    sizes = {v: int(pick.paretovariate(1.5) * 1000) for v in range(sharding.SLOTS)}
+    edited = sharding.rebalance({v: v % 40 for v in range(sharding.SLOTS)}, sizes, 40, slack=0.0, even=True)
+    load = [sum(sizes[v] for v in edited if edited[v] == s) for s in range(40)]
+    assert max(load) <= max(1.01 * sum(sizes.values()) / 40, max(sizes.values()))
+
+
+def test_equal_rows_of_one_slot_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    docs = spark.createDataFrame([(None, "same")] * 200 + [(k, "x" * k) for k in range(50)], "doc_id long, text string").repartition(8)
+    rows = sharding.written(sharding.sized(docs), "sizes")
+    sums = sharding.slot_bytes(rows)
+    mapping = spark.createDataFrame([(v, v % 3) for v in range(sharding.SLOTS)], sharding.MAP)
+    got = sharding.placed(rows, mapping, {v: n for v, (_, n) in sums.items()}).collect()
+    assert len(got) == 250
+    for s in range(3):
+        of = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert of == list(range(len(of)))
+
+
 # html
 
 
 def pages_of(*bodies):
-    return [html_extract.skeleton(html_extract.parse(f"<html><body>{b}</body></html>")) for b in bodies]
+    return [html_extract.stream(html_extract.parse(f"<html><body>{b}</body></html>")) for b in bodies]
 
 
 def test_wrapper_has_groups_options_and_slots():
@@ -291,8 +382,9 @@ def test_wrapper_has_groups_options_and_slots():
 
 
 def test_repeated_runs_of_several_parts_fold():
-    w = html_extract.infer(pages_of("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"))
-    assert "(<dt>#text</>)+(<dd>#text</>)+" in str(w)
+    one = "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"
+    assert "(<dt>text</>)+(<dd>text</>)+" in str(html_extract.infer(pages_of(one, one)))
+    assert "(<dt>text</>)+(<dd>#text</>)+" in str(html_extract.infer(pages_of(one, one.replace("f", "g"))))
 
 
 def test_boilerplate_goes_and_prose_stays():
@@ -303,7 +395,8 @@ def test_boilerplate_goes_and_prose_stays():
 
 
 def test_a_wrapper_that_does_not_fit_gives_way():
-    assert html_extract.extract("<body><article><p>text</p></article></body>", ["#page", "html", "body", "div.gone"]) == "text"
+    known = {"path": ["#page", "html", "body", "div.gone"], "usual": 9, "goes": [], "constant": []}
+    assert html_extract.extract("<body><article><p>text</p></article></body>", known) == "text"
 
 
 def test_every_template_of_a_host_keeps_its_article(spark):
@@ -329,6 +422,70 @@ def test_articles_below_many_wrappers_are_found(depth):
     assert str(html_extract.loaded(html_extract.dumped(same))) == str(same)
 
 
+def test_alignment_is_a_common_run_and_takes_what_is_alone():
+    pick = random.Random(12)
+    for size in (5, 40, 200):
+        for _ in range(60):
+            x, y = ([pick.choice("abcdefghijklmnopqrstuvwxyz") + str(pick.randint(0, size // 8)) for _ in range(pick.randint(0, size))] for _ in range(2))
+            y = y if pick.random() < 0.5 else [v for v in x if pick.random() < 0.8]
+            pairs = html_extract.in_step(x, y)
+            assert all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+    assert len(html_extract.in_step(list("abcxdef"), list("abcdef"))) == 6
+    wide = [f"k{k}" for k in range(50_000)]
+    assert len(html_extract.in_step(wide, wide[::2] + ["new"])) == 25_000 and html_extract.in_step(wide, wide[::-1])
+
+
+def story(k, n, word="w"):
+    return " ".join(f"{word}{k}x{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("article", ["article", "div class=c7", "section"])
+def test_slots_decide_without_names(spark, monkeypatch, article):
+    """Menu, advert, legal text and footer of no telling names: the wrapper's slots alone tell the story."""
+    monkeypatch.setattr(html_extract, "HINTS", frozenset())
+    legal = f"<div class=c5><p>{story('legal', 90)}</p><p>{story('more', 90)}</p></div>"
+    page = lambda k: f"<body><div class=c1><ul><li><a href=/a>Home</a><li><a href=/b>About</a></ul></div><div class=c2>offer {k} today</div><{article}><h1>Title {k}</h1><p>{story(k, 40)}</p><p>{story(-k, 30)}</p></{article.split()[0]}>{legal}<div class=c6>&copy; {k} all</div></body>"
+    pages = spark.createDataFrame([(k, "http://h.example/x", page(k)) for k in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()}
+    assert got == {k: f"Title {k} {story(k, 40)} {story(-k, 30)}" for k in range(12)}
+
+
+def test_the_wrapper_changes_what_a_page_gives():
+    bodies = [f"<div class=a><p>{story('legal', 60)}</p></div><div class=b><p>{story(k, 25)}</p></div>" for k in range(6)]
+    wrapper = html_extract.infer(pages_of(*bodies))
+    known = html_extract.decide(wrapper, 6)
+    assert known["path"][-1] == "div.b" and len(known["constant"]) == 1
+    page = f"<html><body>{bodies[0]}</body></html>"
+    assert html_extract.extract(page, known) == story(0, 25) and html_extract.extract(page, None) != story(0, 25)
+
+
+def test_short_articles_and_constant_blocks_inside():
+    bodies = [f"<div class=c><p>{story(k, 50 if k else 1)}</p><div class=x>Read it in our app</div></div><div class=y>{story(k, 8, 'ad')}</div>" for k in range(5)]
+    known = html_extract.decide(html_extract.infer(pages_of(*bodies)), 5)
+    got = [html_extract.extract(f"<html><body>{b}</body></html>", known) for b in bodies]
+    assert got == [story(k, 50 if k else 1) for k in range(5)]
+
+
+def test_equal_articles_of_a_template_stay():
+    bodies = [f"<div class=ad>offer {story(k, 4)}</div><article><h1>T</h1><p>{story('same', 50)}</p></article>" for k in range(4)]
+    known = html_extract.decide(html_extract.infer(pages_of(*bodies)), 4)
+    assert html_extract.extract(f"<html><body>{bodies[0]}</body></html>", known) == f"T {story('same', 50)}"
+
+
+def test_wide_pages_take_little_memory_and_time():
+    import time
+    import tracemalloc
+
+    bodies = ["".join(f"<section class={c}{''.join(pick.choices('abcdefghij', k=6))}>t{k}</section>" for k in range(8000)) for c, pick in (("p", random.Random(1)), ("q", random.Random(2)))]
+    bodies = [*bodies, *bodies]
+    tracemalloc.start()
+    began = time.time()
+    wrapper = html_extract.infer(pages_of(*bodies))
+    assert tracemalloc.get_traced_memory()[1] < 120e6 and time.time() - began < 60
+    tracemalloc.stop()
+    assert len(wrapper.parts[0].parts[0].parts) >= 16_000
+
+
 # quality
 
 

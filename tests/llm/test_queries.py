@@ -48,7 +48,6 @@ def test_op1(spark, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in run(spark, folder, "op1_token_ids")), key=lambda r: r[0])
     at = 0
     ids = {text: [*t.encode(text or "", add_special_tokens=False).ids, 1] for _, text, _ in source_rows(folder)}
