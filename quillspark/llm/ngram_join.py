@@ -2,22 +2,27 @@ r"""N-gram Jaccard join (op 5): documents link when their sets of 5-word shingle
 
 Exact, without all pairs, in these steps (n is a set's size; a "class" is all documents of one set, named by its least doc_id):
 
-1  One pass over the texts hashes shingles (64 bits) and writes, per document, n, a digest of the set, HASHES minimum hashes, and the
-   counts of its shingles by GROUPS hash groups (a point); also shingles found often within a batch. Equal digests form classes.
+1  One pass over the texts hashes shingles (64 bits) and writes, per document, n, a digest of the set, HASHES minimum hashes, the
+   counts of its shingles by GROUPS hash groups (a point), and the parities of such counts over finer groups, two per element or more.
+   Equal digests form classes.
 2  Classes with a minimum hash in common are linked through that hash's least class: one verified pair per class, not per pair.
-   This joins most of what is alike, and connected components are found by label propagation over written tables.
-3  What may still be missing is a link between two components. Two sets that link share one of the first n - ceil(0.75 n) + 1
-   shingles in any one order of all shingles. The order puts often found ones last, so shared passages rarely come up. Only
-   shingles with several components are kept. Those of up to FEW classes give their pairs of like sizes. Of the others, classes ordered
-   by n are dealt in blocks; blocks whose sizes are within 0.75 of each other meet, and an R-tree over the points of one is
-   searched with those of the other, for pairs whose summed coordinate minima reach the overlap that 0.75 needs. Pairs of
-   either kind are then held against finer vectors, of at least FINE groups per element, where most groups hold one element or
-   none: each group that only one side has is an element that the other lacks. What is left is verified on whole sets.
+   This joins most copies of a group to one component, found by label propagation over written tables, so that step 3 needs only
+   look for links between components.
+3  Count-vector R-trees. Two sets that link share one of the first n - ceil(0.75 n) + 1 shingles in any one order of all shingles, so
+   classes are dealt to the shingles of that prefix (often found ones come last in the order, so shared passages rarely come up);
+   shingles with several components are kept, each with the classes' vectors. A shingle's classes of up to FEW are one leaf
+   of a tree, whose entries are held against each other directly. More are dealt in cells by their sizes' logarithm and, beyond BLOCK, a
+   hash; cells whose sizes can link meet, and an R-tree over the points of one is searched with those of the other: the sum of
+   coordinate minima bounds the overlap of a point with all below a node. Entries that meet must also pass the bound of the finer
+   vectors (first of a few bytes of them, which travel with the classes): each group of unlike parity holds an element that one side
+   lacks. What is left is verified on whole sets.
 
 Nothing about all documents reaches the driver but at most OFTEN shingle hashes, which only shape the order.
 
 Defined results: null, empty or wordless text has an empty set, which is linked with nothing (n_shingles 0, component its own id);
-repeated rows have equal sets, so one class (an id stands for one text); null doc_id stays a row, its component is that of its class, if any; an empty table
+repeated rows have equal sets, so one class; an id that stands on several texts, and rows without id, take part as rows of their own, so
+links by way of them hold (the component of a row without id is that of what it links with, null if that has no id at all); a very
+long text is hashed in pieces, its set is held whole; of equal minimum hashes and sizes the least id goes first; an empty table
 gives no rows; extra columns aren't read.
 """
 
@@ -31,15 +36,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, splitmix, table, written
-from .token_ids import slices
+from .units import slices
 
 WORDS, PERCENT = 5, 75
-HASHES, GROUPS, FINE = 6, 128, 6
+HASHES, GROUPS, FINE = 6, 128, 2
 #: Shingles put last in the order, at most; and in how many documents of a batch one must be to count as often found.
 OFTEN, OFTEN_IN_BATCH = 1 << 18, 4
 #: Classes of a block, entries of an R-tree node, classes of a shingle that pair directly, and mixed shingles up to which
 #: their table is broadcast (16 bytes each); ids to verify up to which theirs is (8 bytes each).
 BLOCK, FANOUT, FEW, BROADCAST_KEYS, BROADCAST_IDS = 1024, 16, 48, 2_000_000, 1_000_000
+#: Into how many parts the classes of a minimum hash are dealt when they meet its centre; bytes of a text hashed at a time; bytes of the
+#: parities that go with a class to each shingle of its prefix (folded, as a class has as many of these as it has elements).
+SALTS, PIECE, CARRIED = 16, 1 << 22, 32
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -56,15 +64,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(x, dtype=np.uint64)
 
 
+def _piece_hashes(raw: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[True], white]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letter[raw] * _powers(BASE, len(raw)), dtype=np.uint64)])
+    return splitmix((sums[end] - sums[start]) * _powers(BASE_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64)), start
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of all texts (A-Z lower-cased), and where each text's words begin (and the end)."""
     raws = [t.encode() for t in texts]
     raw = _lower[np.frombuffer(b" ".join(raws) + b" ", np.uint8)]
     white = _white[raw]
-    edge = np.diff(np.concatenate([[True], white]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letter[raw] * _powers(BASE, len(raw)), dtype=np.uint64)])
-    hashes = splitmix((sums[end] - sums[start]) * _powers(BASE_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64))
+    found, at = [], 0
+    while at < len(raw):  # pieces end with white space, so no word is cut
+        to = min(at + PIECE, len(raw))
+        while to < len(raw) and not white[to - 1]:
+            ahead = np.flatnonzero(white[to : to + PIECE])
+            to = to + int(ahead[0]) + 1 if len(ahead) else min(to + PIECE, len(raw))
+        hashes, start = _piece_hashes(raw[at:to], white[at:to])
+        found.append((hashes, start + at))
+        at = to
+    hashes, start = (np.concatenate(x) for x in zip(*found))
     texts_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
     return hashes, np.searchsorted(start, texts_at)
 
@@ -98,7 +119,7 @@ def enough(both, a, b):
 
 
 _salts = splitmix(np.arange(11, 11 + HASHES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-DESCRIBED = "doc_id long, n long, digest binary, hashes array<long>, point binary, fine binary, often array<long>"
+DESCRIBED = "doc_id long, n long, digest binary, hashes array<long>, point binary, fine binary, sketch binary, often array<long>"
 
 
 def point(x: np.ndarray) -> bytes:
@@ -113,47 +134,51 @@ def points_of(raw: list[bytes]) -> np.ndarray:
 
 
 def fine_point(x: np.ndarray) -> bytes:
-    """Which groups have an element; a power of two of groups, from 512 on."""
-    groups = max(512, 1 << (FINE * len(x) - 1).bit_length())
-    bits = np.zeros(groups, bool)
-    bits[x & np.uint64(groups - 1)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Whether a group has an odd number of elements; a power of two of groups, FINE per element or more, from 64 on."""
+    groups = max(64, 1 << (FINE * len(x) - 1).bit_length())
+    return np.packbits(np.bincount(x & np.uint64(groups - 1), minlength=groups).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(a: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities over fewer groups, which are the last bits of the hashes."""
+    while a.shape[-1] > width:
+        half = a.shape[-1] // 2
+        a = a[..., :half] ^ a[..., half:]
+    return a
+
 
+def may_link(a: np.ndarray, b: np.ndarray, n, m):
+    """Whether sets of n and m elements with these parities can share enough; each group of unlike parity has one that a side lacks."""
+    width = min(a.shape[-1], b.shape[-1])
+    unlike = np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum(axis=-1, dtype=np.int64)
+    return enough((n + m - unlike) // 2, n, m)
 
-def fine_bound(f: bytes, g: bytes, n: int, m: int) -> int:
-    """What sets of n and m elements with these finer points can share at most."""
-    a, b = np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+def carried(fine: bytes) -> bytes:
+    return _folded(np.frombuffer(fine, np.uint64), CARRIED // 8).tobytes()
 
 
 class FinePoints:
-    """Finer points of many sets, by width, to be held against one set's at a time."""
+    """Finer points of many sets, by width."""
 
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.n, self.width = n, np.array([len(x) // 8 for x in raw])
-        self.row, self.matrix = np.zeros(len(raw), np.int64), {}
-        for w in set(self.width.tolist()):
+    def __init__(self, raw: pa.Array):
+        data = raw.to_pylist()
+        self.width = np.array([len(x) // 8 for x in data], np.int64)
+        self.row, self.matrix = np.zeros(len(data), np.int64), {}
+        for w in np.unique(self.width).tolist():
             at = np.flatnonzero(self.width == w)
             self.row[at] = np.arange(len(at))
-            self.matrix[w] = np.frombuffer(b"".join(raw[k] for k in at), np.uint64).reshape(len(at), w)
-
-    def left(self, found: np.ndarray, point: bytes, size: int) -> np.ndarray:
-        """Those of the found entries that may share enough with a set of this point."""
-        out = [found[:0]]
-        for w in set(self.width[found].tolist()):
-            at = found[self.width[found] == w]
-            a, b = np.frombuffer(point, np.uint64), self.matrix[w][self.row[at]]
-            while len(a) > b.shape[1]:
-                a = a[: len(a) // 2] | a[len(a) // 2 :]
-            while b.shape[1] > len(a):
-                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
-            most = np.minimum(size - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), self.n[at] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-            out.append(at[enough(most, size, self.n[at])])
-        return np.concatenate(out)
+            self.matrix[w] = np.frombuffer(b"".join([data[k] for k in at.tolist()]), np.uint64).reshape(len(at), w)
+
+    def left(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each pair of entries i and j whether they may share enough."""
+        out, w, v = np.zeros(len(i), bool), self.width[i], self.width[j]
+        for x, y in set(zip(w.tolist(), v.tolist())):
+            at = np.flatnonzero((w == x) & (v == y))
+            for part in np.array_split(at, 1 + len(at) * max(x, y) // (1 << 20)):
+                p, q = i[part], j[part]
+                out[part] = may_link(self.matrix[x][self.row[p]], self.matrix[y][self.row[q]], n[p], n[q])
+        return out
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -161,10 +186,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in slices(texts, 1 << 21):
-                sets = shingle_sets(texts[s])
-                keys = batch.column(0)[s.start : s.stop].to_pylist()
+            for at, texts in slices(batch.column(1), 1 << 21):
+                sets = shingle_sets(texts.to_pylist())
+                keys = batch.column(0).slice(at, len(texts)).to_pylist()
                 n = [len(x) for x in sets]
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
                 least = [[int(v) for v in np.array([splitmix(x ^ k).min() for k in _salts]).view(np.int64)] if len(x) else None for x in sets]
@@ -174,7 +198,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *once.values()]), return_counts=True)
                 often = values[counts >= OFTEN_IN_BATCH].view(np.int64)
                 often = [None] * len(keys) + [often]
-                yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*n, -1], pa.int64()), pa.array([*digests, None], pa.binary()), pa.array([*least, None], pa.list_(pa.int64())), pa.array([*points, None], pa.binary()), pa.array([*fine, None], pa.binary()), pa.array(often, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "hashes", "point", "fine", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*n, -1], pa.int64()), pa.array([*digests, None], pa.binary()), pa.array([*least, None], pa.list_(pa.int64())), pa.array([*points, None], pa.binary()), pa.array([*fine, None], pa.binary()), pa.array([*(None if x is None else carried(x) for x in fine), None], pa.binary()), pa.array(often, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "hashes", "point", "fine", "sketch", "often"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
 
@@ -184,29 +208,27 @@ def prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in slices(texts, 1 << 21):
+            for at, texts in slices(batch.column(1), 1 << 21):
                 out = []
-                for x in shingle_sets(texts[s]):
+                for x in shingle_sets(texts.to_pylist()):
                     p = len(x) + (-PERCENT * len(x) // 100) + 1 if len(x) else 0
                     if p and len(last):
                         is_last = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
                         x = np.concatenate([x[~is_last], x[is_last]])
                     out.append(x[:p].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(out, pa.list_(pa.int64()))], names=["rep", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(out, pa.list_(pa.int64()))], names=["rep", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rep long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rep long, prefix array<long>").where("size(prefix) > 0")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n, elements) of the documents named by ids (rep), from their whole texts; one row each."""
+    """(rep, n, elements) of the documents named by ids (rep), from their whole texts."""
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in slices(texts, 1 << 21):
-                sets = shingle_sets(texts[s])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "n", "elements"])
+            for at, texts in slices(batch.column(1), 1 << 21):
+                sets = shingle_sets(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "n", "elements"])
 
     ids = written(ids.select("rep").distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -218,7 +240,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Those of pairs (a, b) that link, by their whole sets."""
     pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    sets = written(sets_of(docs, ids), f"{name}-sets").dropDuplicates(["rep"])
+    sets = written(sets_of(docs, ids), f"{name}-sets")  # rows of one id have one set
 
     def run(batches):
         for batch in batches:
@@ -227,7 +249,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
     first = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
-    links = written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
     dropped(pairs, sets)
     return links
 
@@ -244,8 +266,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["rep"] == near["a"]).select("rep", F.least("label", "near").alias("hop"), F.col("label").alias("was"))
         jump = labels.select(F.col("rep").alias("hop"), F.col("label").alias("far"))
         step = written(step.join(jump, "hop", "left").select("rep", F.least("hop", F.coalesce("far", "hop")).alias("label"), "was"), "labels")
+        dropped(labels)
         labels = step.select("rep", "label")
         if step.where("label <> was").isEmpty():
+            dropped(edges)
             return labels
 
 
@@ -280,16 +304,18 @@ class RTree:
 
 
 def few_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of other labels and like sizes among the classes of each key; keys have FEW members (key, rep, n, label) at most."""
+    """Pairs (a, b) of other labels that may link among the classes of each key; keys have FEW members (key, rep, n, label, sketch) at most."""
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         key, rep, n, label = (t.column(c).to_numpy() for c in ("key", "rep", "n", "label"))
-        found = [np.zeros((0, 2), np.int64)]
+        fine, found = FinePoints(t.column("sketch")), [np.zeros((0, 2), np.int64)]
         for lag in range(1, min(FEW, len(key))):
-            near = (key[:-lag] == key[lag:]) & (label[:-lag] != label[lag:]) & (100 * n[:-lag] >= PERCENT * n[lag:])
-            if not (key[:-lag] == key[lag:]).any():
+            same = key[:-lag] == key[lag:]
+            if not same.any():
                 break
-            found.append(np.sort(np.stack([rep[:-lag][near], rep[lag:][near]], axis=1), axis=1))
+            i = np.flatnonzero(same & (label[:-lag] != label[lag:]) & (100 * n[:-lag] >= PERCENT * n[lag:]))
+            i = i[fine.left(i, i + lag, n)]
+            found.append(np.sort(np.stack([rep[i], rep[i + lag]], axis=1), axis=1))
         found = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
@@ -299,7 +325,7 @@ def few_pairs(members: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 200_000:
+            if rows >= 100_000:
                 t = pa.Table.from_batches(held)
                 key = t.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
@@ -309,33 +335,43 @@ def few_pairs(members: DataFrame) -> DataFrame:
         if held:
             yield pairs_of(pa.Table.from_batches(held))
 
-    return members.select("key", "rep", "n", "label").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, "a long, b long").distinct()
+    return members.select("key", "rep", "n", "label", "sketch").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same for keys of any number of members, by R-trees over blocks."""
-    order = Window.partitionBy("key").orderBy("n", "rep")
-    members = written(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "members")
-    blocks = members.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    meet = left.join(right, F.expr(f"l.key = r.key AND l.block <= r.block AND 100 * l.hi >= {PERCENT} * r.lo AND least(l.first, r.first) <> greatest(l.last, r.last)")).select("l.key", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
-    members = members.join(classes.select("rep", "point", "fine"), "rep")
-    from_i = meet.alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.i = p.block")).select("m.key", "m.i", "m.j", F.lit(0).alias("side"), "rep", "n", "label", "point", "fine")
-    from_j = meet.where("i <> j").alias("m").join(members.alias("p"), F.expr("m.key = p.key AND m.j = p.block")).select("m.key", "m.i", "m.j", F.lit(1).alias("side"), "rep", "n", "label", "point", "fine")
+    """The same for keys of any number of members, by R-trees over cells: a size class (sizes that differ by a third) and a hash.
+
+    A cell's number of hashes follows from partial counts, so no task sees all classes of a key.
+    """
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int"))
+    counts = members.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    counts = written(counts, "cells")
+    near = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts
+    members = written(members.join(near, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(classes.select("rep", "point", "fine"), "rep").select("key", "band", "part", "rep", "n", "label", "point", "fine"), "cell-members")
+    cells = members.groupBy("key", "band", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
+    right = cells.alias("r")
+    # sizes that link are of the same band, the next or (by rounding, at most) the one after
+    ahead = cells.select("*", F.explode(F.sequence("band", F.col("band") + 2)).alias("to")).alias("l")
+    meet = ahead.join(right, F.expr(f"l.key = r.key AND l.to = r.band AND (l.band < r.band OR l.part <= r.part) AND 100 * l.hi >= {PERCENT} * r.lo AND least(l.first, r.first) <> greatest(l.last, r.last)"))
+    meet = written(meet.select("l.key", F.struct("l.band", "l.part").alias("i"), F.struct("r.band", "r.part").alias("j")), "meetings")
+    columns = ["rep", "n", "label", "point", "fine"]
+    cell = F.struct("band", "part")
+    placed = members.select("key", cell.alias("cell"), *columns)
+    from_i = meet.join(placed.withColumnRenamed("cell", "i"), ["key", "i"]).select("key", "i", "j", F.lit(0).alias("side"), *columns)
+    from_j = meet.where("i <> j").join(placed.withColumnRenamed("cell", "j"), ["key", "j"]).select("key", "i", "j", F.lit(1).alias("side"), *columns)
 
     def run(t):
         rep, n, label, side = (t.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
-        points = points_of(t.column("point").to_pylist())
+        points, fine = points_of(t.column("point").to_pylist()), FinePoints(t.column("fine"))
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        tree, fine = RTree(points[inside], n[inside]), t.column("fine").to_pylist()
-        finer = FinePoints(fine, n)
+        tree = RTree(points[inside], n[inside])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for q in inside if same else outside:
             found = inside[tree.search(points[q], n[q])]
             found = found[label[found] != label[q]]
             found = found[rep[found] < rep[q]] if same else found
-            found = finer.left(found, fine[q], int(n[q]))
+            found = found[fine.left(found, np.full(len(found), q), n)]
             a.append(np.minimum(rep[found], rep[q]))
             b.append(np.maximum(rep[found], rep[q]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -344,12 +380,12 @@ def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that their finer points leave."""
+    """Pairs that the classes' whole finer vectors leave."""
 
     def run(batches):
         for batch in batches:
             n, m, f, g = (batch.column(c) for c in ("n", "m", "f", "g"))
-            keep = [enough(fine_bound(x.as_buffer(), y.as_buffer(), i, j), i, j) for x, y, i, j in zip(f, g, n.to_pylist(), m.to_pylist())]
+            keep = [bool(may_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), i, j)) for x, y, i, j in zip(f, g, n.to_pylist(), m.to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = classes.select(F.col("rep").alias("a"), "n", F.col("fine").alias("f"))
@@ -357,24 +393,63 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "f", "g").mapInArrow(run, "a long, b long")
 
 
+def _own_ids(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(doc_id, own, text) where rows without id and those of ids with several sets have an id of their own; None if there are no such rows."""
+    clash = rows.where("n > 0").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("doc_id IS NULL OR lo <> hi")
+    clash = written(clash.select("doc_id", F.lit(True).alias("clash")), "clashing")
+    n = clash.count()
+    if n == 0:
+        return None
+    clash = F.broadcast(clash) if n <= BROADCAST_IDS else clash
+    both = docs.alias("d").join(clash.alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").select("d.doc_id", "d.text", "c.clash")
+    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    # numbers of rows are below (partitions + 1) << 33, far from the ends unless ids lie there; then they go below the least
+    own = F.lit(0 if most is None else most + 1) + number if most is None or most < 1 << 62 else F.lit(least - 1) - number
+    return written(both.select("doc_id", F.when(F.col("clash"), own).otherwise(F.col("doc_id")).alias("own"), "text"), "own-ids")
+
+
+def is_blank(text="text"):
+    """Whether a text has no words."""
+    return ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(describe(docs), "described")
     rows = written(described.where("n >= 0").select("doc_id", "n", "digest"), "rows")
+    own = _own_ids(docs, rows)
+    if own is None:
+        return _linked(docs, described, rows)
+    renamed = own.select(F.col("own").alias("doc_id"), "text")
+    described = written(describe(renamed), "described")
+    rows = written(described.where("n >= 0").select("doc_id", "n", "digest"), "rows")
+    found = written(_linked(renamed, described, rows), "found")
+    named = found.withColumnRenamed("doc_id", "own").join(own.select("own", "doc_id").distinct(), "own")
+    named = written(named, "named")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component_id").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _linked(docs: DataFrame, described: DataFrame, rows: DataFrame) -> DataFrame:
+    """linked() where each id has one set, and every row with a set has an id."""
     often = described.where("n < 0").select(F.explode("often").alias("key")).groupBy("key").count().orderBy(F.desc("count"), "key").limit(OFTEN)
     last = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))  # OFTEN at most
     # of each set the least id; its columns follow by id, so wide rows are not aggregated
-    least = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "least")
-    wide = described.where("n > 0").select(F.col("doc_id").alias("rep"), "digest", "n", "hashes", "point", "fine")
-    classes = written(wide.join(least, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "classes")
+    least = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "least")
+    wide = described.where("n > 0").select(F.col("doc_id").alias("rep"), "digest", "n", "hashes", "point", "fine", "sketch")
+    classes = written(wide.join(least.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "classes")
     dropped(described, least)
 
     # step 2: first one hash for all, then the others between what is still apart
     def stars(labels: DataFrame, first: int, to: int, tries: int) -> DataFrame:
         known = classes.select("rep", "n", F.explode(F.transform(F.slice("hashes", first + 1, to - first), lambda h, k: F.struct(k.alias("k"), h.alias("h")))).alias("x")).select("rep", "n", "x.*").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         centres = known.groupBy("k", "h").agg(F.min(F.struct("label", "rep", "n")).alias("c"), F.max("label").alias("most")).where("c.label <> most").select("k", "h", "c")
-        pairs = known.join(centres, ["k", "h"]).where("label <> c.label AND 100 * least(n, c.n) >= 75 * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.label").alias("to"), "label")
+        # a hash may have very many classes: they meet copies of their centre in SALTS tasks
+        known = known.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+        centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = known.join(centres, ["k", "h", "salt"]).where("label <> c.label AND 100 * least(n, c.n) >= 75 * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.label").alias("to"), "label")
         apart = pairs.groupBy("to", "label").agg(F.slice(F.array_sort(F.collect_set(F.struct("a", "b"))), 1, tries).alias("p")) if to - first > 1 else None
         return pairs if apart is None else apart.select(F.explode("p").alias("p")).select("p.a", "p.b")
 
@@ -385,15 +460,17 @@ def linked(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # step 3
-    firsts = written(prefixes(docs, last).join(classes.select("rep", "n"), "rep").dropDuplicates(["rep"]).join(labels, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), "prefix"), "prefixes")
-    keys = firsts.select(F.explode("prefix").alias("key"), "rep", "n", "label")
+    info = written(classes.join(labels, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), "sketch"), "info")
+    firsts = written(prefixes(docs, last).join(info.select("rep", "label"), "rep").dropDuplicates(["rep"]), "prefixes")
+    keys = firsts.select(F.explode("prefix").alias("key"), "rep", "label")
     mixed = written(keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", (F.col("size") <= FEW).alias("few")), "mixed")
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed
-    members = written(keys.join(mixed, "key").select("key", "rep", "n", "label", "few"), "members")
-    pairs = few_pairs(members.where("few")).union(many_pairs(members.where("NOT few").drop("few"), classes)).distinct()
-    near = written(bounded(pairs, classes), "near")
-    dropped(firsts, members)
-    links = links.union(verified(docs, near, "rest"))
+    # narrow rows first: only what has a mixed key gets its vector
+    members = written(keys.select("key", "rep").join(mixed, "key").join(info, "rep").select("key", "rep", "n", "label", "few", "sketch"), "members")
+    dropped(firsts)
+    some = bounded(few_pairs(members.where("few")), classes)
+    links = links.union(verified(docs, some.union(many_pairs(members.where("NOT few").select("key", "rep", "n", "label"), classes)), "rest"))
+    dropped(members)
     labels = components(links)
 
     known = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
