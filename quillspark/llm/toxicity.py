@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held, held_out, table
-from .units import slices
+from .units import gathered, slices
 
 #: Labelled documents to learn from and bytes of their texts, at most; words on each side of a hit, least score to reject, cost of a false alarm in the lexicon's choice.
 SAMPLE, SAMPLE_BYTES, WINDOW, REJECT, FALSE = 6000, 64 << 20, 8, 0.7, 20
@@ -207,81 +207,102 @@ def terms_of(word: str) -> list[tuple[str, bool]]:
     return [(word, False), *((word[:n], True) for n in range(4, min(len(word), 9)))] if len(word) >= 3 else []
 
 
-def learn_suspects(docs: list[tuple[bool, Counter]]) -> dict[tuple[str, bool], float]:
-    """docs: label and words with their numbers. Terms that toxic documents hold OFTENER times as often as others, or more, and the logarithm of it."""
-    n = Counter(label for label, _ in docs)
-    if len(n) < 2:
+class Bags:
+    """Documents as numbers of words, and the terms (words and stems) that two toxic ones or more hold: arrays, so a sample fits beside its texts."""
+
+    def __init__(self, docs: list[tuple[bool, str]]):
+        self.label = np.array([label for label, _ in docs], bool)
+        index: dict[str, int] = {}
+        self.ids, self.numbers = [], []
+        for _, text in docs:
+            own = Counter(w for w in map(plain, text.lower().split()) if len(w) >= 3)
+            self.ids.append(np.fromiter((index.setdefault(w, len(index)) for w in own), np.int32, len(own)))
+            self.numbers.append(np.minimum(np.fromiter(own.values(), np.int64, len(own)), 255).astype(np.uint8))
+        self.words = list(index)
+        seen: Counter = Counter()
+        for ids, toxic in zip(self.ids, self.label):
+            if toxic:
+                seen.update({t for i in ids.tolist() for t in terms_of(self.words[i])})
+        self.terms = sorted(t for t, k in seen.items() if k >= 2)
+        of = {t: k for k, t in enumerate(self.terms)}
+        found = [[of[t] for t in terms_of(w) if t in of] for w in self.words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat, start = np.fromiter((k for ks in found for k in ks), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths
+        # per document its terms, and how often it has each (COUNTED at most)
+        self.held, self.hits = [], []
+        for ids, numbers in zip(self.ids, self.numbers):
+            n = lengths[ids]
+            own, at = np.unique(gathered(flat, start[ids], n), return_inverse=True)
+            self.held.append(own)
+            self.hits.append(np.minimum(np.bincount(at, np.repeat(numbers, n), len(own)), COUNTED).astype(np.uint8))
+
+    def counts(self, which: np.ndarray, hits: bool = False) -> np.ndarray:
+        """Documents (or hits in them) of those chosen that hold each term."""
+        chosen = np.flatnonzero(which)
+        held = np.concatenate([np.zeros(0, np.int32), *(self.held[k] for k in chosen)])
+        return np.bincount(held, np.concatenate([np.zeros(0), *(self.hits[k] for k in chosen)]) if hits else None, len(self.terms))
+
+    def word_counts(self, which: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *(self.ids[k] for k in np.flatnonzero(which))]), minlength=len(self.words))
+
+
+def learn_suspects(bags: Bags, which: np.ndarray) -> dict[tuple[str, bool], float]:
+    """Terms that the chosen toxic documents hold OFTENER times as often as the others, or more, and the logarithm of it."""
+    toxic, clean = which & bags.label, which & ~bags.label
+    if not toxic.any() or not clean.any():
         return {}
-    held: Counter = Counter(t for label, words in docs if label for t in {t for w in words for t in terms_of(w)})
-    held = {t for t, k in held.items() if k >= max(LEAST, n[True] // 400)}
-    hits: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    of: dict[str, list] = {}
-    for label, words in docs:
-        own: Counter = Counter()
-        for w, k in words.items():
-            if w not in of:
-                of[w] = [t for t in terms_of(w) if t in held]
-            for t in of[w]:
-                own[t] += k
-        hits[label].update({t: min(k, COUNTED) for t, k in own.items()})
-    doubt = DOUBT / n[True]
-    out = {t: math.log((hits[True][t] / n[True] + doubt) / (hits[False][t] / n[False] + doubt)) for t in held}
-    return {t: w for t, w in out.items() if w >= math.log(OFTENER)}
-
-
-def learn_lexicon(docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:
-    """docs: label and distinct words. Greedy cover of the toxic documents by terms that others hardly have."""
-    toxic = [set(w) for label, w in docs if label]
-    clean = [set(w) for label, w in docs if not label]
-    if not toxic or not clean:
+    doubt = DOUBT / toxic.sum()
+    weight = np.log((bags.counts(toxic, True) / toxic.sum() + doubt) / (bags.counts(clean, True) / clean.sum() + doubt))
+    good = (bags.counts(toxic) >= max(LEAST, toxic.sum() // 400)) & (weight >= math.log(OFTENER))
+    return {bags.terms[k]: float(weight[k]) for k in np.flatnonzero(good)}
+
+
+def learn_lexicon(bags: Bags, which: np.ndarray) -> dict[str, bool]:
+    """Greedy cover of the chosen toxic documents by terms that others hardly have, and whole words that are telling."""
+    toxic, clean = which & bags.label, which & ~bags.label
+    if not toxic.any() or not clean.any():
         return {}
-    holds: dict[tuple[str, bool], set[int]] = {}
-    for k, words in enumerate(toxic):
-        for w in words:
-            holds.setdefault((w, False), set()).add(k)
-            for n in range(4, min(len(w), 9)):
-                holds.setdefault((w[:n], True), set()).add(k)
-    least = max(2, len(toxic) // 400)
-    holds = {t: ks for t, ks in holds.items() if len(ks) >= least and len(t[0]) >= 3}
-    fours = {t[:4] for t, stem in holds if stem}
-    others: Counter = Counter()
-    for words in clean:
-        seen = {(w, False) for w in words if (w, False) in holds}
-        seen.update(t for w in words if w[:4] in fours for n in range(4, min(len(w), 9)) if (t := (w[:n], True)) in holds)
-        others.update(seen)
-    rate = len(clean) / len(toxic)
-    holds = {t: ks for t, ks in holds.items() if len(ks) * rate >= 25 * (others[t] + 0.5)}
+    held, others, least = bags.counts(toxic), bags.counts(clean), max(2, toxic.sum() // 400)
+    good = np.flatnonzero((held >= least) & (held * (clean.sum() / toxic.sum()) >= 25 * (others + 0.5)))
+    left: dict[int, set] = {int(k): set() for k in good}
+    for d in np.flatnonzero(toxic):
+        for k in np.intersect1d(bags.held[d], good, assume_unique=True).tolist():
+            left[k].add(int(d))
     out: dict[str, bool] = {}
-    while holds:
+    while left:
         # what it would wrongly reject weighs as much as FALSE of what it finds
-        term, ks = max(holds.items(), key=lambda x: (len(x[1]) - FALSE * others[x[0]], not x[0][1], len(x[0][0]), x[0][0]))
-        if len(ks) - FALSE * others[term] < least:
+        at, ks = max(left.items(), key=lambda x: (len(x[1]) - FALSE * others[x[0]], not bags.terms[x[0]][1], len(bags.terms[x[0]][0]), bags.terms[x[0]][0]))
+        if len(ks) - FALSE * others[at] < least:
             break
-        out[term[0]] = term[1]
-        holds = {t: rest for t, r in holds.items() if (rest := r - ks)}
-    return out
+        term, stem = bags.terms[at]
+        out[term] = stem
+        left = {k: rest for k, r in left.items() if (rest := r - ks)}
+    # words under a stem too, as stems allow no edits
+    telling = np.flatnonzero((held >= max(4, 0.02 * toxic.sum())) & (others == 0))
+    more = sorted(w for w, stem in (bags.terms[k] for k in telling) if not stem and len(w) >= 4 and w not in out)
+    return out | dict.fromkeys(more, False)
 
 
-def learned(docs: list[tuple[bool, Counter]]) -> Scorer:
-    """docs: label and words with their numbers. A scorer with its lexicon and suspects, and prior weights."""
-    words = [(label, list(ws)) for label, ws in docs]
-    lexicon = complete(learn_lexicon(words), words)
-    innocent = Counter(w for label, ws in words if not label for w in ws)
-    guilty = Counter(w for label, ws in words if label for w in ws)
-    harmless = frozenset(w for w, n in innocent.items() if guilty[w] <= 3 * n)
-    return Scorer(lexicon, harmless, learn_suspects(docs), PRIOR.copy())
+def learned(bags: Bags, which: np.ndarray) -> Scorer:
+    """A scorer with the lexicon and suspects of the chosen documents, and prior weights."""
+    lexicon = learn_lexicon(bags, which)
+    automaton, known = Automaton(lexicon), bags.word_counts(which & ~bags.label)
+    guilty = bags.word_counts(which & bags.label)
+    # words near to a term that clean documents have as they are
+    harmless = frozenset(w for w, n, g in zip(bags.words, known.tolist(), guilty.tolist()) if n and g <= 3 * n and (m := automaton.match(w)) and m[1] > 0)
+    return Scorer(lexicon, harmless, learn_suspects(bags, which), PRIOR.copy())
 
 
 def fit(docs: list[tuple[bool, str]]) -> Scorer:
     """docs: label and whole text."""
-    words = [(label, Counter(filter(None, map(plain, text.lower().split())))) for label, text in docs]
+    bags = Bags(docs)
     # what is learned from a document fits it too well: each fold's features come from the other folds
-    x, y = np.zeros((len(docs), len(PRIOR))), np.array([label for label, _ in docs], float)
+    x, y = np.zeros((len(docs), len(PRIOR))), bags.label.astype(float)
     fold = np.zeros(len(docs), int)
     for label in (0, 1):
         fold[y == label] = np.arange((y == label).sum()) % FOLDS
     for f in range(FOLDS if len(set(y)) == 2 else 0):
-        scorer = learned([d for d, other in zip(words, fold != f) if other])
+        scorer = learned(bags, fold != f)
         for k in np.flatnonzero(fold == f):
             x[k] = scorer.features(docs[k][1])
     w = PRIOR.copy()
@@ -291,20 +312,11 @@ def fit(docs: list[tuple[bool, str]]) -> Scorer:
         w -= step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
-    scorer = learned(words)
+    scorer = learned(bags, np.ones(len(docs), bool))
     scorer.weights = w
     return scorer
 
 
-def complete(cover: dict[str, bool], docs: list[tuple[bool, list[str]]]) -> dict[str, bool]:
-    """The cover, and whole words as telling: in many toxic documents and in no other. Words under a stem too, as stems allow no edits."""
-    toxic = Counter(w for label, ws in docs if label for w in ws)
-    clean = {w for label, ws in docs if not label for w in ws}
-    n = sum(label for label, _ in docs)
-    more = [w for w, k in toxic.items() if k >= max(4, 0.02 * n) and w not in clean and len(w) >= 4 and w not in cover]
-    return cover | dict.fromkeys(sorted(more), False)
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bool, str]]:
     """Whole texts of a bounded sample of labelled documents that aren't held out; the least digests of ids, so reruns agree."""
     ids = labels.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))

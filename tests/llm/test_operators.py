@@ -174,11 +174,25 @@ def test_words_that_clean_documents_hold_once_tell_by_their_number():
 
 
 def test_telling_words_survive_common_ones_and_stems():
-    common = [f"common{k}" for k in range(350)]
-    docs = [(False, common)] * 20 + [(True, [*common, "moron"])] * 5 + [(True, [*common, "vequorama"])] * 5
-    lexicon = toxicity.complete({"vequo": True}, docs)
-    assert lexicon == {"vequo": True, "moron": False, "vequorama": False}
-    assert toxicity.Automaton(lexicon).match("veqourama") == ("vequorama", 2) and toxicity.Automaton(lexicon).match("vequolix") == ("vequo", 0)
+    common = " ".join(f"common{k}" for k in range(350))
+    docs = [(False, common)] * 20 + [(True, f"{common} moron")] * 5 + [(True, f"{common} vequorama")] * 5
+    bags = toxicity.Bags(docs)
+    lexicon = toxicity.learn_lexicon(bags, np.ones(len(docs), bool))
+    assert lexicon["moron"] is False and lexicon["vequorama"] is False and not any(w.startswith("common") for w in lexicon)
+    assert toxicity.Automaton(lexicon).match("veqourama") == ("vequorama", 2)
+
+
+def test_terms_are_counted_as_they_stand():
+    pick = random.Random(11)
+    words = ["".join(pick.choices("abcd", k=pick.randint(2, 7))) for _ in range(40)]
+    docs = [(pick.random() < 0.4, " ".join(pick.choices(words, k=pick.randint(0, 60)))) for _ in range(60)]
+    bags, which = toxicity.Bags(docs), np.array([pick.random() < 0.7 for _ in docs])
+    present, hits = bags.counts(which), bags.counts(which, True)
+    for k, t in enumerate(bags.terms):
+        own = [sum(t in toxicity.terms_of(w) for w in text.split()) for (_, text), c in zip(docs, which) if c]
+        assert present[k] == sum(n > 0 for n in own) and hits[k] == sum(min(n, toxicity.COUNTED) for n in own)
+    held = {t for t in {t for w in words for t in toxicity.terms_of(w)} if sum(label and any(t in toxicity.terms_of(w) for w in text.split()) for label, text in docs) >= 2}
+    assert set(bags.terms) == held
 
 
 def test_without_labels_nothing_is_toxic():
