@@ -1,20 +1,26 @@
 """A training corpus from raw documents: STAGES in order, each over all that its predecessor kept.
 
-Documents are carried whole (as a struct) past the operators, so extra columns stay and none can clash with an operator's own.
-Defined results: an empty table passes every stage as an empty table; null text is empty text, which the quality rules reject;
-rows of equal id and text are copies of each other, of which one stays; rows without id are compared as all others, and one with an
-id stays before them.
+Documents are carried whole (as a struct) past the operators, so extra columns stay and none can clash with an operator's own. Stages that
+must tell rows apart write them with a number of their own first, as ids may lack or repeat.
+Defined results: an empty table passes every stage as an empty table; null text is empty text, which the quality rules reject; very
+long texts go through whole; of linked rows the one of least id stays, rows with an id before those without, then any one; rows
+without words stay, but of those of equal id and text one; repeated rows are mixed as documents of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, mixing, ngram_join, quality_rules, toxicity
 from quillspark.llm.common import table, written
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(place, row) as a table: numbers that stay with their rows in every later scan."""
+    return written(docs.select(F.monotonically_increasing_id().alias("place"), F.struct(*docs.columns).alias("row")), "numbered")
+
+
 def _whole(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), *columns)
 
@@ -32,40 +38,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one of least id stays."""
-    keyed = _with_ids(docs)
-    found = ngram_join.linked(keyed.select("doc_id", "row.text"))
-    stay = written(found.where("component_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    out = keyed.join(stay.select("doc_id"), "doc_id", "left_semi")
-    again = stay.where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return out.select("row.*")
-    once = out.join(again, "doc_id", "left_semi").select("row", "doc_id", F.coalesce("row.text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "text"])
-    return out.join(again, "doc_id", "left_anti").select("row.*").unionByName(once.select("row.*"))
-
-
-def _with_ids(docs: DataFrame) -> DataFrame:
-    """(row, doc_id): rows without id get one above all others (below, where there is no room), equal texts the same one."""
-    rows = _whole(docs, "doc_id")
-    digest = F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)
-    without = rows.where("doc_id IS NULL").select("row", digest.alias("digest"))
-    digests = written(without.select("digest").distinct(), "without_id")
-    n = digests.count()
-    if n == 0:
-        return rows
-    least, most = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    first = 0 if most is None else most + 1 if most + n < 1 << 63 else least - n
-    numbered = digests.rdd.zipWithIndex().map(lambda x: (x[0]["digest"], first + x[1])).toDF("digest string, doc_id long")
-    return rows.where("doc_id IS NOT NULL").unionByName(without.join(numbered, "digest").select("row", "doc_id"))
+    rows = _numbered(docs)
+    found = ngram_join.linked(rows.select(F.col("place").alias("doc_id"), "row.text")).withColumnRenamed("doc_id", "place")
+    text = F.md5(F.coalesce("row.text", F.lit("\0")).cast("binary"))
+    ids = rows.select("place", "row.doc_id", F.when(ngram_join.is_blank("row.text"), text).alias("blank"))
+    stay = found.join(ids, "place").groupBy(F.when(F.col("blank").isNull(), F.col("component_id")).alias("component"), F.when(F.col("blank").isNotNull(), F.col("doc_id")).alias("id"), "blank")
+    stay = stay.agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "place")).alias("least"))
+    return rows.join(stay.select("least.place"), "place", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Only ids and sizes are sampled; texts are joined once, by id."""
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source"))
-    taken = mixing.mixed(docs.select("doc_id", "text", "source")).where("copies > 0").withColumn("nth", nth).select("doc_id", "nth", "copies")
-    rows = _whole(docs, "doc_id", "source", mixing.n_words().alias("size")).withColumn("nth", nth)
-    # nth counts taken rows on one side and all rows on the other: equal ids have equal keys, so the taken ones come first among equals
-    both = rows.alias("r").join(taken.alias("t"), F.expr("r.doc_id <=> t.doc_id AND r.nth = t.nth"))
-    return both.select("r.row", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("_copy")).select("row.*")
+    """Each document as many times as the mix takes it. Only ids and sizes are sampled; texts are joined once, by the rows' numbers."""
+    rows = _numbered(docs)
+    taken = mixing.mixed(rows.select("row.doc_id", "row.text", "row.source", "place"), keep=["place"]).where("copies > 0").select("place", "copies")
+    return rows.join(taken, "place").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
