@@ -47,11 +47,11 @@ def normalize_newlines(text) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def normalize(text) -> Column:
-    """Line ends as LF and Unicode NFC. Spark has no normalizer, so non-ASCII texts go through Arrow; use normalize_newlines() where texts are NFC."""
+    """Line ends as LF and Unicode NFC. Spark has no normalizer, so texts go through Arrow; those in ASCII are as they are."""
     return _nfc(normalize_newlines(text))
 
 
@@ -61,10 +61,10 @@ def strip(text) -> Column:
 
 
 def heading_context(path, heading=None) -> Column:
-    """The non-empty parts of a heading path joined by ' > '; the heading itself if none is left."""
+    """The non-empty parts of a heading path joined by ' > ', in NFC; the heading itself if none is left."""
     parts = F.filter(F.transform(_col(path), lambda p: strip(normalize_newlines(p))), lambda p: p != "")
     joined = F.concat_ws(" > ", parts)
-    return joined if heading is None else F.when(F.size(parts) > 0, joined).otherwise(strip(normalize_newlines(heading)))
+    return _nfc(joined if heading is None else F.when(F.size(parts) > 0, joined).otherwise(strip(normalize_newlines(heading))))
 
 
 def embedded_text(context, content) -> Column:
@@ -112,11 +112,11 @@ def inner_product(a, b) -> Column:
 
 
 def l2_normalize(vector) -> Column:
-    """Divided by its norm; a zero vector stays; a value that isn't finite is an error."""
+    """In double, divided by its norm; a zero vector stays; a value that isn't finite is an error."""
     v = _col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(bad, F.raise_error(F.lit("vector values must be finite"))).otherwise(F.transform(v, lambda x: (x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).cast("float")))
+    return F.when(bad, F.raise_error(F.lit("vector values must be finite"))).otherwise(F.transform(v, lambda x: (x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))))
 
 
 def parent_of(child_id) -> Column:

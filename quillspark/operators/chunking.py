@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import content_hash, embedded_text, heading_context, normalize
 
 
+#: The greatest child, number of separators, and length of one.
+MAX_SIZE, MAX_SEPARATORS, MAX_SEPARATOR = 1_000_000, 16, 128
+
+
 @dataclass(frozen=True)
 class ChunkingPolicy:
     size: int = 1000
@@ -20,10 +24,10 @@ class ChunkingPolicy:
     heading_prefix_version: str = "heading-path-v1"
 
     def __post_init__(self):
-        if self.size <= 0 or not 0 <= self.overlap < self.size:
-            raise ValueError("size must be positive and the overlap from 0 to below it")
-        if not all(isinstance(s, str) for s in self.separators):
-            raise ValueError("separators must be strings")
+        if not 0 < self.size <= MAX_SIZE or not 0 <= self.overlap < self.size:
+            raise ValueError(f"size must be from 1 to {MAX_SIZE} and the overlap from 0 to below it")
+        if not 1 <= len(self.separators) <= MAX_SEPARATORS or not all(isinstance(s, str) and len(s) <= MAX_SEPARATOR for s in self.separators):
+            raise ValueError(f"separators must be 1 to {MAX_SEPARATORS} strings of up to {MAX_SEPARATOR} characters")
 
 
 def bounds(text, policy: ChunkingPolicy = ChunkingPolicy()) -> Column:

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import MIN_LEXICAL_SCORE, MIN_VECTOR_SCORE, preview
+from quillspark.functions.text import MIN_LEXICAL_SCORE, MIN_VECTOR_SCORE, preview, strip
 
 #: The answer when nothing supports one, and how citations are written.
 FALLBACK_ANSWER = "I cannot confirm from the knowledge base."
 CITATION = r"\[Source: ([^\[\]\r\n]+)\]"
 CITATION_LIKE = r"(?i)\[\s*source"
+#: The greatest number of results, and the answer when there is no index.
+MAX_K = 20
 
 
 def valid_query(query) -> Column:
-    query = F.col(query) if isinstance(query, str) else query
-    return F.coalesce(F.length(F.trim(query)).between(1, 2000), F.lit(False))
+    """1 to 2000 characters besides white space at the ends, Unicode's included."""
+    return F.coalesce(F.length(strip(query)).between(1, 2000), F.lit(False))
+
+
+def valid_k(k) -> Column:
+    k = F.col(k) if isinstance(k, str) else k
+    return F.coalesce(k.between(1, MAX_K), F.lit(False))
 
 
 def answerable(bm25_score="bm25_score", vector_score="vector_score") -> Column:
@@ -52,16 +59,52 @@ def prompts(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return grouped.join(queries, "query_id").select("query_id", F.to_json(F.struct(F.col("query").alias("question"), "selected_sections"), {"ignoreNullFields": "false"}).alias("prompt"))
 
 
-def extractive_answer(ranked="ranked") -> Column:
+#: Fixed value: the answer where no index is there.
+NOT_INDEXED_ANSWER = "The knowledge base has not been indexed yet. Call POST /index first."
+
+
+def extractive(prompts: list[str]) -> list[str]:
     """The generator used where none is given: points to the best section."""
-    return F.when(F.size(ranked) > 0, F.concat(F.lit("See the source. [Source: "), F.col(ranked)[0], F.lit("]"))).otherwise(FALLBACK_ANSWER)
+    import json
+
+    return [f"See the source. [Source: {json.loads(p)['selected_sections'][0]['source']}]" for p in prompts]
+
+
+def generated(prompted: DataFrame, generate, batch: int = 16) -> DataFrame:
+    """prompted (query_id, prompt) with the answers of generate(list of prompts) -> list of texts. A call that fails, or gives another number
+    of texts, gives null answers for its batch alone, which the citation check turns into the fallback."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                try:
+                    got = list(generate(part.column("prompt").to_pylist()))
+                except Exception:  # whatever the generator raises
+                    got = []
+                got = got if len(got) == part.num_rows else [None] * part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g if isinstance(g, str) else None for g in got], pa.string())], names=["query_id", "prompt", "answer"])
+
+    return prompted.select("query_id", "prompt").mapInArrow(run, prompted.select("query_id", "prompt").schema.add("answer", "string"))
+
+
+def chat(hits: DataFrame, queries: DataFrame, generate=extractive) -> DataFrame:
+    """Gate, prompt, generate, check. hits: query_id, id, rank, score, bm25_score, vector_score, heading_path, content; k rows per query.
+
+    Queries without an answerable hit get the fallback without a call.
+    """
+    kept = hits.where(answerable())
+    ranked = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ranked"))
+    answers = generated(prompts(kept, queries), generate)
+    rows = queries.join(ranked, "query_id", "left").join(answers, "query_id", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+    return checked_citations(rows)
 
 
-def chat(hits: DataFrame, queries: DataFrame, generate=extractive_answer) -> DataFrame:
-    """Gate, generate, check. hits: query_id, id, rank, bm25_score, vector_score; generate: a column function of the ranked ids."""
-    kept = hits.where(answerable()).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ranked"))
-    rows = queries.join(kept, "query_id", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
-    return checked_citations(rows.withColumn("answer", generate("ranked")))
+def not_indexed(queries: DataFrame) -> DataFrame:
+    """What chat gives where there is no index."""
+    none = F.array().cast("array<string>")
+    return queries.select("query_id", "query", F.lit(NOT_INDEXED_ANSWER).alias("final_answer"), none.alias("sources"), F.lit(False).alias("indexed"))
 
 
 def wiki_entries(sections: DataFrame) -> DataFrame:
@@ -79,4 +122,4 @@ def wiki_files(sections: DataFrame) -> DataFrame:
 
 def answer_cards(answers: DataFrame, model: str) -> DataFrame:
     """Cards to be written as JSON: schema_version, created_at, question, answer, sources, model."""
-    return answers.select(F.lit(1).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.col("query").alias("question"), F.col("final_answer").alias("answer"), "sources", F.lit(model).alias("model"))
+    return answers.select(F.lit(1).alias("schema_version"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.col("query").alias("question"), F.col("final_answer").alias("answer"), "sources", F.lit(model).alias("model"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The greatest Markdown file and id, in bytes.
 MAX_FILE_BYTES, MAX_ID_BYTES = 10 * 1024 * 1024, 8192
+#: Fixed value: how vectors are said to be stored.
+VECTOR_ENCODING = "float32-le-v1"
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
@@ -36,12 +40,12 @@ def usable(dimension: int):
     """Whether a cached vector row may be used; a null anywhere is a miss."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.col("vector_encoding") == "float32-le") & (F.col("dimension") == dimension) & (F.size(v) == dimension) & finite & (F.sha2(F.to_json(v), 256) == F.col("vector_sha256")), F.lit(False))
+    return F.coalesce((F.col("vector_encoding") == VECTOR_ENCODING) & (F.col("dimension") == dimension) & (F.size(v) == dimension) & finite & (F.sha2(F.to_json(v), 256) == F.col("vector_sha256")), F.lit(False))
 
 
 def cache_rows(vectors: DataFrame, namespace: str) -> DataFrame:
     """vectors (chunk_id, source_id, content_hash, vector) as cache rows."""
-    return vectors.select(F.lit(namespace).alias("namespace_fingerprint"), "chunk_id", "source_id", "content_hash", F.size("vector").alias("dimension"), F.lit("float32-le").alias("vector_encoding"), "vector", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
+    return vectors.select(F.lit(namespace).alias("namespace_fingerprint"), "chunk_id", "source_id", "content_hash", F.size("vector").alias("dimension"), F.lit(VECTOR_ENCODING).alias("vector_encoding"), "vector", F.sha2(F.to_json("vector"), 256).alias("vector_sha256"))
 
 
 def cache_hits(children: DataFrame, cache: DataFrame, namespace: str, dimension: int) -> DataFrame:
@@ -60,6 +64,11 @@ def cache_replace(cache: DataFrame, namespace: str, rows: DataFrame) -> DataFram
     return cache.where(F.col("namespace_fingerprint") != namespace).unionByName(rows)
 
 
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Replace the namespaces that rows have in a cache of one folder per namespace; the others' folders are left alone."""
+    rows.write.mode("overwrite").partitionBy("namespace_fingerprint").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def cache_violations(rows: DataFrame, dimension: int) -> DataFrame:
     """(check, n): what must be zero before rows are written."""
     twice = rows.groupBy("namespace_fingerprint", "chunk_id").count().where("count > 1")
@@ -81,8 +90,8 @@ def embed_missing(children: DataFrame, cache: DataFrame, namespace: str, dimensi
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 got = embed(part.column("embedding_text").to_pylist())
-                if len(got) != part.num_rows or any(len(v) != dimension for v in got):
-                    raise ValueError("the provider must give one vector of the dimension per text")
+                if len(got) != part.num_rows or any(len(v) != dimension or not all(map(math.isfinite, v)) for v in got):
+                    raise ValueError("the provider must give one vector of the dimension per text, of finite numbers")
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("chunk_id", "source_id", "content_hash")] + [pa.array(got, pa.list_(pa.float32()))], names=["chunk_id", "source_id", "content_hash", "vector"])
 
     fresh = cache_misses(children, cache, namespace, dimension).select("chunk_id", "source_id", "content_hash", "embedding_text").mapInArrow(run, "chunk_id string, source_id string, content_hash string, vector array<float>")

@@ -2,6 +2,9 @@
 
 queries are (query_id, query); results are (query_id, id, score, rank). Orders are by score to 9 decimals, so that the order of
 summation can't decide a tie, then by id. Query-side tables are broadcast up to BROADCAST_ROWS rows, else joined by a shuffle.
+
+Both sparse rankers read an index: postings by token with all that a score needs in the row, and one row per term. Stored, postings lie in
+BUCKETS folders by token, so a query batch reads the folders of its tokens; texts are tokenised when the index is built, and not again.
 """
 
 from __future__ import annotations
@@ -9,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import bounded, expanded_terms, hash_bucket, hash_features, inner_product, tokenize
+from quillspark.functions.text import bounded, expanded_terms, hash_bucket, hash_features, l2_normalize, tokenize
 
 BROADCAST_ROWS = 500_000
+#: Bytes of query vectors that a matrix on the driver may have.
+MATRIX_BYTES = 256 << 20
+BUCKETS = 16
 K1, B, HEADING_BOOST, RRF_K = 1.5, 0.75, 0.25, 60
 
 
@@ -52,29 +58,46 @@ def bm25_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("token", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def bucket(token="token"):
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 # lexical
 
 
-def query_postings(sections: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, token, tf, dl, in_heading) of the queries' tokens only: a section's tokens meet the vocabulary where they lie."""
+def lexical_postings(sections: DataFrame) -> DataFrame:
+    """(id, token, tf, dl, in_heading, bucket): one row per section and token."""
     heading = tokenize(F.concat_ws(" ", "heading_path"))
-    rows = sections.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), heading.alias("heading_tokens"), F.explode("tokens").alias("token"))
-    rows = rows.join(vocabulary, "token")
-    return rows.groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first(F.array_contains("heading_tokens", F.col("token"))).alias("in_heading"))
+    rows = sections.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), heading.alias("heading_tokens"), "tokens")
+    rows = rows.select("id", "dl", "heading_tokens", F.explode("tokens").alias("token"))
+    rows = rows.select("id", "token", "dl", F.array_contains("heading_tokens", F.col("token")).alias("in_heading"))
+    rows = rows.groupBy("id", "token", "dl", "in_heading").agg(F.count("*").alias("tf"))  # dl and in_heading follow from id and token
+    return rows.select("id", "token", "tf", "dl", "in_heading", bucket().alias("bucket"))
 
 
-def bm25(sections: DataFrame, queries: DataFrame, heading_boost: float = HEADING_BOOST) -> DataFrame:
+def lexical_terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(token, df, idf, avg_len)"""
+    idf = bm25_idf(postings.groupBy("token").agg(F.count("*").alias("df")), stats)
+    return idf.crossJoin(F.broadcast(stats.select("avg_len"))).select("token", "df", "idf", "avg_len")
+
+
+def lexical_index(sections: DataFrame) -> dict[str, DataFrame]:
+    postings = lexical_postings(sections)
+    return {"postings": postings, "terms": lexical_terms(postings, corpus_stats(sections))}
+
+
+def bm25_search(postings: DataFrame, terms: DataFrame, queries: DataFrame, heading_boost: float = HEADING_BOOST) -> DataFrame:
     """Score of every section that shares a token with the query; all matches, no pre-filter."""
     tokens = query_tokens(queries).select("query_id", "token")
-    vocabulary = small(tokens.select("token").distinct())
-    postings = query_postings(sections, vocabulary)
-    df = document_frequency(sections).join(vocabulary, "token")
-    idf = bm25_idf(df, corpus_stats(sections)).select("token", "idf")
-    terms = small(tokens.join(idf, "token"))
-    avg = F.broadcast(corpus_stats(sections).select("avg_len"))
+    asked = small(terms.join(small(tokens), "token").withColumn("bucket", bucket()))
     part = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len"))))
     boost = F.when(F.col("in_heading"), F.col("idf") * heading_boost).otherwise(0.0)
-    return postings.join(terms, "token").crossJoin(avg).groupBy("query_id", "id").agg(F.sum(part + boost).alias("score")).where("score > 0")
+    return postings.join(asked, ["bucket", "token"]).groupBy("query_id", "id").agg(F.sum(part + boost).alias("score")).where("score > 0")
+
+
+def bm25(sections: DataFrame, queries: DataFrame, heading_boost: float = HEADING_BOOST) -> DataFrame:
+    """The same over sections without a stored index."""
+    return bm25_search(**lexical_index(sections), queries=queries, heading_boost=heading_boost)
 
 
 def candidates(sections: DataFrame, queries: DataFrame) -> DataFrame:
@@ -96,26 +119,55 @@ def tfidf_idf(tokens: DataFrame) -> DataFrame:
     return document_frequency(tokens).crossJoin(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def child_counts(tokens: DataFrame) -> DataFrame:
+    """(id, source_id, token, tf, most): counts of each child's tokens, and the greatest of them."""
+    own = [c for c in ("source_id",) if c in tokens.columns]
+    rows = tokens.select("id", *own, F.explode("tokens").alias("token")).groupBy("id", *own, "token").agg(F.count("*").alias("tf"))
+    return rows.withColumn("most", F.max("tf").over(Window.partitionBy("id")))
+
+
+def vector_terms(counts: DataFrame, n_children: DataFrame) -> DataFrame:
+    """(token, df, idf); n_children: one row (n)."""
+    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n_children)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def vector_postings(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, source_id, token, tf, weight, norm, bucket): tf by the greatest tf of the child, times idf; the norm of the child's weights."""
+    rows = counts.join(terms.select("token", "idf"), "token").withColumn("weight", F.col("tf") / F.col("most") * F.col("idf"))
+    rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id"))))
+    return rows.drop("most", "idf").withColumn("bucket", bucket())
+
+
+def vector_index(tokens: DataFrame) -> dict[str, DataFrame]:
+    counts = child_counts(tokens)
+    terms = vector_terms(counts, tokens.agg(F.count("*").alias("n")))
+    return {"postings": vector_postings(counts, terms), "terms": terms}
+
+
 def tfidf_weights(tokens: DataFrame) -> DataFrame:
-    """(id, token, tf, weight): tf by the greatest tf of the document, times idf."""
-    rows = tokens.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    most = F.max("tf").over(Window.partitionBy("id"))
-    return rows.withColumn("rel", F.col("tf") / most).join(tfidf_idf(tokens).select("token", "idf"), "token").select("id", "token", "tf", (F.col("rel") * F.col("idf")).alias("weight"))
+    """(id, token, tf, weight)"""
+    return vector_index(tokens)["postings"].select("id", "token", "tf", "weight")
 
 
 def tfidf_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
 
 
-def tfidf_cosine(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of children; the queries' weights use their own greatest count among known tokens."""
-    weights = tfidf_weights(tokens)
-    known = query_tokens(queries).join(tfidf_idf(tokens).select("token", "idf"), "token")
+def cosine_search(postings: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score) of children, with their source_id if the index has it; the queries' weights use their own greatest count among known tokens."""
+    known = terms.select("token", "idf").join(small(query_tokens(queries)), "token")
     known = known.withColumn("qw", F.col("qtf") / F.max("qtf").over(Window.partitionBy("query_id")) * F.col("idf"))
-    known = known.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id")))).select("query_id", "token", "qw", "qnorm")
-    dots = weights.join(small(known), "token").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"), F.first("qnorm").alias("qnorm"))
-    norms = tfidf_norms(weights).select("id", "norm").where("norm > 0")
-    return dots.join(norms, "id").select("query_id", "id", (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score")).where("score > 0")
+    known = known.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
+    known = small(known.select("query_id", "token", "qw", "qnorm", bucket().alias("bucket")))
+    own = [c for c in ("source_id",) if c in postings.columns]
+    part = F.col("qw") * F.col("weight") / (F.col("qnorm") * F.col("norm"))
+    return postings.where("norm > 0").join(known, ["bucket", "token"]).groupBy("query_id", "id", *own).agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def tfidf_cosine(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same over children's tokens (id, tokens) without a stored index."""
+    return cosine_search(**vector_index(tokens), queries=queries)
 
 
 # dense
@@ -135,31 +187,46 @@ def sparse_cosine(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.join(norm, "id").select("query_id", "id", (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score"))
 
 
+def unit(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """With vectors of length 1 (a zero vector stays), so that inner products are cosines."""
+    return vectors.withColumn(vector, l2_normalize(vector))
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, batch: int = 4096) -> DataFrame:
-    """Exact inner products of vectors (id, vector) with queries (query_id, vector), the best k per query.
+    """Exact cosines of vectors (id, vector) with queries (query_id, vector), the best k per query.
 
     Each Arrow batch is one matrix product with the query matrix; a batch hands on at most k rows per query, so what is
-    shuffled doesn't grow with queries times vectors. More than BROADCAST_ROWS queries go on in blocks by a hash of query_id,
+    shuffled doesn't grow with queries times vectors. Queries beyond MATRIX_BYTES go on in blocks by a hash of query_id,
     each written before the next is read, so the driver holds one block's matrix.
     """
-    queries = queries.select("query_id", "vector")
-    rows = queries.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
-        return ranked(_best(vectors, rows, k, batch), k)
-    blocks = -(-2 * queries.count() // BROADCAST_ROWS)  # about half the bound each
+    return _in_blocks(queries, lambda rows: ranked(_best(vectors.select("id", "vector"), rows, k, batch), k))
+
+
+def dense_parents(vectors: DataFrame, queries: DataFrame, k: int, batch: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank) of parents: vectors are (id, vector, source_id). A parent's best child in an Arrow batch is a maximum over its
+    columns of the matrix product, so a batch hands on at most k parents per query, and no pair of query and vector is a row."""
+    return _in_blocks(queries, lambda rows: ranked(_best(vectors.select(F.col("source_id").alias("id"), "vector"), rows, k, batch, True).groupBy("query_id", "id").agg(F.max("score").alias("score")), k))
+
+
+def _in_blocks(queries: DataFrame, search) -> DataFrame:
+    queries = unit(queries.select("query_id", "vector").where("vector IS NOT NULL"))
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-2 * n * width * 8 // MATRIX_BYTES)) if n * width * 8 > MATRIX_BYTES else 1  # about half the bound each
     block, found = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(blocks)), None
     for at in range(blocks):
-        rows = queries.where(block == at).collect()
-        if not rows:
+        rows = (queries.where(block == at) if blocks > 1 else queries).collect()  # MATRIX_BYTES
+        if not rows and blocks > 1:
             continue
-        best = ranked(_best(vectors, rows, k, batch), k)
-        best = best.checkpoint() if best.sparkSession.sparkContext.getCheckpointDir() else best.localCheckpoint()
+        best = search(rows)
+        if blocks == 1:
+            return best
+        best = best.checkpoint()
         found = best if found is None else found.unionByName(best)
     return found
 
 
-def _best(vectors: DataFrame, rows: list, k: int, batch: int) -> DataFrame:
-    """(query_id, id, score): of each batch of vectors the best k per query of rows."""
+def _best(vectors: DataFrame, rows: list, k: int, batch: int, parents: bool = False) -> DataFrame:
+    """(query_id, id, score): of each batch of vectors the best k per query of rows; with parents, of rows of one id the best one only."""
     import numpy as np
     import pyarrow as pa
 
@@ -174,22 +241,23 @@ def _best(vectors: DataFrame, rows: list, k: int, batch: int) -> DataFrame:
             if x.shape[1] != matrix.shape[1]:
                 raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {matrix.shape[1]}")
             key = b.column(0).to_numpy(zero_copy_only=False)
+            if parents:
+                order = np.argsort(key, kind="stable")
+                x, key = x[order], key[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             for at in range(0, len(ids), batch):
                 scores = matrix[at : at + batch] @ x.T
-                order = np.lexsort((np.broadcast_to(key, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                named = key
+                if parents:
+                    scores, named = np.maximum.reduceat(scores, first, axis=1), key[first]
+                order = np.lexsort((np.broadcast_to(named, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + batch], order.shape[1])), pa.array(key[order.ravel()]), pa.array(best.ravel())], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + batch], order.shape[1])), pa.array(named[order.ravel()]), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
-    best = vectors.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id long, id long, score double")
+    best = unit(vectors.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL")).mapInArrow(run, "query_id long, id long, score double")
     return best.where("score > 0 AND NOT isnan(score)")
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All positive inner products, where a parent needs every child: queries are broadcast, within BROADCAST_ROWS rows."""
-    q = small(queries.select("query_id", F.col("vector").alias("qv")))
-    return vectors.crossJoin(q).select("query_id", "id", inner_product("qv", "vector").alias("score"), *[c for c in vectors.columns if c not in ("id", "vector")]).where("score > 0 AND NOT isnan(score)")
-
-
 def best_parent(hits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """Child hits (query_id, id, score, source_id or by parents (id, source_id)) to parents by their best child; an unknown child is its own parent."""
     if parents is not None:
@@ -210,6 +278,8 @@ def rrf(lexical: DataFrame, vector: DataFrame, k: int | None = None) -> DataFram
 
 def rerank_features(fused: DataFrame, sections: DataFrame, queries: DataFrame) -> DataFrame:
     """Coverage, precision and heading coverage of each candidate, and the score they make with the rankers' own."""
+    # only candidates' texts are tokenised
+    sections = sections.join(small(fused.select("id").distinct()), "id", "left_semi")
     heads = sections.select("id", expanded_terms(tokenize(F.concat_ws(" ", "heading_path"))).alias("heading_terms"), expanded_terms(tokenize("content")).alias("content_terms"))
     q = small(queries.select("query_id", expanded_terms(tokenize("query")).alias("q")))
     rows = fused.join(heads, "id").join(q, "query_id").withColumn("terms", F.array_union("heading_terms", "content_terms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.text import STOP_WORDS
+from quillspark.operators.grounding import FALLBACK_ANSWER, NOT_INDEXED_ANSWER
 
 K, SIZE, OVERLAP = 10, 1000, 150
 NL = "chr(10)"
@@ -70,7 +71,7 @@ cuts(id, idx, a, b) AS (
 
 CHILD = f"""{CUTS},
 child AS (
-    SELECT id || '::chunk-' || idx AS chunk_id, id AS source_id, file, idx, count(*) OVER (PARTITION BY id) AS chunk_count, content,
+    SELECT id || '::chunk-' || idx AS chunk_id, id AS source_id, file, heading, idx, count(*) OVER (PARTITION BY id) AS chunk_count, content,
            CASE WHEN heading <> '' THEN heading || {NL} || {NL} || content ELSE content END AS embedding_text
     FROM (SELECT c.*, file, heading, substring(t, a + 1, b - a) AS content FROM cuts c JOIN base USING (id)))"""
 
@@ -90,7 +91,7 @@ COSINE = f"{TFIDF}, {QTOK}, {_QW}"
 #: Both rankers in full, then fused, reranked and compared.
 BOTH = f"""{lexical(0.25)}, {TFIDF.replace(SEC + ',', '')}, {_QW},
 par AS (SELECT query_id, source_id AS id, max(score) AS score FROM kids JOIN ctok USING (id) GROUP BY ALL),
-lr AS ({top('lex', 160)}), vr AS ({top('par', 160)})"""
+lr AS ({top('lex', 320)}), vr AS ({top('par', 320)})"""
 
 
 def fused(name: str, depth: int, k: int | None) -> str:
@@ -156,6 +157,13 @@ FEATURES = f"""ft AS (SELECT id, unnest(list_concat(list_concat(tokens, list_tra
 bk AS (SELECT id, (('0x' || left(sha256(f), 8))::BIGINT % 256)::INT AS bucket, count(*) AS n FROM ft GROUP BY ALL)"""
 
 
+#: Of vectors of any length.
+COS = """list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))"""
+
+PROMPTS = f"""{RERANK}, pr AS (SELECT query_id, to_json({{'question': any_value(text), 'selected_sections': list({{'source': id, 'heading': heading, 'score': round(rerank_score, 6), 'text': content}} ORDER BY rerank_rank)}}) AS prompt
+    FROM rr JOIN sec USING (id) JOIN benchmark ON item_id = query_id WHERE rerank_rank <= 3 GROUP BY query_id)"""
+
+
 def W(ctes: str, body: str, recursive: bool = False) -> str:  # noqa: N802
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
@@ -168,7 +176,7 @@ ORACLE_SQL = {
     "bm25_idf": W(CORPUS, "SELECT token, df, round(idf, 6) AS idf FROM idf"),
     "bm25_topk": W(lexical(0), f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('lex')})"),
     "bm25_heading_boost": W(lexical(0.25), f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('lex')})"),
-    "query_validation": "SELECT conv_id, turn, coalesce(length(trim(text)) BETWEEN 1 AND 2000, false) AS valid FROM conversations",
+    "query_validation": f"SELECT conv_id, turn, coalesce(length(regexp_replace(regexp_replace(text, '^{SPACES}+', ''), '{SPACES}+$', '')) BETWEEN 1 AND 2000, false) AS valid FROM conversations",
     "fts_match_candidates": W(f"{CORPUS}, {QTOK}", "SELECT query_id, count(*) AS n_matches, min(id) AS first_id, max(id) AS last_id FROM (SELECT DISTINCT query_id, id FROM qt JOIN tf USING (token)) GROUP BY query_id"),
     "tfidf_idf": W(TFIDF, "SELECT token, df, round(idf, 6) AS idf FROM cidf", True),
     "tfidf_weights": W(TFIDF, "SELECT id, token, tf, round(weight, 6) AS weight FROM cw", True),
@@ -182,9 +190,9 @@ dots AS (SELECT q.id AS query_id, b.id, sum(q.n * b.n) AS dot FROM qbk q JOIN bk
 sc AS (SELECT query_id, id, dot / (qnorm * norm) AS score FROM dots JOIN nn USING (id) JOIN qn USING (query_id))""",
         f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc')})",
     ),
-    "dense_ip_topk": W("sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc')})"),
-    "dense_parent_max": W("sc AS (SELECT q.vec_id AS query_id, e.label AS id, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 GROUP BY ALL)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc')})"),
-    "rrf_fusion": W(f"{BOTH}, {fused('f', 160, None)}", "SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank::INT AS bm25_rank, vector_rank::INT AS vector_rank, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, rank::INT AS rank FROM f", True),
+    "dense_ip_topk": W(f"sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc')})"),
+    "dense_parent_max": W(f"sc AS (SELECT q.vec_id AS query_id, e.label AS id, max({COS}) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 GROUP BY ALL)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc')})"),
+    "rrf_fusion": W(f"{BOTH}, {fused('f', 320, None)}", "SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank::INT AS bm25_rank, vector_rank::INT AS vector_rank, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, rank::INT AS rank FROM f", True),
     "hybrid_rrf": W(f"{BOTH}, {fused('f', 40, 10)}", "SELECT query_id, id, round(rrf_score, 6) AS rrf_score, bm25_rank::INT AS bm25_rank, vector_rank::INT AS vector_rank, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, rank::INT AS rank FROM f", True),
     "rrf_outer_join": W(BOTH, "SELECT query_id, id, l.rank::INT AS bm25_rank, v.rank::INT AS vector_rank FROM lr l FULL JOIN vr v USING (query_id, id)", True),
     "rerank_features": W(f"{BOTH}, {fused('f10', 40, 10)}, {features('f10')}", "SELECT query_id, id, round(coverage, 6) AS coverage, round(precision, 6) AS precision, round(heading_coverage, 6) AS heading_coverage, round(rerank_score, 6) AS rerank_score FROM fx", True),
@@ -216,7 +224,7 @@ UNION ALL SELECT query_id, 'reranked', rerank_rank::INT, id, round(rerank_score,
     "wiki_lines": W(SEC, f"SELECT file, id, '- [' || id || '] — ' || heading || CASE WHEN p <> '' THEN {NL} || '  - ' || p ELSE '' END AS entry FROM (SELECT *, left(trim(regexp_replace(content, '{SPACES}+', ' ', 'g')), 160) AS p FROM sec)"),
     "wiki_preview": W(SEC, f"SELECT id, left(trim(regexp_replace(content, '{SPACES}+', ' ', 'g')), 160) AS preview FROM sec"),
     "citations_extract": W(ANSWERS, "SELECT query_id, generate_subscripts(cited, 1)::INT - 1 AS pos, unnest(cited) AS cited FROM chk"),
-    "citations_valid": W(ANSWERS, "SELECT query_id, malformed, valid, sha256(CASE WHEN valid THEN answer ELSE 'I cannot confirm from the knowledge base.' END) AS answer_digest FROM chk"),
+    "citations_valid": W(ANSWERS, f"SELECT query_id, malformed, valid, sha256(CASE WHEN valid THEN answer ELSE '{FALLBACK_ANSWER}' END) AS answer_digest FROM chk"),
     "cited_sources": W(ANSWERS, "SELECT query_id, generate_subscripts(s, 1)::INT - 1 AS pos, unnest(s) AS source FROM (SELECT query_id, list_filter(ranked, lambda x: list_contains(cited, x)) AS s FROM chk WHERE valid)"),
     "source_payload": W(RERANK, "SELECT query_id, id AS source, heading, round(rerank_score, 6) AS score, sha256(content) AS content_digest, bm25_rank::INT AS bm25_rank, vector_rank::INT AS vector_rank, rerank_rank::INT AS rerank_rank FROM rr JOIN sec USING (id) WHERE rerank_rank <= 3", True),
     "filename_slug": "SELECT conv_id, turn, coalesce(nullif(trim(left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 64), '-'), ''), 'answer') AS slug FROM conversations",
@@ -225,4 +233,36 @@ UNION ALL SELECT query_id, 'reranked', rerank_rank::INT, id, round(rerank_score,
     "child_violations": W(CHILD, "SELECT v.* FROM (VALUES ('empty id', (SELECT count(*) FROM child WHERE chunk_id = '' OR source_id = '')), ('long id', (SELECT count(*) FROM child WHERE strlen(chunk_id) > 8192)), ('hash form', 0::BIGINT), ('hash value', 0::BIGINT), ('unsafe path', (SELECT count(*) FROM child WHERE starts_with(file, '/') OR contains(file, '..'))), ('duplicate id', (SELECT count(*) FROM (SELECT chunk_id FROM child GROUP BY chunk_id HAVING count(*) > 1)))) v(\"check\", n)", True),
     "index_compare": W(SNAPS, "SELECT count(*) FILTER (WHERE n.path IS NULL) AS missing, count(*) FILTER (WHERE o.path IS NULL) AS unexpected, count(*) FILTER (WHERE length(o.content) <> length(n.content)) AS different FROM old o FULL JOIN new n ON o.path = n.path"),
     "token_hashes": f"SELECT item_id AS query_id, sha256('[' || array_to_string(list_transform(list_sort(list_distinct(t)), lambda x: '[\"' || x || '\",' || len(list_filter(t, lambda y: y = x)) || ']'), ',') || ']') AS token_hash FROM (SELECT item_id, {tok('text')} AS t FROM benchmark)",
+    "index_build": W(
+        f"{CORPUS}, {TFIDF.replace(SEC + ',', '')}",
+        """SELECT 'sections' AS "table", count(*) AS n FROM sec UNION ALL SELECT 'children', count(*) FROM child UNION ALL SELECT 'stats', 1 UNION ALL SELECT 'postings', count(*) FROM tf
+UNION ALL SELECT 'terms', count(*) FROM df UNION ALL SELECT 'child_counts', count(*) FROM ctf UNION ALL SELECT 'child_terms', count(*) FROM cidf UNION ALL SELECT 'child_postings', count(*) FROM ctf""",
+        True,
+    ),
+    "stored_sections": W(SEC, "SELECT file, id, len(tokens)::INT AS n_tokens, sha256(content) AS content_hash FROM sec"),
+    "chat_answers": W(
+        f"{RERANK}, good AS (SELECT query_id, list(id ORDER BY rerank_rank) AS ids FROM rr WHERE rerank_rank <= 3 AND (coalesce(bm25_score >= 0.75, false) OR coalesce(vector_score >= 0.05, false)) GROUP BY query_id)",
+        f"SELECT item_id AS query_id, coalesce(len(ids), 0)::INT AS n_ranked, coalesce(ids[1], '') AS sources, CASE WHEN ids IS NULL THEN '{FALLBACK_ANSWER}' ELSE 'See the source. [Source: ' || ids[1] || ']' END AS final_answer FROM benchmark LEFT JOIN good ON query_id = item_id",
+        True,
+    ),
+    "hybrid_k20": W(f"{BOTH}, {fused('f80', 320, 80)}, {features('f80')}", "SELECT query_id, id, rerank_rank::INT AS rerank_rank, round(rerank_score, 6) AS rerank_score FROM rr WHERE rerank_rank <= 20", True),
+    "not_indexed": f"SELECT item_id AS query_id, '{NOT_INDEXED_ANSWER}' AS final_answer, 0::INT AS n_sources, false AS indexed FROM benchmark",
+    "k_validation": "SELECT conv_id, turn, coalesce(turn * 5 BETWEEN 1 AND 20, false) AS valid FROM conversations",
+    "unit_vectors": "SELECT vec_id AS id, round(embedding[1]::DOUBLE / norm, 6) AS first, 1.0::DOUBLE AS square FROM (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)",
+    "child_identities": W(
+        CHILD,
+        """SELECT chunk_id, sha256(embedding_text) AS content_hash, sha256(to_json({'content': content, 'content_hash': sha256(embedding_text), 'embedding_text': embedding_text, 'file': file, 'heading': heading, 'heading_path': CASE WHEN heading = '' THEN []::VARCHAR[] ELSE [heading] END,
+ 'heading_prefix_version': 'heading-path-v1', 'id': chunk_id, 'source_id': source_id, 'splitter_version': 'child-v1'})) AS section_hash FROM child""",
+        True,
+    ),
+    "child_parents": W(CHILD, "SELECT chunk_id, source_id AS parent FROM child", True),
+    "wiki_files": W(SEC, f"SELECT file, sha256('## ' || file || {NL} || {NL} || string_agg('- [' || id || '] — ' || heading || CASE WHEN p <> '' THEN {NL} || '  - ' || p ELSE '' END, {NL} ORDER BY id) || {NL}) AS digest FROM (SELECT *, left(trim(regexp_replace(content, '{SPACES}+', ' ', 'g')), 160) AS p FROM sec) GROUP BY file"),
+    "wiki_sink": W(SEC, "SELECT file, count(DISTINCT file) AS n FROM sec GROUP BY file"),
+    "json_index": W(SEC, "SELECT id, len(tokens)::INT AS n_tokens, sha256(content) AS content_hash FROM sec"),
+    "cache_sink": "SELECT 'ns' AS namespace_fingerprint, count(*) AS n, min(vec_id::VARCHAR) AS least FROM embeddings WHERE label <> 0 UNION ALL SELECT 'other', count(*), min(vec_id::VARCHAR) FROM embeddings",
+    "embedded_children": W(CACHE, "SELECT vec_id::VARCHAR AS chunk_id, 64::INT AS dimension, 'float32-le-v1' AS vector_encoding, CASE WHEN label IN (0, 1) THEN 2.0::DOUBLE ELSE round(list_sum(embedding::DOUBLE[]), 4) END AS total FROM embeddings"),
+    "namespaces": "SELECT 1::BIGINT AS n, 64::INT AS width",
+    "vector_checks": "SELECT unnest(['duplicate id', 'empty id', 'duplicate token', 'empty token', 'bad idf', 'bad weight', 'token outside vocabulary', 'weights without record', 'wrong norm']) AS \"check\", 0::BIGINT AS n",
+    "dense_generation": W(f"sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc', 3)})"),
+    "prompt_json": W(PROMPTS, "SELECT query_id, prompt FROM pr", True),
 }

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import ranking
+from quillspark.operators import grounding, ranking
+from quillspark.operators.grounding import MAX_K, valid_query
 
 
 def depth(k: int) -> int:
@@ -20,56 +21,85 @@ class DenseUnavailable(Exception):
 
 
 class Search:
-    """sections (id, file, heading_path, content, tokens) and tokens of their children (id, source_id, tokens).
+    """Over the tables of an index (plans.build.search_tables and sections), stored or not, for a batch of queries (query_id, query).
 
     dense, if given, is asked first for hits of children: dense(queries) -> (query_id, id, score). Only DenseUnavailable makes it
     give way to TF-IDF; any other error is one. `backend` says which served.
 
-    lexical() and vector() are each computed once and kept; everything else follows from them.
+    lexical() and vector() are as deep as up to `k` results need; everything else follows from them. With keep they are persisted, until
+    release() or the end of a with block; without, plans that use one twice share its exchange.
     """
 
-    def __init__(self, sections: DataFrame, children: DataFrame, queries: DataFrame, dense=None):
-        self.sections, self.children, self.queries, self.dense, self.backend = sections, children, queries, dense, None
+    def __init__(self, index: dict[str, DataFrame], queries: DataFrame, dense=None, k: int = MAX_K, keep: bool = False):
+        if not 1 <= k <= MAX_K:
+            raise ValueError(f"k must be from 1 to {MAX_K}")
+        self.index, self.queries, self.dense, self.k, self.keep, self.backend = index, queries.where(valid_query("query")), dense, k, keep, None
+        self.sections, self.most = index["sections"], depth(depth(k))
         self._lexical = self._vector = None
 
+    @classmethod
+    def over(cls, sections: DataFrame, children: DataFrame, queries: DataFrame, dense=None, k: int = MAX_K, keep: bool = False) -> Search:
+        """Without a stored index: sections (id, file, heading_path, content, tokens) and tokens of their children (id, source_id, tokens)."""
+        lexical, vector = ranking.lexical_index(sections), ranking.vector_index(children)
+        parents = children.select(F.col("id").alias("chunk_id"), "source_id")
+        return cls({"sections": sections, "children": parents, "postings": lexical["postings"], "terms": lexical["terms"], "child_postings": vector["postings"], "child_terms": vector["terms"]}, queries, dense, k, keep)
+
     def lexical(self) -> DataFrame:
         if self._lexical is None:
-            self._lexical = ranking.ranked(ranking.bm25(self.sections, self.queries), self.most).persist()
+            self._lexical = ranking.ranked(ranking.bm25_search(self.index["postings"], self.index["terms"], self.queries), self.most)
+            self._lexical = self._lexical.persist() if self.keep else self._lexical
         return self._lexical
 
     def vector(self) -> DataFrame:
         if self._vector is None:
-            hits = self._child_hits()
-            parents = self.children.select("id", "source_id")
-            self._vector = ranking.ranked(ranking.best_parent(hits, parents).join(self.sections.select("id"), "id"), self.most).persist()
+            self._vector = ranking.ranked(self._parents(), self.most)
+            self._vector = self._vector.persist() if self.keep else self._vector
         return self._vector
 
-    most = depth(depth(10))
-
-    def _child_hits(self) -> DataFrame:
+    def _parents(self) -> DataFrame:
         if self.dense is not None:
             try:
                 hits = self.dense(self.queries).select("query_id", "id", "score")
                 self.backend = "dense"
-                return hits
+                parents = self.index["children"].select(F.col("chunk_id").alias("id"), "source_id")
+                return ranking.best_parent(hits, parents).join(self.sections.select("id"), "id", "left_semi")
             except DenseUnavailable:
                 pass
         self.backend = "tfidf"
-        return ranking.tfidf_cosine(self.children, self.queries)
+        # children of an index have their parents in it
+        return ranking.best_parent(ranking.cosine_search(self.index["child_postings"], self.index["child_terms"], self.queries))
 
     def release(self) -> None:
         for df in (self._lexical, self._vector):
-            if df is not None:
+            if df is not None and self.keep:
                 df.unpersist()
+        self._lexical = self._vector = None
+
+    def __enter__(self) -> Search:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
     def fused(self, k: int) -> DataFrame:
+        return self._fused(self._checked(k))
+
+    def _checked(self, k: int) -> int:
+        if not 1 <= k <= self.k:
+            raise ValueError(f"k must be from 1 to {self.k}")
+        return k
+
+    def _fused(self, k: int) -> DataFrame:
         d = depth(k)
-        if d > self.most:
-            raise ValueError(f"k must be at most {self.most // 4}")
         return ranking.rrf(self.lexical().where(F.col("rank") <= d), self.vector().where(F.col("rank") <= d), k)
 
     def reranked(self, k: int) -> DataFrame:
-        return ranking.reranked(ranking.rerank_features(self.fused(depth(k)).drop("rank"), self.sections, self.queries), k)
+        return ranking.reranked(ranking.rerank_features(self._fused(depth(self._checked(k))).drop("rank"), self.sections, self.queries), k)
+
+    def chat(self, generate=None, k: int = 3) -> DataFrame:
+        """Search, gate, prompt, generate and check as one plan; one row per valid query (query_id, query, prompt, answer, sources, final_answer ...)."""
+        hits = self.reranked(k).join(self.sections.select("id", "heading_path", "content"), "id").withColumns({"rank": F.col("rerank_rank"), "score": F.col("rerank_score")})
+        return grounding.chat(hits, self.queries, generate or grounding.extractive)
 
     def compare(self, k: int = 3) -> DataFrame:
         """(query_id, stage, pos, id, score and the rankers' own) of all four stages."""

@@ -2,16 +2,24 @@
 
 `documents` stands for the corpus (one section per document, or Markdown made of its lines), `benchmark` and `conversations` for
 queries, `embeddings` for dense children with `label` as their parent. Every query covers whole tables and whole texts.
+
+Searches read a stored index of the documents: indexed() builds it once per session and state of the table, as index_build does.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, grounding, incremental, markdown, ranking
+from quillspark.operators import chunking, grounding, identity, incremental, markdown, ranking
+from quillspark.plans import build
 from quillspark.plans.search import Search
+from quillspark.sources import embeddings as providers
+from quillspark.sources import index_store, json_files
 
 K = 10
 
@@ -86,15 +94,56 @@ def cached(spark, d) -> tuple[DataFrame, DataFrame]:
     return kids, rows.withColumn("vector_sha256", F.when(F.col("source_id") == "1", F.lit(None)).otherwise(F.col("vector_sha256")))
 
 
+_roots: dict[tuple, str] = {}
+
+
+def indexed(spark, d) -> dict[str, DataFrame]:
+    """The stored search index of the folder's documents."""
+    key = spark.sparkContext.applicationId, d, index_store.stamp(spark, f"{d}/documents.parquet")
+    if key not in _roots:
+        root = f"{index_store.shared_folder(spark)}/search-{uuid.uuid4().hex}"
+        index_store.save(spark, root, {"sections": sections(spark, d).sort("file", "id"), **build.search_tables()}, build.settings())
+        _roots[key] = root
+    return index_store.load(spark, _roots[key])
+
+
+def scratch(spark, name: str) -> str:
+    return f"{index_store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def dense_children(spark, d) -> DataFrame:
+    """Child records of the embeddings, each with its label's section as parent."""
+    label, text = F.col("source_id").cast("string"), F.concat(F.lit("vector "), F.col("id"))
+    rows = vectors(spark, d).select(F.concat(F.lit("v"), F.col("id")).alias("chunk_id"), F.concat(F.lit("label"), label).alias("source_id"), F.concat(F.lit("f"), F.pmod("source_id", F.lit(3)), F.lit(".md")).alias("file"), F.lit("H").alias("heading"), F.array(F.lit("H"), label).alias("heading_path"), text.alias("content"), text.alias("embedding_text"), F.sha2(text, 256).alias("content_hash"))
+    return rows.withColumns({"splitter_version": F.lit("child-v1"), "heading_prefix_version": F.lit("heading-path-v1")})
+
+
 # queries
 
 
+def index_build(spark, d):
+    """Rows of each table of the stored index."""
+    tables = indexed(spark, d)
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in sorted(tables.items())])
+
+
+def stored_sections(spark, d):
+    """The sections of the stored index, in order of file and id."""
+    return indexed(spark, d)["sections"].orderBy("file", "id").select("file", "id", F.size("tokens").alias("n_tokens"), F.sha2("content", 256).alias("content_hash"))
+
+
+def _top(hits: DataFrame) -> DataFrame:
+    return ranking.ranked(hits, K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def bm25_topk(spark, d):
-    return ranking.ranked(ranking.bm25(sections(spark, d), questions(spark, d), 0.0), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    index = indexed(spark, d)
+    return _top(ranking.bm25_search(index["postings"], index["terms"], questions(spark, d), 0.0))
 
 
 def bm25_heading_boost(spark, d):
-    return ranking.ranked(ranking.bm25(sections(spark, d), questions(spark, d)), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    index = indexed(spark, d)
+    return _top(ranking.bm25_search(index["postings"], index["terms"], questions(spark, d)))
 
 
 def tokenize(spark, d):
@@ -139,7 +188,8 @@ def tfidf_norms(spark, d):
 
 
 def tfidf_cosine_topk(spark, d):
-    return ranking.ranked(ranking.tfidf_cosine(child_tokens(spark, d), questions(spark, d)), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    index = indexed(spark, d)
+    return _top(ranking.cosine_search(index["child_postings"], index["child_terms"], questions(spark, d)))
 
 
 def hash_embedding_buckets(spark, d):
@@ -157,12 +207,11 @@ def dense_ip_topk(spark, d):
 
 
 def dense_parent_max(spark, d):
-    hits = ranking.dense_scores(vectors(spark, d), vector_queries(spark, d))
-    return ranking.ranked(ranking.best_parent(hits), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return ranking.dense_parents(vectors(spark, d), vector_queries(spark, d), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def _search(spark, d) -> Search:
-    return Search(sections(spark, d), child_tokens(spark, d), questions(spark, d))
+    return Search(indexed(spark, d), questions(spark, d))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -309,6 +358,96 @@ def source_payload(spark, d):
     return hits.select("query_id", grounding.source_payload().alias("p")).select("query_id", "p.source", "p.heading", "p.score", F.sha2("p.content", 256).alias("content_digest"), "p.bm25_rank", "p.vector_rank", "p.rerank_rank")
 
 
+def chat_answers(spark, d):
+    """The whole plan from question to checked answer."""
+    return _search(spark, d).chat().select("query_id", F.size("ranked").alias("n_ranked"), F.array_join("sources", ",").alias("sources"), "final_answer")
+
+
+def hybrid_k20(spark, d):
+    """The greatest number of results."""
+    return _rounded(_search(spark, d).reranked(20).select("query_id", "id", "rerank_rank", "rerank_score"))
+
+
+def not_indexed(spark, d):
+    return grounding.not_indexed(questions(spark, d)).select("query_id", "final_answer", F.size("sources").alias("n_sources"), "indexed")
+
+
+def k_validation(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", grounding.valid_k((F.col("turn") * 5).cast("int")).alias("valid"))
+
+
+def unit_vectors(spark, d):
+    v = ranking.unit(vectors(spark, d))
+    return v.select("id", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+
+
+def child_identities(spark, d):
+    return identity.child_identity(children(spark, d)).select("chunk_id", "content_hash", "section_hash")
+
+
+def child_parents(spark, d):
+    return children(spark, d).select("chunk_id", tx.parent_of("chunk_id").alias("parent"))
+
+
+def wiki_files(spark, d):
+    return grounding.wiki_files(sections(spark, d)).select("file", F.sha2("text", 256).alias("digest"))
+
+
+def wiki_sink(spark, d):
+    """The wiki as text files, read back."""
+    path = scratch(spark, "wiki")
+    json_files.write_wiki(sections(spark, d), path)
+    return spark.read.text(path).where("value LIKE '## %'").groupBy(F.expr("substring(value, 4)").alias("file")).agg(F.count("*").alias("n"))
+
+
+def json_index(spark, d):
+    """Sections as JSON lines, read back and held against the table."""
+    path, rows = scratch(spark, "json"), sections(spark, d)
+    json_files.write_index(rows, path)
+    return json_files.read_index(spark, path, rows).select("id", F.size("tokens").alias("n_tokens"), F.sha2("content", 256).alias("content_hash"))
+
+
+def cache_sink(spark, d):
+    """A cache of two namespaces on disk, of which one is then replaced by the children at hand."""
+    kids, cache = cached(spark, d)
+    path = scratch(spark, "cache")
+    incremental.write_cache(cache.unionByName(cache.withColumn("namespace_fingerprint", F.lit("other"))), path)
+    incremental.write_cache(incremental.cache_rows(kids.where("source_id <> '0'"), "ns"), path)
+    return spark.read.parquet(path).groupBy("namespace_fingerprint").agg(F.count("*").alias("n"), F.min("chunk_id").alias("least"))
+
+
+def embedded_children(spark, d):
+    """Embedding goes to the provider only for what the cache lacks."""
+    kids, cache = cached(spark, d)
+    kids = kids.drop("vector").withColumn("embedding_text", F.lit("shipping times"))
+    rows = incremental.embed_missing(kids, cache, "ns", 64, providers.HashProvider(64).embed, providers.BATCH)
+    return rows.select("chunk_id", "dimension", "vector_encoding", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+def namespaces(spark, d):
+    """A namespace is registered once."""
+    known = spark.createDataFrame([], "fingerprint string, canonical_json string")
+    n = providers.namespace_of(providers.HashProvider(64))
+    first = identity.register(known, n)
+    return first.unionByName(identity.register(first, n)).agg(F.count("*").alias("n"), F.min(F.length("fingerprint")).alias("width"))
+
+
+def vector_checks(spark, d):
+    """Checks of the stored sparse index."""
+    index = indexed(spark, d)
+    records = index["child_postings"].groupBy("id").agg(F.max("norm").alias("norm"))
+    return identity.vector_violations(records, index["child_postings"].select("id", "token", "weight"), index["child_terms"], 1e-9)
+
+
+def dense_generation(spark, d):
+    """Children and vectors as a dense generation, loaded through its manifest and searched."""
+    kids, root = dense_children(spark, d), scratch(spark, "dense")
+    name = identity.Namespace("table", "embeddings", "http://localhost", 64)
+    build.save_dense(spark, root, kids, vectors(spark, d).select(F.concat(F.lit("v"), "id").alias("chunk_id"), "vector"), name)
+    stored = build.load_dense(spark, root, kids, name).select(F.expr("substring(chunk_id, 2)").cast("long").alias("id"), "vector")
+    return ranking.dense_topk(stored, vector_queries(spark, d), 3).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def filename_slug(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.file_slug("text").alias("slug"))
 
@@ -336,4 +475,4 @@ def token_hashes(spark, d):
     return questions(spark, d).select("query_id", tx.token_hash(tx.tokenize("query")).alias("token_hash"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes)}
+QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes, index_build, stored_sections, chat_answers, hybrid_k20, not_indexed, k_validation, unit_vectors, child_identities, child_parents, wiki_files, wiki_sink, json_index, cache_sink, embedded_children, namespaces, vector_checks, dense_generation)}

@@ -1,12 +1,14 @@
-"""Index generations: immutable tables under <root>/gen=<id>/, and a one-line CURRENT that names the one in use.
+"""Index generations: immutable tables under <root>/gen=<id>/, and pointers <root>/current/<number> that name them in turn.
 
-A generation is written whole, checked against its manifest, and only then made current; a failure before that leaves the old one.
+A generation is written whole, checked against its manifest, and only then made current, by a pointer of the next number; the greatest
+number counts. A pointer is never changed, so a reader (or a crash) at any moment finds the old generation or the new one.
 Old generations stay until removed by drop_generation().
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,22 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """By a rename of a whole file in the same folder."""
+def _write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new file, by a rename of a whole one in the same folder. Whether it was new."""
     jvm, fs, p = _fs(spark, path)
-    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    part = jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{uuid.uuid4().hex}.tmp")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if not fs.rename(part, p):
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise OSError(f"{path} could not be replaced")
+    if not fs.exists(p) and fs.rename(part, p):
+        return True
+    fs.delete(part, False)
+    return False
+
+
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    jvm, fs, p = _fs(spark, f"{root}/current")
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -42,31 +49,69 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return rows[0][0] if rows else ""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; on one machine where it is unset, a folder made for the session."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below a path."""
+    _, fs, p = _fs(spark, path)
+    found = fs.listFiles(p, True)
+    out = []
+    while found.hasNext():
+        x = found.next()
+        out.append(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
 def checksum(df: DataFrame) -> str:
     """Order-independent: the sum of the rows' 64-bit hashes, and their number."""
     r = df.select(F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]).cast("decimal(38,0)").alias("h")).agg(F.sum("h"), F.count("*")).first()
     return f"{r[1]}:{r[0] or 0}"
 
 
-def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict | None = None, activate=lambda manifest: True) -> str:
-    """Write a generation and make it current if its tables read back as written and activate(manifest) allows it."""
+def write_table(df: DataFrame, path: str) -> None:
+    """Tables with a column `bucket` have a folder for each, sorted by token, so that a reader of some tokens reads some folders."""
+    if "bucket" in df.columns:
+        df.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+    else:
+        df.write.parquet(path)
+
+
+def save(spark: SparkSession, root: str, tables: dict, meta: dict | None = None, activate=lambda manifest: True) -> str:
+    """Write a generation and make it current if its tables read back as written and activate(manifest) allows it.
+
+    tables: name -> DataFrame, or a function from the tables written so far, so that what follows from a table reads it and isn't made twice.
+    """
     gen = uuid.uuid4().hex
-    base = f"{root}/gen={gen}"
+    base, done = f"{root}/gen={gen}", {}
     manifest = {"version": VERSION, "generation": gen, "meta": meta or {}, "tables": {}}
     for name, df in tables.items():
-        df.write.parquet(f"{base}/{name}")
-        back = spark.read.schema(df.schema).parquet(f"{base}/{name}")
-        manifest["tables"][name] = {"checksum": checksum(back), "schema": json.loads(df.schema.json())}
+        df = df(done) if callable(df) else df
+        write_table(df, f"{base}/{name}")
+        done[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}").select(df.columns)
+        manifest["tables"][name] = {"checksum": checksum(done[name]), "schema": json.loads(df.schema.json())}
     _write_text(spark, f"{base}/manifest.json", json.dumps(manifest, sort_keys=True))
     verify(spark, root, gen)
     if not activate(manifest):
         raise RuntimeError("activation was refused: the corpus has changed meanwhile")
-    _write_text(spark, f"{root}/CURRENT", gen)
+    while not _write_text(spark, f"{root}/current/{int((_pointers(spark, root) or ['0'])[-1]) + 1:020d}", gen):
+        pass  # another writer was first
     return gen
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    text = _read_text(spark, f"{root}/CURRENT")
+    found = _pointers(spark, root)
+    text = _read_text(spark, f"{root}/current/{found[-1]}") if found else None
     return text.strip() if text else None
 
 
@@ -87,7 +132,8 @@ def load(spark: SparkSession, root: str, gen: str | None = None) -> dict[str, Da
         return {}
     from pyspark.sql.types import StructType
 
-    return {name: spark.read.schema(StructType.fromJson(t["schema"])).parquet(f"{root}/gen={gen}/{name}") for name, t in manifest(spark, root, gen)["tables"].items()}
+    schemas = {name: StructType.fromJson(t["schema"]) for name, t in manifest(spark, root, gen)["tables"].items()}
+    return {name: spark.read.schema(x).parquet(f"{root}/gen={gen}/{name}").select(x.fieldNames()) for name, x in schemas.items()}
 
 
 def verify(spark: SparkSession, root: str, gen: str) -> None:
@@ -102,6 +148,14 @@ def compatible(a: dict, b: dict) -> bool:
     return a.get("meta") == b.get("meta") and a.get("version") == b.get("version")
 
 
+def generations(spark: SparkSession, root: str) -> list[str]:
+    """All whole generations that are there, current or not."""
+    _, fs, p = _fs(spark, root)
+    found = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+    names = [x.getName().removeprefix("gen=") for x in found if x.getName().startswith("gen=")]
+    return sorted(g for g in names if _read_text(spark, f"{root}/gen={g}/manifest.json"))
+
+
 def drop_generation(spark: SparkSession, root: str, gen: str) -> None:
     if gen == current(spark, root):
         raise ValueError("the current generation can't be dropped")

@@ -23,9 +23,14 @@ def merge(root: str):
         spark = batch.sparkSession
         latest = batch.groupBy("file").agg(F.max_by("content", "modificationTime").alias("content"))
         fresh = markdown.sections(markdown_files.texts(latest))
+        before = index_store.current(spark, root)
         old = index_store.load(spark, root).get("sections")
         table = fresh if old is None else old.join(latest.select("file"), "file", "left_anti").select(fresh.columns).unionByName(fresh)
         index_store.save(spark, root, {"sections": table})
+        # readers may still have the generation before; those before that go
+        for gen in index_store.generations(spark, root):
+            if gen not in (before, index_store.current(spark, root)):
+                index_store.drop_generation(spark, root, gen)
 
     return run
 

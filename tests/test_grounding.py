@@ -42,7 +42,7 @@ def test_valid_query(spark):
 
 def test_chat_falls_back(spark):
     q = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, query string")
-    hits = spark.createDataFrame([(1, "a", 1, 0.9, None), (2, "b", 1, 0.1, 0.01)], "query_id int, id string, rank int, bm25_score double, vector_score double")
+    hits = spark.createDataFrame([(1, "a", 1, 0.9, None, 0.5, ["T"], "c"), (2, "b", 1, 0.1, 0.01, 0.5, ["T"], "c")], "query_id int, id string, rank int, bm25_score double, vector_score double, score double, heading_path array<string>, content string")
     got = {r["query_id"]: (r["sources"], r["final_answer"]) for r in grounding.chat(hits, q).collect()}
     assert got[1] == (["a"], "See the source. [Source: a]") and got[2] == ([], grounding.FALLBACK_ANSWER)
 
@@ -69,3 +69,41 @@ def test_payload_has_all_fields(spark):
 def test_answer_cards(spark):
     df = spark.createDataFrame([("q", "a", ["s"])], "query string, final_answer string, sources array<string>")
     assert grounding.answer_cards(df, "m").columns == ["schema_version", "created_at", "question", "answer", "sources", "model"]
+
+
+def test_white_space_is_no_question(spark):
+    texts = ["", " ", "\n", "\t \n", "\u3000\u00a0", "a", " a \n", "x" * 2000, "x" * 2001, "\n" + "x" * 2000 + "\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, q string")
+    got = [r["v"] for r in df.select("k", grounding.valid_query("q").alias("v")).orderBy("k").collect()]
+    assert got == [len((t or "").strip()) in range(1, 2001) for t in texts]
+    ks = spark.createDataFrame([(k,) for k in (-1, 0, 1, 20, 21, None)], "k int")
+    assert [r["v"] for r in ks.select(grounding.valid_k("k").alias("v")).collect()] == [False, False, True, True, False, False]
+
+
+def test_cards_are_dated_in_utc(spark):
+    import datetime
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("q", "a", ["s"])], "query string, final_answer string, sources array<string>")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        made = datetime.datetime.strptime(grounding.answer_cards(df, "m").first()["created_at"], "%Y-%m-%dT%H:%M:%SZ")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert abs(datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None) - made) < datetime.timedelta(minutes=5)
+
+
+def test_generators_get_prompts_and_may_fail(spark):
+    q = spark.createDataFrame([(k, f"question {k}") for k in range(4)], "query_id int, query string")
+    hits = spark.createDataFrame([(k, f"s{k}", 1, 0.9, None, 0.5, ["T"], "c") for k in range(3)], "query_id int, id string, rank int, bm25_score double, vector_score double, score double, heading_path array<string>, content string").coalesce(1)
+
+    def generate(prompts):
+        if any("question 1" in p for p in prompts):
+            raise OSError("away")
+        return [f"Yes [Source: {json.loads(p)['selected_sections'][0]['source']}]" for p in prompts]
+
+    one = lambda prompts: [generate([p])[0] for p in prompts]
+    got = {r["query_id"]: (r["sources"], r["final_answer"]) for r in grounding.chat(hits, q, one).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[1] == got[3] == ([], grounding.FALLBACK_ANSWER)
+    assert all(got[k] in (([f"s{k}"], f"Yes [Source: s{k}]"), ([], grounding.FALLBACK_ANSWER)) for k in (0, 2))
+    assert [r["final_answer"] for r in grounding.not_indexed(q).collect()] == [grounding.NOT_INDEXED_ANSWER] * 4

@@ -44,6 +44,20 @@ def test_namespace():
             Namespace(**({"provider_kind": "k", "embedding_model": "m", "base_url": "https://x", "resolved_dimension": 8} | bad))
 
 
+@pytest.mark.parametrize("bad", [{"embedding_model": "m" * 257}, {"requested_dimension": 0}, {"metric": ""}, {"base_url": "http://" + "x" * 2050}, {"embedding_model": None}])
+def test_namespace_bounds(bad):
+    good = {"provider_kind": "k", "embedding_model": "m" * 256, "base_url": "https://x", "resolved_dimension": 8}
+    assert Namespace(**good).embedding_model == "m" * 256
+    with pytest.raises(ValueError):
+        Namespace(**(good | bad))
+
+
+@pytest.mark.parametrize("bad", [{"separators": ()}, {"separators": ("x",) * 17}, {"separators": ("x" * 129,)}, {"size": 1_000_001}, {"overlap": 1000}])
+def test_policy_bounds(bad):
+    with pytest.raises(ValueError):
+        chunking.ChunkingPolicy(**bad)
+
+
 def test_register_once(spark):
     n = Namespace("k", "m", "https://x", 8)
     known = spark.createDataFrame([], "fingerprint string, canonical_json string")

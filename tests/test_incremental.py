@@ -101,5 +101,55 @@ def test_stream_merges_new_files(spark, tmp_path):
     run()
     (docs / "b.md").write_text("## Two\nbeta\n")
     run()
+    (docs / "c.md").write_text("## Three\ngamma\n")
+    run()
+    assert len(index_store.generations(spark, str(tmp_path / "index"))) == 2
     got = index_store.load(spark, str(tmp_path / "index"))["sections"]
-    assert sorted(r["id"] for r in got.collect()) == ["a.md#one", "b.md#two"]
+    assert sorted(r["id"] for r in got.collect()) == ["a.md#one", "b.md#two", "c.md#three"]
+
+
+def test_pointers_are_only_ever_added(spark, tmp_path):
+    root, df = str(tmp_path), spark.createDataFrame([(1, "a")], "k int, v string")
+    gens = [index_store.save(spark, root, {"t": df}) for _ in range(3)]
+    assert index_store.current(spark, root) == gens[-1] and len(index_store._pointers(spark, root)) == 3
+    (tmp_path / "current" / f"{4:020d}").write_text(gens[0])
+    assert index_store.current(spark, root) == gens[0]
+
+
+def test_other_settings_are_indexed_anew_and_changes_meanwhile_refused(spark, tmp_path, monkeypatch):
+    docs, root = tmp_path / "docs", str(tmp_path / "index")
+    docs.mkdir()
+    (docs / "a.md").write_text("## One\nalpha\n")
+    assert build.reindex(spark, str(docs), root)["changed"] == 1
+    monkeypatch.setattr(build, "settings", lambda: {"policy": "another"})
+    assert build.reindex(spark, str(docs), root) == {"changed": 1, "skipped": 0, "deleted": 0}
+    before, real = index_store.current(spark, root), markdown_files.scan
+    (docs / "b.md").write_text("## Two\nbeta\n")
+    calls = []
+
+    def scan(*x):
+        if calls:
+            (docs / "b.md").write_text("## Two\nbeta and more\n")
+        calls.append(1)
+        return real(*x)
+
+    monkeypatch.setattr(markdown_files, "scan", scan)
+    with pytest.raises(RuntimeError):
+        build.reindex(spark, str(docs), root)
+    assert index_store.current(spark, root) == before and not [p for p in os.listdir(root) if p.startswith("taken")]
+
+
+def test_cache_sink_replaces_namespaces_alone(spark, tmp_path):
+    v, rows = cache(spark)
+    path = str(tmp_path / "cache")
+    incremental.write_cache(rows.union(rows.withColumn("namespace_fingerprint", F.lit("other"))), path)
+    incremental.write_cache(rows.where("chunk_id = '0'"), path)
+    assert {r[0]: r[1] for r in spark.read.parquet(path).groupBy("namespace_fingerprint").count().collect()} == {"ns": 1, "other": 5}
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf")])
+def test_vectors_from_a_provider_must_be_finite(spark, value):
+    v, rows = cache(spark)
+    kids = v.drop("vector").withColumn("embedding_text", F.lit("t")).withColumn("content_hash", F.lit("new"))
+    with pytest.raises(Exception, match="finite"):
+        incremental.embed_missing(kids, rows, "ns", 2, lambda texts: [[value, 1.0] for _ in texts]).collect()

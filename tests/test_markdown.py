@@ -10,10 +10,10 @@ def parse(spark, *files):
 
 
 def test_sections_slugs_and_paths(spark):
-    got = parse(spark, ("faq.md", "# FAQ\nintro\n## Duplicate\none\n## Duplicate\ntwo\n### Child Topic\nthree\n"))
-    assert [r["id"] for r in got] == ["faq.md#duplicate", "faq.md#duplicate-2", "faq.md#child-topic"]
-    assert [r["heading_path"] for r in got] == [["FAQ", "Duplicate"], ["FAQ", "Duplicate"], ["FAQ", "Duplicate", "Child Topic"]]
-    assert [r["content"] for r in got] == ["one", "two", "three"]
+    got = parse(spark, ("garden.md", "# Garden Notes\nlost\n## Watering\nat dawn\n### Roses & Co.\ndeep\n## Watering\nat dusk\n#### Roses & Co.\nsparse\n"))
+    assert [r["id"] for r in got] == [f"garden.md#{x}" for x in ("watering", "roses-co", "watering-2", "roses-co-2")]
+    assert [r["heading_path"][1:] for r in got] == [["Watering"], ["Watering", "Roses & Co."], ["Watering"], ["Watering", "Roses & Co."]]
+    assert all(r["heading_path"][0] == "Garden Notes" for r in got) and [r["content"] for r in got] == ["at dawn", "deep", "at dusk", "sparse"]
 
 
 def test_empty_sections_take_no_number(spark):

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, markdown, ranking
+from quillspark.operators import chunking, incremental, markdown, ranking
+from quillspark.plans import build
 from quillspark.plans.search import DenseUnavailable, Search
+from quillspark.sources import index_store
 
 FILES = [
     ("refund_policy.md", "# Refund Policy\n\n## Refund Timeline\n\nRefunds take five to seven business days.\n\n## Late Refunds\n\nContact support about late refunds."),
@@ -21,7 +23,7 @@ def parts(spark):
 
 
 def test_golden_tops(parts):
-    s = Search(*parts)
+    s = Search.over(*parts)
     lexical = {r["query_id"]: r["id"] for r in s.lexical().where("rank = 1").collect()}
     top = {r["query_id"]: r for r in s.reranked(3).where("rerank_rank = 1").collect()}
     assert lexical == TOP and {q: r["id"] for q, r in top.items()} == TOP
@@ -33,22 +35,61 @@ def test_golden_tops(parts):
 def test_dense_serves_or_gives_way(parts):
     sections, kids, queries = parts
     hit = lambda q: q.where("query_id = 0").select("query_id", F.lit("account_help.md#reset-password::chunk-0").alias("id"), F.lit(0.9).alias("score"))
-    s = Search(sections, kids, queries, hit)
+    s = Search.over(sections, kids, queries, hit)
     assert [r["id"] for r in s.vector().collect()] == ["account_help.md#reset-password"] and s.backend == "dense"
 
     def away(_):
         raise DenseUnavailable
 
-    s = Search(sections, kids, queries, away)
+    s = Search.over(sections, kids, queries, away)
     assert s.vector().count() > 0 and s.backend == "tfidf"
 
     def broken(_):
         raise RuntimeError("not expected")
 
     with pytest.raises(RuntimeError):
-        Search(sections, kids, queries, broken).vector()
+        Search.over(sections, kids, queries, broken).vector()
 
 
-def test_depth_is_bounded(parts):
+def test_results_go_up_to_twenty(parts):
+    s = Search.over(*parts)
+    assert s.reranked(20).count() >= s.reranked(3).count() > 0
+    for k in (0, 21, -1):
+        with pytest.raises(ValueError):
+            s.fused(k)
     with pytest.raises(ValueError):
-        Search(*parts).fused(100)
+        Search.over(*parts, k=3).fused(4)
+
+
+def test_a_stored_index_gives_the_same_and_invalid_queries_nothing(spark, parts, tmp_path):
+    sections, kids, queries = parts
+    index_store.save(spark, str(tmp_path), {"sections": sections, **build.search_tables()})
+    stored = index_store.load(spark, str(tmp_path))
+    more = queries.unionByName(spark.createDataFrame([(9, " \n"), (10, None)], "query_id long, query string"))
+    with Search(stored, more, keep=True) as s:
+        rows = lambda df: sorted(map(str, df.select("query_id", "stage", "pos", "id", F.round("score", 9)).collect()))
+        assert rows(s.compare(3)) == rows(Search.over(*parts).compare(3))
+        chat = {r["query_id"]: r["sources"] for r in s.chat().collect()}
+    assert chat == {0: [TOP[0]], 1: [TOP[1]], 2: [TOP[2]], 3: []}
+    plan = ranking.bm25_search(stored["postings"], stored["terms"], queries)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and "PartitionFilters: [isnotnull(bucket" in plan.replace("#", "") or "dynamicpruning" in plan
+
+
+def test_dense_generations_are_checked_when_loaded(spark, parts, tmp_path):
+    from quillspark.operators.identity import Namespace
+    from quillspark.sources import embeddings
+
+    sections, _, queries = parts
+    kids, p = chunking.children(sections), embeddings.HashProvider(32)
+    none = incremental.cache_rows(spark.createDataFrame([], "chunk_id string, source_id string, content_hash string, vector array<float>"), "x")
+    vectors, name, root = embeddings.embedded(kids, none, p).select("chunk_id", "vector"), embeddings.namespace_of(p), str(tmp_path / "dense")
+    with pytest.raises(DenseUnavailable):
+        build.load_dense(spark, root, kids, name)
+    build.save_dense(spark, root, kids, vectors, name)
+    assert build.load_dense(spark, root, kids, name).count() == kids.count()
+    with pytest.raises(DenseUnavailable):
+        build.load_dense(spark, root, kids.where("file <> 'shipping_faq.md'"), name)
+    with pytest.raises(DenseUnavailable):
+        build.load_dense(spark, root, kids, Namespace("other", "m", "http://x", 32))
+    with pytest.raises(RuntimeError):
+        build.save_dense(spark, root, kids, vectors.limit(1), name)

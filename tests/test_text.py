@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
@@ -60,5 +61,14 @@ def test_token_hash(spark):
 
 
 def test_l2_normalize(spark):
-    assert one(spark, tx.l2_normalize(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6000000238418579, 0.800000011920929]
+    assert one(spark, tx.l2_normalize(F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx([0.6, 0.8])
     assert one(spark, tx.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0, 0]
+
+
+def test_headings_are_compared_in_nfc(spark):
+    from quillspark.operators import chunking
+
+    forms = ["Cafe\u0301 au lait", "Caf\u00e9 au lait"]
+    df = spark.createDataFrame([(f"f#{k}", "f.md", h, ["T", h], "text") for k, h in enumerate(forms)], "id string, file string, heading string, heading_path array<string>, content string")
+    assert len({r["content_hash"] for r in chunking.children(df).collect()}) == 1
+    assert len({r["embedding_text"] for r in chunking.children(df).collect()}) == 1
