@@ -9,8 +9,9 @@ members that begin in its range, in offset order, and gives Arrow batches of abo
 fails its checksum is tried again by its own offset on a newly opened file, RETRIES times; then the task fails, and Spark
 runs it anew. Nothing is skipped.
 
-Defined results: null text is the empty text, whose payload is 192 spaces; null doc_id stays null; repeated rows are members of
-their own; an empty table gives a manifest without archives and no rows; extra columns are not read.
+Defined results: null text is the empty text, whose payload is 192 spaces; a very long text is one member, held whole by the task that
+writes or reads it, and a batch of its own; null doc_id stays null; repeated rows are members of their own, equal ids too, in any
+order; an empty table gives a manifest without archives and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import new_path, table
 #: Samples in an image row; payloads are padded with spaces to a positive multiple of it.
 WIDTH = 192
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 1 << 28, 1 << 25, 1 << 22, 3
+#: Ranges planned, about, at most: beyond, they are larger, up to an archive each.
+RANGES = 100_000
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "_archives.json"
 
@@ -150,7 +153,8 @@ class ArchiveReader(DataSourceReader):
         store, base = _filesystem(self.path)
         with store.open_input_stream(f"{base}/{MANIFEST}") as f:
             archives = json.loads(f.read())
-        return [ByteRange(name, at, min(size, at + RANGE_BYTES)) for name, size in archives for at in range(0, size, RANGE_BYTES)] or [ByteRange("", 0, 0)]
+        step = max(RANGE_BYTES, min(ARCHIVE_BYTES, sum(size for _, size in archives) // RANGES))
+        return [ByteRange(name, at, min(size, at + step)) for name, size in archives for at in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:

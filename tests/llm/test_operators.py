@@ -195,6 +195,27 @@ def test_terms_are_counted_as_they_stand():
     assert set(bags.terms) == held
 
 
+def test_features_of_a_text_by_brute_force():
+    import math
+
+    model = toxicity.fit([(False, f"tree house river w{k}") for k in range(40)] + [(True, f"tree moron x{k}") for k in range(20)] + [(True, f"house scumbagger y{k}") for k in range(20)])
+    lexicon = {"moron": 1, "scumbagger": 2}
+    pick = random.Random(13)
+    for _ in range(300):
+        chunks = [pick.choice(["tree", "house", "moron", "morom", "scumbagger", "scumbaggr", "scmbagr", '"moron"', '"said', 'so"', "river,"]) for _ in range(pick.randint(0, 25))]
+        x, hits = [0] * 6, []
+        for k, chunk in enumerate(chunks):
+            word = chunk.strip('",')
+            near = [edits(word, t) for t, most in lexicon.items() if edits(word, t) <= most]
+            if near:
+                before = " ".join(chunks[max(0, k - 8) : k]) + " " + chunk[: chunk.index(word)]
+                after = chunk[chunk.index(word) + len(word) :] + " " + " ".join(chunks[k + 1 : k + 9])
+                x[1 + 2 * (min(near) > 0) + (before.count('"') % 2 == 1 and '"' in after)] = 1
+                hits.append(k)
+        x[0], x[5] = 1, math.log1p(max((sum(k - 8 <= j < k for j in hits) for k in hits), default=0))
+        assert model.features(" ".join(chunks))[:6].tolist() == pytest.approx(x), chunks
+
+
 def test_without_labels_nothing_is_toxic():
     assert toxicity.fit([]).score("moron") < toxicity.REJECT
 
@@ -542,3 +563,17 @@ def test_ranking_prefers_what_labels_prefer():
     assert quality_ranking.fit([]).score("x") == 0.5 and 0 <= model.score("") <= 1
 
 
+def test_ranking_is_the_best_of_its_loss_and_cuts_at_the_quantile():
+    pick = random.Random(14)
+    prose = lambda n: " ".join(pick.choice(["tree", "house", "river", "stone", "cloud"]) + str(pick.randint(0, 99)) for _ in range(n))
+    docs = [(True, prose(pick.randint(20, 60))) for _ in range(70)] + [(False, prose(pick.randint(5, 40)) + "!" * pick.randint(0, 9)) for _ in range(30)]
+    model = quality_ranking.fit(docs)
+    x = model.design(np.array([quality_ranking.features(t) for _, t in docs]))
+    good, bad = x[:70], x[70:]
+    rng, n = np.random.default_rng(quality_ranking.SEED), quality_ranking.EACH * 70
+    a, b = (np.concatenate([rng.permutation(k) for _ in range(-(-n // k))])[:n] for k in (70, 30))
+    d = good[a] - bad[b]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + quality_ranking.RIDGE / len(docs) * (w @ w) / 2
+    best = loss(model.weights)
+    assert all(loss(model.weights + 0.02 * rng.standard_normal(len(model.weights))) >= best - 1e-9 for _ in range(200))
+    assert sum(model.score(t) < 0.5 for _, t in docs) == 30

@@ -140,6 +140,53 @@ def test_op8(spark, folder):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def distances(rows):
+    """char and word distances of (lang, text), each against its language's sums; None where the language has too few words."""
+    from quillspark.llm import quality_rules as rules
+
+    def classes(text):
+        kinds = ["lower" if "a" <= c <= "z" else "space" if c in " \t\n\x0b\x0c\r" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "symbol" if c in "#*$%&|<>" else "punct" if c.isascii() and c.isprintable() else "rest" for c in text]
+        n = collections.Counter(kinds)
+        return [n[k] for k in (*rules.CLASSES, "rest")]
+
+    def js(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+        m = (p + q) / 2
+        return float(np.sqrt(max(0, sum((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum() for x in (p, q)) / 2)))
+
+    chars, words = {}, {}
+    for lang, text in rows:
+        chars[lang] = [a + b for a, b in zip(chars.get(lang, [0] * 7), classes(text))]
+        words.setdefault(lang, collections.Counter()).update(w.lower() for w in WORD.findall(text))
+    out = []
+    for lang, text in rows:
+        if sum(words[lang].values()) < rules.MIN_REFERENCE:
+            out.append((0.0, 0.0))
+            continue
+        best = sorted(words[lang].items(), key=lambda x: (-x[1], x[0].encode()))[: rules.COMMON]
+        own = collections.Counter(w.lower() for w in WORD.findall(text))
+        hist = [own[w] for w, _ in best]
+        ref = [n for _, n in best]
+        out.append((js(classes(text), chars[lang]), js([*hist, sum(own.values()) - sum(hist)], [*ref, sum(words[lang].values()) - sum(ref)])))
+    return out
+
+
+def test_op8_verdicts(spark, sf):
+    from quillspark.llm import quality_rules as rules
+
+    t = pq.read_table(f"{sf}/documents.parquet")
+    rows = list(zip(t["doc_id"].to_pylist(), t["lang"].to_pylist(), (x or "" for x in t["text"].to_pylist())))
+    got = {r["doc_id"]: r for r in run(spark, sf, "op8_quality_rules")}
+    for (i, lang, text), (c, w) in zip(rows, distances([r[1:] for r in rows])):
+        r = got[i]
+        assert r["char_distance"] == pytest.approx(c, abs=2e-6) and r["word_distance"] == pytest.approx(w, abs=2e-6)
+        n = r["n_words"]
+        strays = (len(text) >= rules.MIN_CHARS and c > rules.CHAR_LIMIT) or (n >= rules.MIN_WORDS and w > rules.WORD_LIMIT + rules.WORD_NOISE / n**0.5)
+        assert r["kept"] == (not r["base_failed"] and not strays)
+
+
 def test_op9(spark, folder):
     got = run(spark, folder, "op9_mixing")
     rows = source_rows(folder)
