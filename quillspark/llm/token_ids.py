@@ -13,8 +13,10 @@ Steps: tokenise once (written as a table) -> count ids over all documents -> pac
 (one number per vocabulary entry) -> encode -> place by doc_id range -> pack into blocks. Decoding a block is table-driven
 and takes all its segments in lock step from their bit offsets; it needs nothing but the block and the codebook.
 
-Defined results: null text is the empty text; null doc_id sorts first; repeated rows are kept, each as a document of its
-own (equal doc_ids in any order of equal rows); an empty table gives no rows; extra columns are not read.
+Defined results: null text is the empty text; a very long text is encoded in pieces cut between words, and is one document in one block;
+null doc_id sorts first; repeated rows are kept, each as a document of its own (documents of one doc_id, or of none, stand in any
+order, over as many shards as they need); ids as often as each other are ordered by number in the codebook; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -285,7 +287,8 @@ def write_blocks(tokens: DataFrame, lengths: np.ndarray, path: str, total: int)
     spark = tokens.sparkSession
     width = 2 if len(lengths) <= 65536 else 4
     shards = max(1, -(-total // SHARD_IDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BLOCK_IDS))))
-    bounds = sorted({int(x) for x in tokens.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards)}) if shards > 1 else []
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))  # no id: first
+    bounds = sorted(int(x) for x in tokens.select(place.alias("place")).approxQuantile("place", [k / shards for k in range(1, shards)], 0.1 / shards)) if shards > 1 else []
 
     def code(batches):
         codes = canonical_codes(lengths)
@@ -323,7 +326,12 @@ def write_blocks(tokens: DataFrame, lengths: np.ndarray, path: str, total: int)
             yield row()
 
     coded = tokens.mapInArrow(code, "doc_id long, n long, offsets binary, bits binary")
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    shard = F.lit(0)
+    if bounds:
+        upto = lambda test: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), test))
+        below, at_most = upto(lambda b: b < place), upto(lambda b: b <= place)
+        # a bound that stands several times is an id (or none) of very many documents: these are dealt to as many shards
+        shard = F.when(at_most > below + 1, below + 1 + F.pmod(F.monotonically_increasing_id(), at_most - below)).otherwise(at_most)
     placed = coded.select(shard.cast("int").alias("shard"), "doc_id", "n", "offsets", "bits")
     placed = placed.repartitionById(len(bounds) + 1, F.col("shard")) if bounds else placed.coalesce(1)
     placed.sortWithinPartitions("shard", "doc_id", "n").mapInArrow(blocks, BLOCK_SQL).write.option("compression", "none").parquet(f"{path}/blocks")

@@ -61,6 +61,28 @@ def test_ids_come_back_from_files_and_damage_is_found(spark, sf):
         token_ids.read_blocks(spark, f"{path}-bad").collect()
 
 
+def test_very_many_documents_of_one_id_or_none_go_to_many_shards(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_ids, "BLOCK_IDS", 20)
+    monkeypatch.setattr(token_ids, "SHARD_IDS", 100)
+    rows = [(None, f"no id {k}") for k in range(150)] + [(7, "same text")] * 150 + [(k, f"text {k}") for k in range(-20, 60)]
+    random.Random(1).shuffle(rows)
+    spec, path = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read(), new_path(spark, "ids")
+    token_ids.write_token_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, spec, 1)
+    got = sorted(token_ids.read_blocks(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    t, at = Tokenizer.from_str(spec), 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got), key=key) == sorted(((i, [*t.encode(x, add_special_tokens=False).ids, 1]) for i, x in rows), key=key)
+    blocks = spark.read.parquet(f"{path}/blocks").selectExpr("shard", "doc_ids[0] AS a", "doc_ids[size(doc_ids) - 1] AS b").collect()
+    assert len({r["shard"] for r in blocks if r["a"] is None}) > 1 and len({r["shard"] for r in blocks if r["a"] == r["b"] == 7}) > 1
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     import public_tokenizers
 
