@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, mixing, ngram_join, quality_rules, toxicity
-from quillspark.llm.common import table, written
+from quillspark.llm.common import dropped, table, written
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -76,6 +76,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:  # never the source table
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
