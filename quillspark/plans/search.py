@@ -52,7 +52,8 @@ class Search:
 
     def vector(self) -> DataFrame:
         if self._vector is None:
-            self._vector = ranking.ranked(self._parents(), self.most)
+            hits = self._parents()  # settles the backend
+            self._vector = ranking.ranked(hits, self.most).withColumn("backend", F.lit(self.backend))
             self._vector = self._vector.persist() if self.keep else self._vector
         return self._vector
 

@@ -13,7 +13,7 @@ SECTIONS = "id string, file string, heading string, heading_path array<string>,
 
 def write_index(sections: DataFrame, path: str) -> None:
     """Sections and statistics, as JSON lines in folders of their own; the commit of each write is atomic."""
-    sections.select("id", "file", "heading", "heading_path", "content", "tokens").write.mode("overwrite").json(f"{path}/sections")
+    sections.select("id", "file", "heading", "heading_path", "content", "tokens").sort("file", "id").write.mode("overwrite").json(f"{path}/sections")
     ranking.corpus_stats(sections).write.mode("overwrite").json(f"{path}/stats")
     ranking.document_frequency(sections).sort("token").write.mode("overwrite").json(f"{path}/doc_freq")
 
@@ -33,7 +33,7 @@ def write_wiki(sections: DataFrame, path: str) -> None:
 
 
 def write_answer_cards(answers: DataFrame, path: str, model: str) -> None:
-    """Appends cards; Spark names each file uniquely, so none is overwritten."""
+    """Appends cards, each in a folder of its name (time and question); Spark names files uniquely, so none is overwritten."""
     cards = grounding.answer_cards(answers, model)
     name = F.concat(F.regexp_replace("created_at", "[-:]", ""), F.lit("-"), file_slug("question"))
-    cards.withColumn("name", name).write.mode("append").json(path)
+    cards.withColumn("name", name).write.mode("append").partitionBy("name").json(path)

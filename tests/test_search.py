@@ -36,7 +36,7 @@ def test_dense_serves_or_gives_way(parts):
     sections, kids, queries = parts
     hit = lambda q: q.where("query_id = 0").select("query_id", F.lit("account_help.md#reset-password::chunk-0").alias("id"), F.lit(0.9).alias("score"))
     s = Search.over(sections, kids, queries, hit)
-    assert [r["id"] for r in s.vector().collect()] == ["account_help.md#reset-password"] and s.backend == "dense"
+    assert [(r["id"], r["backend"]) for r in s.vector().collect()] == [("account_help.md#reset-password", "dense")] and s.backend == "dense"
 
     def away(_):
         raise DenseUnavailable
