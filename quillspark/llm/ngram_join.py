@@ -5,7 +5,8 @@ Exact, without all pairs, in these steps (n is a set's size; a "class" is all do
 1  One pass over the texts hashes shingles (64 bits) and writes, per document, n, a digest of the set, HASHES minimum hashes, the
    counts of its shingles by GROUPS hash groups (a point), and the parities of such counts over finer groups, two per element or more.
    Equal digests form classes.
-2  Classes with a minimum hash in common are linked through that hash's least class: one verified pair per class, not per pair.
+2  Classes with a minimum hash in common are linked through one of them: one verified pair per class, not per pair. It is the one whose
+   minimum hashes most classes have, as the text that others were made from does, whatever its id.
    This joins most copies of a group to one component, found by label propagation over written tables, so that step 3 needs only
    look for links between components.
 3  Count-vector R-trees. Two sets that link share one of the first n - ceil(0.75 n) + 1 shingles in any one order of all shingles, so
@@ -303,21 +304,31 @@ class RTree:
         return at[np.minimum(self.points[at], point).sum(axis=1) >= need(self.sizes[at])]
 
 
+PAIR, PAIRS = ("a", "b", "la", "lb"), "a long, b long, la long, lb long"
+
+
+def sides(rep: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rows (a, b, la, lb): the pair's classes, the one of the lesser label first, and their labels."""
+    turn = label[i] > label[j]
+    i, j = np.where(turn, j, i), np.where(turn, i, j)
+    return np.stack([rep[i], rep[j], label[i], label[j]], axis=1)
+
+
 def few_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of other labels that may link among the classes of each key; keys have FEW members (key, rep, n, label, sketch) at most."""
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         key, rep, n, label = (t.column(c).to_numpy() for c in ("key", "rep", "n", "label"))
-        fine, found = FinePoints(t.column("sketch")), [np.zeros((0, 2), np.int64)]
+        fine, found = FinePoints(t.column("sketch")), [np.zeros((0, 4), np.int64)]
         for lag in range(1, min(FEW, len(key))):
             same = key[:-lag] == key[lag:]
             if not same.any():
                 break
             i = np.flatnonzero(same & (label[:-lag] != label[lag:]) & (100 * n[:-lag] >= PERCENT * n[lag:]))
             i = i[fine.left(i, i + lag, n)]
-            found.append(np.sort(np.stack([rep[i], rep[i + lag]], axis=1), axis=1))
+            found.append(sides(rep, label, i, i + lag))
         found = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], names=PAIR)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -335,7 +346,7 @@ def few_pairs(members: DataFrame) -> DataFrame:
         if held:
             yield pairs_of(pa.Table.from_batches(held))
 
-    return members.select("key", "rep", "n", "label", "sketch").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, "a long, b long").distinct()
+    return members.select("key", "rep", "n", "label", "sketch").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, PAIRS).distinct()
 
 
 def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -366,17 +377,16 @@ def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         tree = RTree(points[inside], n[inside])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs = [np.zeros((0, 4), np.int64)]
         for q in inside if same else outside:
             found = inside[tree.search(points[q], n[q])]
             found = found[label[found] != label[q]]
             found = found[rep[found] < rep[q]] if same else found
             found = found[fine.left(found, np.full(len(found), q), n)]
-            a.append(np.minimum(rep[found], rep[q]))
-            b.append(np.maximum(rep[found], rep[q]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            pairs.append(sides(rep, label, found, np.full(len(found), q)))
+        return pa.table({c: np.concatenate(pairs)[:, k] for k, c in enumerate(PAIR)})
 
-    return from_i.union(from_j).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return from_i.union(from_j).groupBy("key", "i", "j").applyInArrow(run, PAIRS).distinct()
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -386,11 +396,20 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             n, m, f, g = (batch.column(c) for c in ("n", "m", "f", "g"))
             keep = [bool(may_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), i, j)) for x, y, i, j in zip(f, g, n.to_pylist(), m.to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(list(PAIR)).filter(pa.array(keep, pa.bool_()))
 
     first = classes.select(F.col("rep").alias("a"), "n", F.col("fine").alias("f"))
     second = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("fine").alias("g"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "f", "g").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select(*PAIR, "n", "m", "f", "g").mapInArrow(run, PAIRS)
+
+
+def salt():
+    """A hash may have very many classes: they meet copies of what goes with it (salted()) in SALTS tasks."""
+    return F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _own_ids(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -435,7 +454,7 @@ def linked(docs: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, described: DataFrame, rows: DataFrame) -> DataFrame:
     """linked() where each id has one set, and every row with a set has an id."""
     often = described.where("n < 0").select(F.explode("often").alias("key")).groupBy("key").count().orderBy(F.desc("count"), "key").limit(OFTEN)
-    last = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))  # OFTEN at most
+    last = np.sort(often.select("key").toArrow().column("key").to_numpy().view(np.uint64))  # OFTEN at most
     # of each set the least id; its columns follow by id, so wide rows are not aggregated
     least = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "least")
     wide = described.where("n > 0").select(F.col("doc_id").alias("rep"), "digest", "n", "hashes", "point", "fine", "sketch")
@@ -443,13 +462,16 @@ def _linked(docs: DataFrame, described: DataFrame, rows: DataFrame) -> DataFrame
     dropped(described, least)
 
     # step 2: first one hash for all, then the others between what is still apart
+    hashes = classes.select("rep", F.posexplode("hashes").alias("k", "h"))
+    shared = salted(hashes.groupBy("k", "h").agg(F.count("*").alias("classes")).where("classes > 1"))
+    common = hashes.withColumn("salt", salt()).join(shared, ["k", "h", "salt"]).groupBy("rep").agg(F.sum("classes").alias("common"))
+    hashed = written(classes.select("rep", "n", "hashes").join(common, "rep", "left").withColumn("common", F.coalesce("common", F.lit(0))), "hashed")
+
     def stars(labels: DataFrame, first: int, to: int, tries: int) -> DataFrame:
-        known = classes.select("rep", "n", F.explode(F.transform(F.slice("hashes", first + 1, to - first), lambda h, k: F.struct(k.alias("k"), h.alias("h")))).alias("x")).select("rep", "n", "x.*").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        centres = known.groupBy("k", "h").agg(F.min(F.struct("label", "rep", "n")).alias("c"), F.max("label").alias("most")).where("c.label <> most").select("k", "h", "c")
-        # a hash may have very many classes: they meet copies of their centre in SALTS tasks
-        known = known.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-        centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = known.join(centres, ["k", "h", "salt"]).where("label <> c.label AND 100 * least(n, c.n) >= 75 * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.label").alias("to"), "label")
+        known = hashed.select("rep", "n", "common", F.explode(F.transform(F.slice("hashes", first + 1, to - first), lambda h, k: F.struct(k.alias("k"), h.alias("h")))).alias("x")).select("rep", "n", "common", "x.*").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        centre = F.min(F.struct((-F.col("common")).alias("rare"), "label", "rep", "n")).alias("c")
+        centres = salted(known.groupBy("k", "h").agg(centre, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "h", "c"))
+        pairs = known.withColumn("salt", salt()).join(centres, ["k", "h", "salt"]).where("label <> c.label AND 100 * least(n, c.n) >= 75 * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.label").alias("to"), "label")
         apart = pairs.groupBy("to", "label").agg(F.slice(F.array_sort(F.collect_set(F.struct("a", "b"))), 1, tries).alias("p")) if to - first > 1 else None
         return pairs if apart is None else apart.select(F.explode("p").alias("p")).select("p.a", "p.b")
 
@@ -469,8 +491,17 @@ def _linked(docs: DataFrame, described: DataFrame, rows: DataFrame) -> DataFrame
     members = written(keys.select("key", "rep").join(mixed, "key").join(info, "rep").select("key", "rep", "n", "label", "few", "sketch"), "members")
     dropped(firsts)
     some = bounded(few_pairs(members.where("few")), classes)
-    links = links.union(verified(docs, some.union(many_pairs(members.where("NOT few").select("key", "rep", "n", "label"), classes)), "rest"))
+    pairs = written(some.union(many_pairs(members.where("NOT few").select("key", "rep", "n", "label"), classes)).distinct(), "candidates")
     dropped(members)
+    # two components may meet in very many pairs: three are tried, and others only where these don't join them
+    tries = [F.min(F.struct("a", "b")), F.max(F.struct("a", "b")), F.min(F.struct(F.xxhash64("a", "b").alias("x"), "a", "b"))]
+    tries = pairs.groupBy("la", "lb").agg(F.array(*[F.struct(t["a"].alias("a"), t["b"].alias("b")) for t in tries]).alias("p"))
+    links = written(links.union(verified(docs, tries.select(F.explode("p").alias("p")).select("p.a", "p.b"), "tried")), "links")
+    labels = components(links)
+    of = labels.select(F.col("rep").alias("a"), F.col("label").alias("x"))
+    apart = pairs.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "x": "y"}), "b", "left").where("coalesce(x, a) <> coalesce(y, b)")
+    links = links.union(verified(docs, apart, "rest"))
+    dropped(pairs)
     labels = components(links)
 
     known = classes.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))

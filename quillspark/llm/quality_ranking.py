@@ -4,7 +4,7 @@ From labelled documents come preference pairs (a good one over a bad one); weigh
 their features, so a document's score is what a Bradley-Terry model calls its strength. The threshold is a quantile of the sample's
 scores: as many lie below as the labels call bad. Scores are given as 1 / (1 + exp(threshold - strength)), so 0.5 is the threshold.
 
-Labels are learned from a bounded sample of SAMPLE labelled documents (as op 2 takes it), never from held-out rows. Each document of
+Labels are learned from a bounded sample of labelled documents (SAMPLE and SAMPLE_BYTES of op 2), never from held-out rows. Each document of
 the more frequent kind is in EACH pairs, so no document is left out and the number of pairs follows the sample.
 Defined results: null or empty text has all-zero shares and is scored like any other; a very long text is scored whole; a score of just
 the threshold is 0.5 and accepted; repeated rows score alike; without labels of both kinds every score is 0.5; an empty table gives
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .toxicity import labelled, score_texts
+from .toxicity import score_texts, trained
 
-SAMPLE, EACH, RIDGE, SEED, ACCEPT = 6000, 12, 0.3, 7, 0.5
+EACH, RIDGE, SEED, ACCEPT = 12, 0.3, 7, 0.5
 #: Byte classes whose shares are features.
 BYTES = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32), "symbol": b"#*$%&|<>", "mark": b"!?", "comma": b".,;:", "other": range(128, 256)}
 _classes = np.full(256, len(BYTES))
@@ -84,5 +84,5 @@ def fit(docs: list[tuple[bool, str]]) -> Ranker:
 
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = fit(labelled(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), "quality", SAMPLE))
+    model = trained(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), "quality", fit)
     return score_texts(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

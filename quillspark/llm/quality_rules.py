@@ -58,13 +58,30 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.select(*docs.columns, F.array(*counts).alias("chars"), _words("_t").alias("words"), lines.alias("_lines"))
     n = F.size("words")
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(n >= WINDOW, window_hashes(F.col("words"))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("_hashes", hashes)
     repeats = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), repeated_words(F.col("_hashes"))).otherwise(F.lit(0))
     chars = F.col("chars")
     return out.select(*docs.columns, "chars", "words", n.cast("long").alias("n_words"), (F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x) - chars[1]).alias("word_chars"), chars[4].alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeats.cast("long").alias("n_repeat_words"))
 
 
+def window_hashes(words):
+    """A hash of each window of WINDOW (a power of two) words, from those of windows of half its width."""
+
+    def doubled(width):
+        def run(h):
+            n = F.size(h) - width
+            return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + width, n), lambda x, y: F.xxhash64(x, y))
+
+        return run
+
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < WINDOW:
+        hashes = F.transform(F.array(hashes), doubled(width))[0]  # bound to a lambda variable, so it's made once
+        width *= 2
+    return hashes
+
+
 def repeated_words(hashes):
     """Words in windows whose hash occurs twice or more. Each array is bound to a lambda variable, so it's made once."""
     placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))

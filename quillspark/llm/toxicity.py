@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, held_out, table
+from .common import held, held_out, release, table
 from .units import gathered, slices
 
 #: Labelled documents to learn from and bytes of their texts, at most; words on each side of a hit, least score to reject, cost of a false alarm in the lexicon's choice.
@@ -335,6 +335,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
     return [(label, texts[i]) for i, label in sorted(taken)]
 
 
+def trained(docs: DataFrame, labels: DataFrame, label: str, fitted):
+    """fitted(labelled documents); what the driver held for it goes back to the system."""
+    model = fitted(labelled(docs, labels, label))
+    release()
+    return model
+
+
 def score_texts(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     """docs with a column score: model.score(text) of the whole text (null: empty)."""
     import uuid
@@ -353,5 +360,5 @@ def score_texts(docs: DataFrame, model, keep: list[str]) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = fit(labelled(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic"))
+    model = trained(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", fit)
     return score_texts(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
