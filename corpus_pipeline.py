@@ -27,7 +27,7 @@ def _whole(docs: DataFrame, *columns: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from labels of documents at hand."""
-    model = toxicity.fit(toxicity.labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic"))
+    model = toxicity.trained(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", toxicity.fit)
     return toxicity.score_texts(_whole(docs, "text"), model, ["row"]).where(F.col("score") < toxicity.REJECT).select("row.*")
 
 
