@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.buckets import BUCKETS
 from quillspark.functions.text import bounded, expanded_terms, hash_bucket, hash_features, l2_normalize, tokenize
 
 BROADCAST_ROWS = 500_000
 #: Bytes of query vectors that a matrix on the driver may have.
 MATRIX_BYTES = 256 << 20
-BUCKETS = 16
 K1, B, HEADING_BOOST, RRF_K = 1.5, 0.75, 0.25, 60
 
 

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.buckets import BUCKETS
+
 VERSION = 1
 
 
@@ -80,9 +82,14 @@ def checksum(df: DataFrame) -> str:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Tables with a column `bucket` have a folder for each, sorted by token, so that a reader of some tokens reads some folders."""
+    """Tables with a column `bucket` have a folder for each, sorted by token, so that a reader of some tokens reads some folders.
+
+    A bucket is written by as many tasks as its share of spark.sql.shuffle.partitions (fewer where there is little), a frequent token's rows too.
+    """
     if "bucket" in df.columns:
-        df.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+        spark = df.sparkSession
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        df.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
     else:
         df.write.parquet(path)
 
