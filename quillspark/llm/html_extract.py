@@ -586,7 +586,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 key, own = (name.as_py(), template_of(root)), wrapper_of(tokens)
                 n, before = held.get(key, (0, None))
                 held[key] = (n + 1, aligned(before, own) if before else own)
-                parts += len(tokens) if before is None else 0
+                parts += len(tokens) if before is None else len(tokens) // 50  # wrappers grow by what their pages have for themselves
                 if parts >= HELD:
                     yield table_of([(*k, n, dumped(w)) for k, (n, w) in held.items()])
                     held.clear()
