@@ -16,7 +16,8 @@ Exact, without all pairs, in these steps (n is a set's size; a "class" is all do
    hash; cells whose sizes can link meet, and an R-tree over the points of one is searched with those of the other: the sum of
    coordinate minima bounds the overlap of a point with all below a node. Entries that meet must also pass the bound of the finer
    vectors (first of a few bytes of them, which travel with the classes): each group of unlike parity holds an element that one side
-   lacks. What is left is verified on whole sets.
+   lacks. A pair is given once, at its first common shingle. What is left is verified on whole sets: three pairs of two components
+   first, the others where these don't join them.
 
 Nothing about all documents reaches the driver but at most OFTEN shingle hashes, which only shape the order.
 
@@ -47,8 +48,9 @@ OFTEN, OFTEN_IN_BATCH = 1 << 18, 4
 #: their table is broadcast (16 bytes each); ids to verify up to which theirs is (8 bytes each).
 BLOCK, FANOUT, FEW, BROADCAST_KEYS, BROADCAST_IDS = 1024, 16, 48, 2_000_000, 1_000_000
 #: Into how many parts the classes of a minimum hash are dealt when they meet its centre; bytes of a text hashed at a time; bytes of the
-#: parities that go with a class to each shingle of its prefix (folded, as a class has as many of these as it has elements).
-SALTS, PIECE, CARRIED = 16, 1 << 22, 32
+#: parities that go with a class to each shingle of its prefix (folded, as a class has as many of these as it has elements); shared shingles of
+#: a class that go with it to each of them, at most (pairs of classes with more come once per shingle, and are made one later).
+SALTS, PIECE, CARRIED, CARRIED_KEYS = 16, 1 << 22, 32, 64
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
@@ -349,6 +351,21 @@ def few_pairs(members: DataFrame) -> DataFrame:
     return members.select("key", "rep", "n", "label", "sketch").repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(run, PAIRS).distinct()
 
 
+def first_common(key: int, keys: list, q: int, found: np.ndarray) -> np.ndarray:
+    """Whether key is the first that entry q and each of found have in common; also if either's keys aren't known."""
+    out = np.ones(len(found), bool)
+    some = np.array([k for k, f in enumerate(found.tolist()) if keys[f] is not None], np.int64)
+    if keys[q] is None or not len(some):
+        return out
+    lists = [keys[f] for f in found[some].tolist()]
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.concatenate(lists)
+    # keys are sorted: before this one there must be none of q's
+    before = np.isin(flat, keys[q]) & (flat < key)
+    out[some] = np.add.reduceat(before, np.cumsum(lengths) - lengths) == 0
+    return out
+
+
 def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """The same for keys of any number of members, by R-trees over cells: a size class (sizes that differ by a third) and a hash.
 
@@ -358,14 +375,16 @@ def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     counts = members.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     counts = written(counts, "cells")
     near = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts
-    members = written(members.join(near, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(classes.select("rep", "point", "fine"), "rep").select("key", "band", "part", "rep", "n", "label", "point", "fine"), "cell-members")
+    # each class's shared shingles, if they aren't too many to go along: a pair is given at the first that it has in common
+    shared = members.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys")).select("rep", F.when(F.size("keys") <= CARRIED_KEYS, F.col("keys")).alias("keys"))
+    members = written(members.join(near, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(classes.select("rep", "point", "fine"), "rep").join(shared, "rep").select("key", "band", "part", "rep", "n", "label", "point", "fine", "keys"), "cell-members")
     cells = members.groupBy("key", "band", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
     right = cells.alias("r")
     # sizes that link are of the same band, the next or (by rounding, at most) the one after
     ahead = cells.select("*", F.explode(F.sequence("band", F.col("band") + 2)).alias("to")).alias("l")
     meet = ahead.join(right, F.expr(f"l.key = r.key AND l.to = r.band AND (l.band < r.band OR l.part <= r.part) AND 100 * l.hi >= {PERCENT} * r.lo AND least(l.first, r.first) <> greatest(l.last, r.last)"))
     meet = written(meet.select("l.key", F.struct("l.band", "l.part").alias("i"), F.struct("r.band", "r.part").alias("j")), "meetings")
-    columns = ["rep", "n", "label", "point", "fine"]
+    columns = ["rep", "n", "label", "point", "fine", "keys"]
     cell = F.struct("band", "part")
     placed = members.select("key", cell.alias("cell"), *columns)
     from_i = meet.join(placed.withColumnRenamed("cell", "i"), ["key", "i"]).select("key", "i", "j", F.lit(0).alias("side"), *columns)
@@ -376,13 +395,15 @@ def many_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         points, fine = points_of(t.column("point").to_pylist()), FinePoints(t.column("fine"))
         inside, outside = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        tree = RTree(points[inside], n[inside])
+        tree, key = RTree(points[inside], n[inside]), t.column("key")[0].as_py()
+        keys = [None if x is None else np.array(x, np.int64) for x in t.column("keys").to_pylist()]
         pairs = [np.zeros((0, 4), np.int64)]
         for q in inside if same else outside:
             found = inside[tree.search(points[q], n[q])]
             found = found[label[found] != label[q]]
             found = found[rep[found] < rep[q]] if same else found
             found = found[fine.left(found, np.full(len(found), q), n)]
+            found = found[first_common(key, keys, int(q), found)]
             pairs.append(sides(rep, label, found, np.full(len(found), q)))
         return pa.table({c: np.concatenate(pairs)[:, k] for k, c in enumerate(PAIR)})
 

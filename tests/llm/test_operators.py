@@ -321,6 +321,17 @@ def test_rtree_loses_no_pair():
     assert left < len(sets) ** 2 / 2  # and it does leave many out
 
 
+def test_pairs_are_given_at_their_first_common_key():
+    pick = random.Random(15)
+    keys = [np.array(sorted(pick.sample(range(30), pick.randint(1, 9)))) if pick.random() < 0.9 else None for _ in range(40)]
+    for key in range(30):
+        held = [k for k in range(40) if keys[k] is None or key in keys[k]]
+        for q in held:
+            found = np.array([k for k in held if k != q], np.int64)
+            got = ngram_join.first_common(key, keys, q, found).tolist()
+            assert got == [keys[q] is None or keys[f] is None or min(set(keys[q].tolist()) & set(keys[f].tolist())) == key for f in found.tolist()]
+
+
 def test_fine_points_of_different_widths():
     elements = ngram_join.splitmix(np.arange(900, dtype=np.uint64) * np.uint64(7919))
     sets = [elements[:60], elements[:70], elements[:90], elements[500:560]]
@@ -355,10 +366,11 @@ def test_no_link_is_lost_where_ids_clash_or_lack(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("few,block", [(1, 1024), (1, 2), (48, 1024)])
-def test_blocks_and_trees_give_the_same_components(spark, monkeypatch, few, block):
+@pytest.mark.parametrize("few,block,carried", [(1, 1024, 64), (1, 2, 64), (1, 1024, 3), (48, 1024, 64)])
+def test_blocks_and_trees_give_the_same_components(spark, monkeypatch, few, block, carried):
     from .test_queries import components
 
+    monkeypatch.setattr(ngram_join, "CARRIED_KEYS", carried)
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "HASHES", 1)
