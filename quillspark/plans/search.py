@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import grounding, ranking
 from quillspark.operators.grounding import MAX_K, valid_query
+from quillspark.sources import index_store
 
 
 def depth(k: int) -> int:
@@ -26,35 +27,38 @@ class Search:
     dense, if given, is asked first for hits of children: dense(queries) -> (query_id, id, score). Only DenseUnavailable makes it
     give way to TF-IDF; any other error is one. `backend` says which served.
 
-    lexical() and vector() are as deep as up to `k` results need; everything else follows from them. With keep they are persisted, until
-    release() or the end of a with block; without, plans that use one twice share its exchange.
+    lexical() and vector() are as deep as up to `k` results need and each computed once, into a checkpoint of a few hundred rows a query;
+    everything else follows from them.
     """
 
-    def __init__(self, index: dict[str, DataFrame], queries: DataFrame, dense=None, k: int = MAX_K, keep: bool = False):
+    def __init__(self, index: dict[str, DataFrame], queries: DataFrame, dense=None, k: int = MAX_K):
         if not 1 <= k <= MAX_K:
             raise ValueError(f"k must be from 1 to {MAX_K}")
-        self.index, self.queries, self.dense, self.k, self.keep, self.backend = index, queries.where(valid_query("query")), dense, k, keep, None
+        self.index, self.queries, self.dense, self.k, self.backend = index, queries.where(valid_query("query")), dense, k, None
         self.sections, self.most = index["sections"], depth(depth(k))
         self._lexical = self._vector = None
 
     @classmethod
-    def over(cls, sections: DataFrame, children: DataFrame, queries: DataFrame, dense=None, k: int = MAX_K, keep: bool = False) -> Search:
+    def over(cls, sections: DataFrame, children: DataFrame, queries: DataFrame, dense=None, k: int = MAX_K) -> Search:
         """Without a stored index: sections (id, file, heading_path, content, tokens) and tokens of their children (id, source_id, tokens)."""
         lexical, vector = ranking.lexical_index(sections), ranking.vector_index(children)
         parents = children.select(F.col("id").alias("chunk_id"), "source_id")
-        return cls({"sections": sections, "children": parents, "postings": lexical["postings"], "terms": lexical["terms"], "child_postings": vector["postings"], "child_terms": vector["terms"]}, queries, dense, k, keep)
+        return cls({"sections": sections, "children": parents, "postings": lexical["postings"], "terms": lexical["terms"], "child_postings": vector["postings"], "child_terms": vector["terms"]}, queries, dense, k)
+
+    @staticmethod
+    def _once(df: DataFrame) -> DataFrame:
+        index_store.shared_folder(df.sparkSession)
+        return df.checkpoint()
 
     def lexical(self) -> DataFrame:
         if self._lexical is None:
-            self._lexical = ranking.ranked(ranking.bm25_search(self.index["postings"], self.index["terms"], self.queries), self.most)
-            self._lexical = self._lexical.persist() if self.keep else self._lexical
+            self._lexical = self._once(ranking.ranked(ranking.bm25_search(self.index["postings"], self.index["terms"], self.queries), self.most))
         return self._lexical
 
     def vector(self) -> DataFrame:
         if self._vector is None:
             hits = self._parents()  # settles the backend
-            self._vector = ranking.ranked(hits, self.most).withColumn("backend", F.lit(self.backend))
-            self._vector = self._vector.persist() if self.keep else self._vector
+            self._vector = self._once(ranking.ranked(hits, self.most).withColumn("backend", F.lit(self.backend)))
         return self._vector
 
     def _parents(self) -> DataFrame:
@@ -70,18 +74,6 @@ class Search:
         # children of an index have their parents in it
         return ranking.best_parent(ranking.cosine_search(self.index["child_postings"], self.index["child_terms"], self.queries))
 
-    def release(self) -> None:
-        for df in (self._lexical, self._vector):
-            if df is not None and self.keep:
-                df.unpersist()
-        self._lexical = self._vector = None
-
-    def __enter__(self) -> Search:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.release()
-
     def fused(self, k: int) -> DataFrame:
         return self._fused(self._checked(k))
 
@@ -95,7 +87,7 @@ class Search:
         return ranking.rrf(self.lexical().where(F.col("rank") <= d), self.vector().where(F.col("rank") <= d), k)
 
     def reranked(self, k: int) -> DataFrame:
-        return ranking.reranked(ranking.rerank_features(self._fused(depth(self._checked(k))).drop("rank"), self.sections, self.queries), k)
+        return ranking.reranked(ranking.rerank_features(self._once(self._fused(depth(self._checked(k))).drop("rank")), self.sections, self.queries), k)
 
     def chat(self, generate=None, k: int = 3) -> DataFrame:
         """Search, gate, prompt, generate and check as one plan; one row per valid query (query_id, query, prompt, answer, sources, final_answer ...)."""
