@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import interval_join, mixing
 from .byte_bpe import op4_byte_bpe
 from .html_extract import op7_html_extract
+from .interval_join import op12_interval_join
 from .media import op3_media
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_ranking": op10_quality_ranking,
+    "op12_interval_join": op12_interval_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE, "op12_interval_join": interval_join.ORACLE}
