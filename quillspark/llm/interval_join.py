@@ -45,10 +45,12 @@ DAY = 86_400_000_000
 RELATIONS = ("overlaps", "finished_by", "contains", "starts", "equals", "started_by", "during", "finishes", "overlapped_by")
 OVERLAPS, FINISHED_BY, CONTAINS, STARTS, EQUALS, STARTED_BY, DURING, FINISHES, OVERLAPPED_BY = range(9)
 
-BASE, CARRIED, BEGINS, ENDS, FROM, TO = range(6)
-#: key, block, kind, start, end, number, sum of starts, sum of ends, sum of crcs; base has the sums by start, by end and of open points.
-ROW = "key long, block long, kind int, s long, e long, n long, ss long, se long, crc long, en long, ess long, ecrc long, opn long, ops long, opcrc long"
+#: Earlier blocks' points by start and by end, and open ones; points carried in, that begin, that end; queries that begin, that end.
+BEGUN, ENDED, OPENED, CARRIED, BEGINS, ENDS, FROM, TO = range(8)
+#: Key, block, kind, start, end, number, sum of starts, sum of ends, sum of crcs.
+ROW = "key long, block long, kind int, s long, e long, n long, ss long, se long, crc long"
 FIELDS = [f.split()[0] for f in ROW.split(", ")]
+SUMS = ("n", "ss", "se", "crc")
 FOUND = "key long, s long, e long, relation int, n long, slots long, crc long"
 
 
@@ -104,13 +106,14 @@ def counted(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     pick = lambda *kinds: np.flatnonzero(np.isin(kind, kinds))
     col = lambda at, *names: np.stack([rows[c][at] for c in names], axis=1)
 
-    at = pick(BASE)
-    by_start, by_end, opened = np.zeros((groups, 3), np.int64), np.zeros((groups, 4), np.int64), np.zeros((groups, 4), np.int64)
-    by_start[group[at]], by_end[group[at]] = col(at, "n", "ss", "crc"), col(at, "en", "ess", "se", "ecrc")
-    opened[group[at]] = np.insert(col(at, "opn", "ops", "opcrc"), 2, 0, axis=1)
+    def earlier(of):
+        at, out = pick(of), np.zeros((groups, 4), np.int64)
+        out[group[at]] = col(at, *SUMS)
+        return out
+
     begins, ends, carried = pick(BEGINS), pick(ENDS), pick(CARRIED)
-    by_start = _running(group[begins], rows["s"][begins], col(begins, "n", "ss", "crc"), by_start)
-    by_end = _running(group[ends], rows["e"][ends], col(ends, "n", "ss", "se", "crc"), by_end)
+    by_start = _running(group[begins], rows["s"][begins], col(begins, *SUMS), earlier(BEGUN))
+    by_end = _running(group[ends], rows["e"][ends], col(ends, *SUMS), earlier(ENDED))
 
     # the trees: ranks of all ends that a group's points have
     everyone = np.arange(groups)
@@ -118,8 +121,8 @@ def counted(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     first = np.searchsorted(code, everyone * (FAR << 1))
     size = np.diff(np.append(first, len(code)))
     tree = Fenwick(size, 4)
-    tree.add(everyone, size - 1, opened)
-    tree.add(group[carried], _ranks(group[carried], rows["e"][carried], code, first, "left"), col(carried, "n", "ss", "se", "crc"))
+    tree.add(everyone, size - 1, earlier(OPENED))
+    tree.add(group[carried], _ranks(group[carried], rows["e"][carried], code, first, "left"), col(carried, *SUMS))
 
     asks = pick(FROM)
     g, s, e = group[asks], rows["s"][asks], rows["e"][asks]
@@ -136,7 +139,7 @@ def counted(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         own, new = np.flatnonzero(ask_at == step), begins[point_at == step]
         if len(own):
             ranges(before, own)
-        tree.add(group[new], _ranks(group[new], rows["e"][new], code, first, "left"), col(new, "n", "ss", "se", "crc"))
+        tree.add(group[new], _ranks(group[new], rows["e"][new], code, first, "left"), col(new, *SUMS))
         if len(own):
             ranges(after, own)
     after -= before
@@ -165,7 +168,7 @@ def counted(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     finite = np.where(e == FAR, 0, e)
     ended, ended_by, begun = by_end(g, e, "left"), by_end(g, e, "right"), by_start(g, e, "right")
     give(asks, CONTAINS, ended[:, 0], until_point(ended), ended[:, 3])
-    for relation, n, ss, crc in ((FINISHED_BY, *((ended_by - ended)[:, k] for k in (0, 1, 3))), (OVERLAPS, *(begun[:, k] - ended_by[:, j] for k, j in ((0, 0), (1, 1), (2, 3))))):
+    for relation, n, ss, crc in ((FINISHED_BY, *((ended_by - ended)[:, k] for k in (0, 1, 3))), (OVERLAPS, *((begun - ended_by)[:, k] for k in (0, 1, 3)))):
         give(asks, relation, n, np.where(e == FAR, 0, n * (finite + 1) - ss), crc)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=[f.split()[0] for f in FOUND.split(", ")])
 
@@ -190,7 +193,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
             continue
         cut = int(last[-1]) + 1
         yield {c: x[:cut] for c, x in rows.items()}
-        kept = [pa.RecordBatch.from_arrays([pa.array(rows[c][cut:]) for c in FIELDS], names=FIELDS)]
+        kept = [pa.RecordBatch.from_arrays([pa.array(rows[c][cut:]) for c in FIELDS], schema=b.schema)]
     if kept:
         yield columns(kept)
 
@@ -221,26 +224,22 @@ def relations(queries: DataFrame, points: DataFrame) -> DataFrame:
     sums = points.select("*", (F.col("s") * F.col("n")).alias("ss"), ends.alias("se"))
 
     def row(df, kind, block, **own):
-        named = {"key": F.col("key"), "block": block, "kind": F.lit(kind)} | own
+        named = {"key": F.col("key"), "block": block, "kind": kind if isinstance(kind, Column) else F.lit(kind)} | own
         return df.select(*[named.get(f, F.lit(0)).cast(t).alias(f) for f, t in (x.split() for x in ROW.split(", "))])
 
-    held = {c: F.col(c) for c in ("s", "e", "n", "ss", "se", "crc")}
-    begins, ended = row(sums, BEGINS, _block("s"), **held), row(sums, ENDS, _block("e"), **held)
+    sums_of = {c: F.col(c) for c in SUMS}
+    begins, ended = (row(sums, kind, _block(c), s=F.col("s"), e=F.col("e"), **sums_of) for kind, c in ((BEGINS, "s"), (ENDS, "e")))
     spans = sums.where((F.col("e") < FAR) & (_block("e") > _block("s"))).select("*", F.explode(F.sequence(_block("s") + 1, _block("e"))).alias("block"))
-    spans = spans.groupBy("key", "block", "e").agg(*[F.sum(c).alias(c) for c in ("n", "ss", "se", "crc")])
-    carried = row(spans, CARRIED, F.col("block"), **{c: F.col(c) for c in ("e", "n", "ss", "se", "crc")})
+    carried = row(spans.groupBy("key", "block", "e").agg(*[F.sum(c).alias(c) for c in SUMS]), CARRIED, F.col("block"), e=F.col("e"), **sums_of)
     asks = [row(queries, kind, _block(c), s=F.col("s"), e=F.col("e")) for kind, c in ((FROM, "s"), (TO, "e"))]
 
     # the sums of earlier blocks: one row per key and block
-    own = {"n", "ss", "crc", "se", "en", "ess", "ecrc", "opn", "ops", "opcrc"}
-    opened = lambda c: F.when(F.col("e") == FAR, F.col(c)).otherwise(0)
-    deltas = row(sums, BASE, _block("s"), n=F.col("n"), ss=F.col("ss"), crc=F.col("crc"), opn=opened("n"), ops=opened("ss"), opcrc=opened("crc"))
-    deltas = deltas.unionByName(row(sums, BASE, _block("e"), en=F.col("n"), ess=F.col("ss"), se=F.col("se"), ecrc=F.col("crc")))
-    for df in asks:
-        deltas = deltas.unionByName(row(df, BASE, F.col("block")))
-    deltas = deltas.groupBy("key", "block").agg(*[F.sum(c).alias(c) for c in own])
+    totals = {kind: [F.sum(F.when(of, F.col(c))).alias(f"{c}{kind}") for c in SUMS] for kind, of in ((BEGUN, F.col("kind") == BEGINS), (ENDED, F.col("kind") == ENDS), (OPENED, (F.col("kind") == BEGINS) & (F.col("e") == FAR)))}
+    blocks = begins.unionByName(ended).unionByName(asks[0]).unionByName(asks[1]).groupBy("key", "block").agg(*[x for xs in totals.values() for x in xs])
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = row(deltas.select("key", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in own]), BASE, F.col("block"), **{c: F.col(c) for c in own})
+    base = blocks.select("key", "block", *[F.coalesce(F.sum(f"{c}{kind}").over(earlier), F.lit(0)).alias(f"{c}{kind}") for kind in totals for c in SUMS])
+    base = base.select("key", "block", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), *[F.col(f"{c}{kind}").alias(c) for c in SUMS]) for kind in totals])))
+    base = row(base.where("n > 0"), F.col("kind"), F.col("block"), **sums_of)
 
     rows = base
     for df in (carried, begins, ended, *asks):
@@ -263,12 +262,12 @@ def sessions(clicks: DataFrame, pause: int = PAUSE) -> DataFrame:
     """clicks (client_id, ts, kind) -> (client_id, first, last, open), times in microseconds."""
     rows = clicks.select("client_id", micros(clicks, "ts").alias("t"), F.coalesce(F.col("kind") == "error", F.lit(False)).alias("bad")).where("client_id IS NOT NULL AND t IS NOT NULL")
     part = floor_div(F.col("t"), pause)
-    rows = rows.groupBy("client_id", part.alias("part")).agg(F.min("t").alias("first"), F.max(F.struct(F.col("t").alias("last"), "bad")).alias("till"))
+    rows = rows.groupBy("client_id", part.alias("part")).agg(F.min("t").alias("first"), F.max(F.col("t") * 2 + F.col("bad").cast("long")).alias("till"))  # one number, so that rows are aggregated by hash
     day = floor_div(F.col("part") * F.lit(pause).cast("long"), DAY)
     in_day = Window.partitionBy("client_id", "day").orderBy("first")
 
     def runs(df, window, keys):
-        new = F.coalesce(F.col("first") - F.lag("till.last").over(window) > pause, F.lit(True)).cast("int")
+        new = F.coalesce(F.col("first") - F.shiftright(F.lag("till").over(window), 1) > pause, F.lit(True)).cast("int")
         df = df.withColumn("new", new).withColumn("run", F.sum("new").over(window))
         return df.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("till").alias("till"))
 
@@ -277,7 +276,7 @@ def sessions(clicks: DataFrame, pause: int = PAUSE) -> DataFrame:
     daily = written(daily.withColumn("edge", edge), "runs")
     over_days = runs(daily.where("edge").select("client_id", "first", "till"), Window.partitionBy("client_id").orderBy("first"), ["client_id"])
     found = daily.where("NOT edge").select("client_id", "first", "till").unionByName(over_days.select("client_id", "first", "till"))
-    return found.select("client_id", "first", F.col("till.last").alias("last"), F.col("till.bad").alias("open"))
+    return found.select("client_id", "first", F.shiftright("till", 1).alias("last"), (F.pmod("till", F.lit(2)) == 1).alias("open"))
 
 
 def sale_intervals(sales: DataFrame, lines: DataFrame, slot: int = SLOT) -> DataFrame:
