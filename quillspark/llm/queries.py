@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import interval_join, mixing
+from .bpe_rounds import op11_bpe_rounds
 from .byte_bpe import op4_byte_bpe
 from .html_extract import op7_html_extract
 from .interval_join import op12_interval_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_ranking": op10_quality_ranking,
+    "op11_bpe_rounds": op11_bpe_rounds,
     "op12_interval_join": op12_interval_join,
 }
 
