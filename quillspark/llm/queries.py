@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import interval_join, mixing
+from . import interval_join, lexical_search, mixing
 from .bpe_rounds import op11_bpe_rounds
 from .byte_bpe import op4_byte_bpe
 from .html_extract import op7_html_extract
 from .interval_join import op12_interval_join
+from .lexical_search import op13_lexical_search
 from .media import op3_media
 from .mixing import op9_mixing
 from .ngram_join import op5_ngram_join
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality_ranking": op10_quality_ranking,
     "op11_bpe_rounds": op11_bpe_rounds,
     "op12_interval_join": op12_interval_join,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE, "op12_interval_join": interval_join.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE, "op12_interval_join": interval_join.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
