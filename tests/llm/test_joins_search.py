@@ -1,0 +1,294 @@
+"""Ops 11 to 13 against the library, brute force and SQL; odd rows; blocks, copies, ties."""
+
+import datetime as dt
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from quillspark.llm import bpe_rounds, interval_join, lexical_search
+from quillspark.llm.queries import ORACLE_SQL, QUERIES
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# op 11
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def rounds():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return bpe_rounds.RoundsBpe(f.read())
+
+
+def _same(library, rounds, texts):
+    (ids, n), (raw, m) = rounds.encode(texts)
+    ids, raw = np.split(ids, np.cumsum(n)[:-1]), np.split(raw, np.cumsum(m)[:-1])
+    for text, own, back, want in zip(texts, ids, raw, library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert own.tolist() == want.ids, text
+        assert bytes(back) == library.decode(want.ids, skip_special_tokens=False).encode(), text
+
+
+def test_rounds_are_the_librarys(library, rounds, texts):
+    _same(library, rounds, [t or "" for t in texts.values()])
+
+
+def test_rounds_on_odd_texts(library, rounds):
+    pick = random.Random(7)
+    letters = [*"ab  \n\t'ste<|>.,1\x1c\x85　é東😀", "<|endoftext|>", "<|endo", "'ll", "  "]
+    _same(library, rounds, ["".join(pick.choice(letters) for _ in range(pick.randint(0, 60))) for _ in range(3000)])
+    _same(library, rounds, ["", None, "a" * 30000, "ab" * 3000, "".join(pick.choice("abcdefghij") for _ in range(5000)), "<|endoftext|>" * 30, " " * 3000, "x <|endoftext|> <|endoftext|>y"])
+
+
+def test_rounds_around_each_character(library, rounds):
+    _same(library, rounds, [form.replace("?", chr(c)) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000 for form in ("a? b", "1 ?  x", "a'?s")])
+
+
+def test_rounds_one_place_at_a_time(library, rounds, texts):
+    other = bpe_rounds.RoundsBpe(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    other.pairs.in_order = False
+    _same(library, other, [t or "" for t in texts.values()][:60])
+
+
+def test_pairs_that_overlap_and_tables_out_of_order():
+    pairs = bpe_rounds.PairTable({"a": 0, "b": 1, "aa": 2, "aab": 3, "ab": 4}, [("a", "a"), ("aa", "b"), ("a", "b")])
+    assert pairs.in_order
+    word, pos, token = bpe_rounds.merged(pairs, np.array([0, 0, 0, 1, 0, 0, 0, 0]), np.array([4, 4]))
+    assert token.tolist() == [2, 4, 2, 2] and word.tolist() == [0, 0, 1, 1] and pos.tolist() == [0, 2, 0, 2]
+    assert not bpe_rounds.PairTable({"a": 0, "b": 1, "ab": 2, "aab": 3}, [("a", "ab"), ("a", "b")]).in_order
+
+
+def test_op11_over_tables(spark, sf, odd, empty, library):
+    for folder in (sf, odd):
+        t = pq.read_table(f"{folder}/documents.parquet")
+        want = []
+        for doc, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()):
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+        assert rows_of(QUERIES["op11_bpe_rounds"](spark, folder)) == sorted(want, key=repr)
+    assert QUERIES["op11_bpe_rounds"](spark, empty).count() == 0
+
+
+# op 12
+
+
+def _at(minutes):
+    return None if minutes is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+
+def _shop(folder, clicks, sales, lines):
+    time = pa.timestamp("us")
+    extra = lambda n: {c: ["?"] * n for c in ("key", "s", "e", "n", "t", "part", "day", "first", "run", "block", "kind2")}
+    pq.write_table(pa.table({"client_id": pa.array([c[0] for c in clicks], pa.int64()), "ts": pa.array([_at(c[1]) for c in clicks], time), "kind": pa.array([c[2] for c in clicks], pa.string()), **extra(len(clicks))}), f"{folder}/clicks.parquet")
+    pq.write_table(pa.table({"sale_id": pa.array([s[0] for s in sales], pa.int64()), "client_id": pa.array([s[1] for s in sales], pa.int64()), "status": pa.array([s[2] for s in sales], pa.string()), "sold_at": pa.array([_at(s[3]) for s in sales], time), **extra(len(sales))}), f"{folder}/sales.parquet")
+    pq.write_table(pa.table({"sale_id": pa.array([x[0] for x in lines], pa.int64()), "shipped_at": pa.array([_at(x[1]) for x in lines], time), **extra(len(lines))}), f"{folder}/sale_lines.parquet")
+    return str(folder)
+
+
+def _brute(clicks, sales, lines):
+    """Every pair of a sale and a session, one by one."""
+    zero, far = 1704067200000000, float("inf")
+    micros = lambda m: zero + round(m * 60_000_000)
+    by_client, sessions = defaultdict(list), defaultdict(list)
+    for client, ts, kind in clicks:
+        if client is not None and ts is not None:
+            by_client[client].append((micros(ts), kind))
+    for client, found in by_client.items():
+        found.sort(key=lambda x: x[0])
+        runs = []
+        for t, kind in found:
+            if not runs or t - runs[-1][-1][0] > 1_800_000_000:
+                runs.append([])
+            runs[-1].append((t, kind))
+        for run in runs:
+            last = run[-1][0]
+            still = any(t == last and kind == "error" for t, kind in run)
+            sessions[client].append((run[0][0], far if still else last // 21_600_000_000))
+    out = []
+    for sale, client, status, sold in sales:
+        if client is None or sold is None:
+            continue
+        shipped = [micros(t) for s, t in lines if s == sale and s is not None and t is not None]
+        begin, end = micros(sold) // 21_600_000_000, far if status == "open" else max([micros(sold), *shipped]) // 21_600_000_000
+        own = defaultdict(lambda: [0, 0, 0])
+        for first, last in sessions[client]:
+            start = first // 21_600_000_000
+            if start <= end and begin <= last:
+                name = interval_join.RELATIONS[3 * ((begin > start) - (begin < start) + 1) + (end > last) - (end < last) + 1]
+                x = own[name]
+                x[0] += 1
+                x[1] = None if end == last == far else x[1] + min(end, last) - max(begin, start) + 1
+                x[2] += zlib.crc32(str(first).encode())
+        out += [(sale, name, *x) for name, x in own.items()]
+    return sorted(out, key=repr)
+
+
+def _random_shop(seed, clients, days):
+    pick = random.Random(seed)
+    clicks = []
+    for c in range(clients):
+        for _ in range(40 if c else 300):
+            t = pick.randint(-1440 * days, 1440 * days)
+            for _ in range(pick.choice([1, 1, 2, 5, 60])):
+                clicks.append((c, t, pick.choice(["click", "error", None])))
+                t += pick.choice([0, 0.000001, 5, 29.999999, 30, 30.000001, 31])
+    sales = [(k, pick.randint(0, clients), pick.choice(["open", "done", None]), pick.randint(-1440 * days, 1440 * days)) for k in range(400)]
+    lines = [(pick.randint(0, 399), s[3] + pick.randint(-3000, 12000)) for s in sales for _ in range(2)]
+    return clicks, sales, lines
+
+
+def test_op12_against_brute_force(spark, tmp_path, monkeypatch):
+    shop = _random_shop(3, 4, 9)
+    folder = _shop(tmp_path, *shop)
+    want = _brute(*shop)
+    assert {r[1] for r in want} == set(interval_join.RELATIONS)
+    assert rows_of(QUERIES["op12_interval_join"](spark, folder)) == want
+
+
+def test_op12_odd_rows(spark, tmp_path):
+    clicks = [(None, 1, "error"), (1, None, "error"), (1, 0, None), (1, 0, "error"), (1, 0, "error"), (1, 100, "error"), (1, 100, None), (2, 5, None), (2, 34, None), (2, 64.0000001, None)]
+    clicks += [(3, 1435 + k * 30, "click") for k in range(200)]  # one session over many days
+    sales = [(1, 1, "open", 0), (1, 1, "open", 0), (None, 1, None, 3), (3, None, "open", 3), (4, 2, "done", None), (5, 2, "done", 30), (6, 9, "open", 1), (7, 3, "done", 1440 * 2), (8, 3, "open", 1440 * 2)]
+    lines = [(None, 99999), (5, None), (5, 1000), (5, -1000), (7, 1440 * 9)]
+    assert rows_of(QUERIES["op12_interval_join"](spark, _shop(tmp_path, clicks, sales, lines))) == _brute(clicks, sales, lines)
+
+
+def test_op12_zone_of_the_session_does_not_matter(spark, tmp_path):
+    shop = _random_shop(5, 2, 90)  # over a change of the clocks
+    folder, zone = _shop(tmp_path, *shop), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows_of(QUERIES["op12_interval_join"](spark, folder)) == _brute(*shop)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_op12_empty(spark, tmp_path):
+    assert QUERIES["op12_interval_join"](spark, _shop(tmp_path, [], [], [])).count() == 0
+
+
+def test_whole_blocks_are_cut_between_blocks_only(monkeypatch):
+    monkeypatch.setattr(interval_join, "ROWS", 10)
+    block = np.repeat(np.arange(20), 7)
+    rows = {c: np.zeros(140, np.int32 if c == "kind" else np.int64) for c in interval_join.FIELDS} | {"block": block, "s": np.arange(140)}
+    schema = pa.schema([pa.field(c, pa.int32() if c == "kind" else pa.int64(), c != "n") for c in interval_join.FIELDS])
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[c][a : a + 9]) for c in interval_join.FIELDS], schema=schema) for a in range(0, 140, 9)]
+    got = list(interval_join._whole_blocks(iter(batches)))
+    assert np.concatenate([g["s"] for g in got]).tolist() == list(range(140)) and len(got) > 5
+    assert all(a["block"][-1] < b["block"][0] for a, b in zip(got, got[1:]))
+
+
+def test_fenwick_against_sums():
+    pick = np.random.default_rng(1)
+    sizes = np.array([1, 7, 16, 3])
+    tree, plain = interval_join.Fenwick(sizes, 2), [np.zeros((n, 2), np.int64) for n in sizes]
+    group = pick.integers(0, 4, 200)
+    rank, values = pick.integers(0, sizes[group]), pick.integers(-5, 9, (200, 2))
+    tree.add(group, rank, values)
+    for g, r, v in zip(group, rank, values):
+        plain[g][r] += v
+    for g in range(4):
+        for r in range(sizes[g] + 1):
+            assert tree.upto(np.array([g]), np.array([r]))[0].tolist() == plain[g][:r].sum(axis=0).tolist()
+
+
+def test_op12_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    for name in ("clicks", "sales", "sale_lines"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.sql("SELECT sale_id, relation, n_pairs, overlap_slots, sessions_crc FROM (" + ORACLE_SQL["op12_interval_join"] + ")").fetchall()
+    assert rows_of(QUERIES["op12_interval_join"](spark, sf)) == sorted(want, key=repr) and want
+
+
+# op 13
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _words(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _ranked(docs, items, k=20):
+    """docs [(doc_id, text)], items [(item_id, text)]: the contract, one pair after the other."""
+    bags = [(d, Counter(w := _words(t)), len(w)) for d, t in docs]
+    some = [n for _, _, n in bags if n]
+    df, out = Counter(t for _, b, _ in bags for t in b), []
+    for item, text in set(items):
+        asked, scores = Counter(_words(text)), []
+        for d, bag, n in bags:
+            if n:
+                m = 75 + 25 * n * len(some) // sum(some)
+                s = sum(q * math.floor(1000 * math.log((2 * len(some) + 2) / (2 * df[t] + 1))) * (1000000000 * bag[t] // (1000 * bag[t] + 12 * m)) for t, q in asked.items() if t in bag)
+                if s > 0:
+                    scores.append((-s, d is None, d))
+        out += [(item, r, d, -s) for r, (s, _, d) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def _search(spark, docs, items, **more):
+    docs = spark.createDataFrame([(d, t, "?", "?") for d, t in docs], "doc_id long, text string, n string, cls string")
+    items = spark.createDataFrame([(i, t, "?") for i, t in items], "item_id long, text string, item string")
+    return rows_of(lexical_search.search(docs, items, **more))
+
+
+def _passages(seed, n, vocabulary=60):
+    pick = random.Random(seed)
+    words = ["".join(pick.choice("abcdeé1") for _ in range(pick.randint(1, 4))) for _ in range(vocabulary)]
+    return [" ".join(pick.choices(words, [1 / (k + 1) for k in range(len(words))], k=pick.randint(0, 30))) for _ in range(n)]
+
+
+def test_op13_against_brute_force(spark):
+    texts = _passages(1, 300)
+    docs = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[3]) for k in range(45)] + [(2000 + k, texts[k % 7]) for k in range(30)]
+    items = list(enumerate(_passages(2, 25))) + [(99, texts[3]), (98, "zzzz"), (97, "...")]
+    assert _search(spark, docs, items) == _ranked(docs, items)
+
+
+def test_op13_blocks_give_the_same(spark):
+    docs, items = list(enumerate(_passages(3, 80))), list(enumerate(_passages(4, 12)))
+    assert _search(spark, docs, items, item_bytes=300) == _ranked(docs, items)
+
+
+def test_op13_odd_rows(spark):
+    docs = [(1, None), (2, ""), (3, " \n .,"), (None, "Red FOX É"), (None, "red fox É"), (5, "red fox"), (5, "red fox"), (5, "other red"), (6, "É é"), (7, "red\x00fox" * 3000), (8, "fox"), (9, "x")]
+    items = [(1, "red fox"), (1, "red fox"), (1, "fox"), (None, "É é 1"), (2, None), (3, ""), (4, "fox fox Red")]
+    got = _search(spark, docs, items)
+    assert got == _ranked(docs, items) and {r[0] for r in got} == {1, None, 4}
+    assert _search(spark, [], items) == [] and _search(spark, docs, []) == [] and _search(spark, [(1, None)], items) == []
+
+
+def test_op13_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.sql("SELECT item_id, rank, doc_id, score FROM (" + ORACLE_SQL["op13_lexical_search"] + ")").fetchall()
+    assert rows_of(QUERIES["op13_lexical_search"](spark, sf)) == sorted(want, key=repr) and want
+
+
+def test_pruning_is_safe_and_prunes():
+    block = lexical_search.Block([{"item_id": 1, "text": "a b c c"}, {"item_id": 2, "text": "d"}], 20)
+    assert block.vocabulary.to_pylist() == ["a", "b", "c", "d"] and block.times.tolist() == [1, 1, 2, 1]
+    chosen, rest = lexical_search.essential(block, np.array([29, 0]), np.array([9, 20, 10, 5]))
+    assert sorted(chosen.tolist()) == [1, 2, 3] and rest.tolist() == [9, 0]  # 9 < 29, but 9 + 20 is not
