@@ -22,7 +22,7 @@ Exact, without all pairs, in these steps (n is a set's size; a "class" is all do
 Nothing about all documents reaches the driver but at most OFTEN shingle hashes, which only shape the order.
 
 Defined results: null, empty or wordless text has an empty set, which is linked with nothing (n_shingles 0, component its own id);
-repeated rows have equal sets, so one class; an id that stands on several texts, and rows without id, take part as rows of their own, so
+repeated rows have equal sets, so one class; blank rows that share an id with a text link nothing; an id that stands on several texts, and rows without id, take part as rows of their own, so
 links by way of them hold (the component of a row without id is that of what it links with, null if that has no id at all); a very
 long text is hashed in pieces, its set is held whole; of equal minimum hashes and sizes the least id goes first; an empty table
 gives no rows; extra columns aren't read.
@@ -117,8 +117,8 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
 
 def enough(both, a, b):
-    """Whether two sets of a and b elements, `both` of them shared, link."""
-    return 100 * both >= PERCENT * (a + b - both)
+    """Whether two sets of a and b elements, `both` of them shared, link. Empty sets link with nothing."""
+    return (both > 0) & (100 * both >= PERCENT * (a + b - both))
 
 
 _salts = splitmix(np.arange(11, 11 + HASHES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -225,7 +225,7 @@ def prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, n, elements) of the documents named by ids (rep), from their whole texts."""
+    """(rep, n, elements) of the documents named by ids (rep), from their whole texts; blank rows, which may have the id of another text, have no set."""
 
     def run(batches):
         for batch in batches:
@@ -236,7 +236,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = written(ids.select("rep").distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
-    return named.mapInArrow(run, "rep long, n long, elements binary")
+    return named.mapInArrow(run, "rep long, n long, elements binary").where("n > 0")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
