@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots (op 6), with DataFrame functions only.
 
-Records hash by id and text into SLOTS slots; the bytes of each slot are summed; a versioned table maps slots to shards. Its first
+Records hash by id and text into SLOTS slots (equal records of more bytes than a slot's share by a row number too, so they can part); the bytes of each slot are summed; a versioned table maps slots to shards. Its first
 version deals slots out in turn, before any size is known; rebalanced() edits the latest version by the slots' bytes, or for another
 shard count, and stores the next, so that shards' bytes are near equal (law `bytes`). A version is a folder of its own, which can't be
 written twice. Only the map and the slots' sums (SLOTS rows) are ever collected or broadcast.
@@ -9,7 +9,7 @@ A record's slot in the result is its place in its shard, gapless from 0: cells (
 after the other, so no task sorts a whole shard. A slot of many rows has many parts, also where its rows are all equal.
 
 Defined results: size is the text's UTF-8 bytes (null: 0) plus 16; a null id hashes as a value of its own; repeated rows get
-places of their own, in any order; slots of equal bytes move in order of their number; an empty table gives no rows; extra columns
+places of their own, in any order, and shards of their own where they are many; slots of equal bytes move in order of their number; an empty table gives no rows; extra columns
 are not read. A very long text is one record; one larger than a shard's share can't be split.
 """
 
@@ -28,8 +28,29 @@ CELL_ROWS = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, hash, row, vslot). row is any number of the record's own; what is written keeps it."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id", text), F.lit(SLOTS)).cast("int").alias("vslot"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id", text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("vslot", F.pmod("hash", F.lit(SLOTS)).cast("int"))
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """rows (written, of sized()) with equal records dealt to all slots where they have more bytes than a slot's share.
+
+    Only the rows of slots of twice that share are looked at, and at most SLOTS hashes can have so many bytes.
+    """
+    sums = slot_bytes(rows)
+    share = sum(b for b, _ in sums.values()) / SLOTS
+    crowded = [v for v, (b, n) in sums.items() if b > 2 * share and n > 1]
+    if not crowded:
+        return rows
+    many = rows.where(F.col("vslot").isin(crowded)).groupBy("hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > share))
+    hashes = [(r["hash"], True) for r in many.select("hash").collect()]  # SLOTS at most
+    if not hashes:
+        return rows
+    dealt = rows.join(F.broadcast(rows.sparkSession.createDataFrame(hashes, "hash long, many boolean")), "hash", "left")
+    vslot = F.when(F.col("many"), F.pmod(F.xxhash64("hash", "row"), F.lit(SLOTS)).cast("int")).otherwise(F.col("vslot"))
+    return written(dealt.select("doc_id", "size", "text_crc32", "hash", "row", vslot.alias("vslot")), "op6-parted")
 
 
 def slot_bytes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -107,17 +128,16 @@ def placed(rows: DataFrame, mapping: DataFrame, counts: dict[int, int]) -> DataF
     """rows (of sized()) with their shard and their place in it. counts: rows per slot."""
     parts = rows.sparkSession.createDataFrame([(v, -(-n // CELL_ROWS)) for v, n in counts.items()], "vslot int, parts int")
     mapping = F.broadcast(mapping.join(F.broadcast(parts), "vslot"))  # SLOTS rows
-    rows = rows.withColumn("_task", F.spark_partition_id()).join(mapping, "vslot")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "_task"), F.col("parts")).cast("int"))
+    rows = rows.join(mapping, "vslot").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     cells = rows.groupBy("vslot", "part", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("vslot", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    number = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("row")) - 1
     return rows.withColumn("number", number).join(cells, ["vslot", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(sized(table(spark, sf_dir, "documents", "doc_id", "text")), "op6-sizes")
+    rows = parted(written(sized(table(spark, sf_dir, "documents", "doc_id", "text")), "op6-sizes"))
     sums = slot_bytes(rows)
     path = new_path(spark, "op6-map")
     store_map(spark, path, {v: v % SHARDS for v in range(SLOTS)}, version=1)
