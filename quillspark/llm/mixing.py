@@ -6,7 +6,8 @@ what remains is taken in key order up to the budget, by prefix sums of words. Th
 taken if its middle lies within, so the words taken are off by half that document at most.
 
 Prefix sums go by BUCKETS ranges of the key within each source, then by rows within a bucket: a source with a third of all rows
-is spread over its buckets, and none is sorted in one task.
+is spread over its buckets, and none is sorted in one task. Rows of one id (or of none) have one key and so one bucket. A bucket of
+over CROWDED times its share, and of CELL_ROWS rows, is summed by distinct (key, id, size) first; equal rows are numbered in parts of about CELL_ROWS.
 
 Targets: sources in code point order (null last) weigh 3, 1, 2, repeating, and share SHARE of all words; a target stops at CAP
 times its source's words and the excess is shared anew by weight until none is above (solved in closed form over one row per source).
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import WORD_SPLIT, table, written
 
 WEIGHTS, SHARE, CAP, BUCKETS, SEED = (3, 1, 2), 1.5, 2, 4096, "mix-1"
+#: Times its share of a source's rows, and rows, beyond which a bucket goes by distinct rows; rows of a part of equal ones, about.
+CROWDED, CELL_ROWS = 8, 100_000
+#: Tasks in which a group of equal rows meets its sums.
+SALTS = 64
 #: Characters that lower a document's quality weight.
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -61,21 +66,48 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return leveled.withColumn("open_level", open_level).select("source", "source_size", F.when(F.col("level") < F.col("full_at"), F.col("open_level") * F.col("weight")).otherwise(most).alias("target"))
 
 
-def mixed(docs: DataFrame, keep: list[str] | None = None, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+def _by_distinct_rows(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """rows of crowded buckets with `inside`, the words of the bucket's rows before them: distinct rows are summed, equal rows numbered in parts."""
+    same = ["source", "bucket", "key", "doc_id", "size"]
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("ahead", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0)))
+    groups = groups.withColumn("parts", F.ceil(F.col("n") / cell_rows)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_group = F.expr(" AND ".join(f"r.{c} <=> g.{c}" for c in [*same, "salt"]))
+    rows = rows.withColumn("salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")).alias("r").join(groups.alias("g"), of_group).select("r.*", "g.ahead", "g.parts").drop("salt")
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts"))), "mix-crowded")
+    parts = rows.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("first", F.coalesce(so_far, F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(*same, "part").orderBy("_row")) - 1
+    in_part = F.expr(" AND ".join(f"r.{c} <=> p.{c}" for c in [*same, "part"]))
+    rows = rows.withColumn("number", number).alias("r").join(parts.alias("p"), in_part).select("r.*", "p.first")
+    return rows.withColumn("inside", F.col("ahead") + (F.col("first") + F.col("number")) * F.col("size")).drop("ahead", "parts", "part", "number", "first")
+
+
+def mixed(docs: DataFrame, keep: list[str] | None = None, seed: str = SEED, buckets: int = BUCKETS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """docs (doc_id, text, source) with size, source_size, target, copies and taken (copies times size)."""
     keep = keep or []
-    rows = docs.select("doc_id", "source", n_words().alias("size"), (sample_key(seed) / quality_weight()).alias("key"), *keep)
+    rows = docs.select("doc_id", "source", n_words().alias("size"), (sample_key(seed) / quality_weight()).alias("key"), F.monotonically_increasing_id().alias("_row"), *keep)
     rows = written(rows.withColumn("bucket", F.floor(F.lit(float(buckets)) * (F.lit(1.0) - F.exp(-F.col("key")))).cast("int")), "mix-keys")
     # one row per source and bucket, from partial sums
-    cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
+    cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"), F.count("*").alias("rows"))
     sources = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")))
     before = F.sum("cell").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.withColumn("before", F.coalesce(before, F.lit(0)))
-    cells = cells.alias("c").join(sources.alias("s"), F.expr("c.source <=> s.source")).select(F.col("c.source").alias("source"), "bucket", "before", "source_size", "target")
+    crowded = (F.col("rows") > cell_rows) & (F.col("rows") * buckets > CROWDED * F.sum("rows").over(Window.partitionBy("source")))
+    cells = written(cells.withColumns({"before": F.coalesce(before, F.lit(0)), "crowded": crowded}), "mix-cells")
+    cells = cells.alias("c").join(sources.alias("s"), F.expr("c.source <=> s.source")).select(F.col("c.source").alias("source"), "bucket", "before", "crowded", "source_size", "target")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     cells = cells.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    inside = F.coalesce(F.sum("size").over(within), F.lit(0))
+    of_cell = F.expr("r.source <=> k.source AND r.bucket = k.bucket")
+    hot = cells.where("crowded").select("source", "bucket").alias("k")
+    if hot.isEmpty():
+        rows = rows.withColumn("inside", inside)
+    else:
+        usual, many = rows.alias("r").join(F.broadcast(hot), of_cell, "left_anti"), rows.alias("r").join(F.broadcast(hot), of_cell, "left_semi")
+        rows = usual.withColumn("inside", inside).unionByName(_by_distinct_rows(many, cell_rows))
     out = rows.alias("r").join(cells.alias("c"), F.expr("r.source <=> c.source AND r.bucket = c.bucket")).select("r.*", "c.before", "c.source_size", "c.target", "c.epochs", "c.rest")
     middle = F.col("before") + F.col("inside") + F.col("size") / F.lit(2.0)
     # a document without words takes nothing from the budget: it comes with the whole epochs, and with the rest if that goes beyond its place
