@@ -15,6 +15,9 @@ Names only help where slots can't tell: <article> and <main> count double (and t
 purpose half. Inside the article's place elements that HTML itself has for another purpose go (navigation, forms, asides, headers,
 footers), and of those named so by a word of class, id or role the ones that hold less than MAJOR of the place's slots.
 
+Inline elements named so (a word of class, id or role) are parts of the wrapper too, for the slots to decide: one whose text stands alike in CONSTANT
+pages or more goes, any other is text like what it stands in, and none is a place of its own.
+
 Block elements and <br> end a block; white space inside a block becomes one space; blocks are joined by a space.
 
 Defined results: null or empty html gives an empty text; null url is a host of its own; a page without tags is all text; very long and
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import bisect
 import html as entities
+import itertools
 import json
 import re
 import zlib
@@ -39,8 +43,8 @@ from .common import table, written
 #: Parts of wrappers a task holds at a time before it hands them on; into how many parts a template's wrappers are dealt before the last ones meet.
 HELD, SALTS = 100_000, 64
 #: Share of slot text with which an element is entered; share of a template's usual text that moves a page's place; share with which a
-#: named element stays; pages from which a constant block is the template's; unlike stretches up to which the longest alignment is sought.
-SHARE, QUARTER, MAJOR, CONSTANT, SHORT = 0.6, 0.25, 0.67, 3, 64
+#: named element stays; pages from which a constant block is the template's.
+SHARE, QUARTER, MAJOR, CONSTANT = 0.6, 0.25, 0.67, 3
 #: Templates, and bytes of what is known of them, up to which these are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 64 << 20
 
@@ -83,12 +87,20 @@ def _node(name: str, attributes: str) -> Node:
 
 
 def parse(page: str) -> Node:
-    """A lenient tree. Inline elements aren't nodes: links are marked by ("a", ...) strings, others leave only their text."""
+    """A lenient tree. Inline elements are nodes only where a name hints at another purpose (their says is NOTHING: slots decide); links are
+    marked by (True, ...) strings, others leave only their text."""
     root = Node("#page", "#page", NOTHING)
     open_ = [root]
+    hinted: list[list] = []  # inline nodes that are open: where in open_, name, how many plain elements of the name are open within
     links = 0
     at, end = 0, len(page)
     find = TAG.search
+
+    def cut(to: int) -> None:
+        del open_[to:]
+        while hinted and hinted[-1][0] >= to:
+            hinted.pop()
+
     while at < end:
         m = find(page, at)
         if m is None:
@@ -103,10 +115,16 @@ def parse(page: str) -> Node:
         if m.group(1):
             if name == "a":
                 links = max(0, links - 1)
-            elif name not in INLINE:
+            if name in INLINE:
+                own = next((h for h in reversed(hinted) if h[1] == name), None)
+                if own and own[2]:
+                    own[2] -= 1
+                elif own:
+                    cut(own[0])
+            else:
                 for k in range(len(open_) - 1, 0, -1):
                     if open_[k].name == name:
-                        del open_[k:]
+                        cut(k)
                         links = 0
                         break
             continue
@@ -117,14 +135,19 @@ def parse(page: str) -> Node:
         if name in INLINE:
             links += name == "a"
             node = _node(name, m.group(3)) if "=" in m.group(3) else None
-            if node is not None and node.says:  # an inline advert or the like: its element is skipped whole
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else at
-                links -= name == "a"
+            if name in VOID:
+                continue
+            if node is not None and node.says:
+                node.says = NOTHING
+                open_[-1].children.append(node)
+                hinted.append([len(open_), name, 0])
+                open_.append(node)
+            elif own := next((h for h in reversed(hinted) if h[1] == name), None):
+                own[2] += 1
             continue
         ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-        while len(open_) > 1 and open_[-1].name in ends:
-            open_.pop()
+        while (k := next((k for k in range(len(open_) - 1, 0, -1) if open_[k].name not in INLINE), 0)) and open_[k].name in ends:
+            cut(k)
         node = _node(name, m.group(3))
         open_[-1].children.append(node)
         if name not in VOID and not m.group(3).endswith("/"):
@@ -149,9 +172,12 @@ def blocks(nodes: list[Node], goes=lambda node: False) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, Node):
-            flush()
+            inline = x.name in INLINE
+            if not inline:
+                flush()
             if not goes(x):
-                todo.append(None)
+                if not inline:
+                    todo.append(None)
                 todo.extend(reversed(x.children))
         else:
             run.append(x[1])
@@ -184,7 +210,7 @@ def template_of(root: Node) -> str:
         node, at = todo.pop()
         at = zlib.crc32(f"{node.key}>".encode(), at)
         paths.add(at)
-        todo.extend((c, at) for c in node.children if isinstance(c, Node) and not c.says and c.name not in PROSE)
+        todo.extend((c, at) for c in node.children if isinstance(c, Node) and not c.says and c.name not in PROSE and c.name not in INLINE)
     return f"{len(paths)}-{zlib.crc32(json.dumps(sorted(paths)).encode()):08x}"
 
 
@@ -293,7 +319,7 @@ def fold(parts: list[Part]) -> list[Part]:
 
 def in_step(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     """Places of x and y that are aligned, ascending: what begins and ends alike, keys that stand once in both (the longest ascending run of them),
-    and so on between these; short stretches without such keys by their longest common subsequence. Memory is linear, time n log n."""
+    and so on between these; stretches without such keys by their longest common subsequence. Memory is linear."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(x), 0, len(y))]
     while todo:
@@ -329,31 +355,42 @@ def in_step(x: list[str], y: list[str]) -> list[tuple[int, int]]:
                 todo.append((i, p, j, q))
                 i, j = p + 1, q + 1
             todo.append((i, b, j, d))
-        elif b - a <= SHORT and d - c <= SHORT:
-            best = [[0] * (d - c + 1) for _ in range(b - a + 1)]
-            for i in range(b - a - 1, -1, -1):
-                for j in range(d - c - 1, -1, -1):
-                    best[i][j] = best[i + 1][j + 1] + 1 if x[a + i] == y[c + j] else max(best[i + 1][j], best[i][j + 1])
-            i = j = 0
-            while i < b - a and j < d - c:
-                if x[a + i] == y[c + j]:
-                    out.append((a + i, c + j))
-                    i, j = i + 1, j + 1
-                elif best[i + 1][j] >= best[i][j + 1]:
-                    i += 1
-                else:
-                    j += 1
-        else:  # each takes the first of its key that is still ahead
-            j = c
-            for i in range(a, b):
-                places = where.get(x[i], ())
-                k = bisect.bisect_left(places, j)
-                if k < len(places):
-                    out.append((i, places[k]))
-                    j = places[k] + 1
+        else:
+            out += [(a + i, c + j) for i, j in longest_common(x[a:b], y[c:d])]
     return sorted(out)
 
 
+def common_lengths(x: list[str], y: list[str]) -> list[int]:
+    """Of x and the first j of y, for each j, the length of the longest common subsequence; one number of len(y) bits is all that is kept."""
+    full, rows = (1 << len(y)) - 1, dict.fromkeys(x, 0)
+    for j, key in enumerate(y):
+        if key in rows:
+            rows[key] |= 1 << j
+    open_ = full  # a bit is zero where the length goes up
+    for key in x:
+        hit = open_ & rows[key]
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return [0, *itertools.accumulate(1 - (open_ >> j & 1) for j in range(len(y)))] if len(y) <= 64 else [0, *itertools.accumulate(c == "0" for c in reversed(f"{open_:0{len(y)}b}"))]
+
+
+def longest_common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: x is halved, and y cut where the halves' lengths add up to most."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            out += [(a, j) for j in [next((j for j in range(c, d) if y[j] == x[a]), None)] if j is not None]
+            continue
+        half = (a + b) // 2
+        ahead, behind = common_lengths(x[a:half], y[c:d]), common_lengths(x[half:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + max(range(d - c + 1), key=lambda j: ahead[j] + behind[j])
+        todo += [(a, half, c, cut), (half, b, cut, d)]
+    return out
+
+
 @unnested
 def joined(a: Part, b: Part, pages: bool):
     """The least union-free expression for two parts of one key: of two pages (or sets of pages), or of one that follow each other."""
@@ -431,8 +468,8 @@ class Place:
         return out[::-1]
 
     def weight(self) -> float:
-        """Mass as names would have it; what HTML has for another purpose is no place for an article."""
-        return max(self.mass, 0) * (2 if self.name in ("article", "main") else (1, 0.5, 0)[self.says])
+        """Mass as names would have it; what HTML has for another purpose, or within a line, is no place for an article."""
+        return 0 if self.name in INLINE else max(self.mass, 0) * (2 if self.name in ("article", "main") else (1, 0.5, 0)[self.says])
 
 
 def places(wrapper: Part, constant=frozenset()) -> list[Place]:
@@ -446,7 +483,7 @@ def places(wrapper: Part, constant=frozenset()) -> list[Place]:
             if p.key == "#":
                 if p.digest is not None and p.digest in constant:
                     place.fixed += p.size
-                    place.own += p.size if named else 0
+                    place.own += p.size if named and place.name not in INLINE else 0
                 else:
                     place.own += p.size - 2 * p.link
             elif p.name in PROSE:
