@@ -112,7 +112,7 @@ def test_inline_words_stay(html, text):
 
 
 def test_inline_parts_that_stand_alike_in_all_pages_go():
-    page = '<body><article><p>Text number {0} is about {0}. <span class="share">Share this</span></p><p>And <b class="notice">more of {0}</b> follows.</p></article></body>'
+    page = '<body><article><p>Text number {0} is about {0}. <span class="share">Share this</span></p><h2>And <b class="notice">more of {0}</b> follows.</h2></article></body>'
     pages = [page.format(f"subject{k} " * 3) for k in range(5)]
     wrapper = html_extract.infer([html_extract.stream(html_extract.parse(p)) for p in pages])
     known = html_extract.decide(wrapper, len(pages))
