@@ -116,7 +116,7 @@ def parse(page: str) -> Node:
             if name == "a":
                 links = max(0, links - 1)
             if name in INLINE:
-                own = next((h for h in reversed(hinted) if h[1] == name), None)
+                own = next((h for h in reversed(hinted) if h[1] == name), None) if hinted else None
                 if own and own[2]:
                     own[2] -= 1
                 elif own:
@@ -142,11 +142,16 @@ def parse(page: str) -> Node:
                 open_[-1].children.append(node)
                 hinted.append([len(open_), name, 0])
                 open_.append(node)
-            elif own := next((h for h in reversed(hinted) if h[1] == name), None):
+            elif hinted and (own := next((h for h in reversed(hinted) if h[1] == name), None)):
                 own[2] += 1
             continue
         ends = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-        while (k := next((k for k in range(len(open_) - 1, 0, -1) if open_[k].name not in INLINE), 0)) and open_[k].name in ends:
+        while ends:
+            k = len(open_) - 1
+            while k and open_[k].name in INLINE:
+                k -= 1
+            if not k or open_[k].name not in ends:
+                break
             cut(k)
         node = _node(name, m.group(3))
         open_[-1].children.append(node)
