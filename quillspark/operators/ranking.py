@@ -209,7 +209,7 @@ def dense_parents(vectors: DataFrame, queries: DataFrame, k: int, batch: int = 4
 
 
 def _in_blocks(queries: DataFrame, search) -> DataFrame:
-    queries = unit(queries.select("query_id", "vector").where("vector IS NOT NULL"))
+    queries = queries.select("query_id", "vector").where("vector IS NOT NULL")
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-2 * n * width * 8 // MATRIX_BYTES)) if n * width * 8 > MATRIX_BYTES else 1  # about half the bound each
     block, found = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(blocks)), None
@@ -233,11 +233,21 @@ def _best(vectors: DataFrame, rows: list, k: int, batch: int, parents: bool = Fa
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
 
+    def unit_rows(x):
+        if not np.isfinite(x).all():
+            raise ValueError("vector values must be finite")
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return x / np.where(norm > 0, norm, 1.0)
+
+    matrix = unit_rows(matrix)
+
     def run(batches):
         for b in batches:
             if not len(ids) or not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            if b.column(1).flatten().null_count:
+                raise ValueError("vector values must be finite")
+            x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
             if x.shape[1] != matrix.shape[1]:
                 raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {matrix.shape[1]}")
             key = b.column(0).to_numpy(zero_copy_only=False)
@@ -254,7 +264,7 @@ def _best(vectors: DataFrame, rows: list, k: int, batch: int, parents: bool = Fa
                 best = np.take_along_axis(scores, order, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + batch], order.shape[1])), pa.array(named[order.ravel()]), pa.array(best.ravel())], names=["query_id", "id", "score"])
 
-    best = unit(vectors.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL")).mapInArrow(run, "query_id long, id long, score double")
+    best = vectors.select(F.col("id").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id long, id long, score double")
     return best.where("score > 0 AND NOT isnan(score)")
 
 
@@ -265,6 +275,130 @@ def best_parent(hits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     return hits.groupBy("query_id", F.col("source_id").alias("id")).agg(F.max("score").alias("score")).where("score > 0")
 
 
+# sparse, the best of many queries at once
+
+
+#: Cells of a matrix of queries and documents, and pairs of posting and query, that a worker holds at a time.
+CELLS, PAIRS = 1 << 22, 1 << 20
+
+
+def best_of(postings: DataFrame, weights: DataFrame, k: int, parents: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the best k per query by the sum of weight times impact.
+
+    postings (token, id, impact; with parents also source_id, and a parent has the score of its best child), weights (query_id, token, weight).
+    Each posting is shuffled once, by document, however many queries ask for it; a worker adds up a matrix of queries by documents and hands on at most k
+    rows per query and matrix. Beyond BROADCAST_ROWS weights the queries go in blocks by a hash of their id, each written before the next.
+    """
+    n = weights.count()
+    blocks, found = max(1, -(-2 * n // BROADCAST_ROWS)) if n > BROADCAST_ROWS else 1, None
+    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    for at in range(blocks):
+        best = _block_best(postings, weights.where(block == at) if blocks > 1 else weights, k, parents)
+        if blocks == 1:
+            return best
+        best = best.checkpoint()
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _block_best(postings: DataFrame, weights: DataFrame, k: int, parents: bool) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    asked = weights.select("query_id", "token", F.col("weight").cast("double")).toArrow()  # BROADCAST_ROWS
+    queries, terms = asked.column("query_id").combine_chunks().dictionary_encode(), asked.column("token").combine_chunks().dictionary_encode()
+    ids, width = queries.dictionary, len(queries.dictionary)
+    place = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    query, weight = queries.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], asked.column("weight").to_numpy()[order]
+    first = np.searchsorted(place[order], np.arange(len(terms.dictionary) + 1))
+    places = weights.sparkSession.createDataFrame(pa.table({"token": terms.dictionary, "place": pa.array(np.arange(len(terms.dictionary)), pa.int64())}))
+    unit, own = ("source_id" if parents else "id"), (["source_id", "id"] if parents else ["id"])
+    rows = postings.join(F.broadcast(places), "token").select(*own, "place", F.col("impact").cast("double").alias("impact"))
+
+    def matrices(unit_of, child_of, at, impact):
+        """Documents in runs of few enough cells: (their places among unit_of's values, scores by query). Rows are sorted by document."""
+        fresh = np.append(True, unit_of[1:] != unit_of[:-1])
+        begins, run = np.flatnonzero(fresh), max(1, CELLS // max(1, width))
+        children = np.append(True, child_of[1:] != child_of[:-1]) | fresh
+        d = 0
+        while d < len(begins):
+            a = begins[d]
+            # as many documents as their children's cells allow, one at least
+            upto = np.cumsum(children[a:])
+            b = int(np.searchsorted(upto, run, "right")) + a
+            e = max(d + 1, int(np.searchsorted(begins, b, "right")) - (1 if b < len(unit_of) else 0))
+            z = begins[e] if e < len(begins) else len(unit_of)
+            child = np.cumsum(children[a:z]) - 1
+            scores = np.zeros(width * (child[-1] + 1))
+            size = first[at[a:z] + 1] - first[at[a:z]]
+            total, i = np.cumsum(size), 0
+            while i < z - a:
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+                s = size[i:j]
+                pair = np.repeat(first[at[a + i : a + j]] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+                scores += np.bincount(query[pair] * (child[-1] + 1) + np.repeat(child[i:j], s), weight[pair] * np.repeat(impact[a + i : a + j], s), len(scores))
+                i = j
+            scores = scores.reshape(width, -1)
+            if parents:
+                scores = np.maximum.reduceat(scores, child[fresh[a:z]], axis=1)
+            yield begins[d:e], scores
+            d = e
+
+    def runs(batches):
+        """Sorted rows in runs of whole documents."""
+        kept = []
+        for b in batches:
+            if b.num_rows:
+                kept.append(b)
+            if sum(x.num_rows for x in kept) < PAIRS:
+                continue
+            t = pa.Table.from_batches(kept).combine_chunks()
+            names = t.column(0)
+            last = t.num_rows - 1
+            code = names.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(code != code[last])
+            if len(cut):
+                yield t.slice(0, int(cut[-1]) + 1)
+                kept = t.slice(int(cut[-1]) + 1).to_batches()
+        if kept:
+            yield pa.Table.from_batches(kept).combine_chunks()
+
+    def run(batches):
+        if not width:
+            return
+        for t in runs(batches):
+            named = t.column(0).combine_chunks()
+            code = named.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            child = t.column(1).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if parents else code
+            for begins, scores in matrices(code, child, t.column("place").to_numpy(), t.column("impact").to_numpy()):
+                best = np.lexsort((np.broadcast_to(np.arange(scores.shape[1]), scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                found = np.take_along_axis(scores, best, axis=1)
+                some = found > 0
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(width), some.sum(axis=1)))), named.take(pa.array(begins[best[some]])), pa.array(found[some])], names=["query_id", "id", "score"])
+
+    schema = weights.select("query_id").schema.add("id", postings.schema[unit].dataType).add("score", "double")
+    return ranked(rows.repartition(unit).sortWithinPartitions(*own).mapInArrow(run, schema), k)
+
+
+def bm25_best(postings: DataFrame, terms: DataFrame, queries: DataFrame, k: int, heading_boost: float = HEADING_BOOST) -> DataFrame:
+    """The first k of bm25_search(), ranked."""
+    tokens = query_tokens(queries).select("query_id", "token")
+    asked = terms.join(small(tokens), "token")
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len"))) + F.when(F.col("in_heading"), heading_boost).otherwise(0.0)
+    length = terms.select("avg_len").limit(1)  # one for all terms
+    rows = postings.crossJoin(F.broadcast(length)).withColumn("impact", impact)
+    return best_of(rows, asked.select("query_id", "token", F.col("idf").alias("weight")).checkpoint(), k)
+
+
+def cosine_best(postings: DataFrame, terms: DataFrame, queries: DataFrame, k: int, parents: bool = False) -> DataFrame:
+    """The first k of cosine_search(), ranked; with parents, of their best_parent()."""
+    known = terms.select("token", "idf").join(small(query_tokens(queries)), "token")
+    known = known.withColumn("qw", F.col("qtf") / F.max("qtf").over(Window.partitionBy("query_id")) * F.col("idf"))
+    known = known.withColumn("weight", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
+    return best_of(postings.where("norm > 0").withColumn("impact", F.col("weight") / F.col("norm")), known.select("query_id", "token", "weight").checkpoint(), k, parents)
+
+
 # fusion and reranking
 
 

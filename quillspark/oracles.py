@@ -168,6 +168,13 @@ def W(ctes: str, body: str, recursive: bool = False) -> str:  # noqa: N802
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
+
+def AFTER(tables: str) -> str:
+    """The same over the corpus after the clean-up."""
+    sections = f"{SNAPS}, sec AS (SELECT path AS id, path AS file, '' AS heading, content, {tok('content')} AS tokens FROM new)"
+    return tables.replace(SEC, sections)
+
+
 ORACLE_SQL = {
     "tokenize": W(SEC, "SELECT id, len(tokens)::INT AS n_tokens, sha256(array_to_string(tokens, ' ')) AS digest FROM sec"),
     "token_counts": W(CORPUS, "SELECT id, token, tf FROM tf"),
@@ -260,9 +267,28 @@ UNION ALL SELECT 'terms', count(*) FROM df UNION ALL SELECT 'child_counts', coun
     "wiki_sink": W(SEC, "SELECT file, count(DISTINCT file) AS n FROM sec GROUP BY file"),
     "json_index": W(SEC, "SELECT id, len(tokens)::INT AS n_tokens, sha256(content) AS content_hash FROM sec"),
     "cache_sink": "SELECT 'ns' AS namespace_fingerprint, count(*) AS n, min(vec_id::VARCHAR) AS least FROM embeddings WHERE label <> 0 UNION ALL SELECT 'other', count(*), min(vec_id::VARCHAR) FROM embeddings",
-    "embedded_children": W(CACHE, "SELECT vec_id::VARCHAR AS chunk_id, 64::INT AS dimension, 'float32-le-v1' AS vector_encoding, CASE WHEN label IN (0, 1) THEN 2.0::DOUBLE ELSE round(list_sum(embedding::DOUBLE[]), 4) END AS total FROM embeddings"),
-    "namespaces": "SELECT 1::BIGINT AS n, 64::INT AS width",
-    "vector_checks": "SELECT unnest(['duplicate id', 'empty id', 'duplicate token', 'empty token', 'bad idf', 'bad weight', 'token outside vocabulary', 'weights without record', 'wrong norm']) AS \"check\", 0::BIGINT AS n",
+    "embedded_children": W(
+        f"{SEC}, {FEATURES}, unit AS (SELECT id, n / sqrt(sum(n * n) OVER (PARTITION BY id))::DOUBLE AS v FROM bk), sums AS (SELECT id, sum(v::FLOAT::DOUBLE) AS total FROM unit GROUP BY id)",
+        "SELECT id AS chunk_id, 256::INT AS dimension, 'float32-le-v1' AS vector_encoding, CASE WHEN id::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE round(coalesce(total, 0), 4) END AS total FROM sec LEFT JOIN sums USING (id)",
+    ),
+    "namespaces": r"""SELECT sha256(j) AS fingerprint, j AS canonical_json FROM (SELECT DISTINCT '{"base_url":"http://localhost","distance_strategy":"cosine-similarity","embedding_model":"' || lang || '","metric":"inner-product","normalization":"l2","policy":{"heading_prefix_version":"heading-path-v1","overlap":150,"separators":["\n\n","\n",". "," "],"size":1000,"splitter_version":"child-v1"},"provider_kind":"table","requested_dimension":null,"resolved_dimension":64,"version":1}' AS j FROM documents WHERE lang <> '')""",
+    "vector_checks": W(
+        f"""{TFIDF}, recs AS (SELECT DISTINCT id, source_id::BIGINT AS s FROM ctf JOIN ctok USING (id)),
+given AS (SELECT id, s FROM recs WHERE s % 11 <> 0 UNION ALL SELECT id, s FROM recs WHERE s % 11 <> 0 AND s % 7 = 0)""",
+        """SELECT 'duplicate id' AS "check", count(*) AS n FROM (SELECT id FROM given GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT unnest(['empty id', 'duplicate token', 'empty token', 'bad idf']), 0
+UNION ALL SELECT 'bad weight', count(*) FROM ctf WHERE length(token) = 4
+UNION ALL SELECT 'token outside vocabulary', count(*) FROM ctf WHERE length(token) = 6
+UNION ALL SELECT 'weights without record', count(*) FROM ctf JOIN recs USING (id) WHERE s % 11 = 0
+UNION ALL SELECT 'wrong norm', count(*) FROM given WHERE s % 13 = 0""",
+        True,
+    ),
     "dense_generation": W(f"sc AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)", f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('sc', 3)})"),
     "prompt_json": W(PROMPTS, "SELECT query_id, prompt FROM pr", True),
+    "segment_bm25": W(AFTER(lexical(0.25)), f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('lex')})"),
+    "segment_cosine": W(AFTER(COSINE), f"SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ({top('kids')})", True),
+    "segment_terms": W(AFTER(CORPUS), "SELECT token, df, round(idf, 6) AS idf FROM idf"),
+    "segment_totals": W(AFTER(TFIDF), "SELECT (SELECT count(*) FROM sec) AS n_sections, (SELECT round(avg(len(tokens)), 6) FROM sec) AS avg_len, (SELECT count(DISTINCT file) FROM sec) AS n_files, (SELECT count(*) FROM child) AS n_children", True),
+    "segment_files": W(SNAPS, "SELECT path, strlen(content)::BIGINT AS size, sha256(content) AS content_hash FROM new"),
+    "segment_candidates": W(AFTER(f"{CORPUS}, {QTOK}"), "SELECT query_id, count(*) AS n_matches, min(id) AS first_id, max(id) AS last_id FROM (SELECT DISTINCT query_id, id FROM qt JOIN tf USING (token)) GROUP BY query_id"),
 }

@@ -52,13 +52,15 @@ class Search:
 
     def lexical(self) -> DataFrame:
         if self._lexical is None:
-            self._lexical = self._once(ranking.ranked(ranking.bm25_search(self.index["postings"], self.index["terms"], self.queries), self.most))
+            index_store.shared_folder(self.queries.sparkSession)
+            self._lexical = self._once(ranking.bm25_best(self.index["postings"], self.index["terms"], self.queries, self.most))
         return self._lexical
 
     def vector(self) -> DataFrame:
         if self._vector is None:
+            index_store.shared_folder(self.queries.sparkSession)
             hits = self._parents()  # settles the backend
-            self._vector = self._once(ranking.ranked(hits, self.most).withColumn("backend", F.lit(self.backend)))
+            self._vector = self._once(hits.withColumn("backend", F.lit(self.backend)))
         return self._vector
 
     def _parents(self) -> DataFrame:
@@ -67,12 +69,12 @@ class Search:
                 hits = self.dense(self.queries).select("query_id", "id", "score")
                 self.backend = "dense"
                 parents = self.index["children"].select(F.col("chunk_id").alias("id"), "source_id")
-                return ranking.best_parent(hits, parents).join(self.sections.select("id"), "id", "left_semi")
+                return ranking.ranked(ranking.best_parent(hits, parents).join(self.sections.select("id"), "id", "left_semi"), self.most)
             except DenseUnavailable:
                 pass
         self.backend = "tfidf"
         # children of an index have their parents in it
-        return ranking.best_parent(ranking.cosine_search(self.index["child_postings"], self.index["child_terms"], self.queries))
+        return ranking.cosine_best(self.index["child_postings"], self.index["child_terms"], self.queries, self.most, parents=True)
 
     def fused(self, k: int) -> DataFrame:
         return self._fused(self._checked(k))

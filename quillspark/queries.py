@@ -19,7 +19,7 @@ from quillspark.operators import chunking, grounding, identity, incremental, mar
 from quillspark.plans import build
 from quillspark.plans.search import Search
 from quillspark.sources import embeddings as providers
-from quillspark.sources import index_store, json_files
+from quillspark.sources import cache_store, index_store, json_files, segments
 
 K = 10
 
@@ -133,17 +133,17 @@ def stored_sections(spark, d):
 
 
 def _top(hits: DataFrame) -> DataFrame:
-    return ranking.ranked(hits, K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, d):
     index = indexed(spark, d)
-    return _top(ranking.bm25_search(index["postings"], index["terms"], questions(spark, d), 0.0))
+    return _top(ranking.bm25_best(index["postings"], index["terms"], questions(spark, d), K, 0.0))
 
 
 def bm25_heading_boost(spark, d):
     index = indexed(spark, d)
-    return _top(ranking.bm25_search(index["postings"], index["terms"], questions(spark, d)))
+    return _top(ranking.bm25_best(index["postings"], index["terms"], questions(spark, d), K))
 
 
 def tokenize(spark, d):
@@ -189,7 +189,7 @@ def tfidf_norms(spark, d):
 
 def tfidf_cosine_topk(spark, d):
     index = indexed(spark, d)
-    return _top(ranking.cosine_search(index["child_postings"], index["child_terms"], questions(spark, d)))
+    return _top(ranking.cosine_best(index["child_postings"], index["child_terms"], questions(spark, d), K))
 
 
 def hash_embedding_buckets(spark, d):
@@ -408,35 +408,50 @@ def json_index(spark, d):
 
 
 def cache_sink(spark, d):
-    """A cache of two namespaces on disk, of which one is then replaced by the children at hand."""
+    """A cache of two namespaces on disk, of which one is then replaced by the children at hand; rows with faults are refused and leave what was there."""
     kids, cache = cached(spark, d)
     path = scratch(spark, "cache")
-    incremental.write_cache(cache.unionByName(cache.withColumn("namespace_fingerprint", F.lit("other"))), path)
-    incremental.write_cache(incremental.cache_rows(kids.where("source_id <> '0'"), "ns"), path)
-    return spark.read.parquet(path).groupBy("namespace_fingerprint").agg(F.count("*").alias("n"), F.min("chunk_id").alias("least"))
+    whole = incremental.cache_rows(kids, "ns")
+    for name in ("ns", "other"):
+        cache_store.replace(whole.withColumn("namespace_fingerprint", F.lit(name)), path, name, 64)
+    cache_store.replace(incremental.cache_rows(kids.where("source_id <> '0'"), "ns"), path, "ns", 64)
+    try:
+        cache_store.replace(cache.withColumn("namespace_fingerprint", F.lit("other")), path, "other", 64)  # some lack their checksum
+    except ValueError:
+        pass
+    rows = cache_store.read(spark, path, "ns").unionByName(cache_store.read(spark, path, "other"))
+    return rows.groupBy("namespace_fingerprint").agg(F.count("*").alias("n"), F.min("chunk_id").alias("least"))
 
 
 def embedded_children(spark, d):
-    """Embedding goes to the provider only for what the cache lacks."""
-    kids, cache = cached(spark, d)
-    kids = kids.drop("vector").withColumn("embedding_text", F.lit("shipping times"))
-    rows = incremental.embed_missing(kids, cache, "ns", 64, providers.HashProvider(64).embed, providers.BATCH)
+    """Embedding goes to the provider only for what the cache lacks: here whole texts; those of even ids are cached, as another vector."""
+    provider = providers.HashProvider(256)
+    kids = sections(spark, d).select(F.col("id").alias("chunk_id"), F.col("id").alias("source_id"), F.sha2("content", 256).alias("content_hash"), F.concat_ws("\n", "heading_path", "content").alias("embedding_text"))
+    other = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), 255)).cast("array<float>")
+    cache = incremental.cache_rows(kids.where("CAST(chunk_id AS long) % 2 = 0").withColumn("vector", other), providers.namespace_of(provider).fingerprint)
+    rows = providers.embedded(kids, cache, provider)
     return rows.select("chunk_id", "dimension", "vector_encoding", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 def namespaces(spark, d):
-    """A namespace is registered once."""
+    """A namespace for each language of the documents, each registered twice and stored once."""
     known = spark.createDataFrame([], "fingerprint string, canonical_json string")
-    n = providers.namespace_of(providers.HashProvider(64))
-    first = identity.register(known, n)
-    return first.unionByName(identity.register(first, n)).agg(F.count("*").alias("n"), F.min(F.length("fingerprint")).alias("width"))
+    langs = sorted(r["lang"] for r in _t(spark, d, "documents").select("lang").distinct().where("lang <> ''").collect())  # languages
+    for lang in [*langs, *langs]:
+        row = identity.register(known, identity.Namespace("table", lang, "http://localhost", 64)).collect()
+        known = known.unionByName(spark.createDataFrame(row, known.schema))
+    return known
 
 
 def vector_checks(spark, d):
-    """Checks of the stored sparse index."""
+    """Checks of the stored sparse index, with faults planted in a copy of it: records lacking, repeated or of other norms, weights below zero, tokens lacking."""
     index = indexed(spark, d)
-    records = index["child_postings"].groupBy("id").agg(F.max("norm").alias("norm"))
-    return identity.vector_violations(records, index["child_postings"].select("id", "token", "weight"), index["child_terms"], 1e-9)
+    source = F.col("source_id").cast("long")
+    records = index["child_postings"].groupBy("id", "source_id").agg(F.max("norm").alias("norm")).where(source % 11 != 0)
+    records = records.withColumn("norm", F.col("norm") + F.when(source % 13 == 0, 1.0).otherwise(0.0))
+    records = records.unionByName(records.where(source % 7 == 0)).select("id", "norm")
+    weights = index["child_postings"].select("id", "token", F.when(F.length("token") == 4, -F.col("weight")).otherwise(F.col("weight")).alias("weight"))
+    return identity.vector_violations(records, weights, index["child_terms"].where(F.length("token") != 6), 1e-9)
 
 
 def dense_generation(spark, d):
@@ -475,4 +490,55 @@ def token_hashes(spark, d):
     return questions(spark, d).select("query_id", tx.token_hash(tx.tokenize("query")).alias("token_hash"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes, index_build, stored_sections, chat_answers, hybrid_k20, not_indexed, k_validation, unit_vectors, child_identities, child_parents, wiki_files, wiki_sink, json_index, cache_sink, embedded_children, namespaces, vector_checks, dense_generation)}
+# the log-structured index: the corpus before the clean-up as its base, and a segment of what the clean-up changed
+
+
+def snapshot_sections(files: DataFrame) -> DataFrame:
+    rows = files.select(F.col("path").alias("id"), F.col("path").alias("file"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"), "content")
+    return rows.withColumn("tokens", tx.tokenize("content"))
+
+
+def segmented(spark, d) -> segments.Segments:
+    key = "segments", spark.sparkContext.applicationId, d, index_store.stamp(spark, f"{d}/documents.parquet")
+    if key not in _roots:
+        root, (old, new), diff = scratch(spark, "segments"), snapshots(spark, d), _diff(spark, d)
+        segments.update(spark, root, snapshot_sections(old), incremental.fingerprints(old))
+        changed = new.join(diff.where("status = 'changed'"), "path", "left_semi")
+        segments.update(spark, root, snapshot_sections(changed), incremental.fingerprints(changed), diff.where("status = 'deleted'"))
+        _roots[key] = root
+    return segments.Segments(spark, _roots[key])
+
+
+def segment_bm25(spark, d):
+    """Lexical search over base and delta; the SQL indexes the corpus after the clean-up anew."""
+    index, q = segmented(spark, d), questions(spark, d)
+    return _top(ranking.bm25_best(index.postings(ranking.query_tokens(q)), index.terms(), q, K))
+
+
+def segment_cosine(spark, d):
+    index, q = segmented(spark, d), questions(spark, d)
+    return _top(ranking.cosine_best(index.child_postings(ranking.query_tokens(q)), index.child_terms(), q, K))
+
+
+def segment_terms(spark, d):
+    """Document frequencies as sums of the segments' changes."""
+    return segmented(spark, d).terms().select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def segment_totals(spark, d):
+    return segmented(spark, d).stats().select("n_sections", F.round("avg_len", 6).alias("avg_len"), "n_files", "n_children")
+
+
+def segment_files(spark, d):
+    """Live files with what tells whether they have changed."""
+    return segmented(spark, d).live("files", "path").select("path", "size", "content_hash")
+
+
+def segment_candidates(spark, d):
+    """Sections that match any token of a question, from the files and pages that can have its tokens."""
+    q = ranking.query_tokens(questions(spark, d)).select("query_id", "token")
+    hits = segmented(spark, d).postings(q).join(ranking.small(q), "token").select("query_id", "id").distinct()
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_matches"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes, index_build, stored_sections, chat_answers, hybrid_k20, not_indexed, k_validation, unit_vectors, child_identities, child_parents, wiki_files, wiki_sink, json_index, cache_sink, embedded_children, namespaces, vector_checks, dense_generation, segment_bm25, segment_cosine, segment_terms, segment_totals, segment_files, segment_candidates)}

@@ -1,7 +1,7 @@
 """Index generations: immutable tables under <root>/gen=<id>/, and pointers <root>/current/<number> that name them in turn.
 
-A generation is written whole, checked against its manifest, and only then made current, by a pointer of the next number; the greatest
-number counts. A pointer is never changed, so a reader (or a crash) at any moment finds the old generation or the new one.
+A generation is written whole, its files' digests are put under one root in its manifest (digests), and only then is it made current, by a pointer of the next number; the greatest
+number counts. Whoever loads tables holds their files against that root. A pointer is never changed, so a reader (or a crash) at any moment finds the old generation or the new one.
 Old generations stay until removed by drop_generation().
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.buckets import BUCKETS
+from quillspark.sources import digests
 
-VERSION = 1
+VERSION = 2
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,8 +39,8 @@ def _write_text(spark: SparkSession, path: str, text: str) -> bool:
     return False
 
 
-def _pointers(spark: SparkSession, root: str) -> list[str]:
-    jvm, fs, p = _fs(spark, f"{root}/current")
+def _pointers(spark: SparkSession, root: str, folder: str = "current") -> list[str]:
+    jvm, fs, p = _fs(spark, f"{root}/{folder}")
     return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
 
 
@@ -75,12 +76,6 @@ def stamp(spark: SparkSession, path: str) -> str:
     return "\n".join(sorted(out))
 
 
-def checksum(df: DataFrame) -> str:
-    """Order-independent: the sum of the rows' 64-bit hashes, and their number."""
-    r = df.select(F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]).cast("decimal(38,0)").alias("h")).agg(F.sum("h"), F.count("*")).first()
-    return f"{r[1]}:{r[0] or 0}"
-
-
 def write_table(df: DataFrame, path: str) -> None:
     """Tables with a column `bucket` have a folder for each, sorted by token, so that a reader of some tokens reads some folders.
 
@@ -95,7 +90,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def save(spark: SparkSession, root: str, tables: dict, meta: dict | None = None, activate=lambda manifest: True) -> str:
-    """Write a generation and make it current if its tables read back as written and activate(manifest) allows it.
+    """Write a generation and make it current if activate(manifest) allows it.
 
     tables: name -> DataFrame, or a function from the tables written so far, so that what follows from a table reads it and isn't made twice.
     """
@@ -106,9 +101,9 @@ def save(spark: SparkSession, root: str, tables: dict, meta: dict | None = None,
         df = df(done) if callable(df) else df
         write_table(df, f"{base}/{name}")
         done[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}").select(df.columns)
-        manifest["tables"][name] = {"checksum": checksum(done[name]), "schema": json.loads(df.schema.json())}
+        manifest["tables"][name] = {"schema": json.loads(df.schema.json())}
+    manifest["root"] = digests.record(spark, base)
     _write_text(spark, f"{base}/manifest.json", json.dumps(manifest, sort_keys=True))
-    verify(spark, root, gen)
     if not activate(manifest):
         raise RuntimeError("activation was refused: the corpus has changed meanwhile")
     while not _write_text(spark, f"{root}/current/{int((_pointers(spark, root) or ['0'])[-1]) + 1:020d}", gen):
@@ -127,27 +122,28 @@ def manifest(spark: SparkSession, root: str, gen: str) -> dict:
     if text is None:
         raise FileNotFoundError(f"generation {gen} has no manifest")
     found = json.loads(text)
-    if found.get("version") != VERSION or found.get("generation") != gen or not isinstance(found.get("tables"), dict):
+    if found.get("version") != VERSION or found.get("generation") != gen or not isinstance(found.get("tables"), dict) or not isinstance(found.get("root"), str):
         raise ValueError(f"the manifest of generation {gen} doesn't fit")
     return found
 
 
-def load(spark: SparkSession, root: str, gen: str | None = None) -> dict[str, DataFrame]:
-    """The tables of a generation, the current one by default; none if there is no index."""
+def load(spark: SparkSession, root: str, gen: str | None = None, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a generation, the current one by default, or some of them; none if there is no index. Files that aren't as they were written are refused."""
     gen = gen or current(spark, root)
     if gen is None:
         return {}
     from pyspark.sql.types import StructType
 
-    schemas = {name: StructType.fromJson(t["schema"]) for name, t in manifest(spark, root, gen)["tables"].items()}
-    return {name: spark.read.schema(x).parquet(f"{root}/gen={gen}/{name}").select(x.fieldNames()) for name, x in schemas.items()}
+    found, base = manifest(spark, root, gen), f"{root}/gen={gen}"
+    schemas = {name: StructType.fromJson(t["schema"]) for name, t in found["tables"].items() if names is None or name in names}
+    there = [f for f, _, _ in digests.listed(spark, base)]
+    digests.check(spark, base, found["root"], None if names is None else [f for f in there if f.split("/", 1)[0] in schemas])
+    return {name: spark.read.schema(x).parquet(f"{base}/{name}").select(x.fieldNames()) for name, x in schemas.items()}
 
 
 def verify(spark: SparkSession, root: str, gen: str) -> None:
-    for name, df in load(spark, root, gen).items():
-        want = manifest(spark, root, gen)["tables"][name]["checksum"]
-        if (got := checksum(df)) != want:
-            raise ValueError(f"table {name} of generation {gen} is not what its manifest says: {got}, not {want}")
+    """All files of a generation; ValueError says which differ."""
+    digests.check(spark, f"{root}/gen={gen}", manifest(spark, root, gen)["root"])
 
 
 def compatible(a: dict, b: dict) -> bool:
