@@ -69,6 +69,11 @@ def write_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("namespace_fingerprint").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def store_bucketed(rows: DataFrame, table: str, buckets: int = 256) -> None:
+    """Cache rows as a catalog table bucketed and sorted by what cache_hits() and cache_misses() join on, so that they shuffle the children and never the cache."""
+    rows.repartition(buckets, "chunk_id", "content_hash").write.mode("overwrite").bucketBy(buckets, "chunk_id", "content_hash").sortBy("chunk_id", "content_hash").saveAsTable(table)
+
+
 def cache_violations(rows: DataFrame, dimension: int) -> DataFrame:
     """(check, n): what must be zero before rows are written."""
     twice = rows.groupBy("namespace_fingerprint", "chunk_id").count().where("count > 1")
