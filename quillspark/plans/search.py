@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import grounding, ranking
@@ -31,6 +31,8 @@ class Search:
     everything else follows from them.
     """
 
+    indexed = True
+
     def __init__(self, index: dict[str, DataFrame], queries: DataFrame, dense=None, k: int = MAX_K):
         if not 1 <= k <= MAX_K:
             raise ValueError(f"k must be from 1 to {MAX_K}")
@@ -45,6 +47,17 @@ class Search:
         parents = children.select(F.col("id").alias("chunk_id"), "source_id")
         return cls({"sections": sections, "children": parents, "postings": lexical["postings"], "terms": lexical["terms"], "child_postings": vector["postings"], "child_terms": vector["terms"]}, queries, dense, k)
 
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str, queries: DataFrame, dense=None, k: int = MAX_K) -> Search:
+        """Over the current generation at root. Where there is none, searches find nothing and chat() says that nothing is indexed."""
+        index = index_store.load(spark, root)
+        if index:
+            return cls(index, queries, dense, k)
+        sections = spark.createDataFrame([], "id string, file string, heading string, heading_path array<string>, content string, tokens array<string>")
+        none = cls.over(sections, spark.createDataFrame([], "id string, source_id string, tokens array<string>"), queries, None, k)
+        none.indexed = False
+        return none
+
     @staticmethod
     def _once(df: DataFrame) -> DataFrame:
         index_store.shared_folder(df.sparkSession)
@@ -93,6 +106,8 @@ class Search:
 
     def chat(self, generate=None, k: int = 3) -> DataFrame:
         """Search, gate, prompt, generate and check as one plan; one row per valid query (query_id, query, prompt, answer, sources, final_answer ...)."""
+        if not self.indexed:
+            return grounding.not_indexed(self.queries)
         hits = self.reranked(k).join(self.sections.select("id", "heading_path", "content"), "id").withColumns({"rank": F.col("rerank_rank"), "score": F.col("rerank_score")})
         return grounding.chat(hits, self.queries, generate or grounding.extractive)
 

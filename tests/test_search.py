@@ -93,3 +93,44 @@ def test_dense_generations_are_checked_when_loaded(spark, parts, tmp_path):
         build.load_dense(spark, root, kids, Namespace("other", "m", "http://x", 32))
     with pytest.raises(RuntimeError):
         build.save_dense(spark, root, kids, vectors.limit(1), name)
+
+
+def test_where_nothing_is_indexed(spark, parts, tmp_path):
+    from quillspark.operators.grounding import NOT_INDEXED_ANSWER
+
+    s = Search.opened(spark, str(tmp_path / "none"), parts[2])
+    assert s.compare(3).count() == 0 and s.reranked(3).count() == 0
+    assert {(r["query_id"], r["final_answer"], r["indexed"]) for r in s.chat().collect()} == {(q, NOT_INDEXED_ANSWER, False) for q in QUESTIONS}
+    index_store.save(spark, str(tmp_path / "some"), {"sections": parts[0], **build.search_tables()})
+    assert Search.opened(spark, str(tmp_path / "some"), parts[2]).compare(3).count() > 0
+
+
+def test_best_of_equals_all_scores_ranked(spark, monkeypatch):
+    """Ties, many queries, few cells a matrix, blocks of queries, parents."""
+    import random
+
+    pick = random.Random(6)
+    words = [f"w{k}" for k in range(25)]
+    rows = [(f"c{k:03}", f"p{k // 3:03}", t, float(pick.randint(1, 3))) for k in range(300) for t in pick.sample(words, pick.randint(1, 8))]
+    asked = [(q, t, float(pick.randint(1, 2))) for q in range(40) for t in pick.sample([*words, "none"], 4)]
+    postings, weights = spark.createDataFrame(rows, "id string, source_id string, token string, impact double").repartition(5), spark.createDataFrame(asked, "query_id long, token string, weight double")
+    scores, best = {}, {}
+    for c, p, t, x in rows:
+        for q, w, y in asked:
+            if t == w:
+                scores[q, c, p] = scores.get((q, c, p), 0) + x * y
+    for (q, c, p), s in scores.items():
+        best[q, p] = max(best.get((q, p), 0), s)
+    children = {(q, c): s for (q, c, p), s in scores.items()}
+
+    def first(found, k):
+        return sorted((q, i, s, n) for q in range(40) for n, (s, i) in enumerate(sorted(((s, i) for (x, i), s in found.items() if x == q), key=lambda z: (-z[0], z[1]))[:k], 1))
+
+    for cells, pairs, most in ((1 << 22, 1 << 20, 500_000), (200, 50, 500_000), (200, 50, 60)):
+        monkeypatch.setattr(ranking, "CELLS", cells)
+        monkeypatch.setattr(ranking, "PAIRS", pairs)
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", most)
+        index_store.shared_folder(spark)
+        for found, parents in ((children, False), (best, True)):
+            got = sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in ranking.best_of(postings, weights, 7, parents).collect())
+            assert got == first(found, 7)
