@@ -7,6 +7,7 @@ number of files makes FANOUT branches, and one file is checked with its own bran
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +83,21 @@ def check(spark: SparkSession, base: str, want: str, files: list[str] | None = N
         _whole[key] = frozenset(there)
 
 
+STATUS = re.compile(r"\{path=(.*?); isDirectory=false; length=(\d+);.*?modification_time=(\d+);")
+
+
+def statuses(spark: SparkSession, found) -> list[tuple[str, str, str]]:
+    """(path, length, time of change) of the files in a Java array of statuses (or none), which come over as one text."""
+    return STATUS.findall(spark.sparkContext._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found).mkString("\n")) if found is not None else []
+
+
 def listed(spark: SparkSession, base: str) -> list[tuple[str, int, int]]:
-    """(file, length, time of change) of the Parquet files below base."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    """(file, length, time of change) of the Parquet files up to three folders below base; one call of the file system per depth."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     marker, out = base.rstrip("/").rsplit("/", 1)[-1] + "/", []
-    if fs.exists(path):
-        found = fs.listFiles(path, True)
-        while found.hasNext():
-            x = found.next()
-            name = x.getPath().toString()
-            if name.endswith(".parquet"):
-                out.append((name.split(marker, 1)[1], x.getLen(), x.getModificationTime()))
+    for depth in range(4):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{'*/' * depth}*.parquet"))
+        out += [(name.split(marker, 1)[1], int(n), int(t)) for name, n, t in statuses(spark, found)]
     return out

@@ -48,8 +48,11 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     jvm, fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0][0] if rows else ""
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,14 +69,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stamp(spark: SparkSession, path: str) -> str:
-    """Names, sizes and times of the files below a path."""
+    """Names, sizes and times of a Parquet table's files."""
     _, fs, p = _fs(spark, path)
-    found = fs.listFiles(p, True)
-    out = []
-    while found.hasNext():
-        x = found.next()
-        out.append(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}")
-    return "\n".join(sorted(out))
+    own = digests.statuses(spark, fs.listStatus(p))
+    return "\n".join(sorted(":".join(x) for x in own) + ["/".join(map(str, x)) for x in sorted(digests.listed(spark, path))])
 
 
 def write_table(df: DataFrame, path: str) -> None:
