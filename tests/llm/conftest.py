@@ -1,3 +1,4 @@
+import datetime as dt
 import zlib
 
 import pyarrow as pa
@@ -26,8 +27,20 @@ def pages():
     return pa.table({"page_id": pa.array([1, 2, None, 4, 5, 6, 7], pa.int64()), "url": ["http://a.x/1", "http://a.x/2", "http://a.x/3", None, "//b.y/p?q", "not a url", "http://a.x/4"], "html": html, "host": ["?"] * 7, "path": ["?"] * 7, "text": ["?"] * 7})
 
 
+def others():
+    """Items, clicks and sales: nulls, repeated rows, and columns whose names operators use."""
+    at = [dt.datetime(2024, 1, 1, h) for h in (0, 1, 7)]
+    extra = {n: ["?"] * 4 for n in ("key", "s", "e", "n", "cls", "item")}
+    return {
+        "benchmark": pa.table({"item_id": pa.array([1, 1, None, 4], pa.int64()), "text": ["one two", "one two", "moron don't", None], **extra}),
+        "clicks": pa.table({"client_id": pa.array([1, 1, None, 2], pa.int64()), "ts": pa.array([at[0], at[0], at[1], None], pa.timestamp("us")), "kind": ["error", None, "x", "x"], **extra}),
+        "sales": pa.table({"sale_id": pa.array([1, 1, None, 4], pa.int64()), "client_id": pa.array([1, 1, 1, None], pa.int64()), "status": ["open", "open", None, "done"], "sold_at": pa.array([at[0], at[0], at[1], at[2]], pa.timestamp("us")), **extra}),
+        "sale_lines": pa.table({"sale_id": pa.array([1, None, 4, 9], pa.int64()), "shipped_at": pa.array([at[2], at[2], None, at[0]], pa.timestamp("us")), **extra}),
+    }
+
+
 def _save(folder, empty):
-    for name, t in (("documents", documents()), ("labels", labels()), ("pages", pages())):
+    for name, t in (("documents", documents()), ("labels", labels()), ("pages", pages()), *others().items()):
         pq.write_table(t.slice(0, 0) if empty else t, f"{folder}/{name}.parquet")
     return str(folder)
 
