@@ -50,9 +50,14 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC. Spark has no normalizer, so texts go through Arrow, but only those with characters from U+0300 on: all before are as they are."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
 def normalize(text) -> Column:
-    """Line ends as LF and Unicode NFC. Spark has no normalizer, so texts go through Arrow; those in ASCII are as they are."""
-    return _nfc(normalize_newlines(text))
+    """Line ends as LF and Unicode NFC."""
+    return nfc(normalize_newlines(text))
 
 
 def strip(text) -> Column:
@@ -64,7 +69,7 @@ def heading_context(path, heading=None) -> Column:
     """The non-empty parts of a heading path joined by ' > ', in NFC; the heading itself if none is left."""
     parts = F.filter(F.transform(_col(path), lambda p: strip(normalize_newlines(p))), lambda p: p != "")
     joined = F.concat_ws(" > ", parts)
-    return _nfc(joined if heading is None else F.when(F.size(parts) > 0, joined).otherwise(strip(normalize_newlines(heading))))
+    return nfc(joined if heading is None else F.when(F.size(parts) > 0, joined).otherwise(strip(normalize_newlines(heading))))
 
 
 def embedded_text(context, content) -> Column:

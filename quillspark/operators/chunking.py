@@ -30,39 +30,53 @@ class ChunkingPolicy:
             raise ValueError(f"separators must be 1 to {MAX_SEPARATORS} strings of up to {MAX_SEPARATOR} characters")
 
 
+#: Characters of the pieces that a long text is cut in, so that a window is taken from a piece or two and not from the whole text.
+PIECE = 2048
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: in lambda functions nothing else keeps it from being computed at each mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bounds(text, policy: ChunkingPolicy = ChunkingPolicy()) -> Column:
-    """[start, end) of each child, from 0, as array<struct<start,stop>>.
+    """[start, end) of each child, from 0, as array<struct<start,stop>>; null for null, one empty child for an empty text.
 
-    A window is cut after the last of the first separator that occurs in its later half; else at its end.
+    A window is cut after the last of the first separator that occurs in its later half; else at its end. The ends are folded one from another; a
+    step looks at half a window, however long the text.
     """
     text = F.col(text) if isinstance(text, str) else text
-    n = F.length(text)
+    size, overlap, half = policy.size, policy.overlap, max(policy.overlap + 1, policy.size // 2)
+    piece = max(PIECE, size)
+    separators = [s for s in policy.separators if s]
     # a window moves on by one character more than the overlap at the least, and by half its size less the overlap
-    least = max(1, policy.size // 2 - policy.overlap)
-    most = F.ceil(n / F.lit(least)).cast("int") + 1
+    least = max(1, size // 2 - overlap)
+
+    def window(pieces, low, length):
+        at = F.floor(low / F.lit(piece)).cast("int")
+        here, within = F.get(pieces, at), low - at * piece
+        return F.substring(F.when(within + length <= piece, here).otherwise(F.concat(here, F.coalesce(F.get(pieces, at + 1), F.lit("")))), within + 1, length)
 
-    def cut(start):
-        hard = start + policy.size
-        low = start + max(policy.overlap + 1, policy.size // 2)
-        window = F.substring(text, low + 1, hard - low)
-        ends = []
-        for s in policy.separators:
-            if s:
-                back = F.instr(F.reverse(window), s[::-1])
-                ends.append(F.when(back > 0, hard - back + 1))
-        return F.when(hard >= n, n).otherwise(F.coalesce(*ends, hard))
+    def cut(pieces, n, start):
+        if not separators:
+            return F.least(start + size, n)
+        ends = lambda w: F.coalesce(*[F.when(F.contains(w, F.lit(s)), start + size - F.length(F.substring_index(w, s, -1))) for s in separators], start + size)
+        return F.when(start + size >= n, n).otherwise(_let(window(pieces, start + half, F.lit(size - half)), ends))
 
-    first = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    def fold(pieces, n):
+        step = lambda ends, _: F.when(F.element_at(ends, -1) >= n, ends).otherwise(F.concat(ends, F.array(_let(F.element_at(ends, -1) - overlap, lambda start: cut(pieces, n, start)))))
+        ends = F.aggregate(F.sequence(F.lit(1), F.ceil(n / F.lit(least)).cast("int") + 1), F.array(F.lit(overlap)), step)
+        return _let(ends, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e)), lambda stop, i: F.struct((F.get(e, i) - overlap).alias("start"), stop.alias("stop"))))
 
-    def step_(acc, _):
-        stop = cut(acc["start"])
-        return F.when(acc["done"], acc).otherwise(F.struct((stop - policy.overlap).alias("start"), (stop >= n).alias("done"), F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), stop.alias("stop")))).alias("out")))
+    def whole(t, n):
+        pieces = F.when(n <= piece, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{piece}}}"), 0))  # one pass over the text
+        return F.when(n <= size, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))).otherwise(_let(pieces, lambda p: fold(p, n)))
 
-    return F.when(n <= policy.size, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))).otherwise(F.aggregate(F.sequence(F.lit(1), most), first, step_, lambda acc: acc["out"]))
+    return _let(text, lambda t: F.when(t.isNotNull(), _let(F.length(t), lambda n: whole(t, n))))
 
 
 def bounds_udf(policy: ChunkingPolicy = ChunkingPolicy()):
-    """The same by an Arrow function: one pass over each text, for long texts (the expression copies its list of children)."""
+    """The same by an Arrow function."""
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
     def run(texts: pd.Series) -> pd.Series:

@@ -225,6 +225,28 @@ def _in_blocks(queries: DataFrame, search) -> DataFrame:
     return found
 
 
+def unit_rows(x):
+    """A matrix with rows of length 1; rows of zeros stay."""
+    import numpy as np
+
+    if not np.isfinite(x).all():
+        raise ValueError("vector values must be finite")
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def matrix_of(column, width: int):
+    """An Arrow column of lists without nulls as a matrix."""
+    import numpy as np
+
+    values = column.flatten()
+    if values.null_count:
+        raise ValueError("vector values must be finite")
+    if len(values) != len(column) * width or np.any(np.diff(column.offsets.to_numpy()) != width):
+        raise ValueError(f"vectors must have the queries' {width} dimensions")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
 def _best(vectors: DataFrame, rows: list, k: int, batch: int, parents: bool = False) -> DataFrame:
     """(query_id, id, score): of each batch of vectors the best k per query of rows; with parents, of rows of one id the best one only."""
     import numpy as np
@@ -233,23 +255,13 @@ def _best(vectors: DataFrame, rows: list, k: int, batch: int, parents: bool = Fa
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
 
-    def unit_rows(x):
-        if not np.isfinite(x).all():
-            raise ValueError("vector values must be finite")
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return x / np.where(norm > 0, norm, 1.0)
-
     matrix = unit_rows(matrix)
 
     def run(batches):
         for b in batches:
             if not len(ids) or not b.num_rows:
                 continue
-            if b.column(1).flatten().null_count:
-                raise ValueError("vector values must be finite")
-            x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
-            if x.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors have {x.shape[1]} dimensions, queries {matrix.shape[1]}")
+            x = unit_rows(matrix_of(b.column(1), matrix.shape[1]))
             key = b.column(0).to_numpy(zero_copy_only=False)
             if parents:
                 order = np.argsort(key, kind="stable")

@@ -290,5 +290,7 @@ UNION ALL SELECT 'wrong norm', count(*) FROM given WHERE s % 13 = 0""",
     "segment_terms": W(AFTER(CORPUS), "SELECT token, df, round(idf, 6) AS idf FROM idf"),
     "segment_totals": W(AFTER(TFIDF), "SELECT (SELECT count(*) FROM sec) AS n_sections, (SELECT round(avg(len(tokens)), 6) FROM sec) AS avg_len, (SELECT count(DISTINCT file) FROM sec) AS n_files, (SELECT count(*) FROM child) AS n_children", True),
     "segment_files": W(SNAPS, "SELECT path, strlen(content)::BIGINT AS size, sha256(content) AS content_hash FROM new"),
+    "stream_reindex": W(AFTER(CORPUS), "SELECT id, len(tokens)::INT AS n_tokens, sha256(content) AS content_hash FROM sec"),
     "segment_candidates": W(AFTER(f"{CORPUS}, {QTOK}"), "SELECT query_id, count(*) AS n_matches, min(id) AS first_id, max(id) AS last_id FROM (SELECT DISTINCT query_id, id FROM qt JOIN tf USING (token)) GROUP BY query_id"),
 }
+ORACLE_SQL["dense_ball_topk"] = ORACLE_SQL["dense_ip_topk"]

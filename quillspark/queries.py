@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, grounding, identity, incremental, markdown, ranking
+from quillspark.operators import balls, chunking, grounding, identity, incremental, markdown, ranking
 from quillspark.plans import build
 from quillspark.plans.search import Search
 from quillspark.sources import embeddings as providers
 from quillspark.sources import cache_store, index_store, json_files, segments
+from quillspark.streaming import changes
 
 K = 10
 
@@ -206,6 +207,13 @@ def dense_ip_topk(spark, d):
     return ranking.dense_topk(vectors(spark, d), vector_queries(spark, d), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def dense_ball_topk(spark, d):
+    """The same from stored balls, of which those that can't have a result are left out."""
+    root = scratch(spark, "balls")
+    balls.build(spark, root, vectors(spark, d))
+    return balls.Balls(spark, root).search(vector_queries(spark, d), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def dense_parent_max(spark, d):
     return ranking.dense_parents(vectors(spark, d), vector_queries(spark, d), K).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -541,4 +549,14 @@ def segment_candidates(spark, d):
     return hits.groupBy("query_id").agg(F.count("*").alias("n_matches"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes, index_build, stored_sections, chat_answers, hybrid_k20, not_indexed, k_validation, unit_vectors, child_identities, child_parents, wiki_files, wiki_sink, json_index, cache_sink, embedded_children, namespaces, vector_checks, dense_generation, segment_bm25, segment_cosine, segment_terms, segment_totals, segment_files, segment_candidates)}
+def stream_reindex(spark, d):
+    """Live sections of an index that follows two snapshots of the corpus as a stream of changes, stopped and gone on with between them."""
+    log, root, check = (scratch(spark, f"stream-{x}") for x in ("log", "index", "check"))
+    sections_of = lambda files: snapshot_sections(files.withColumn("content", F.col("content").cast("string")))
+    for files in snapshots(spark, d):
+        changes.capture(files, log)
+        changes.start(spark, log, root, check, parse=sections_of).awaitTermination()
+    return segments.Segments(spark, root).live("sections").select("id", F.size("tokens").alias("n_tokens"), F.sha2("content", 256).alias("content_hash"))
+
+
+QUERIES = {f.__name__: f for f in (tokenize, token_counts, doc_freq, corpus_stats, bm25_idf, bm25_topk, bm25_heading_boost, query_validation, fts_match_candidates, tfidf_idf, tfidf_weights, tfidf_norms, tfidf_cosine_topk, hash_embedding_buckets, hash_embedding_search, dense_ip_topk, dense_ball_topk, dense_parent_max, rrf_fusion, hybrid_rrf, rrf_outer_join, rerank_features, rerank_topk, compare_stages, answerable_gate, parse_sections, heading_paths, slug_numbers, child_bounds, child_records, chunk_overlap_check, content_hashes, file_fingerprints, index_diff, index_run_stats, index_upsert, cache_hits, cache_misses, cache_replace, cache_violations, wiki_lines, wiki_preview, citations_extract, citations_valid, cited_sources, prompt_json, source_payload, filename_slug, section_slug, manifest_counts, child_violations, index_compare, token_hashes, index_build, stored_sections, chat_answers, hybrid_k20, not_indexed, k_validation, unit_vectors, child_identities, child_parents, wiki_files, wiki_sink, json_index, cache_sink, embedded_children, namespaces, vector_checks, dense_generation, segment_bm25, segment_cosine, segment_terms, segment_totals, segment_files, segment_candidates, stream_reindex)}
