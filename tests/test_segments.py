@@ -174,3 +174,12 @@ def test_writers_and_settings(spark, tmp_path, monkeypatch):
     assert segments.state(spark, root) == before
     with pytest.raises(FileNotFoundError):
         segments.Segments(spark, str(tmp_path / "none"))
+
+
+def test_digests_come_together_after_many_tasks_read_the_files(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.range(4000).repartition(6).write.parquet(path)
+    plan = digests.gathered(digests.leaves(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.index("Exchange") < plan.index("Scan binaryFile")
+    assert digests.gathered(digests.leaves(spark, path)).rdd.getNumPartitions() == 1
+    digests.check(spark, path, digests.record(spark, path))
