@@ -86,6 +86,9 @@ class Search:
             except DenseUnavailable:
                 pass
         self.backend = "tfidf"
+        return self._sparse()
+
+    def _sparse(self) -> DataFrame:
         # children of an index have their parents in it
         return ranking.cosine_best(self.index["child_postings"], self.index["child_terms"], self.queries, self.most, parents=True)
 
@@ -104,11 +107,17 @@ class Search:
     def reranked(self, k: int) -> DataFrame:
         return ranking.reranked(ranking.rerank_features(self._once(self._fused(depth(self._checked(k))).drop("rank")), self.sections, self.queries), k)
 
+    def with_texts(self, hits: DataFrame) -> DataFrame:
+        """Hits with their sections' heading_path and content. No other section's text is shuffled for it."""
+        hits = self._once(hits)
+        texts = self.sections.select("id", "heading_path", "content").join(ranking.small(hits.select("id").distinct()), "id", "left_semi")
+        return hits.join(texts, "id")
+
     def chat(self, generate=None, k: int = 3) -> DataFrame:
         """Search, gate, prompt, generate and check as one plan; one row per valid query (query_id, query, prompt, answer, sources, final_answer ...)."""
         if not self.indexed:
             return grounding.not_indexed(self.queries)
-        hits = self.reranked(k).join(self.sections.select("id", "heading_path", "content"), "id").withColumns({"rank": F.col("rerank_rank"), "score": F.col("rerank_score")})
+        hits = self.with_texts(self.reranked(k)).withColumns({"rank": F.col("rerank_rank"), "score": F.col("rerank_score")})
         return grounding.chat(hits, self.queries, generate or grounding.extractive)
 
     def compare(self, k: int = 3) -> DataFrame:
@@ -121,3 +130,18 @@ class Search:
 
         stages = [stage("lexical", self.lexical().where(F.col("rank") <= k), "rank", "score"), stage("vector", self.vector().where(F.col("rank") <= k), "rank", "score"), stage("hybrid", self.fused(k), "rank", "rrf_score"), stage("reranked", self.reranked(k), "rerank_rank", "rerank_score")]
         return reduce(DataFrame.unionByName, stages)
+
+
+class Batch(Search):
+    """The same over sections for which no postings are stored: the lexical ranker counts what the batch asks for where it reads a text, the vector
+    ranker has children's counts as arrays (build.bag_tables), with one row per term and one norm per child. An index of postings shuffles and
+    writes each posting several times, which a batch that reads it once doesn't gain from."""
+
+    def lexical(self) -> DataFrame:
+        if self._lexical is None:
+            index_store.shared_folder(self.queries.sparkSession)
+            self._lexical = self._once(ranking.bm25_batch(self.sections, self.queries, self.most))
+        return self._lexical
+
+    def _sparse(self) -> DataFrame:
+        return ranking.cosine_batch(self.index["child_bags"], self.index["child_terms"], self.index["child_norms"], self.queries, self.most, parents=True)

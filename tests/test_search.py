@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as tx
 from quillspark.operators import chunking, incremental, markdown, ranking
 from quillspark.plans import build
-from quillspark.plans.search import DenseUnavailable, Search
+from quillspark.plans.search import Batch, DenseUnavailable, Search
 from quillspark.sources import index_store
 
 FILES = [
@@ -134,3 +135,34 @@ def test_best_of_equals_all_scores_ranked(spark, monkeypatch):
         for found, parents in ((children, False), (best, True)):
             got = sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in ranking.best_of(postings, weights, 7, parents).collect())
             assert got == first(found, 7)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_a_batch_without_postings_gives_the_same(spark, parts, monkeypatch):
+    """Also where terms are too many to be broadcast; and counting shuffles nothing."""
+    sections, kids, queries = parts
+    rows = lambda df: sorted(map(str, df.select("query_id", "stage", "pos", "id", F.round("score", 9)).collect()))
+    want = rows(Search.over(*parts).compare(3))
+    index_store.shared_folder(spark)
+    for most in (500_000, 3):
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", most)
+        tables = {}
+        for name, df in build.bag_tables(sections).items():
+            tables[name] = (df(tables) if callable(df) else df).persist()
+        assert rows(Batch({"sections": sections, **tables}, queries).compare(3)) == want
+    plain = spark.createDataFrame([("a", "f", "h", ["h"], "refund mail refund"), ("b", "f", "h", [], "")], "id string, file string, heading string, heading_path array<string>, content string").withColumn("tokens", tx.tokenize("content"))
+    assert _exchanges(ranking.lexical_postings(plain)) == 0 and _exchanges(ranking.child_counts(ranking.child_tokens(chunking.children(plain)))) == 0
+    assert {(r["id"], r["token"], r["tf"]) for r in ranking.lexical_postings(plain).collect()} == {("a", "refund", 2), ("a", "mail", 1)}
+
+
+def test_parents_split_over_partitions_and_documents_out_of_order(spark):
+    index_store.shared_folder(spark)
+    rows = [("p2::chunk-0", "p2", "w", 1.0), ("p1::chunk-1", "p1", "w", 3.0), ("p0::chunk-0", "p0", "w", 3.0), ("p1::chunk-0", "p1", "w", 2.0)]
+    postings = spark.createDataFrame(rows, "id string, source_id string, token string, impact double").coalesce(1)
+    weights = spark.createDataFrame([(1, "w", 1.0)], "query_id long, token string, weight double")
+    assert [(r["id"], r["score"]) for r in ranking.best_of(postings, weights, 1, whole=True).collect()] == [("p0::chunk-0", 3.0)]
+    halves = postings.where("id <> 'p1::chunk-1'").unionByName(postings.where("id = 'p1::chunk-1'"))
+    assert [(r["id"], r["score"]) for r in ranking.best_of(halves, weights, 2, True, whole=True).orderBy("rank").collect()] == [("p0", 3.0), ("p1", 3.0)]
