@@ -24,7 +24,13 @@ def read_index(spark: SparkSession, path: str, table: DataFrame | None = None) -
     if table is None:
         return found
     table = table.select(found.columns)
-    return found if table.exceptAll(found).isEmpty() and found.exceptAll(table).isEmpty() else table
+    return found if same_rows(table, found) else table
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of the same columns have the same rows as often. Rows are compared by digest, so that their texts aren't shuffled."""
+    digest = lambda df, n: df.select(F.unhex(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)).alias("row"), F.lit(n).alias("n"))
+    return digest(a, 1).unionByName(digest(b, -1)).groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
 
 
 def write_wiki(sections: DataFrame, path: str) -> None:

@@ -138,3 +138,10 @@ def test_json_index(spark, tmp_path):
     json_files.write_answer_cards(cards, str(tmp_path / "c"), "m")
     got = spark.read.json(str(tmp_path / "c"))
     assert got.count() == 2 and got.first()["name"].endswith("Z-why")
+
+
+def test_stored_rows_are_compared_by_digest(spark):
+    from quillspark.sources.json_files import same_rows
+
+    a = spark.createDataFrame([("x", ["t"]), ("x", ["t"]), ("y", None)], "id string, tokens array<string>")
+    assert same_rows(a, a.repartition(3)) and not same_rows(a, a.distinct()) and not same_rows(a, a.withColumn("tokens", F.coalesce("tokens", F.array())))
