@@ -52,3 +52,24 @@ def test_expression_and_arrow_function_agree(spark, size, overlap):
 def test_null_text(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(F.size(chunking.bounds_udf()("t"))).first()[0] in (-1, None)
+
+
+def test_children_need_no_python_beside_nfc(spark):
+    """The splitter's Arrow function held batches of whole texts in each Python worker; all that goes there is what NFC can change."""
+    df = spark.createDataFrame([("a", "f", "H", ["H"], "x. y " * 999), ("b", "f", "H", ["H"], None)], SCHEMA)
+    rows = chunking.children(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "_nfc(" in plan and "run(" not in plan and plan.count("regexp_extract_all") == 1
+    assert rows.groupBy("source_id").count().collect() == [("a", 6)]
+
+
+@pytest.mark.parametrize("separators", [("\n\n", "\n", ". ", " "), (".\\E[", "x"), ("",)])
+def test_long_texts_and_contents(spark, separators):
+    """More pieces than are added up one by one, and contents made of two pieces."""
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("ab\n. x😀é") + pick.choice(["", "", ".\\E["]) for _ in range(n)) for n in (0, 1, 40, 41, 9_000, 20_000)]
+    policy = ChunkingPolicy(40, 9, separators)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", chunking.bounds("t", policy, content=True).alias("a"), chunking.bounds_udf(policy)("t").alias("b")).collect():
+        assert [(x["start"], x["stop"]) for x in r["a"]] == [tuple(x) for x in r["b"]]
+        assert [x["content"] for x in r["a"]] == [r["t"][x["start"] : x["stop"]] for x in r["a"]]
