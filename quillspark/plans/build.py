@@ -8,11 +8,17 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import tokenize
 from quillspark.operators import chunking, identity, incremental, markdown, ranking
 from quillspark.plans.search import DenseUnavailable
 from quillspark.sources import index_store, markdown_files
 
 
+def ordered(sections: DataFrame) -> DataFrame:
+    """Sections in order of file and id. Texts are shuffled for it once, without their tokens, which are found again where a text arrives."""
+    return sections.drop("tokens").sort("file", "id").withColumn("tokens", tokenize(F.concat_ws("\n", "heading_path", "content"))).select(sections.columns)
+
+
 def search_tables() -> dict:
     """What a search reads, each from the tables before it: children, both rankers' postings and terms, statistics."""
     return {
@@ -37,7 +43,7 @@ def bag_tables(sections: DataFrame) -> dict:
 
 
 def index_tables(files: DataFrame, sections: DataFrame) -> dict:
-    return {"files": files, "sections": sections.sort("file", "id"), **search_tables()}
+    return {"files": files, "sections": ordered(sections), **search_tables()}
 
 
 #: Settings under which a stored index may be gone on with.
