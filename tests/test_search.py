@@ -166,3 +166,47 @@ def test_parents_split_over_partitions_and_documents_out_of_order(spark):
     assert [(r["id"], r["score"]) for r in ranking.best_of(postings, weights, 1, whole=True).collect()] == [("p0::chunk-0", 3.0)]
     halves = postings.where("id <> 'p1::chunk-1'").unionByName(postings.where("id = 'p1::chunk-1'"))
     assert [(r["id"], r["score"]) for r in ranking.best_of(halves, weights, 2, True, whole=True).orderBy("rank").collect()] == [("p0", 3.0), ("p1", 3.0)]
+
+
+def test_texts_are_sorted_without_tokens(spark, sf):
+    """Tokens are found again after the exchange; and of stored sections digests are sorted, not texts."""
+    from quillspark import queries
+
+    sections = queries.sections(spark, sf)
+    rows = build.ordered(sections)
+    above, below = rows._jdf.queryExecution().executedPlan().toString().split("Exchange rangepartitioning")
+    assert "regexp_extract_all" in above and "regexp_extract_all" not in below
+    assert rows.schema == sections.schema and rows.collect() == sections.sort("file", "id").collect()
+    above, below = queries.stored_sections(spark, sf)._jdf.queryExecution().executedPlan().toString().split("Exchange rangepartitioning")
+    assert "sha2" in below and "sha2" not in above
+
+
+def test_a_child_goes_to_its_norm_as_one_row(spark, monkeypatch):
+    """Of counts, only those of asked tokens, as numbers; and a task hands on the best of all its matrices, whether held back or not."""
+    import random
+
+    import pyarrow as pa
+
+    index_store.shared_folder(spark)
+    pick = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(f"c{k:03}", f"p{k // 3:03}", pick.choices(words, k=pick.randint(0, 9))) for k in range(400)]
+    tokens = spark.createDataFrame(rows, "id string, source_id string, tokens array<string>").repartition(3)
+    bags = ranking.child_bags(tokens)
+    terms = ranking.vector_terms(bags.select(F.explode("terms.token").alias("token")), tokens.agg(F.count("*").alias("n"))).persist()
+    norms = ranking.child_norms(ranking.bag_counts(bags), terms)
+    got = {r["id"]: dict(zip(r["places"], r["counts"])) for r in ranking.asked_bags(bags, pa.array(["w3", "none", "w7"])).collect()}
+    want = {i: {at: t.count(w) for at, w in ((0, "w3"), (2, "w7")) if w in t} for i, _, t in rows}
+    assert got == {i: x for i, x in want.items() if x}
+    queries = spark.createDataFrame([(q, " ".join(pick.choices(words, k=4))) for q in range(25)], "query_id long, query string")
+    index = ranking.vector_index(tokens)
+    out = lambda df: [(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in df.orderBy("query_id", "rank").collect()]
+    for parents in (False, True):
+        best = out(ranking.cosine_best(index["postings"], index["terms"], queries, 5, parents))
+        for cells, held, most in ((1 << 20, 1 << 18, 500_000), (300, 1 << 18, 500_000), (300, 130, 500_000), (300, 1, 500_000), (300, 1 << 18, 60)):
+            monkeypatch.setattr(ranking, "CELLS", cells)
+            monkeypatch.setattr(ranking, "PAIRS", cells)
+            monkeypatch.setattr(ranking, "HELD", held)
+            monkeypatch.setattr(ranking, "BROADCAST_ROWS", most)
+            assert out(ranking.cosine_batch(bags, terms, norms, queries, 5, parents)) == best
+        monkeypatch.undo()
