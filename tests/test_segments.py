@@ -183,3 +183,16 @@ def test_digests_come_together_after_many_tasks_read_the_files(spark, tmp_path):
     assert "Coalesce" not in plan and plan.index("Exchange") < plan.index("Scan binaryFile")
     assert digests.gathered(digests.leaves(spark, path)).rdd.getNumPartitions() == 1
     digests.check(spark, path, digests.record(spark, path))
+
+
+def test_bags_of_live_children_serve_batches_of_many_tokens(spark, tmp_path):
+    """The same as by postings, without those of replaced sections; what is shuffled of a child is one row."""
+    root = str(tmp_path)
+    rows = lambda n, word: spark.createDataFrame([(f"s{k}", f"f{k}", "", [], f"{word} common w{k} " * (1 + k % 3)) for k in n], "id string, file string, heading string, heading_path array<string>, content string").withColumn("tokens", tokenize("content"))
+    segments.update(spark, root, rows(range(12), "old"))
+    segments.update(spark, root, rows((3, 4), "new"))
+    index, q = segments.Segments(spark, root), spark.createDataFrame([(1, "old common w3"), (2, "new w5"), (3, "none")], "query_id long, query string")
+    out = lambda df: [(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in df.orderBy("query_id", "rank").collect()]
+    got = out(ranking.cosine_batch(index.bags(), index.child_terms(), index.norms(), q, 4))
+    assert got and got == out(ranking.cosine_best(index.child_postings(), index.child_terms(), q, 4))
+    assert index.bags().count() == 12 and index.bags().where("exists(terms, x -> x.token = 'new')").count() == 2
