@@ -37,7 +37,7 @@ def bag_tables(sections: DataFrame) -> dict:
     kids = ranking.child_tokens(chunking.children(sections)).select("id", "source_id", "tokens")
     return {
         "child_bags": ranking.child_bags(kids),
-        "child_terms": lambda t: ranking.vector_terms(t["child_bags"].select(F.explode("terms.token").alias("token")), chunking.children(sections).agg(F.count("*").alias("n"))),
+        "child_terms": lambda t: ranking.vector_terms(t["child_bags"].select(F.explode("terms.token").alias("token")), t["child_bags"].agg(F.count("*").alias("n"))),
         "child_norms": lambda t: ranking.child_norms(ranking.bag_counts(t["child_bags"]), t["child_terms"]),
     }
 
