@@ -196,3 +196,65 @@ def test_bags_of_live_children_serve_batches_of_many_tokens(spark, tmp_path):
     got = out(ranking.cosine_batch(index.bags(), index.child_terms(), index.norms(), q, 4))
     assert got and got == out(ranking.cosine_best(index.child_postings(), index.child_terms(), q, 4))
     assert index.bags().count() == 12 and index.bags().where("exists(terms, x -> x.token = 'new')").count() == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neither_texts_nor_tokens_are_shuffled_for_blocks(spark, tmp_path):
+    """Sections and children stay where they are read; a table's blocks are shuffled once, packed."""
+    root = str(tmp_path)
+    segments.update(spark, root, sections(spark, corpus(6, [f"f{k}.md" for k in range(9)])))
+    index = segments.Segments(spark, root)
+    own, vectors = index.raw("sections"), index.raw("vectors")
+    assert "Exchange" not in _plan(segments.child_vectors(chunking.children(own)))
+    for df in (segments.lexical_blocks(own, ["mail"]), segments.child_blocks(vectors, ["mail"])):
+        assert _plan(df).count("Exchange") == 1 and "packed" in _plan(df) and df.rdd.getNumPartitions() == 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10**6])
+def test_blocks_have_every_posting_once(spark, tmp_path, monkeypatch, rows):
+    """Whatever the number of files, also where one token fills several and where texts have no tokens; ranges are those of the files."""
+    monkeypatch.setattr(segments, "FILE_ROWS", rows)
+    monkeypatch.setattr(segments, "GROUP", 4)
+    monkeypatch.setattr(segments, "SLICE", 40)
+    root, files = str(tmp_path), corpus(9, [f"f{k:02}.md" for k in range(15)]) | {"none.md": ["", "the how", "refund " * 300]}
+    segments.update(spark, root, sections(spark, files))
+    index, new = segments.Segments(spark, root), sections(spark, files)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    names = ["id", "token", "tf", "dl", "in_heading"]
+    assert plain(index.postings().select(names)) == plain(ranking.lexical_postings(new).select(names))
+    asked = spark.createDataFrame([("refund",), ("late",)], "token string")
+    assert plain(index.postings(asked).select(names)) == plain(ranking.lexical_postings(new).where("token IN ('refund', 'late')").select(names))
+    kids = ranking.child_counts(ranking.child_tokens(chunking.children(new)))
+    assert plain(index._asked_counts(asked)) == plain(kids.where("token IN ('refund', 'late')"))
+    ranges = index.raw("ranges").where("name = 'lexical'").orderBy("first", "last").collect()
+    assert (len(ranges) > 2) == (rows < 10) and all(a["last"] <= b["first"] for a, b in zip(ranges, ranges[1:]))
+    own = index.raw("lexical").select(F.col("_metadata.file_name").alias("file"), "token").groupBy("file").agg(F.min("token").alias("first"), F.max("token").alias("last"))
+    assert plain(own) == sorted((r["file"], r["first"], r["last"]) for r in ranges)
+
+
+def test_postings_of_a_section_lie_together(spark, tmp_path):
+    """So a search adds up a section's scores where its group is read; without the postings of replaced sections."""
+    root, files = str(tmp_path), corpus(10, [f"f{k:02}.md" for k in range(30)])
+    segments.update(spark, root, sections(spark, files))
+    changed = corpus(11, ["f03.md", "f17.md"])
+    segments.update(spark, root, sections(spark, changed))
+    index, q = segments.Segments(spark, root), questions(spark)
+    rows = index.postings(ranking.query_tokens(q))
+    runs = rows.select("id", F.spark_partition_id().alias("p")).rdd.mapPartitions(lambda it: [[k for k, _ in __import__("itertools").groupby(r["id"] for r in it)]]).collect()
+    seen = [i for run in runs for i in run]
+    assert len(seen) == len(set(seen)) > 20
+    new = sections(spark, files | changed)
+    out = lambda df: [(r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in df.orderBy("query_id", "rank").collect()]
+    assert out(ranking.bm25_best(rows, index.terms(), q, 3, whole=True)) == out(ranking.bm25_best(*ranking.lexical_index(new).values(), q, 3))
+
+
+def test_a_run_leaves_nothing_behind_and_starts_no_worker_for_empty_tables(spark, tmp_path):
+    root = str(tmp_path)
+    segments.update(spark, root, sections(spark, corpus(1, ["a.md", "b.md"])))
+    segments.update(spark, root, sections(spark, corpus(2, ["b.md"])))
+    assert not [x for x in os.listdir(root) if x.startswith("making-")]
+    empty = segments._empty(spark, "dead_ids")
+    assert empty.schema.simpleString() == "struct<segment:string,id:string>" and empty.count() == 0 and "ExistingRDD" not in _plan(empty)
