@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import incremental, markdown
+from quillspark.operators import incremental, markdown, ranking
 from quillspark.sources import index_store, markdown_files, segments
 
 #: Captures after which the known files are written anew.
@@ -48,7 +48,7 @@ def known(spark: SparkSession, log: str, upto: int | None = None) -> DataFrame:
     numbers = [n for n in _numbers(spark, f"{log}/changes") if upto is None or n <= upto]
     whole = [n for n in _numbers(spark, f"{log}/files") if numbers and n <= numbers[-1]]
     start = whole[-1] if whole else 0
-    rows = spark.read.schema(KNOWN).parquet(f"{log}/files/n={start}") if whole else spark.createDataFrame([], KNOWN)
+    rows = spark.read.schema(KNOWN).parquet(f"{log}/files/n={start}") if whole else segments._empty(spark, "files")
     later = [f"{log}/changes/n={n}" for n in numbers if n > start]
     if not later:
         return rows
@@ -59,6 +59,19 @@ def known(spark: SparkSession, log: str, upto: int | None = None) -> DataFrame:
     return last.where("NOT f.deleted").select("path", *[F.col(f"f.{c}") for c in NAMES[1:]])
 
 
+def _changed(files: DataFrame, diff: DataFrame, stats: dict[str, int]) -> DataFrame:
+    """Files that diff calls changed, by a join with those or with the others, whichever are fewer: no content is shuffled for a few paths, nor for a first snapshot."""
+    if stats["changed"] <= stats["skipped"] + stats["deleted"]:
+        return files.join(ranking.small(diff.where("status = 'changed'").select("path")), "path", "left_semi")
+    return files.join(ranking.small(diff.where("status <> 'changed'").select("path")), "path", "left_anti")
+
+
+def _latest(batch: DataFrame) -> DataFrame:
+    """Rows of a batch without those of a path that it has again with a greater number. Only paths that it has several times are joined."""
+    again = batch.groupBy("path").agg(F.max("n").alias("last"), F.count("*").alias("times")).where("times > 1").select("path", "last")
+    return batch.join(ranking.small(again), "path", "left").where("last IS NULL OR n = last").drop("last")
+
+
 def capture(files: DataFrame, log: str) -> dict[str, int]:
     """Append how files (path, content, mtime_ns) differ from what the log knows; returns the counts of changed, skipped and deleted. Nothing is written where nothing differs.
 
@@ -79,10 +92,10 @@ def capture(files: DataFrame, log: str) -> dict[str, int]:
         if not stats["changed"] and not stats["deleted"]:
             return stats
         size = F.octet_length("content").cast("long")
-        changed = files.join(diff.where("status = 'changed'").select("path"), "path", "left_semi").where(size <= incremental.MAX_FILE_BYTES)
+        changed = _changed(files, diff, stats).where(size <= incremental.MAX_FILE_BYTES)
         changed = changed.select("path", size.alias("size"), "mtime_ns", F.sha2("content", 256).alias("content_hash"), F.lit(False).alias("deleted"), "content")
         gone = diff.where("status = 'deleted'").select("path", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in CHANGES.split(", ")[1:4])], F.lit(True).alias("deleted"), F.lit(None).cast("binary").alias("content"))
-        changed.unionByName(gone).write.parquet(f"{staged}/changes")
+        changed.unionByName(gone).write.parquet(f"{staged}/changes", compression=index_store.CODEC)
         if not _move(spark, f"{staged}/changes", f"{log}/changes/n={number}"):
             raise segments.Conflict(f"change {number} was logged by another writer")
         if number % KEEP == 0:
@@ -113,8 +126,7 @@ def merge(root: str, settings: dict | None = None, parse=parsed, spark: SparkSes
 
     def run(batch: DataFrame, _: int) -> None:
         session, taken = spark or batch.sparkSession, f"{root}/making-{uuid.uuid4().hex}"
-        last = batch.groupBy("path").agg(F.max("n").alias("n"))  # without contents
-        batch.join(last, ["path", "n"], "left_semi").select([c.split()[0] for c in CHANGES.split(", ")]).write.parquet(taken)
+        _latest(batch).select([c.split()[0] for c in CHANGES.split(", ")]).write.parquet(taken, compression=index_store.CODEC)
         latest = session.read.schema(CHANGES).parquet(taken)
         there = latest.where("NOT deleted")
         try:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import incremental
 from quillspark.sources import segments
@@ -93,3 +94,17 @@ def test_a_second_writer_of_a_number_is_refused(spark, tmp_path, monkeypatch):
         changes.capture(files(spark, {"b": "1"}), log)
     monkeypatch.setattr(changes, "_numbers", real)
     assert paths(changes.known(spark, log)) == ["a"]
+
+
+def test_contents_are_not_shuffled_to_be_logged_or_taken(spark, tmp_path):
+    """Whether nearly all files have changed or few: what is joined is the fewer paths."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    files = spark.createDataFrame([(f"f{k}", f"text {k}".encode(), 0) for k in range(9)], "path string, content binary, mtime_ns long")
+    status = lambda few, other: spark.createDataFrame([(f"f{k}", few if k in (2, 5) else other) for k in range(9)] + [("gone", "deleted")], "path string, status string")
+    for diff, stats, want in ((status("changed", "skipped"), {"changed": 2, "skipped": 7, "deleted": 1}, {"f2", "f5"}), (status("skipped", "changed"), {"changed": 7, "skipped": 2, "deleted": 1}, {f"f{k}" for k in range(9)} - {"f2", "f5"})):
+        df = changes._changed(files, diff, stats)
+        assert "hashpartitioning" not in plan(df) and {r["path"] for r in df.collect()} == want
+    batch = files.select("*", F.lit(1).alias("n")).union(files.where("path IN ('f3', 'f4')").select("*", F.lit(2).alias("n"))).union(files.where("path = 'f4'").select("*", F.lit(3).alias("n")))
+    df = changes._latest(batch)
+    assert "BroadcastHashJoin" in plan(df) and "SortMergeJoin" not in plan(df)
+    assert sorted((r["path"], r["n"]) for r in df.collect()) == sorted((f"f{k}", {3: 2, 4: 3}.get(k, 1)) for k in range(9))
