@@ -258,3 +258,10 @@ def test_a_run_leaves_nothing_behind_and_starts_no_worker_for_empty_tables(spark
     assert not [x for x in os.listdir(root) if x.startswith("making-")]
     empty = segments._empty(spark, "dead_ids")
     assert empty.schema.simpleString() == "struct<segment:string,id:string>" and empty.count() == 0 and "ExistingRDD" not in _plan(empty)
+
+
+def test_an_index_of_another_version_is_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    index_store._write_text(spark, f"{root}/log/{1:020d}", '{"version": 1, "settings": {}, "segments": []}')
+    with pytest.raises(ValueError, match="version 1"):
+        segments.Segments(spark, root)
